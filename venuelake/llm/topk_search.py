@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -25,35 +24,39 @@ QUERY_BLOCK = 16_384
 PIVOTS = 128
 #: Slack of a bound against rounding, in parts.
 _SLACK = 1e-9
-_EXACT = float(2**53)
+#: Bits of a row's place in its tree, under the score in a sort key; scores beyond the rest take the slow exact way.
+_ROW_BITS = 13
+_LARGEST = float(2 ** (62 - _ROW_BITS))
 
 
 class _Node:
     """A page. pivot: its routing vector; to_parent: the pivot's distance to the parent's; radius: covers every vector below.
-    A leaf holds `rows` and their distances to the pivot; an inner node holds children."""
+    A leaf holds `rows` and their distances to the pivot; an inner node holds the numbers of its children."""
 
-    __slots__ = ("pivot", "radius", "to_parent", "children", "child_pivots", "child_to_parent", "child_radius", "rows", "distances")
+    __slots__ = ("pivot", "radius", "to_parent", "children", "rows", "distances")
 
     def __init__(self, pivot: np.ndarray):
         self.pivot, self.radius, self.to_parent = pivot, 0.0, 0.0
-        self.children: list[_Node] = []
-        self.child_pivots = self.child_to_parent = self.child_radius = self.rows = self.distances = None
+        self.children: list[int] = []
+        self.rows = self.distances = None
 
 
 def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - to) ** 2).sum(axis=1))
 
 
-def _grow(points: np.ndarray, rows: np.ndarray) -> _Node:
+def _grow(points: np.ndarray, rows: np.ndarray, nodes: list[_Node]) -> int:
     """Bulk load: pivots by farthest-first choice, every vector to its nearest; equal vectors fill leaves of any size."""
     own = points[rows]
     pivot = own[_distances(own, own.mean(axis=0)).argmin()]
     node = _Node(pivot)
+    number = len(nodes)
+    nodes.append(node)
     to_pivot = _distances(own, pivot)
     node.radius = float(to_pivot.max())
     if len(rows) <= PAGE_ROWS or node.radius == 0:
         node.rows, node.distances = rows, to_pivot
-        return node
+        return number
     at, nearest, best = int(to_pivot.argmax()), np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
     for k in range(FAN_OUT):
         d = _distances(own, own[at])
@@ -63,13 +66,10 @@ def _grow(points: np.ndarray, rows: np.ndarray) -> _Node:
             break
         at = int(best.argmax())
     for k in np.unique(nearest):
-        child = _grow(points, rows[nearest == k])
-        child.to_parent = float(_distances(child.pivot[None], pivot)[0])
+        child = _grow(points, rows[nearest == k], nodes)
+        nodes[child].to_parent = float(_distances(nodes[child].pivot[None], pivot)[0])
         node.children.append(child)
-    node.child_pivots = np.stack([c.pivot for c in node.children])
-    node.child_to_parent = np.array([c.to_parent for c in node.children])
-    node.child_radius = np.array([c.radius for c in node.children])
-    return node
+    return number
 
 
 class MTree:
@@ -77,60 +77,88 @@ class MTree:
     product with a query is a smaller distance to it."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        if len(ids) > 1 << _ROW_BITS:
+            raise ValueError("too many vectors for a tree")
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         squares = (self.vectors**2).sum(axis=1)
-        self.norm2 = float(squares.max(initial=0.0))
+        self.norm2, self.largest = float(squares.max(initial=0.0)), float(np.abs(self.vectors).max(initial=0.0))
         points = np.hstack([self.vectors, np.sqrt(np.maximum(self.norm2 - squares, 0.0))[:, None]])
-        self.root = _grow(points, np.arange(len(ids))) if len(ids) else None
-
-    def _scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
-        if float(np.abs(self.vectors[rows]).max(initial=0.0)) * float(np.abs(query).max(initial=0.0)) * max(len(query), 1) < _EXACT:
-            return (self.vectors[rows] @ query).astype(np.int64).tolist()
-        exact = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in self.vectors[rows]]
-        return [max(-(2**63), min(2**63 - 1, s)) for s in exact]
-
-    def search(self, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k rows of highest score, ties to the smaller id, as (score, id). Best page first; a page or a vector is left
-        out where a stored distance already shows that its score is below the k-th found."""
-        q2 = float((query**2).sum())
-        point = np.append(query, 0.0)
-        best: list[tuple[int, int]] = []  # heap of (score, -id)
-        if self.root is None:
-            return []
-
-        def reach() -> float:
-            """The distance beyond which nothing counts."""
-            if len(best) < k:
-                return np.inf
-            return float(np.sqrt(max(q2 + self.norm2 - 2.0 * best[0][0], 0.0) * (1 + _SLACK) + 1e-6))
-
-        first = float(_distances(self.root.pivot[None], point)[0])
-        pages = [(max(first - self.root.radius, 0.0), 0, first, self.root)]
-        serial = 1
-        while pages:
-            bound, _, to_pivot, node = heapq.heappop(pages)
-            limit = reach()
-            if bound > limit:
-                break
-            if node.rows is not None:
-                near = np.abs(node.distances - to_pivot) <= limit
+        self.nodes: list[_Node] = []
+        if len(ids):
+            _grow(points, np.arange(len(ids)), self.nodes)
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, id, score) of the k best vectors of each query, ties to the smaller id.
+
+        Each query goes best page first: it opens the page of its frontier with the least bound, until that lies beyond the
+        distance of its k-th result. Queries that open the same page do so together. Pages and vectors are left out without
+        a computation where the distance to the parent, stored with them, shows that they lie beyond.
+        """
+        m = len(queries)
+        if not m or not self.nodes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.largest * float(np.abs(queries).max(initial=0.0)) * max(queries.shape[1], 1) >= _LARGEST:
+            return self._exact(queries, k)
+        q2 = (queries**2).sum(axis=1)
+        none = np.iinfo(np.int64).min
+        best, reach = np.full((m, k), none), np.full(m, np.inf)
+
+        def distances(asked: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+            squares = q2[asked][:, None] + (pivots**2).sum(axis=1) - 2.0 * (queries[asked] @ pivots[:, :-1].T)
+            return np.sqrt(np.maximum(squares, 0.0))
+
+        every = np.arange(m)
+        bound, to_pivot = np.full((m, len(self.nodes)), np.inf), np.zeros((m, len(self.nodes)))
+        to_pivot[:, 0] = distances(every, self.nodes[0].pivot[None])[:, 0]
+        bound[:, 0] = np.maximum(to_pivot[:, 0] - self.nodes[0].radius, 0.0)
+        active = every
+        while len(active):
+            page = bound[active].argmin(axis=1)
+            low = bound[active, page]
+            go = np.isfinite(low) & (low <= reach[active])
+            active, page = active[go], page[go]
+            bound[active, page] = np.inf
+            order = np.argsort(page, kind="stable")
+            cuts = np.flatnonzero(np.diff(page[order])) + 1
+            for asked in np.split(active[order], cuts) if len(active) else ():
+                number = int(page[np.searchsorted(active, asked[0])])
+                node = self.nodes[number]
+                if node.rows is None:
+                    children = [self.nodes[c] for c in node.children]
+                    apart, radius = np.array([c.to_parent for c in children]), np.array([c.radius for c in children])
+                    near = np.abs(to_pivot[asked, number][:, None] - apart) - radius <= reach[asked][:, None]
+                    some = near.any(axis=0)
+                    numbers, near, radius = np.array(node.children)[some], near[:, some], radius[some]
+                    if len(numbers):
+                        d = distances(asked, np.stack([self.nodes[c].pivot for c in numbers]))
+                        to_pivot[asked[:, None], numbers] = d
+                        bound[asked[:, None], numbers] = np.where(near, np.maximum(d - radius, 0.0), np.inf)
+                    continue
+                near = (np.abs(node.distances - to_pivot[asked, number][:, None]) <= reach[asked][:, None]).any(axis=0)
                 rows = node.rows[near]
-                for score, row in zip(self._scores(rows, query), rows.tolist(), strict=True):
-                    entry = (score, -int(self.ids[row]))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-                continue
-            near = np.flatnonzero(np.abs(node.child_to_parent - to_pivot) - node.child_radius <= limit)
-            d = _distances(node.child_pivots[near], point)
-            for i, di in zip(near.tolist(), d.tolist(), strict=True):
-                low = max(di - node.child_radius[i], 0.0)
-                if low <= limit:
-                    heapq.heappush(pages, (low, serial, di, node.children[i]))
-                    serial += 1
-        return sorted(((s, -i) for s, i in best), key=lambda e: (-e[0], e[1]))
+                if not len(rows):
+                    continue
+                scores = (queries[asked] @ self.vectors[rows].T).astype(np.int64)
+                keys = np.concatenate([best[asked], (scores << _ROW_BITS) + ((1 << _ROW_BITS) - 1 - rows)], axis=1)
+                best[asked] = np.partition(keys, -k, axis=1)[:, -k:]
+                least = best[asked].min(axis=1)
+                # the slack outweighs the rounding of distances; it may open a page too many, never one too few
+                far = np.sqrt(np.maximum(q2[asked] + self.norm2 - 2.0 * (least >> _ROW_BITS), 0.0) + _SLACK * (q2[asked] + self.norm2 + 1.0)) + 1e-3
+                reach[asked] = np.where(least == none, np.inf, far)
+        which, column = np.nonzero(best != none)
+        found = best[which, column]
+        return which, self.ids[(1 << _ROW_BITS) - 1 - (found & ((1 << _ROW_BITS) - 1))], found >> _ROW_BITS
+
+    def _exact(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For components so large that sums leave what a double holds: whole numbers of any size, held to a long at the end."""
+        out: list[tuple[int, int, int]] = []
+        held = [[int(x) for x in v] for v in self.vectors]
+        for q, query in enumerate(queries):
+            numbers = [int(x) for x in query]
+            scored = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, numbers, strict=True)))), int(i)) for v, i in zip(held, self.ids, strict=True))
+            out += [(q, i, s) for s, i in sorted(scored, key=lambda e: (-e[0], e[1]))[:k]]
+        return tuple(np.array([o[c] for o in out], np.int64) for c in range(3))
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -210,8 +238,9 @@ def top_k(rows: DataFrame, every: int = 50, k: int = TOP, id_col: str = "vec_id"
                     if n not in sent.value:
                         continue
                     tree: MTree = pickle.loads(stored)
-                    out = [(int(q), i, s) for q, v in zip(*sent.value[n], strict=True) for s, i in tree.search(v, k + 1)]
-                    yield pa.record_batch([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["q", "id", "score"])
+                    names, asked = sent.value[n]
+                    which, ids, scores = tree.search(asked, k + 1)
+                    yield pa.record_batch([pa.array(names[which]), pa.array(ids), pa.array(scores)], names=["q", "id", "score"])
 
         part = checkpointed(trees.mapInArrow(search, "q long, id long, score long"))
         sent.destroy()
