@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ LEAST = 400
 GRAM = 16
 #: Windows of a text handled at once.
 CHUNK = 1 << 22
+#: Classes of a span's strings by their place about the anchor; the strings of a class share a core.
+CLASSES = 8
 #: Bytes that one transform holds, unless a single anchor has more.
 BATCH_BYTES = 1_500_000
 #: Distinct spans of an anchor up to which one transform holds them; beyond, its windows are counted one by one.
@@ -28,10 +31,11 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def spans(data: bytes, least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(first, last, anchor): every string of `least` bytes has one anchor, its least-hashed gram, the first of equal ones.
-    Strings that start from `first` to `last` share one. Equal strings have equal anchors, wherever they stand."""
-    out: list[tuple[int, int, int]] = []
+def spans(data: bytes, least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+    """(first, last, at, anchor): every string of `least` bytes has one anchor, its least-hashed gram, the first of equal ones.
+    Strings that start from `first` to `last` share one, which stands at `at`. Equal strings have equal anchors, wherever they
+    stand."""
+    out: list[tuple[int, int, int, int]] = []
     for begin in range(0, len(data) - least + 1, CHUNK):
         part = data[begin : begin + CHUNK + least - 1]
         n, width = len(part), least - gram + 1
@@ -50,41 +54,69 @@ def spans(data: bytes, least: int = LEAST, gram: int = GRAM) -> list[tuple[int,
         best = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
         cuts = np.flatnonzero(best[1:] != best[:-1]) + 1
         first, last = np.concatenate([[0], cuts]), np.concatenate([cuts - 1, [windows - 1]])
-        anchors = h[(best[first] & _PLACE).astype(np.int64)].view(np.int64)
-        out.extend(zip((first + begin).tolist(), (last + begin).tolist(), anchors.tolist(), strict=True))
+        at = (best[first] & _PLACE).astype(np.int64)
+        anchors = h[at].view(np.int64)
+        out.extend(zip((first + begin).tolist(), (last + begin).tolist(), (at + begin).tolist(), anchors.tolist(), strict=True))
     return out
 
 
 def _all_spans(rows: DataFrame, least: int) -> DataFrame:
-    """(key, id, first, last, anchor, span) for the rows (key, id, data): span is a 128-bit hash of the bytes it holds."""
+    """(key, id, first, last, at, anchor, span) for the rows (key, id, data): span is a 64-bit hash of the bytes it holds."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for first, last, anchor in spans(data, least):
-                    for column, value in zip(out, (key, doc, first, last, anchor, xxhash.xxh3_128_digest(data[first : last + least])), strict=True):
+                for first, last, at, anchor in spans(data, least):
+                    for column, value in zip(out, (key, doc, first, last, at, anchor, xxhash.xxh3_64_intdigest(data[first : last + least]) - (1 << 63)), strict=True):
                         column.append(value)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "first", "last", "anchor", "span"])
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "first", "last", "at", "anchor", "span"])
 
-    return rows.mapInArrow(find, "key binary, id long, first long, last long, anchor long, span binary")
+    return rows.mapInArrow(find, "key binary, id long, first int, last int, at int, anchor long, span long")
+
+
+def _packed(data: Column) -> Column:
+    """The bytes compressed: whole texts are shuffled in this form."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        return pa.array([zstandard.compress(t, 1) for t in texts.to_pylist()], pa.binary())
+
+    return pack(data)
 
 
 def _cut_out(held: DataFrame, least: int) -> DataFrame:
-    """(anchor, span, data) for the rows (data, wanted), wanted being an array of (first, last, anchor, span)."""
+    """(anchor, span, at, data) for the rows (packed, wanted), wanted being an array of (first, last, at, anchor, span); `at`
+    now counts from the span's start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, names, parts = [], [], []
-            for data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            for packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = zstandard.decompress(packed)
                 for w in wanted:
-                    anchors.append(w["anchor"])
-                    names.append(w["span"])
-                    parts.append(data[w["first"] : w["last"] + least])
-            yield pa.record_batch([pa.array(anchors, pa.int64()), pa.array(names, pa.binary()), pa.array(parts, pa.binary())], names=["anchor", "span", "data"])
+                    for column, value in zip(out, (w["anchor"], w["span"], w["at"] - w["first"], data[w["first"] : w["last"] + least]), strict=True):
+                        column.append(value)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "span", "at", "data"])
+
+    return held.mapInArrow(cut, "anchor long, span long, at int, data binary")
+
 
-    return held.mapInArrow(cut, "anchor long, span binary, data binary")
+def _promising(members: dict[int, tuple[int, bytes]], least: int) -> dict[int, bytes]:
+    """The spans of one anchor that share a core with another. A string of `least` bytes that two spans share has the same
+    place about their anchor, so both have the core of its class, which all strings of the class contain."""
+    width = -(-least // CLASSES)
+    cores: dict[tuple[int, bytes], list[int]] = {}
+    for span, (at, data) in members.items():
+        last = len(data) - least
+        for c in range(CLASSES):
+            start, end = at - c * width, at - (c + 1) * width + 1 + least
+            # a string of the class starts in [end - least, start]; some does within this span
+            if start >= 0 and end - least <= last:
+                cores.setdefault((c, data[max(start, 0) : end]), []).append(span)
+    kept = {span for sharing in cores.values() if len(sharing) > 1 for span in sharing}
+    return {span: data for span, (_, data) in members.items() if span in kept}
 
 
 def _runs(flags: np.ndarray) -> list[dict[str, int]]:
@@ -96,33 +128,37 @@ _RUN_KIND = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _expanded(cut: DataFrame, least: int) -> DataFrame:
-    """(anchor, span, runs) of the spans (anchor, span, data) with a repeated string; runs are places from the span's
+    """(anchor, span, runs) of the spans (anchor, span, at, data) with a repeated string; runs are places from the span's
     start. All spans of an anchor meet in a task, which transforms some anchors at a time."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], bytes] = {}
+        held: dict[tuple[int, int], bytes] = {}
+        members: dict[int, tuple[int, bytes]] = {}
         size, last = 0, None
 
         def settle() -> pa.RecordBatch:
             kept = [(k, r) for k, flags in zip(held, repeated_starts(list(held.values()), least), strict=True) if (r := _runs(flags))]
             return pa.record_batch(
-                [pa.array([k[0] for k, _ in kept], pa.int64()), pa.array([k[1] for k, _ in kept], pa.binary()), pa.array([r for _, r in kept], _RUN_KIND)],
+                [pa.array([k[0] for k, _ in kept], pa.int64()), pa.array([k[1] for k, _ in kept], pa.int64()), pa.array([r for _, r in kept], _RUN_KIND)],
                 names=["anchor", "span", "runs"],
             )
 
         for batch in batches:
-            for anchor, span, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size >= BATCH_BYTES:
-                    yield settle()
-                    held, size = {}, 0
-                if (anchor, span) not in held:
-                    held[anchor, span] = data
-                    size += len(data)
-                last = anchor
+            for anchor, span, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if anchor != last:
+                    for s, d in _promising(members, least).items():
+                        held[last, s] = d
+                        size += len(d)
+                    members, last = {}, anchor
+                    if size >= BATCH_BYTES:
+                        yield settle()
+                        held, size = {}, 0
+                members.setdefault(span, (at, data))
+        held.update({(last, s): d for s, d in _promising(members, least).items()})
         if held:
             yield settle()
 
-    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, "anchor long, span binary, runs array<struct<a:long,b:long>>")
+    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, "anchor long, span long, runs array<struct<a:long,b:long>>")
 
 
 def _counted(cut: DataFrame, least: int) -> DataFrame:
@@ -150,31 +186,30 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(docs.sparkSession)
     data = F.col(text_col).cast("binary")
     held = docs.filter(F.octet_length(text_col) >= least).select(F.unhex(F.md5(data)).alias("key"), F.col(id_col).cast("long").alias("id"), data.alias("data"))
-    every = _all_spans(held, least)
-    # copies of a text become one row each span
-    found = stored(every.groupBy("key", "first", "last", "anchor", "span").agg(F.count("*").alias("n"), F.min("id").alias("id")), "spans")
-    one = F.min(F.struct("key", "id", "first", "last")).alias("one")
-    kinds = stored(found.groupBy("anchor", "span").agg(F.sum("n").alias("n"), one), "kinds")
-    varied = kinds.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1")
-    asked = kinds.join(varied, "anchor")
-    wanted = asked.groupBy(F.col("one.key").alias("key"), F.col("one.id").alias("id")).agg(
-        F.collect_list(F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), "anchor", "span", "spans")).alias("wanted")
-    )
-    wanted = stored(wanted, "wanted")
-    by = held.join(wanted, (held.key == wanted.key) & held.id.eqNullSafe(wanted.id)).select("data", "wanted")
+    every = stored(_all_spans(held, least), "spans")
+    # n: rows with the span; spans: different spans of its anchor. Most anchors occur once and go no further
+    kinds = every.groupBy("anchor", "span").agg(F.count("*").alias("n"))
+    shared = kinds.groupBy("anchor").agg(F.count("*").cast("int").alias("spans"), F.sum("n").alias("rows")).filter("rows > 1").select("anchor", "spans")
+    live = stored(every.join(shared, "anchor"), "shared-spans")
+    counted = live.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.max("spans").alias("spans"), F.min(F.struct("key", "id", "first", "last", "at")).alias("one"))
+    counted = stored(counted, "span-counts")
+    place = F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "anchor", "span", "spans")
+    wanted = stored(counted.filter("spans > 1").groupBy("one.key", "one.id").agg(F.collect_list(place).alias("wanted")), "wanted")
+    packed = held.select("key", "id", _packed(F.col("data")).alias("packed"))
+    by = packed.join(wanted, (packed.key == wanted.key) & packed.id.eqNullSafe(wanted.id)).select("packed", "wanted")
     usual = by.withColumn("wanted", F.filter("wanted", lambda w: w["spans"] <= max_spans)).filter(F.size("wanted") > 0)
     settled = _expanded(_cut_out(usual, least), least)
     if wanted.filter(F.exists("wanted", lambda w: w["spans"] > max_spans)).limit(1).count():
         crowded = by.withColumn("wanted", F.filter("wanted", lambda w: w["spans"] > max_spans)).filter(F.size("wanted") > 0)
         settled = settled.unionByName(_counted(_cut_out(crowded, least), least))
-    whole = kinds.filter("n > 1").select("anchor", "span", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("one.last").cast("long").alias("b"))).alias("runs"), F.col("one.first").alias("f"))
-    whole = whole.select("anchor", "span", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), (r["b"] - F.col("f")).alias("b"))).alias("runs"))
-    alone = kinds.filter("n = 1").select("anchor", "span")
-    hits = whole.unionByName(settled.join(alone, ["anchor", "span"], "left_semi"))
-    # each text's ranges; one text has at most one row a span
-    placed = found.select("key", "first", "anchor", "span").join(hits, ["anchor", "span"])
+    # all strings of a span that occurs twice are repeated; in a span that occurs once, those that the comparison found
+    whole = counted.filter("n > 1").select("anchor", "span", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("one.last") - F.col("one.first")).cast("long").alias("b"))).alias("runs"))
+    once = counted.filter("n = 1 and spans > 1").select("anchor", "span")
+    hits = whole.unionByName(settled.join(once, ["anchor", "span"], "left_semi"))
+    # a text's copies have the same places, so each place is taken once
+    placed = live.select("key", "first", "anchor", "span").join(hits, ["anchor", "span"])
     ranges = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
-    return placed.select("key", ranges.alias("runs")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return placed.select("key", ranges.alias("runs")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("runs")))).alias("runs"))
 
 
 def cover(data: bytes, runs: list[dict[str, int]] | None, least: int = LEAST) -> list[tuple[int, int]]:
@@ -209,14 +244,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @F.arrow_udf("removed array<struct<a:long,b:long>>, kept binary")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
-        for data, ranges in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+        for packed, ranges in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            data = zstandard.decompress(packed)
             removed = cover(data, ranges, least)
             rows.append({"removed": [{"a": a, "b": b} for a, b in removed], "kept": _rest(data, removed)})
         return pa.array(rows, kind)
 
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("id"), data.alias("data")).withColumn("key", F.unhex(F.md5("data")))
-    joined = rows.join(runs, "key", "left").select("id", F.octet_length("data").cast("long").alias("n_bytes"), cut("data", "runs").alias("r"))
+    rows = rows.select("id", "key", F.octet_length("data").cast("long").alias("n_bytes"), _packed(F.col("data")).alias("packed"))
+    joined = rows.join(runs, "key", "left").select("id", "n_bytes", cut("packed", "runs").alias("r"))
     return joined.select(F.col("id").alias(id_col), "n_bytes", "r.removed", "r.kept")
 
 
