@@ -1,18 +1,28 @@
-"""Every query of the engine, with the SQL it is checked against."""
+"""Every query of the engine, with the SQL it is checked against.
+
+The driver's tables stand in for the engine's: events are appearances of users in daily runs, submissions of leads, and
+receipts of spend; part and supplier are the catalogue; orders are requests; pages and conversations are what they say.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venuelake.functions import text
+from venuelake.operators import catalogue, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
 from venuelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+STATES = ("QUALIFIED", "REVIEW_REQUIRED", "REJECTED", "DUPLICATE", "RESEARCHED")
+STATUS = {"error": "REJECTED", "purchase": "QUALIFIED", "signup": "REVIEW_REQUIRED", "click": "RESEARCHED", "view": "DUPLICATE"}
+CATEGORY = {"error": "NEWSLETTER", "purchase": "TALK_TO_SALES", "signup": "TRIAL_STARTED", "click": "RESOURCE_DOWNLOAD", "view": "TEMPLATE_DOWNLOAD"}
+AS_OF = "2024-01-20 00:00:00"
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -25,6 +35,39 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _case(column: str, values: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+APPEARANCES = f"""SELECT event_id AS id, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, user_id AS canonical_key,
+  {_case("event_type", STATUS)} AS status, CASE WHEN user_id % 2 = 0 THEN 'ZA' ELSE 'GB' END AS territory,
+  event_id % 17 = 0 AS deduped, k % 4 AS sources, k % 5 AS facts, k % 3 AS unknowns, CASE WHEN k % 7 = 0 THEN 'UNRESOLVED' END AS resolution,
+  ts AS created_at, ts AS last_seen_at, ts AS updated_at
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)"""
+CANONICAL = f"""WITH app AS ({APPEARANCES}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY last_seen_at DESC, created_at DESC, id DESC) AS rn,
+             count(*) OVER (PARTITION BY canonical_key) AS appearance_count FROM app),
+  canonical AS (SELECT *, CASE WHEN status = 'DUPLICATE' OR deduped THEN 'DUPLICATES' WHEN status = 'BLOCKED' THEN 'BLOCKED'
+    WHEN status = 'REJECTED' THEN 'REJECTED' WHEN status = 'QUALIFIED' THEN 'QUALIFIED' WHEN status = 'REVIEW_REQUIRED' THEN 'NEEDS_REVIEW' ELSE 'ACTIVE' END AS inventory_state,
+    CASE WHEN sources = 0 THEN 'MISSING_SOURCE' WHEN facts = 0 THEN 'NEEDS_EVIDENCE' WHEN unknowns > 0 OR resolution = 'UNRESOLVED' THEN 'UNRESOLVED' ELSE 'READY' END AS inventory_quality
+    FROM ranked WHERE rn = 1)"""
+PAGE = ("id", "canonical_key", "status", "territory", "inventory_state", "inventory_quality", "appearance_count", "last_seen_at")
+
+
+def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.to_date("ts").cast("string").alias("run_id"), F.col("user_id").alias("canonical_key"),
+        leads.lookup(F.col("event_type"), STATUS).alias("status"), F.when(F.col("user_id") % 2 == 0, "ZA").otherwise("GB").alias("territory"),
+        (F.col("event_id") % 17 == 0).alias("deduped"), (k % 4).alias("sources"), (k % 5).alias("facts"), (k % 3).alias("unknowns"),
+        F.when(k % 7 == 0, "UNRESOLVED").alias("resolution"), F.col("ts").alias("created_at"), F.col("ts").alias("last_seen_at"), F.col("ts").alias("updated_at"),
+    )
+
+
 @register(
     "latest_per_user",
     """SELECT event_id, user_id, event_type, ts FROM (
@@ -36,4 +79,340 @@ def latest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(events, "user_id", [F.desc("ts"), F.desc("event_id")])
 
 
-QUERIES["inventory_page"] = latest_per_user
+@register("inventory_page", f"{CANONICAL} SELECT {', '.join(PAGE)} FROM canonical WHERE territory = 'ZA' AND inventory_quality <> 'READY' ORDER BY last_seen_at DESC, created_at DESC, id DESC LIMIT 25 OFFSET 25")
+def inventory_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inventory.optional_filters(inventory.canonical(appearances(spark, sf_dir)), {"territory": "ZA", "status": "ALL"}).filter("inventory_quality <> 'READY'")
+    return inventory.offset_page(rows, [F.desc(c) for c in inventory.INVENTORY_ORDER], 2, 25).select(*PAGE)
+
+
+@register("inventory_rows", f"{CANONICAL} SELECT {', '.join(PAGE)} FROM canonical")
+def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.canonical(appearances(spark, sf_dir)).select(*PAGE)
+
+
+@register("inventory_in_run", f"{CANONICAL} SELECT {', '.join(PAGE)} FROM canonical c WHERE EXISTS (SELECT 1 FROM app a WHERE a.canonical_key = c.canonical_key AND a.run_id = '2024-01-05')")
+def inventory_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    app = appearances(spark, sf_dir)
+    return inventory.in_run(inventory.canonical(app), app, "2024-01-05").select(*PAGE)
+
+
+@register(
+    "inventory_facets",
+    f"""{CANONICAL} SELECT count(*) AS total, {", ".join(f"count(*) FILTER (WHERE inventory_state = '{s}') AS {s.lower()}" for s in ("ACTIVE", "NEEDS_REVIEW", "QUALIFIED", "REJECTED", "DUPLICATES", "BLOCKED"))} FROM canonical""",
+)
+def inventory_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inventory.canonical(appearances(spark, sf_dir))
+    return inventory.facets(rows, "inventory_state", ("ACTIVE", "NEEDS_REVIEW", "QUALIFIED", "REJECTED", "DUPLICATES", "BLOCKED"))
+
+
+@register(
+    "run_history",
+    f"""WITH app AS ({APPEARANCES}),
+      runs AS (SELECT run_id, min(created_at) AS s, max(created_at) AS e, count(*) AS appearance_count FROM app GROUP BY 1),
+      cur AS (SELECT canonical_key, status FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY last_seen_at DESC, updated_at DESC, created_at DESC, id DESC) AS rn FROM app) WHERE rn = 1),
+      ini AS (SELECT run_id, count(*) AS n FROM (SELECT run_id, row_number() OVER (PARTITION BY canonical_key ORDER BY created_at, id) AS rn FROM app) WHERE rn = 1 GROUP BY 1),
+      dis AS (SELECT p.run_id, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}_count" for s in STATES)} FROM (SELECT DISTINCT run_id, canonical_key FROM app) p JOIN cur USING (canonical_key) GROUP BY 1)
+      SELECT run_id, CAST(floor(epoch(e)) - floor(epoch(s)) AS BIGINT) AS duration_seconds, appearance_count, coalesce(n, 0) AS introduction_count, {", ".join(f"{s.lower()}_count" for s in STATES)}
+      FROM runs LEFT JOIN ini USING (run_id) JOIN dis USING (run_id)""",
+)
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    app = appearances(spark, sf_dir)
+    runs = app.groupBy("run_id").agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("completed_at"))
+    return inventory.run_history(app, runs, STATES)
+
+
+@register("prospect_queue_page", f"{CANONICAL} SELECT {', '.join(PAGE)} FROM canonical WHERE inventory_state = 'ACTIVE' AND (last_seen_at < TIMESTAMP '2024-01-29' OR (last_seen_at = TIMESTAMP '2024-01-29' AND id < 100)) ORDER BY last_seen_at DESC, id DESC LIMIT 11")
+def prospect_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inventory.canonical(appearances(spark, sf_dir)).filter("inventory_state = 'ACTIVE'")
+    order = [("last_seen_at", False), ("id", False)]
+    return inventory.keyset_page(rows, order, [F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"), 100], 10).select(*PAGE)
+
+
+@register(
+    "attention_lanes",
+    f"""{CANONICAL} SELECT * FROM (
+      (SELECT 'review' AS lane, 0 AS lane_order, id, last_seen_at FROM canonical WHERE inventory_state = 'NEEDS_REVIEW' ORDER BY last_seen_at, id LIMIT 3) UNION ALL
+      (SELECT 'missing' AS lane, 1 AS lane_order, id, last_seen_at FROM canonical WHERE inventory_quality = 'MISSING_SOURCE' ORDER BY last_seen_at DESC, id LIMIT 2) UNION ALL
+      (SELECT 'qualified' AS lane, 2 AS lane_order, id, last_seen_at FROM canonical WHERE inventory_state = 'QUALIFIED' ORDER BY last_seen_at DESC, id LIMIT 3))""",
+)
+def attention_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inventory.canonical(appearances(spark, sf_dir)).select("id", "last_seen_at", "inventory_state", "inventory_quality")
+    pick = lambda test: rows.filter(test).select("id", "last_seen_at")
+    return inventory.attention([
+        ("review", pick("inventory_state = 'NEEDS_REVIEW'"), [F.asc("last_seen_at"), F.asc("id")], 3),
+        ("missing", pick("inventory_quality = 'MISSING_SOURCE'"), [F.desc("last_seen_at"), F.asc("id")], 2),
+        ("qualified", pick("inventory_state = 'QUALIFIED'"), [F.desc("last_seen_at"), F.asc("id")], 3),
+    ])
+
+
+SUBMISSIONS = f"""SELECT event_id AS id, CAST(user_id AS VARCHAR) || '|suite' AS canonical_key, {_case("event_type", CATEGORY)} AS category, ts AS received_at, ts AS occurred_at FROM events"""
+_RANK = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in leads.RANKS.items()) + " END"
+_LADDER = "CASE WHEN rank >= 5 THEN 'VERY_HIGH' WHEN rank = 4 THEN 'HIGH' WHEN n >= 3 THEN 'MEDIUM' END"
+PROJECTION = f"""WITH s AS ({SUBMISSIONS}), r AS (SELECT *, {_RANK} AS rank, row_number() OVER (PARTITION BY canonical_key ORDER BY received_at, id) AS n FROM s),
+  e AS (SELECT *, coalesce({_LADDER}, CASE WHEN rank = 0 THEN 'NURTURE' END, CASE WHEN n = 1 THEN 'LOW' END) AS intent, coalesce({_LADDER}, CASE WHEN n = 1 THEN 'LOW' END) AS prio FROM r),
+  leads AS (SELECT canonical_key, arg_max(intent, n) FILTER (WHERE intent IS NOT NULL) AS current_intent, arg_max(prio, n) FILTER (WHERE prio IS NOT NULL) AS priority,
+    arg_max(category, n) AS latest_category, arg_min(category, n) AS first_category, max(rank) AS highest_rank,
+    CASE WHEN arg_min(category, n) = 'TRIAL_STARTED' THEN 'TRIAL_ACTIVE' WHEN bool_or(n > 1 AND rank >= 4) THEN 'REVIEWING' ELSE 'NEW' END AS stage,
+    min(occurred_at) AS first_activity, max(occurred_at) AS last_activity, count(*) AS activity_count FROM e GROUP BY 1)"""
+
+
+def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.project(
+        table(spark, sf_dir, "events").select(
+            F.col("event_id").alias("id"), F.concat(F.col("user_id").cast("string"), F.lit("|suite")).alias("canonical_key"),
+            leads.lookup(F.col("event_type"), CATEGORY).alias("category"), F.col("ts").alias("received_at"), F.col("ts").alias("occurred_at"),
+        )
+    )
+
+
+@register("lead_projection", f"{PROJECTION} SELECT * FROM leads")
+def lead_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leads(spark, sf_dir)
+
+
+@register(
+    "lead_queue",
+    f"""{PROJECTION}, q AS (SELECT *, {"CASE priority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in leads.PRIORITY_RANKS.items()) + " END"} AS priority_rank FROM leads WHERE (first_category = 'TRIAL_STARTED' OR latest_category = 'TRIAL_STARTED'))
+      SELECT *, (SELECT count(*) FROM q) AS total_count FROM q ORDER BY priority_rank DESC NULLS LAST, last_activity DESC, canonical_key DESC LIMIT 20 OFFSET 5""",
+)
+def lead_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.queue(_leads(spark, sf_dir), category="TRIAL_STARTED", stage="ALL", size=20, offset=5)
+
+
+@register(
+    "lead_metrics",
+    f"""{PROJECTION} SELECT count(*) AS leads, count(*) FILTER (WHERE current_intent IN ('VERY_HIGH', 'HIGH')) AS high_intent, count(*) FILTER (WHERE stage = 'REVIEWING') AS reviewing,
+      count(*) FILTER (WHERE stage = 'TRIAL_ACTIVE') AS trials, count(*) FILTER (WHERE last_activity < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS stale, CAST(sum(activity_count) AS BIGINT) AS activities FROM leads""",
+)
+def lead_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.metrics(_leads(spark, sf_dir), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
+
+
+@register(
+    "budget_state",
+    f"""WITH r AS (SELECT user_id AS allowance_id, CAST(round(value * 100) AS BIGINT) AS amount, ts AS t FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
+      a AS (SELECT DISTINCT user_id AS allowance_id, CAST(100000 AS BIGINT) AS allocated FROM events),
+      s AS (SELECT allowance_id, sum(amount) AS spent, sum(amount) FILTER (WHERE t >= date_trunc('month', TIMESTAMP '{AS_OF}')) AS m, sum(amount) FILTER (WHERE t > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) AS d FROM r GROUP BY 1),
+      j AS (SELECT allowance_id, allocated, CAST(coalesce(spent, 0) AS BIGINT) AS spent, CAST(coalesce(m, 0) AS BIGINT) AS month_spent, CAST(coalesce(d, 0) AS BIGINT) AS day_spent FROM a LEFT JOIN s USING (allowance_id))
+      SELECT *, allocated - spent AS balance, CASE WHEN allocated - spent <= 0 THEN 'EXHAUSTED' WHEN (allocated - spent) * 10 < allocated THEN 'CRITICAL' WHEN (allocated - spent) * 4 < allocated THEN 'LOW' ELSE 'OK' END AS stage FROM j""",
+)
+def budget_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    receipts = events.select(F.col("user_id").alias("allowance_id"), F.round(F.col("value") * 100).cast("long").alias("amount"), F.col("ts").alias("at"))
+    allowances = events.select(F.col("user_id").alias("allowance_id")).distinct().withColumn("allocated", F.lit(100000).cast("long"))
+    return ledgers.budget_state(receipts, allowances, _as_of())
+
+
+@register(
+    "work_admission",
+    """SELECT o_orderkey, CASE WHEN venues > 5 THEN 'DAILY_VENUE_CAP' WHEN requests > 12 THEN 'DAILY_REQUEST_CAP' ELSE 'ADMITTED' END AS decision FROM (
+      SELECT o_orderkey, count(*) OVER w AS venues, sum(1 + o_orderkey % 4) OVER w AS requests FROM orders WINDOW w AS (PARTITION BY o_orderdate ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))""",
+)
+def work_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caps = [("DAILY_VENUE_CAP", F.lit(1), 5), ("DAILY_REQUEST_CAP", 1 + F.col("o_orderkey") % 4, 12)]
+    return ledgers.admit(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"], [F.asc("o_orderkey")], caps).select("o_orderkey", "decision")
+
+
+@register(
+    "reservation_guards",
+    """SELECT o_orderkey, CASE WHEN NOT coalesce(o_orderstatus <> 'F', false) THEN 'POLICY_INACTIVE' WHEN NOT coalesce(o_totalprice < 400000, false) THEN 'RESERVATION_SCOPE'
+      WHEN NOT coalesce(o_orderpriority <> '5-LOW', false) THEN 'IDENTITY_QUARANTINED' ELSE 'ADMITTED' END AS decision FROM orders""",
+)
+def reservation_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guards = [("POLICY_INACTIVE", F.col("o_orderstatus") != "F"), ("RESERVATION_SCOPE", F.col("o_totalprice") < 400000), ("IDENTITY_QUARANTINED", F.col("o_orderpriority") != "5-LOW")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", ledgers.first_failing(guards).alias("decision"))
+
+
+@register(
+    "request_spacing",
+    "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000, false) AS too_soon FROM events",
+)
+def request_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledgers.spaced(table(spark, sf_dir, "events"), ["user_id"], "ts", 1_800_000).select("event_id", "too_soon")
+
+
+@register(
+    "batch_selection",
+    """WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS h FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS i FROM a WHERE h = 1)
+      SELECT o_orderkey, o_custkey, o_orderdate FROM b WHERE i = 1 ORDER BY o_orderkey LIMIT 50""",
+)
+def batch_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledgers.select_batch(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey", "o_custkey", "o_orderdate", 50)
+
+
+@register(
+    "ledger_reconciliation",
+    """SELECT o_orderkey, 1 + o_orderkey % 7 AS declared, coalesce(n, 0) AS recounted, greatest(1 + o_orderkey % 7, coalesce(n, 0)) AS effective, 1 + o_orderkey % 7 = coalesce(n, 0) AS agrees
+      FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) USING (o_orderkey)""",
+)
+def ledger_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 7).alias("declared"))
+    return ledgers.reconcile(declared, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@register(
+    "field_freshness",
+    """WITH o AS (SELECT user_id, event_type AS field, CAST(value AS VARCHAR) AS v, value, ts FROM events)
+      SELECT user_id, field, arg_max(value, struct_pack(a := ts, b := value)) AS value, max(ts) AS observed_at FROM o GROUP BY 1, 2""",
+)
+def field_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledgers.merge_fields(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("field"), "value", F.col("ts").alias("observed_at")), "user_id")
+
+
+@register(
+    "cache_expiry",
+    f"SELECT event_id, CASE WHEN ts + INTERVAL 24 HOUR > TIMESTAMP '{AS_OF}' THEN props END AS props, ts + INTERVAL 24 HOUR AS expires_at FROM events",
+)
+def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = table(spark, sf_dir, "events").select("event_id", "props", (F.col("ts") + F.expr("interval 24 hours")).alias("expires_at"))
+    return ledgers.expire(cache, ["props"], "expires_at", _as_of())
+
+
+CATALOGUE = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND lower(p_name) LIKE '%ring%' AND (p_size > 10) = false"
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").withColumn("large", F.col("p_size") > 10)
+    return catalogue.filtered(rows, equal={"p_brand": None}, among={"p_type": ["ECONOMY", "SMALL"]}, flags={"large": False}, search=(["p_name"], "RING")).drop("large")
+
+
+@register("catalogue_page", f"{CATALOGUE} ORDER BY p_name ASC NULLS LAST, p_partkey LIMIT 50 OFFSET 5")
+def catalogue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.page(_catalogue(spark, sf_dir), ["p_name", "p_retailprice"], "p_name", "p_partkey", offset=5).select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@register("catalogue_count", f"SELECT count(*) AS total FROM ({CATALOGUE})")
+def catalogue_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalogue(spark, sf_dir).agg(F.count("*").alias("total"))
+
+
+@register(
+    "account_match",
+    """WITH a AS (SELECT lower(trim(c_mktsegment)) AS name, count(*) AS n, min(c_custkey) AS i FROM customer WHERE c_custkey % 97 < 2 GROUP BY 1)
+      SELECT p_partkey, p_type AS organisation, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS identity_state, CASE WHEN n = 1 THEN i END AS account_id FROM part LEFT JOIN a ON lower(p_type) = name""",
+)
+def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = table(spark, sf_dir, "customer").filter("c_custkey % 97 < 2").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("account_name"))
+    return leads.account_match(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("organisation")), accounts)
+
+
+@register(
+    "fuzzy_names",
+    "SELECT c_custkey AS left_c_custkey, s_suppkey AS right_s_suppkey, 1 AS overlap, 0.5 AS score FROM customer JOIN supplier ON split_part(c_name, '#', 2) = split_part(s_name, '#', 2)",
+)
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.fuzzy_pairs(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", "c_name", "s_name", least=1)
+
+
+@register(
+    "agreed_site",
+    """SELECT l_orderkey, arg_min(l_suppkey, struct_pack(a := l_linenumber, b := l_suppkey)) AS host, count(DISTINCT l_suppkey) = 1 AS agreed FROM lineitem GROUP BY 1""",
+)
+def agreed_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.agreed_site(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("host"), F.col("l_linenumber").alias("priority")), "l_orderkey")
+
+
+@register("value_conflicts", "SELECT l_partkey, l_returnflag, count(DISTINCT l_linestatus) AS n_values FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linestatus) > 1")
+def value_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.conflicts(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_returnflag"], "l_linestatus")
+
+
+@register("unseen_evidence", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem l WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_returnflag = 'A' AND s.l_partkey = l.l_partkey AND s.l_suppkey = l.l_suppkey)")
+def unseen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    return inventory.unseen(lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'"), ["l_partkey", "l_suppkey"]).select("l_partkey", "l_suppkey").distinct()
+
+
+@register(
+    "first_wins_union",
+    """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, event_id) AS n FROM events WHERE event_type IN ('purchase', 'signup')) WHERE n = 1""",
+)
+def first_wins_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return inventory.first_wins([events.filter("event_type = 'purchase'"), events.filter("event_type = 'signup'")], ["user_id"], ["event_id"])
+
+
+@register(
+    "parents_with_children",
+    """SELECT c.c_custkey, c.c_name, to_json(list(o.o_orderkey ORDER BY o.o_orderkey) FILTER (WHERE o.o_orderkey IS NOT NULL)) IS NOT NULL AS has_orders, count(o.o_orderkey) AS n_orders, min(o.o_orderkey) AS first_order FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2""",
+)
+def parents_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    rows = inventory.with_children(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderkey"], "orders")
+    return rows.select("c_custkey", "c_name", (F.size("orders") > 0).alias("has_orders"), F.size("orders").cast("long").alias("n_orders"), F.try_element_at("orders", F.lit(1))["o_orderkey"].alias("first_order"))
+
+
+@register(
+    "phase_rank",
+    """SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'PHASE_ONE' WHEN p_size >= 20 THEN 'PHASE_TWO' ELSE 'LATER' END AS phase, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS stable_rank FROM part""",
+)
+def phase_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    phase = F.when(F.col("p_size") >= 40, "PHASE_ONE").when(F.col("p_size") >= 20, "PHASE_TWO").otherwise("LATER")
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", phase.alias("phase"), rank.alias("stable_rank"))
+
+
+@register(
+    "state_histogram",
+    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, {", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}_count" for t in STATUS)} FROM events GROUP BY 1""",
+)
+def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("run_id")).agg(*[F.count_if(F.col("event_type") == t).alias(f"{t}_count") for t in STATUS])
+
+
+@register(
+    "due_messages",
+    f"SELECT event_id, ts FROM events WHERE event_type IN ('click', 'signup') AND ts <= TIMESTAMP '{AS_OF}' ORDER BY ts, event_id LIMIT 25",
+)
+def due_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "signup") & (F.col("ts") <= _as_of())).select("event_id", "ts").orderBy("ts", "event_id").limit(25)
+
+
+@register(
+    "page_addresses",
+    r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages)
+      SELECT page_id, host, regexp_extract(host, '([^.]+\.(?:(?:co|org|ac|gov|net|com)\.[a-z]{2}|[^.]+))$', 1) AS domain,
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|gclid|fbclid|msclkid|ref)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS plain_url FROM h""",
+)
+def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = text.url_host(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), text.registrable_domain(host).alias("domain"), text.without_tracking(F.col("url")).alias("plain_url"))
+
+
+@register(
+    "page_links",
+    r"""SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(html, ''), '<a\b[^>]*?href="([^"]*)"', 1, 'i')) AS href FROM pages) GROUP BY 1""",
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.explode(text.hrefs(F.col("html"))).alias("href")).groupBy("href").agg(F.count("*").alias("n"))
+
+
+@register(
+    "turn_timeline",
+    "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1",
+)
+def turn_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max_by("role", "turn").alias("last_role"), F.sum(F.char_length("text")).alias("n_chars")
+    )
+
+
+@register(
+    "stable_ids",
+    "SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS stable_id FROM (SELECT c_custkey, sha256(c_name || '|' || c_mktsegment) AS h FROM customer)",
+)
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.stable_id(F.col("c_name"), F.col("c_mktsegment")).alias("stable_id"))
+
+
+@register("successor_chains")
+def successor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), F.floor(F.col("p_partkey") / 3).cast("long").alias("successor")).filter("place % 2 = 1")
+    return resolution.successors(moves)
+
+
+@register("page_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"), text.shell_page(F.col("html")).alias("is_shell"))
