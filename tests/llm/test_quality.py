@@ -7,9 +7,9 @@ from venuelake.llm import quality
 def test_additive_model_learns_single_features_and_pairs():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 4))
-    y = ((np.abs(x[:, 0]) < 0.7) ^ (x[:, 1] * x[:, 2] > 0)).astype(float)
+    y = (x[:, 1] * x[:, 2] > 0).astype(float)  # no feature alone tells it
     model = quality.fit(x[:2000], y[:2000])
-    assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.6
+    assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.85
     single = quality.fit(x[:2000], (np.abs(x[:2000, 0]) < 0.7).astype(float))
     assert ((single.score(x[2000:]) >= 0.5) == (np.abs(x[2000:, 0]) < 0.7)).mean() > 0.97
 
