@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block. A block starts with fresh counts and is decoded without any other.
-BLOCK = 2048
+BLOCK = 1024
 MAGIC = b"VLTK"
 VERSION = 1
 _HEAD = struct.Struct("<4sBxHQIII")  # magic, version, -, ids of a block, ids, blocks, bytes of the frequencies, their checksum

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -21,7 +22,7 @@ END_ID = 2
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1 << 22
 #: Words whose ids a task remembers; it forgets them all beyond.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 MAGIC = b"VLTS"
 _HEAD = struct.Struct("<4sII")  # magic, documents, bytes of their table
 
@@ -34,26 +35,77 @@ def default_tokenizer() -> str:
         return f.read()
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordTokenizer:
     """Ids of texts for a tokenizer that drops white space and joins nothing across it: a text's ids are those of its words
-    one after another, so words seen before are looked up."""
+    one after another, so words seen before are looked up.
+
+    A new word of Latin letters, perhaps with ASCII marks after them, is lower-cased, taken apart and given to the
+    tokenizer's model at once; it comes back in many such forms, so the letters are remembered by themselves. All other
+    words go through the whole tokenizer.
+    """
+
+    _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?|]*)")
+    _LETTERS = _byte_letters()
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # only for tokenizers that split letters from marks and lower-case: as the whole tokenizer would do it
+        probe = ["Straße,", "L'été", "na|ïve", "ÀÖ?!", "a&*#$%.;:"]
+        self.simple = True
+        self.simple = all(self._word(w) == self._whole(w) for w in probe)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self._LETTERS)
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            found = self.parts[part] = struct.pack(f"<{len(ids)}H", *ids)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        simple = self._SIMPLE.fullmatch(word) if self.simple else None
+        if simple is None:
+            return self._whole(word)
+        letters, marks = simple.groups()
+        return self._part(letters.lower()) + (self._part(marks) if marks else b"")
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit numbers."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = list({w for words in split for w in words if w not in self.known})
-        for word, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u2").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for table in (self.known, self.parts):
+            if len(table) > CACHED_WORDS:
+                table.clear()
+        known = self.known
+        for words in split:
+            for word in set(words).difference(known):
+                known[word] = self._word(word)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+_ready: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(tokenizer_json: str) -> WordTokenizer:
+    """One a worker process, which keeps what it has learnt from task to task."""
+    if tokenizer_json not in _ready:
+        _ready.clear()
+        _ready[tokenizer_json] = WordTokenizer(tokenizer_json)
+    return _ready[tokenizer_json]
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -88,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = WordTokenizer(sent.value), np.array([end_id], "<u2").tobytes()
+        tokenizer, end = _tokenizer(sent.value), np.array([end_id], "<u2").tobytes()
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
