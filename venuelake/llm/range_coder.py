@@ -16,12 +16,12 @@ import zlib
 import numpy as np
 
 #: Ids of a block. A block starts with fresh counts and is decoded without any other.
-BLOCK = 1024
+BLOCK = 512
 MAGIC = b"VLTK"
 VERSION = 1
 _HEAD = struct.Struct("<4sBxHQIII")  # magic, version, -, ids of a block, ids, blocks, bytes of the frequencies, their checksum
 _ENTRY = np.dtype([("words", "<u4"), ("crc", "<u4")])
-_BITS1, _BITS2, _SURE = 10, 11, 3
+_BITS1, _BITS2, _SURE = 8, 9, 3
 _ZERO_BITS = 18  # frequencies add up to this power of two
 _MIX_STEP, _MIX_LIMIT = 24, 1 << 12
 _TOP, _LOW32 = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)

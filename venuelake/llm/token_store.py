@@ -22,7 +22,7 @@ END_ID = 2
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1 << 22
 #: Words whose ids a task remembers; it forgets them all beyond.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_100_000
 MAGIC = b"VLTS"
 _HEAD = struct.Struct("<4sII")  # magic, documents, bytes of their table
 
