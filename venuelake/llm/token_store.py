@@ -6,10 +6,11 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from venuelake.llm.common import shared_folder, small_batches, stored
 END_ID = 2
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1 << 22
+#: Bytes of text that are tokenized at once, unless one batch has more.
+TEXT_BYTES = 1 << 24
 #: Words whose ids a task remembers; it forgets them all beyond.
 CACHED_WORDS = 1_100_000
 MAGIC = b"VLTS"
@@ -84,17 +87,32 @@ class WordTokenizer:
         letters, marks = simple.groups()
         return self._part(letters.lower()) + (self._part(marks) if marks else b"")
 
-    def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit numbers."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, 16-bit numbers. Each different word of the batch is looked up once."""
+        plain = pc.fill_null(texts, "")
+        for gap in "\n\t":
+            plain = pc.replace_substring(plain, gap, " ")
+        split = pc.split_pattern(plain, " ")
+        words = split.flatten().dictionary_encode()
         for table in (self.known, self.parts):
             if len(table) > CACHED_WORDS:
                 table.clear()
-        known = self.known
-        for words in split:
-            for word in set(words).difference(known):
-                known[word] = self._word(word)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        found = []
+        for word in words.dictionary.to_numpy(zero_copy_only=False).tolist():
+            data = self.known.get(word)
+            if data is None:
+                data = self.known[word] = self._word(word)
+            found.append(data)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        which = words.indices.to_numpy()
+        counts = sizes.take(which)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # an id stands as far behind its word's first one as in the words' own list
+        at = np.repeat((np.cumsum(sizes) - sizes).take(which) - ends[:-1], counts)
+        at += np.arange(ends[-1])
+        every = np.frombuffer(b"".join(found), "<u2").take(at)
+        texts_at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.split(every, texts_at[1:-1])
 
 
 _ready: dict[str, WordTokenizer] = {}
@@ -108,6 +126,21 @@ def _tokenizer(tokenizer_json: str) -> WordTokenizer:
     return _ready[tokenizer_json]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of batches put together, about `TEXT_BYTES` at a time; none is empty."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+
+
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """A file of whole documents: header, compressed table of (known id, id, ids), and the coded ids."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
@@ -140,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = _tokenizer(sent.value), np.array([end_id], "<u2").tobytes()
+        tokenizer, end = _tokenizer(sent.value), np.array([end_id], "<u2")
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -150,10 +183,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
             columns = [pa.array([v], pa.int64()) for v in (part, segment, first)]
             return pa.record_batch([*columns, pa.array([pack_segment(doc_ids, ids)], pa.binary())], names=["part", "segment", "first", "payload"])
 
-        for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1).to_pylist()), strict=True):
+        for docs_at, texts in _gathered(batches):
+            for doc, data in zip(docs_at.to_pylist(), tokenizer.ids(texts), strict=True):
                 doc_ids.append(doc)
-                ids.append(np.frombuffer(data + end, "<u2"))
+                ids.append(np.concatenate([data, end]))
                 held += len(ids[-1])
                 if held >= segment_ids:
                     yield settle()
