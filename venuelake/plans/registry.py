@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelake.functions import text
-from venuelake.operators import catalogue, inventory, leads, ledgers, resolution
+from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
 from venuelake.sources.tables import table
 
@@ -416,3 +416,95 @@ def successor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("page_text")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"), text.shell_page(F.col("html")).alias("is_shell"))
+
+
+@register(
+    "crawl_plan",
+    """WITH c AS (SELECT *, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS found FROM lineitem),
+      m AS (SELECT l_orderkey AS site, l_partkey % 5 AS page, max(CAST(l_quantity AS BIGINT)) AS strength, min(found) AS found, arg_min(1 + l_suppkey % 4, found) AS tier, arg_min(l_linenumber, found) AS depth,
+        arg_min(l_suppkey % 2 = 0, found) AS is_link, arg_min(l_partkey % 3 = 0, found) AS is_article, CAST(bool_or(l_returnflag = 'R') AS INT) + CAST(bool_or(l_linestatus = 'O') AS INT) AS served FROM c GROUP BY 1, 2),
+      s AS (SELECT *, (4 - tier) * 1000 + strength * 10 + served * 4 - least(depth, 6) + CASE WHEN is_link THEN 2 ELSE 0 END - CASE WHEN is_article THEN 30 ELSE 0 END AS score FROM m WHERE served > 0)
+      SELECT site, page, served, score, row_number() OVER (PARTITION BY site ORDER BY tier, score DESC, found) AS position FROM s""",
+)
+def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("site"), (F.col("l_partkey") % 5).alias("page"), F.array("l_returnflag", "l_linestatus").alias("dims"), F.col("l_quantity").cast("long").alias("strength"),
+        (F.col("l_linenumber") * F.lit(10000000000) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("order"), (1 + F.col("l_suppkey") % 4).alias("tier"), F.col("l_linenumber").alias("depth"),
+        (F.col("l_suppkey") % 2 == 0).alias("is_link"), (F.col("l_partkey") % 3 == 0).alias("is_article"),
+    )
+    plan = crawling.merged_plan(candidates, "site", "page", ["tier", "depth", "is_link", "is_article"])
+    return crawling.ranked_plan(plan, "site", ["R", "O"]).select("site", "page", "served", "score", "position")
+
+
+FAILURE = {"error": "DNS_NXDOMAIN", "purchase": "", "signup": "ETIMEDOUT", "click": "", "view": ""}
+
+
+@register(
+    "crawl_dispositions",
+    f"""WITH c AS (SELECT event_id, {_case("event_type", FAILURE)} AS failure, CASE WHEN event_id % 13 = 0 THEN NULL ELSE 200 + 3 * (event_id % 101) END AS status, event_id % 29 = 0 AS excluded, user_id % 11 = 0 AS robots,
+        event_id % 3 > 0 AS verified, event_id % 5 AS redirects FROM events),
+      d AS (SELECT *, CASE WHEN excluded THEN 'HUMAN_CONFIRMED_EXCLUSION' WHEN robots THEN 'ROBOTS_EXCLUDED' WHEN failure = 'DNS_NXDOMAIN' THEN failure WHEN failure = 'ETIMEDOUT' THEN 'CONNECTION_TIMEOUT'
+        WHEN status = 401 THEN 'HTTP_401_AUTH_REQUIRED' WHEN status >= 400 THEN 'HTTP_' || status WHEN NOT verified THEN 'NO_VENUE_IDENTITY_EVIDENCE' WHEN redirects > 0 THEN 'OFFICIAL_URL_REDIRECT_VERIFIED' ELSE 'WEBSITE_EVIDENCE_FETCHED' END AS code FROM c)
+      SELECT event_id, code, CASE WHEN code IN ('DNS_NXDOMAIN', 'HTTP_404', 'HTTP_410') THEN 'TERMINAL' WHEN code IN ('CONNECTION_TIMEOUT', 'HTTP_500', 'HTTP_503') THEN 'RETRYABLE'
+        WHEN code IN ('OFFICIAL_URL_REDIRECT_VERIFIED', 'WEBSITE_EVIDENCE_FETCHED') THEN 'SUCCESS' ELSE 'EVIDENCE_HELD' END AS category FROM d""",
+)
+def crawl_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    crawls = table(spark, sf_dir, "events").select(
+        e, (e % 29 == 0).alias("excluded"), F.lit(None).cast("string").alias("conflict"), F.when(F.col("user_id") % 11 == 0, F.array(F.lit("ROBOTS_DISALLOW"))).alias("blocked"),
+        leads.lookup(F.col("event_type"), FAILURE).alias("failure"), F.lit("").alias("message"), F.when(e % 13 != 0, (200 + 3 * (e % 101)).cast("int")).alias("status"), F.lit(True).alias("entry_is_site"),
+        F.lit(False).alias("site_reachable"), F.lit(1).alias("documents"), (e % 3 > 0).alias("identity_verified"), F.lit(True).alias("contact_accepted"), (e % 5).alias("redirects"), F.lit(None).cast("string").alias("failure_class"),
+    )
+    return crawling.with_disposition(crawls).select("event_id", "code", "category")
+
+
+@register(
+    "capacity_conflicts",
+    """SELECT l_partkey AS venue, CASE WHEN l_returnflag <> 'N' THEN lower(l_returnflag) END AS space, lower(l_linestatus) AS layout, count(DISTINCT l_quantity) AS n_counts FROM lineitem GROUP BY 1, 2, 3
+      HAVING count(DISTINCT l_quantity) > 1 AND (count(DISTINCT l_suppkey) > 1 OR CASE WHEN l_returnflag <> 'N' THEN lower(l_returnflag) END IS NOT NULL)""",
+)
+def capacity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("venue"), space.alias("space"), F.col("l_linestatus").alias("layout"), F.col("l_quantity").alias("capacity"), F.col("l_suppkey").alias("url"))
+    return crawling.capacity_conflicts(facts, "venue")
+
+
+ACTIONS = ("CHANGE_STAGE", "HOLD", "RELEASE_HOLD", "SET_WORK_PLAN", "QUALIFY", "MARK_CONVERTED", "ASSIGN_OWNER")
+
+
+@register(
+    "lead_actions",
+    f"""WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'why' END AS hold, nullif(c_nationkey, 0) AS owner, [{", ".join(f"'{a}'" for a in ACTIONS)}][1 + c_custkey % 7] AS action, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS reason,
+        c_custkey % 3 = 0 AS opp FROM customer),
+      g AS (SELECT *, action IN ('CHANGE_STAGE', 'QUALIFY', 'MARK_CONVERTED') AS moves FROM l),
+      e AS (SELECT *, CASE WHEN hold IS NOT NULL AND moves THEN 'INCOMING_LEAD_HOLD_ACTIVE' WHEN action = 'QUALIFY' AND owner IS NULL THEN 'INCOMING_LEAD_OPPORTUNITY_INELIGIBLE'
+        WHEN action = 'MARK_CONVERTED' OR opp AND moves THEN 'INCOMING_LEAD_USE_OPPORTUNITY_PROGRESSION' WHEN action = 'HOLD' AND reason IS NULL THEN 'INCOMING_LEAD_HOLD_REASON_REQUIRED'
+        WHEN action = 'RELEASE_HOLD' AND reason IS NULL THEN 'INCOMING_LEAD_REASON_REQUIRED' END AS error FROM g)
+      SELECT c_custkey, action, error, CASE WHEN error IS NULL AND action IN ('SET_WORK_PLAN', 'ASSIGN_OWNER') THEN 7 ELSE owner END AS owner_id,
+        CASE WHEN error IS NULL AND action = 'HOLD' THEN reason WHEN error IS NULL AND action = 'RELEASE_HOLD' THEN NULL ELSE hold END AS hold_reason FROM e""",
+)
+def lead_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, customer = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    rows = customer.select(
+        key, F.when(key % 5 == 0, "why").alias("hold_reason"), F.lit("NEW").alias("stage"), F.lit("GENUINE_PROSPECT").alias("lead_classification"), F.nullif("c_nationkey", F.lit(0)).alias("owner_id"),
+        F.lit("call").alias("next_action"), _as_of().alias("follow_up_at"), F.when(key % 3 == 0, 1).alias("product_opportunity_id"),
+    )
+    asked = customer.select(
+        key, F.element_at(F.array(*map(F.lit, ACTIONS)), (1 + key % 7).cast("int")).alias("action"), F.lit(7).alias("new_owner_id"), F.lit("visit").alias("plan"), _as_of().alias("due_at"),
+        F.when(key % 2 == 0, F.col("c_mktsegment")).alias("reason"), F.lit("later").alias("condition"),
+    )
+    return actions.acted(rows, asked, "c_custkey").select("c_custkey", "action", "error", "owner_id", "hold_reason")
+
+
+STAGE_ORDER = (*actions.PROGRESS, "converted", "lost", "disqualified")
+
+
+@register(
+    "opportunity_transitions",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, stage, target, coalesce(list_contains(CASE stage {" ".join(f"WHEN '{s}' THEN {list(t)}" for s, t in actions.PROGRESS.items())} END, target), false) AS allowed
+      FROM (SELECT *, {list(STAGE_ORDER)}[1 + l_partkey % 9] AS stage, {list(STAGE_ORDER)}[1 + l_suppkey % 9] AS target FROM lineitem)""",
+)
+def opportunity_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda c: F.element_at(F.array(*map(F.lit, STAGE_ORDER)), (1 + F.col(c) % 9).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", named("l_partkey").alias("stage"), named("l_suppkey").alias("target"))
+    return rows.withColumn("allowed", actions.may_follow(F.col("stage"), F.col("target")))
