@@ -92,6 +92,18 @@ def test_deduplicate_keeps_one_row_of_each_group_and_all_columns(spark):
     assert sorted(kept.collect()) == [(1, "a b c d", "y"), (7, "entirely other words stand here", "z")]
 
 
+def test_deduplicate_judges_rows_that_share_an_id_or_have_none_each_by_its_text(spark):
+    clean = [f"{w} stands quite alone in {w} words of its {w} kind" for w in ("amber", "birch", "cedar", "delta", "ember")]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (None, clean[2]), (8, clean[2]), (5, clean[3]), (9, clean[3]), (5, clean[4]), (2, clean[4])]
+    fps = [brute_fingerprint(t) for t in clean]
+    assert brute_groups(fps) == list(range(5))
+    want = [(-1, clean[0]), (-1, clean[1]), (2, clean[4]), (5, clean[3]), (8, clean[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (docs, docs.repartition(5)):
+        got = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in simhash.deduplicate(frame).collect()]
+        assert sorted(got) == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(300)]
     star = [(1000, i) for i in range(1001, 1300)]

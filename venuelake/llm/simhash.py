@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed, small_batches
+from venuelake.llm.common import checkpointed, content_hash, small_batches, stored
 from venuelake.llm.components import components
 
 #: Links join fingerprints at this many differing bits or fewer.
@@ -107,6 +107,12 @@ def links(fps: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     return found.distinct()
 
 
+def _grouped(points: DataFrame, cell_pairs: int) -> DataFrame:
+    """`points`, of distinct fingerprints `fp`, with the `component` of each: its least fingerprint, never null."""
+    groups = components(links(points.select("fp"), cell_pairs))
+    return points.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """(id, fingerprint, component_id) for every row of `docs`, repeated rows included.
 
@@ -117,17 +123,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     marked = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     points = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    groups = components(links(points.select("fp"), cell_pairs))
-    named = points.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _grouped(points, cell_pairs)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     resolved = named.join(least, "component").select("fp", "component_id")
     return marked.join(resolved, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each near-duplicate group: that of the smallest id. Rows that share this id (repeated rows)
-    are reduced to one; rows with a null id stay only if their whole group has none, and then one stays."""
-    groups = near_duplicates(docs, id_col, text_col).groupBy(id_col).agg(F.min("component_id").alias("__component"))
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("__component"))).select(F.col(id_col).alias("__kept"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """`docs` with one row of each near-duplicate group: that of the smallest id, null last. Rows are judged each by its own
+    text, so rows that share an id, null included, may belong to different groups; of those with the smallest id of their
+    group one stays, the same on reruns."""
+    small_batches(docs.sparkSession)
+    # a place is a row's own only once the rows are written
+    rows = stored(docs.select("*", fingerprint(F.col(text_col)).alias("__fp"), content_hash(docs).alias("__hash"), F.monotonically_increasing_id().alias("__row")), "fingerprinted")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__hash").alias("hash"), F.col("__row").alias("row"))
+    points = checkpointed(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("first")))
+    kept = _grouped(points, cell_pairs).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
