@@ -72,6 +72,25 @@ def test_one_source_at_its_bound_and_copies(spark):
     assert counts == {i: r.copies for i, r in got.items()}
 
 
+@pytest.mark.parametrize("group_rows", [40, 50_000])
+def test_copies_go_to_rows_where_ids_are_null_or_shared(spark, group_rows):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"n{i} " + text if text else None, source, f"row {i}", 1) for i, (_, text, source, *_) in enumerate(documents()[:600])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    mixed = [tuple(r) for r in mixing.mixed_documents(df, group_rows=group_rows).collect()]
+    assert sorted(map(repr, mixed)) == sorted(repr(tuple(r)) for r in mixing.mixed_documents(df.repartition(7), group_rows=group_rows).collect())
+    assert set(mixed) <= set(rows) and max(mixed.count(r) for r in set(mixed)) <= 3
+    n = lambda r: len((r[1] or "").split())
+    sizes, taken = {}, {}
+    for table, sums in ((rows, sizes), (mixed, taken)):
+        for r in table:
+            sums[r[2]] = sums.get(r[2], 0) + n(r)
+    for source, target in brute_targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= max(0.02 * target, 3), source
+    count = lambda got: sorted((r.doc_id or -1, r["sum(copies)"]) for r in got.groupBy("doc_id").sum("copies").collect() if r["sum(copies)"])
+    whole = mixing.mixed_documents(df, group_rows=group_rows).selectExpr("doc_id", "1 AS copies")
+    assert count(whole) == count(mixing.mix(df, group_rows=group_rows))
+
+
 def test_empty_table_and_tables_without_words(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, None, None, "x", 1), (None, "", "s", "x", 1)], SCHEMA)).collect()

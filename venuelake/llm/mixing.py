@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed
+from venuelake.llm.common import checkpointed, content_hash, stored
 
 #: No document is taken more often than this.
 MAX_COPIES = 3
@@ -144,8 +144,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_
     null source is a source of its own, last in order. Texts without words are taken as often as their rate says and add
     nothing; sources without words have target 0. An empty table gives an empty result.
     """
-    hashed = F.xxhash64(F.col(id_col))
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("h")))
+    rows = checkpointed(docs.select(*_facts(id_col, text_col, source_col)))
+    return _dealt(rows, weights, group_rows).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _facts(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col)).alias("h")]
+
+
+def _dealt(rows: DataFrame, weights: tuple[int, ...], group_rows: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The rows (id, source, size, h and others) with `source_size`, `target` and `copies`; `ties` order rows of one id."""
     totals = rows.groupBy("source", "size").agg(F.count("*").alias("m")).filter(F.col("m") > group_rows)
     crowded = checkpointed(totals.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.ceil(F.col("m") / (group_rows / 2)).alias("parts")))
     if crowded.limit(1).count():
@@ -159,20 +167,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_
     state = _solve(groups, targets.select("source", "source_size", "target"))
     rounded = _round(groups, state).select(F.col("source").alias("r_source"), F.col("size").alias("r_size"), F.col("bucket").alias("r_bucket"), "n", F.col("copies").alias("total"))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "id")) - 1)
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "id", *ties)) - 1)
     joined = ranked.join(rounded, ranked.source.eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")) & (F.col("bucket") == F.col("r_bucket")))
     joined = joined.join(t, joined.source.eqNullSafe(F.col("t_source")))
     copies = (F.expr("total div n") + F.when(F.col("k") < F.expr("total % n"), 1).otherwise(0)).cast("long")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`docs` with each row as often as the mix takes it. Rows that share an id must be repeats of one another; their copies
-    are added up and dealt to one of them."""
-    counted = mix(docs, weights, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    counted = checkpointed(counted)
-    repeats = counted.filter("__rows > 1").limit(1).count() > 0
-    taken = docs.join(counted, docs[id_col].eqNullSafe(F.col("__id"))).filter("__copies > 0")
-    if repeats:
-        taken = taken.dropDuplicates([id_col])
+    return joined.withColumn("copies", copies)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`docs` with each row as often as the mix takes it. Copies are dealt to rows, not ids: rows that share an id, null
+    included, may differ in text and source. Among rows of one id, source and size a hash of their columns decides."""
+    # a place is a row's own only once the rows are written
+    facts = F.struct(*_facts(id_col, text_col, source_col), content_hash(docs).alias("content"))
+    marked = stored(docs.select("*", facts.alias("__facts"), F.monotonically_increasing_id().alias("__row")), "marked")
+    rows = checkpointed(marked.select("__facts.*", F.col("__row").alias("row")))
+    dealt = _dealt(rows, weights, group_rows, ("content", "row")).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    taken = marked.join(dealt, "__row")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
