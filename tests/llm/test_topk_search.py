@@ -38,3 +38,21 @@ def test_large_components_and_small_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.top_k(empty).count() == 0
     assert topk_search.top_k(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("big", [1.0, 1e13])
+def test_repeated_rows(spark, big):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) * big for x in rng.normal(size=4)]) for i in range(1, 60) if i != 50]
+    hot = [4.0 * big] * 4
+    rows += [(50, hot)] * 7 + [(100, hot)] * 2 + [(i, hot) for i in range(101, 104)] + [(33, rows[2][1])] * 3  # own rows fill the top
+    rows += [(150, [float(np.float32(x)) * big for x in rng.normal(size=4)]) for _ in range(9)]  # an id with several vectors
+    got = [tuple(r) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    whole = lambda v: [int(np.floor(256.0 * x)) for x in v]
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q in (50, 100, 150):
+        asked = {tuple(whole(v)) for i, v in rows if i == q}
+        scored = sorted((-held(sum(a * b for a, b in zip(query, whole(v), strict=True))), i) for query in asked for i, v in rows if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    assert sorted(got) == sorted(want)

@@ -74,13 +74,14 @@ def _grow(points: np.ndarray, rows: np.ndarray, nodes: list[_Node]) -> int:
 
 class MTree:
     """Integer vectors under the Euclidean metric, each lengthened by one component to a common norm, so that a larger inner
-    product with a query is a smaller distance to it."""
+    product with a query is a smaller distance to it. copies: how many equal rows each vector stands for."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None):
         if len(ids) > 1 << _ROW_BITS:
             raise ValueError("too many vectors for a tree")
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
         squares = (self.vectors**2).sum(axis=1)
         self.norm2, self.largest = float(squares.max(initial=0.0)), float(np.abs(self.vectors).max(initial=0.0))
         points = np.hstack([self.vectors, np.sqrt(np.maximum(self.norm2 - squares, 0.0))[:, None]])
@@ -89,7 +90,13 @@ class MTree:
             _grow(points, np.arange(len(ids)), self.nodes)
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's row, id, score) of the k best vectors of each query, ties to the smaller id.
+        """(query's row, id, score) of the k best vectors of each query, ties to the smaller id."""
+        which, rows, scores = self.find(queries, k)
+        return which, self.ids[rows], scores
+
+    def find(self, queries: np.ndarray, k: int, own: np.ma.MaskedArray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, vector's row, score) of the k best vectors of each query, ties to the smaller id. Vectors with the
+        id that `own` has for a query are passed over.
 
         Each query goes best page first: it opens the page of its frontier with the least bound, until that lies beyond the
         distance of its k-th result. Queries that open the same page do so together. Pages and vectors are left out without
@@ -99,7 +106,7 @@ class MTree:
         if not m or not self.nodes:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.largest * float(np.abs(queries).max(initial=0.0)) * max(queries.shape[1], 1) >= _LARGEST:
-            return self._exact(queries, k)
+            return self._exact(queries, k, own)
         q2 = (queries**2).sum(axis=1)
         none = np.iinfo(np.int64).min
         best, reach = np.full((m, k), none), np.full(m, np.inf)
@@ -140,7 +147,10 @@ class MTree:
                 if not len(rows):
                     continue
                 scores = (queries[asked] @ self.vectors[rows].T).astype(np.int64)
-                keys = np.concatenate([best[asked], (scores << _ROW_BITS) + ((1 << _ROW_BITS) - 1 - rows)], axis=1)
+                keys = (scores << _ROW_BITS) + ((1 << _ROW_BITS) - 1 - rows)
+                if own is not None:
+                    keys[(self.ids[rows] == own.data[asked][:, None]) & ~np.ma.getmaskarray(own)[asked][:, None]] = none
+                keys = np.concatenate([best[asked], keys], axis=1)
                 best[asked] = np.partition(keys, -k, axis=1)[:, -k:]
                 least = best[asked].min(axis=1)
                 # the slack outweighs the rounding of distances; it may open a page too many, never one too few
@@ -148,16 +158,18 @@ class MTree:
                 reach[asked] = np.where(least == none, np.inf, far)
         which, column = np.nonzero(best != none)
         found = best[which, column]
-        return which, self.ids[(1 << _ROW_BITS) - 1 - (found & ((1 << _ROW_BITS) - 1))], found >> _ROW_BITS
+        return which, (1 << _ROW_BITS) - 1 - (found & ((1 << _ROW_BITS) - 1)), found >> _ROW_BITS
 
-    def _exact(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _exact(self, queries: np.ndarray, k: int, own: np.ma.MaskedArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For components so large that sums leave what a double holds: whole numbers of any size, held to a long at the end."""
         out: list[tuple[int, int, int]] = []
         held = [[int(x) for x in v] for v in self.vectors]
         for q, query in enumerate(queries):
             numbers = [int(x) for x in query]
-            scored = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, numbers, strict=True)))), int(i)) for v, i in zip(held, self.ids, strict=True))
-            out += [(q, i, s) for s, i in sorted(scored, key=lambda e: (-e[0], e[1]))[:k]]
+            skipped = None if own is None or own[q] is np.ma.masked else int(own[q])
+            # rows stand in the order of their ids
+            scored = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, numbers, strict=True)))), r) for r, v in enumerate(held) if int(self.ids[r]) != skipped)
+            out += [(q, r, s) for s, r in sorted(scored, key=lambda e: (-e[0], e[1]))[:k]]
         return tuple(np.array([o[c] for o in out], np.int64) for c in range(3))
 
 
@@ -191,7 +203,7 @@ def _trees(points: DataFrame, n_rows: int) -> DataFrame:
                     own = np.flatnonzero(widths == n)
                     x, p = _matrix(batch.column("v").take(pa.array(own))), by_n[int(n)]
                     at[own] = ((p * p).sum(axis=1) - 2.0 * (x @ p.T)).argmin(axis=1)
-            yield pa.record_batch([*batch.columns, pa.array(at)], names=["id", "v", "n", "pivot"])
+            yield pa.record_batch([*batch.columns, pa.array(at)], names=[*batch.schema.names, "pivot"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -204,10 +216,10 @@ def _trees(points: DataFrame, n_rows: int) -> DataFrame:
             for start in range(0, len(own), 2 * TREE_ROWS):
                 part = table.take(pa.array(own[start : start + 2 * TREE_ROWS]))
                 vectors = _matrix(part.column("v")) if n else np.zeros((part.num_rows, 0))
-                tree = MTree(part.column("id").to_numpy(), vectors)
+                tree = MTree(part.column("id").to_numpy(), vectors, part.column("copies").to_numpy())
                 yield pa.record_batch([pa.array([int(n)], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], names=["n", "tree"])
 
-    dealt = points.mapInArrow(nearest, "id long, v array<double>, n int, pivot long")
+    dealt = points.mapInArrow(nearest, "id long, v array<double>, n int, copies long, pivot long")
     return dealt.repartitionByRange(max(1, -(-n_rows // TREE_ROWS)), "n", "pivot", F.xxhash64("v", "id")).mapInArrow(build, "n int, tree binary")
 
 
@@ -215,22 +227,34 @@ def top_k(rows: DataFrame, every: int = 50, k: int = TOP, id_col: str = "vec_id"
     """(query_id, rank, id, score) for the rows whose id is divisible by `every`, against every row but the query's own.
 
     Exact: scores are integer inner products (held to the range of a long), ties go to the smaller id. Vectors are compared
-    with those of their own length. Of equal vectors only the k + 1 smallest ids are searched, as no others can be returned;
-    equal queries are searched once. Rows with the query's id never answer it; other repeated rows count each. An empty
-    table, or one without usable queries, gives an empty result; other columns are ignored.
+    with those of their own length. Equal rows are one point with a count, given back once the query's own rows are out. Of
+    equal vectors only the k + 1 smallest ids are searched, as no others can be returned; equal queries are searched once,
+    but an id with several vectors asks by itself, and its own points are passed over in the trees: the answers to all its
+    vectors are ranked together. Rows with the query's id never answer it; other repeated rows count each. An empty table,
+    or one without usable queries, gives an empty result; other columns are ignored.
     """
     spark = rows.sparkSession
-    usable = checkpointed(quantised(rows, id_col, vector_col))
+    usable = checkpointed(quantised(rows, id_col, vector_col).groupBy("id", "v", "n").agg(F.count("*").alias("copies")))
     ranked = usable.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id")))
+    asked = usable.filter(F.col("id") % every == 0).select("id", "v", "n")
+    several = asked.groupBy("id").count().filter("count > 1").select("id", F.col("id").alias("own"))
+    asked = checkpointed(asked.join(several, "id", "left"))
     points = checkpointed(ranked.filter(F.col("r") <= k + 1).drop("r"))
     trees = checkpointed(_trees(points, points.count()))
-    asked = usable.filter(F.col("id") % every == 0)
-    queries = checkpointed(asked.groupBy("v", "n").agg(F.min("id").alias("q")))
+    queries = checkpointed(asked.groupBy("v", "n", "own").agg(F.count("*")).withColumn("q", F.monotonically_increasing_id()))
     blocks = max(1, -(-queries.count() // query_block))
     found = None
     for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
-        sent = spark.sparkContext.broadcast({int(n): (g["q"].to_numpy(np.int64), np.array(g["v"].to_list(), np.float64).reshape(len(g), -1)) for n, g in block.groupby("n")})
+        block = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "v", "n", "own").toArrow()
+        widths = block.column("n").to_numpy()
+        asking = {}
+        for n in np.unique(widths):
+            part = block.take(pa.array(np.flatnonzero(widths == n)))
+            own = part.column("own")
+            vectors = _matrix(part.column("v")) if n else np.zeros((part.num_rows, 0))
+            skipped = np.ma.masked_array(own.fill_null(0).to_numpy(), own.is_null().to_numpy()) if own.null_count < len(own) else None
+            asking[int(n)] = (part.column("q").to_numpy(), vectors, skipped)
+        sent = spark.sparkContext.broadcast(asking)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -238,18 +262,20 @@ def top_k(rows: DataFrame, every: int = 50, k: int = TOP, id_col: str = "vec_id"
                     if n not in sent.value:
                         continue
                     tree: MTree = pickle.loads(stored)
-                    names, asked = sent.value[n]
-                    which, ids, scores = tree.search(asked, k + 1)
-                    yield pa.record_batch([pa.array(names[which]), pa.array(ids), pa.array(scores)], names=["q", "id", "score"])
+                    names, vectors, skipped = sent.value[n]
+                    which, at, scores = tree.find(vectors, k + 1, skipped)
+                    yield pa.record_batch([pa.array(names[which]), pa.array(tree.ids[at]), pa.array(scores), pa.array(tree.copies[at])], names=["q", "id", "score", "copies"])
 
-        part = checkpointed(trees.mapInArrow(search, "q long, id long, score long"))
+        part = checkpointed(trees.mapInArrow(search, "q long, id long, score long, copies long"))
         sent.destroy()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).drop("r")
-    named = asked.select(F.col("id").alias("query_id"), "v").distinct().join(queries.select("v", "q"), "v").select("query_id", "q")
+    same = (asked.v == queries.v) & asked.own.eqNullSafe(queries.own)
+    named = asked.join(queries, same).select(asked.id.alias("query_id"), "q")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    each = named.join(best, "q").filter("id <> query_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
     return (
-        named.join(best, "q").filter("id <> query_id").withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
+        each.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
         .select("query_id", "rank", F.col("id").alias(id_col), "score")
     )
