@@ -22,6 +22,27 @@ def test_pages_of_every_kind_are_defined(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_short_runs_inside_an_article_that_is_not_marked_are_kept():
+    long = lambda n: [f"<p>{'word ' * (n // 5 - 1)}last" for _ in range(6)]
+    items = [f"item number {i:02d} of list" for i in range(12)]
+    speech = [f"he said {i:02d} and she said no" for i in range(10)]
+    flows = [
+        [*long(400), "<ul>", *(f"<li>{i}</li>" for i in items), "</ul>", *long(400)],
+        [*long(400), "<ul>", *(f'<li><a href="/x">{i}</a></li>' for i in items), "</ul>", *long(400)],
+        [*long(600), "<div class=say>", *(f"<div>{i}</div>" for i in speech), "</div>", *long(600)],
+        [f"<div>{p}</p></div>" for p in long(600)] + [f"<div>{i}</div>" for i in speech] + [f"<div>{p}</p></div>" for p in long(600)],
+        [*long(400), "<table>", *(f"<tr><td>{i}</td></tr>" for i in items), "</table>"],
+    ]
+    menu = "<div>" + "".join(f'<div><a href="/{i}">Section {i}</a></div>' for i in range(15)) + "</div>"
+    for flow in flows:
+        body = "".join(flow)
+        want = " ".join(html_text.text_lines(body)[k][0] for k in range(len(html_text.text_lines(body))) if html_text.text_lines(body)[k][0])
+        assert all(i in want for i in items) or all(i in want for i in speech)
+        assert html_text.main_text(f"<html><body><div id=wrap><div class=body>{body}</div></div></body></html>") == want
+        got = html_text.main_text(f"<html><body><div id=wrap>{menu}<div class=body>{body}</div>{menu}</div></body></html>")
+        assert want in got and got.count("Section 7") == 0
+
+
 WORDS = {"en": "the cat and the dog with this house of that man", "de": "der hund und die katze mit dem haus von einem mann", "fr": "le chat et le chien avec la maison de cet homme"}
 
 

@@ -32,6 +32,8 @@ SIGMA = 1.0
 #: mean if that is less: what a single line of mean ratio between empty ones keeps after smoothing lies above it.
 THRESHOLD = 0.5
 MEAN_SHARE = 0.35
+#: Elements that make a region of a page; others only shape its lines.
+CONTAINERS = frozenset("aside center details div fieldset section".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements whose end tag may be left out: a block inside or after them closes them.
@@ -56,13 +58,21 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, number of tags, in a content element, outside the content)."""
+    """Collects lines: (text, number of tags, in a content element, outside the content).
+
+    For each line, `regions` has the number of its container and `linked` whether all its text is of links; `parents` has
+    the container around each, the page itself being 0.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.regions: list[int] = []
+        self.linked: list[bool] = []
+        self.parents: list[int] = [0]
+        self.region, self.in_link, self.plain = 0, False, False
         self.stack: list[tuple[str, int, bool]] = []  # (tag, outside: 1 only by a weak element, 2 else; inside an article or main)
 
     def _state(self) -> tuple[int, bool]:
@@ -73,10 +83,15 @@ class _Lines(HTMLParser):
         outside, inside = self._state()
         if text or self.tags:
             self.lines.append((text, self.tags, inside, outside > 0))
-        self.parts, self.tags = [], 0
+            self.regions.append(self.region)
+            self.linked.append(not self.plain)
+        self.parts, self.tags, self.plain = [], 0, False
 
     def _close(self, depth: int) -> None:
         self.end_line()
+        for tag, *_ in self.stack[depth:]:
+            if tag in CONTAINERS:
+                self.region = self.parents[self.region]
         del self.stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -92,6 +107,7 @@ class _Lines(HTMLParser):
                     if self.stack[k][0] in ("ul", "ol", "dl", "table", "select", "menu", "tbody", "div", "section", "article"):
                         break
         self.tags += 1
+        self.in_link = tag == "a" or self.in_link and tag not in CONTAINERS  # a link left open ends with its region
         if tag in VOID:
             return
         outside, inside = self._state()
@@ -106,6 +122,9 @@ class _Lines(HTMLParser):
             if off != outside:
                 self.end_line()
             self.stack.append((tag, off, inside or (content and not off)))
+            if tag in CONTAINERS:
+                self.parents.append(self.region)
+                self.region = len(self.parents) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -114,6 +133,7 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        self.in_link = self.in_link and tag != "a"
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._close(k)
@@ -123,17 +143,58 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        self.plain = self.plain or not self.in_link and not data.isspace()
 
 
-def text_lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page. Text behind an unfinished tag at the end is left out, as it is markup."""
+def _parsed(html: str) -> _Lines:
     parser = _Lines()
     parser.feed(html)
     if "<" in parser.rawdata:
         parser.rawdata = parser.rawdata[: parser.rawdata.index("<")]
     parser.close()
     parser.end_line()
-    return parser.lines
+    return parser
+
+
+def text_lines(html: str) -> list[tuple[str, int, bool, bool]]:
+    """The lines of a page. Text behind an unfinished tag at the end is left out, as it is markup."""
+    return _parsed(html).lines
+
+
+def _between(regions: list[int], keep: np.ndarray) -> np.ndarray:
+    """The kept lines and all lines between two of them of the same container: what stands there lies in it, at any depth."""
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i in np.flatnonzero(keep).tolist():
+        first.setdefault(regions[i], i)
+        last[regions[i]] = i
+    opened = np.zeros(len(keep) + 1, np.int64)
+    for c, i in first.items():
+        opened[i] += 1
+        opened[last[c] + 1] -= 1
+    return np.cumsum(opened[:-1]) > 0
+
+
+def _whole_regions(page: _Lines, usable: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The kept lines and the short lines that stand in one region with them.
+
+    Usable lines between kept lines of one container belong to it, and so do lines beside kept
+    lines in a container of the page, unless they are links only. Then a container of one line is taken for its line, as
+    where each paragraph has its own, and lines between kept ones belong to these again unless they are links only.
+    """
+    regions, plain = page.regions, ~np.array(page.linked, bool)
+    held = {regions[i] for i in np.flatnonzero(keep).tolist()} - {0}
+    keep = usable & (_between(regions, keep) | plain & np.array([r in held for r in regions], bool))
+    under = [0] * len(page.parents)
+    for i in np.flatnonzero(usable).tolist():
+        under[regions[i]] += 1
+    for c in range(len(under) - 1, 0, -1):  # a container's number is above that of the one around it
+        under[page.parents[c]] += under[c]
+    place = list(range(len(under)))
+    for c in range(1, len(under)):
+        if under[c] < 2:
+            place[c] = place[page.parents[c]]
+    return usable & (keep | plain & _between([place[r] for r in regions], keep))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -148,11 +209,13 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     """The lines whose smoothed text-to-tag ratio reaches the threshold, joined by one space.
 
     The parser's events weigh the ratios first: a line outside the content (menus, notices, forms, comments and so on) has
-    ratio 0; where the page marks its article, a line of it has the page's mean at least, and one outside of it 0.
+    ratio 0; where the page marks its article, a line of it has the page's mean at least, and one outside of it 0. Where it
+    marks none, lists, dialogue or verse in one region with the lines above the threshold are kept with them.
     """
     if not html:
         return ""
-    lines = text_lines(html)
+    page = _parsed(html)
+    lines = page.lines
     marked = any(inside and text and not outside for text, _, inside, outside in lines)
     usable = np.array([bool(text) and not outside and (inside or not marked) for text, _, inside, outside in lines], bool)
     if not usable.any():
@@ -163,6 +226,8 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
         ratios = np.where(usable, np.maximum(ratios, mean), 0.0)
     smooth = smoothed(ratios, sigma)
     keep = usable & (smooth >= min(threshold * smooth.std(), MEAN_SHARE * mean))
+    if not marked:
+        keep = _whole_regions(page, usable, keep)
     return " ".join(line[0] for line, k in zip(lines, keep, strict=True) if k)
 
 
