@@ -1,5 +1,6 @@
 """Small cases of the operators that the driver's tables do not show."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -124,3 +125,19 @@ def test_stream_projection_survives_replayed_batches(spark, tmp_path):
     query.awaitTermination(120)
     row = ingest.read_projection(spark, str(tmp_path / "projection")).collect()
     assert len(row) == 1 and (row[0].current_intent, row[0].activity_count) == ("VERY_HIGH", 2)
+
+
+@pytest.mark.parametrize("cap", [4, 1000])
+def test_a_batch_is_selected_in_order(spark, cap):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["h", f"h{i % 17}", None]), rng.choice(["i", f"i{i % 23}", None])) for i in range(80)]
+    chain = [(100 + i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(8)]
+    for table in ([(1, "h1", "i1"), (2, "h2", "i1"), (3, "h2", "i2")], rows + chain):
+        hosts, identities, want = set(), set(), []
+        for i, h, d in table:
+            if h not in hosts and d not in identities and len(want) < cap:
+                hosts.add(h)
+                identities.add(d)
+                want.append(i)
+        items = spark.createDataFrame(table, "n int, host string, identity string")
+        assert [r.n for r in ledgers.select_batch(items, "n", "host", "identity", cap).collect()] == want

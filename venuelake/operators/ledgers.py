@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,9 +55,33 @@ def spaced(requests: DataFrame, scope: Sequence[str], at: str, least_ms: int) ->
 
 
 def select_batch(items: DataFrame, order: str, host: str, identity: str, cap: int) -> DataFrame:
-    """The batch: the first item of each host, of those the first of each identity, and of those the first `cap`."""
-    first = lambda df, key: df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
-    return first(first(items, host), identity).orderBy(order).limit(cap)
+    """The batch: items in order, each unless its host or identity is that of one selected before it, `cap` at most.
+
+    In rounds: what is first of both its host and its identity among the items left is selected, and items of a selected
+    host or identity go. Each round settles one more of the batch at least, and nothing after its `cap`-th item is kept.
+    """
+    key = F.struct(F.col(order).alias("at"), F.col("__row").alias("row"))
+    left = _checkpointed(items.withColumn("__row", F.monotonically_increasing_id()))
+    taken = left.limit(0)
+    while left.limit(1).count():
+        by_host = left.groupBy(host).agg(F.min(key).alias("k")).select("k.row")
+        by_identity = left.groupBy(identity).agg(F.min(key).alias("k")).select("k.row")
+        first = by_host.join(by_identity, "row").withColumnRenamed("row", "__row")
+        taken = _checkpointed(taken.unionByName(left.join(first, "__row", "left_semi")).orderBy(order, "__row").limit(cap))
+        last = taken.agg(F.count("*").alias("__n"), F.max(key).alias("__last"))
+        t, i = F.broadcast(taken.select(F.col(host).alias("__h"))), F.broadcast(taken.select(F.col(identity).alias("__i")))
+        rest = left.join(t, F.col(host).eqNullSafe(F.col("__h")), "left_anti").join(i, F.col(identity).eqNullSafe(F.col("__i")), "left_anti")
+        rest = rest.join(F.broadcast(last), (F.col("__n") < cap) | (key < F.col("__last")), "left_semi")
+        left = _checkpointed(rest)
+    return taken.orderBy(order).drop("__row")
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder that spark.checkpoint.dir names; only where it is unset is one made, as in tests."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
 
 
 def reconcile(declared: DataFrame, entries: DataFrame, key: str) -> DataFrame:
