@@ -141,3 +141,20 @@ def test_a_batch_is_selected_in_order(spark, cap):
                 want.append(i)
         items = spark.createDataFrame(table, "n int, host string, identity string")
         assert [r.n for r in ledgers.select_batch(items, "n", "host", "identity", cap).collect()] == want
+
+
+def test_refused_requests_use_up_no_cap(spark):
+    rng = random.Random(7)
+    rows = [("a", i, c) for i, c in enumerate([4, 4, 3, 4, 1])] + [(rng.choice(["b", "c", None]), i, rng.choice([1, 2, 3, 4, None])) for i in range(5, 90)]
+    caps = [("VENUES", F.lit(1), 9), ("REQUESTS", F.col("cost"), 12)]
+    got = ledgers.admit(spark.createDataFrame(rows, "day string, n int, cost int").repartition(3), ["day"], [F.asc("n")], caps)
+    assert got.columns == ["day", "n", "cost", "decision"]
+    totals, want = {}, []
+    for day, n, cost in rows:
+        venues, requests = totals.get(day, (0, 0))
+        now = (venues + 1, requests + (cost or 0))
+        decision = "VENUES" if now[0] > 9 else "REQUESTS" if now[1] > 12 else "ADMITTED"
+        if decision == "ADMITTED":
+            totals[day] = now
+        want.append((n, decision))
+    assert sorted((r.n, r.decision) for r in got.collect()) == want and want[4] == (4, "ADMITTED")

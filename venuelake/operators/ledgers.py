@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 
 def budget_state(receipts: DataFrame, allowances: DataFrame, as_of: Column) -> DataFrame:
@@ -30,13 +32,35 @@ def budget_state(receipts: DataFrame, allowances: DataFrame, as_of: Column) -> D
 
 
 def admit(requests: DataFrame, scope: Sequence[str], order: Sequence[Column], caps: Sequence[tuple[str, Column, int]]) -> DataFrame:
-    """Requests with `decision`: the first cap (name, amount, limit) that the requests of a scope, taken in order, would pass
-    with this one, else ADMITTED. Amounts accumulate over all requests of the scope up to this one, as for unit costs."""
-    window = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    decision = F.lit("ADMITTED")
-    for name, amount, limit in reversed(caps):
-        decision = F.when(F.sum(amount).over(window) > limit, F.lit(name)).otherwise(decision)
-    return requests.withColumn("decision", decision)
+    """Requests with `decision`: the first cap (name, amount, limit) that the request would pass on top of those of its
+    scope admitted before it, in order, else ADMITTED. A refused request counts towards no cap; a null amount is 0.
+
+    What a request finds depends on each decision before it, so rows are folded in order with running totals: a scope lies
+    in one partition, sorted and streamed, never gathered.
+    """
+    names, limits = [name for name, *_ in caps], [limit for *_, limit in caps]
+    keys, amounts = [f"__scope{i}" for i in range(len(scope))], [f"__amount{i}" for i in range(len(caps))]
+    marked = requests.select("*", *[F.col(c).alias(k) for c, k in zip(scope, keys, strict=True)], *[F.coalesce(c, F.lit(0)).alias(a) for (_, c, _), a in zip(caps, amounts, strict=True)])
+    dealt = (marked.repartition(*keys) if keys else marked.repartition(1)).sortWithinPartitions(*keys, *order)
+    kept = [f for f in requests.schema.fields if f.name != "decision"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, totals = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            decisions = []
+            for row, asked in enumerate(zip(*(batch.column(a).to_pylist() for a in amounts), strict=True)):
+                key = tuple("NaN" if c[row] != c[row] else c[row] for c in columns)
+                if key != now:
+                    now, totals = key, [0] * len(limits)
+                sums = [t + a for t, a in zip(totals, asked, strict=True)]
+                refused = next((name for name, total, limit in zip(names, sums, limits, strict=True) if total > limit), None)
+                if refused is None:
+                    totals = sums
+                decisions.append(refused or "ADMITTED")
+            yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(decisions, pa.string())], names=[*(f.name for f in kept), "decision"])
+
+    return dealt.mapInArrow(fold, StructType([*kept]).add("decision", StringType()))
 
 
 def first_failing(guards: Sequence[tuple[str, Column]], otherwise: str = "ADMITTED") -> Column:
