@@ -17,7 +17,14 @@ def test_interval_expansion_equals_counting(seed):
     texts = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 6))]
     seen = [t[i : i + least] for t in texts for i in range(len(t) - least + 1)]
     want = [[seen.count(t[i : i + least]) > 1 for i in range(len(t) - least + 1)] for t in texts]
-    assert [g.tolist() for g in bwt.repeated_starts(texts, least)] == want
+    shorter = [[sum(u[j : j + 1] == t[i : i + 1] for u in texts for j in range(len(u))) > 1 for i in range(len(t))] for t in texts]
+    assert [[g.tolist() for g in of] for of in bwt.repeated_starts(texts, least, 1)] == [want, shorter]
+
+
+def test_strings_that_start_beyond_their_room_are_no_partners():
+    full, short = bwt.repeated_starts([b"abcdef", b"xxcdef"], 4, 2, rooms=[2, 3])
+    assert [f.tolist() for f in full] == [[False] * 3] * 2 and not any(short[0])
+    assert bwt.repeated_starts([b"abcdef", b"xxcdef"], 4, rooms=[3, 3])[0][0].tolist() == [False, False, True]
 
 
 def _texts():
@@ -26,6 +33,8 @@ def _texts():
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passage, other = text(90), text(75)
     out = [text(60) + passage + text(50) for _ in range(6)] + [text(30) + other[:400], other[5:] + text(40), text(100)] + ["é" * 900, "x" * 1200, None, "", "short"]
+    brief = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(4, 6))) for _ in range(55))
+    out += [text(20) + " " + brief + " " + text(30) for _ in range(3)] + [brief[:250] + text(20)]
     out += [out[0]] * 4 + [out[0][:300] + "#" + out[0][301:], passage + " " + passage, passage[:399], passage[:400]]
     return out
 
@@ -34,17 +43,17 @@ def _texts():
 def test_removed_bytes_equal_brute_force(spark, max_spans):
     texts = _texts()
     docs = spark.createDataFrame([(i if i % 5 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, key int")
-    got = substring_dedup.remove_repeats(docs, max_spans=max_spans).select("doc_id", "n_bytes", "removed", substring_dedup.digest(F.col("kept")).alias("h")).collect()
+    got = substring_dedup.remove_repeats(docs, max_spans=max_spans).select("doc_id", "n_bytes", "removed", "n_passages", substring_dedup.digest(F.col("kept")).alias("h")).collect()
     want = substring_dedup.brute_force([(t or "").encode() for t in texts])
-    assert sorted((len(r.removed), _total(r.removed), r.h) for r in got) == sorted((n, m, h) for m, n, h in want)
-    assert any(m for m, _, _ in want) and sum(r.n_bytes for r in got) == sum(len((t or "").encode()) for t in texts)
+    assert sorted((len(r.removed), _total(r.removed), r.h, r.n_passages) for r in got) == sorted((n, m, h, p) for m, n, h, p in want)
+    assert any(m for m, *_ in want) and any(p and not m for m, _, _, p in want) and sum(r.n_bytes for r in got) == sum(len((t or "").encode()) for t in texts)
 
 
 def test_chunks_and_empty_tables(spark, monkeypatch):
     data = bytes(random.Random(1).choice(b"ab") for _ in range(3000))
-    whole = substring_dedup.spans(data)
+    whole = substring_dedup.spans(data, 400)
     monkeypatch.setattr(substring_dedup, "CHUNK", 500)
-    split = substring_dedup.spans(data)
+    split = substring_dedup.spans(data, 400)
     anchor = lambda found: {s: (at, a) for first, last, at, a in found for s in range(first, last + 1)}
     assert anchor(split) == anchor(whole) and len(anchor(whole)) == 3000 - 400 + 1
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -96,19 +96,28 @@ def short_prefixes(symbols: np.ndarray, rank: np.ndarray, least: int) -> tuple[n
     return suffixes, found
 
 
-def repeated_starts(texts: list[bytes], least: int) -> list[np.ndarray]:
-    """For each text, whether the string of `least` bytes at each place where one fits starts anywhere else, in any text."""
+def repeated_starts(texts: list[bytes], *least: int, rooms: list[int] | None = None) -> list[list[np.ndarray]]:
+    """For each length in `least`, and for each text, whether the string of that many bytes at each place starts anywhere
+    else, in any text. Places are those where one fits, of the first `room` only where `rooms` are given, and strings that
+    start beyond are no partners either."""
     symbols = np.zeros(sum(map(len, texts)) + len(texts), np.int16)
+    open_places = np.zeros(len(symbols), bool)
     starts, at = [], 0
-    for text in texts:
+    for k, text in enumerate(texts):
         symbols[at : at + len(text)] = np.frombuffer(text, np.uint8).astype(np.int16) + 1
+        open_places[at : at + (len(text) if rooms is None else min(rooms[k], len(text)))] = True
         starts.append(at)
         at += len(text) + 1
     if not at:
-        return []
+        return [[] for _ in least]
     rank = suffix_ranks(symbols)
-    suffixes, found = short_prefixes(symbols, rank, least)
-    long = found < 0
-    repeated = np.zeros(at, bool)
-    repeated[suffixes] = long[:-1] | long[1:]
-    return [repeated[s : s + max(len(t) - least + 1, 0)] for s, t in zip(starts, texts, strict=True)]
+    suffixes, found = short_prefixes(symbols, rank, max(least))
+    out = []
+    for length in least:
+        # suffixes whose neighbours share `length` bytes form a run; two open ones of a run repeat each other
+        run = np.cumsum((found[:-1] >= 0) & (found[:-1] < length))
+        mine = open_places[suffixes]
+        repeated = np.zeros(at, bool)
+        repeated[suffixes] = mine & (np.bincount(run, mine)[run] > 1)
+        out.append([repeated[s : s + max(len(t) - length + 1, 0)] for s, t in zip(starts, texts, strict=True)])
+    return out

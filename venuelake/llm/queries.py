@@ -42,7 +42,7 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["b"] - r["a"])
-    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), substring_dedup.digest(F.col("kept")).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), substring_dedup.digest(F.col("kept")).alias("kept_sha256"), "n_passages")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuelake.llm.bwt import repeated_starts
-from venuelake.llm.common import small_batches, stored
+from venuelake.llm.common import small_batches, spread_join, stored
 
 #: Bytes of a string that may not occur twice.
 LEAST = 400
+#: Bytes of the strings that make up a repeated passage, and the words that a passage holds more of. Words of the common
+#: languages take over five bytes with their space, so a passage of over 50 words holds such strings.
+SCREEN, PASSAGE_WORDS = 256, 50
 #: Bytes of an anchor.
 GRAM = 16
 #: Windows of a text handled at once.
@@ -25,16 +28,17 @@ CHUNK = 1 << 22
 CLASSES = 8
 #: Bytes that one transform holds, unless a single anchor has more.
 BATCH_BYTES = 1_500_000
-#: Distinct spans of an anchor up to which one transform holds them; beyond, its windows are counted one by one.
+#: Distinct spans of an anchor up to which one transform holds them; beyond, those with a common core are counted window by
+#: window.
 MAX_SPANS = 4096
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def spans(data: bytes, least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+def spans(data: bytes, least: int = SCREEN, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
     """(first, last, at, anchor): every string of `least` bytes has one anchor, its least-hashed gram, the first of equal ones.
     Strings that start from `first` to `last` share one, which stands at `at`. Equal strings have equal anchors, wherever they
-    stand."""
+    stand; so have equal longer strings, by the anchor of their first `least` bytes."""
     out: list[tuple[int, int, int, int]] = []
     for begin in range(0, len(data) - least + 1, CHUNK):
         part = data[begin : begin + CHUNK + least - 1]
@@ -60,14 +64,15 @@ def spans(data: bytes, least: int = LEAST, gram: int = GRAM) -> list[tuple[int,
     return out
 
 
-def _all_spans(rows: DataFrame, least: int) -> DataFrame:
-    """(key, id, first, last, at, anchor, span) for the rows (key, id, data): span is a 64-bit hash of the bytes it holds."""
+def _all_spans(rows: DataFrame, least: int, screen: int) -> DataFrame:
+    """(key, id, first, last, at, anchor, span) for the rows (key, id, data): span is a 64-bit hash of the bytes up to the end
+    of the longest string that starts in it, at most `least` bytes after its last place."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for first, last, at, anchor in spans(data, least):
+                for first, last, at, anchor in spans(data, screen):
                     for column, value in zip(out, (key, doc, first, last, at, anchor, xxhash.xxh3_64_intdigest(data[first : last + least]) - (1 << 63)), strict=True):
                         column.append(value)
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
@@ -87,136 +92,167 @@ def _packed(data: Column) -> Column:
 
 
 def _cut_out(held: DataFrame, least: int) -> DataFrame:
-    """(anchor, span, at, data) for the rows (packed, wanted), wanted being an array of (first, last, at, anchor, span); `at`
-    now counts from the span's start."""
+    """(anchor, span, at, room, data) for the rows (packed, wanted), wanted being an array of (first, last, at, anchor, span);
+    `at` now counts from the span's start, `room` counts the places from which its strings start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = zstandard.decompress(packed)
                 for w in wanted:
-                    for column, value in zip(out, (w["anchor"], w["span"], w["at"] - w["first"], data[w["first"] : w["last"] + least]), strict=True):
+                    first, last = w["first"], w["last"]
+                    for column, value in zip(out, (w["anchor"], w["span"], w["at"] - first, last - first + 1, data[first : last + least]), strict=True):
                         column.append(value)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "span", "at", "data"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "span", "at", "room", "data"])
 
-    return held.mapInArrow(cut, "anchor long, span long, at int, data binary")
+    return held.mapInArrow(cut, "anchor long, span long, at int, room int, data binary")
 
 
-def _promising(members: dict[int, tuple[int, bytes]], least: int) -> dict[int, bytes]:
-    """The spans of one anchor that share a core with another. A string of `least` bytes that two spans share has the same
-    place about their anchor, so both have the core of its class, which all strings of the class contain."""
-    width = -(-least // CLASSES)
+def _cores(at: int, room: int, data: bytes, screen: int) -> Iterator[tuple[int, bytes]]:
+    """(class, core): a string of `screen` bytes that two spans share has the same place about their anchor, so both have the
+    core of its class, which all strings of the class contain."""
+    width = -(-screen // CLASSES)
+    for c in range(CLASSES):
+        start, end = at - c * width, at - (c + 1) * width + 1 + screen
+        # a string of the class starts in [end - screen, start]; some does within this span
+        if start >= 0 and end - screen < room:
+            yield c, data[start:end]
+
+
+def _promising(members: dict[int, tuple[int, int, bytes]], screen: int) -> dict[int, tuple[int, bytes]]:
+    """span -> (room, bytes) for the spans of one anchor that share a core with another."""
     cores: dict[tuple[int, bytes], list[int]] = {}
-    for span, (at, data) in members.items():
-        last = len(data) - least
-        for c in range(CLASSES):
-            start, end = at - c * width, at - (c + 1) * width + 1 + least
-            # a string of the class starts in [end - least, start]; some does within this span
-            if start >= 0 and end - least <= last:
-                cores.setdefault((c, data[max(start, 0) : end]), []).append(span)
+    for span, (at, room, data) in members.items():
+        for core in _cores(at, room, data, screen):
+            cores.setdefault(core, []).append(span)
     kept = {span for sharing in cores.values() if len(sharing) > 1 for span in sharing}
-    return {span: data for span, (_, data) in members.items() if span in kept}
+    return {span: (room, data) for span, (_, room, data) in members.items() if span in kept}
 
 
-def _runs(flags: np.ndarray) -> list[dict[str, int]]:
+def _runs(flags: np.ndarray, long: bool) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"a": int(a), "b": int(b) - 1} for a, b in edge.reshape(-1, 2)]
+    return [{"a": int(a), "b": int(b) - 1, "long": long} for a, b in edge.reshape(-1, 2)]
 
 
-_RUN_KIND = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_RUN = "array<struct<a:long,b:long,long:boolean>>"
+_RUN_KIND = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("long", pa.bool_())]))
 
 
-def _expanded(cut: DataFrame, least: int) -> DataFrame:
-    """(anchor, span, runs) of the spans (anchor, span, at, data) with a repeated string; runs are places from the span's
-    start. All spans of an anchor meet in a task, which transforms some anchors at a time."""
+def _expanded(cut: DataFrame, least: int, screen: int) -> DataFrame:
+    """(anchor, span, runs) of the spans (anchor, span, at, room, data) with a repeated string of `screen` bytes; runs are
+    ranges of places (a, b) from the span's start, those of `least` bytes marked long. All spans of an anchor meet in a
+    task, which transforms some anchors at a time."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], bytes] = {}
-        members: dict[int, tuple[int, bytes]] = {}
+        held: dict[tuple[int, int], tuple[int, bytes]] = {}
+        members: dict[int, tuple[int, int, bytes]] = {}
         size, last = 0, None
 
         def settle() -> pa.RecordBatch:
-            kept = [(k, r) for k, flags in zip(held, repeated_starts(list(held.values()), least), strict=True) if (r := _runs(flags))]
+            full, short = repeated_starts([d for _, d in held.values()], least, screen, rooms=[r for r, _ in held.values()])
+            found = [(k, _runs(f, True) + _runs(s, False)) for k, f, s in zip(held, full, short, strict=True)]
+            kept = [(k, r) for k, r in found if r]
             return pa.record_batch(
                 [pa.array([k[0] for k, _ in kept], pa.int64()), pa.array([k[1] for k, _ in kept], pa.int64()), pa.array([r for _, r in kept], _RUN_KIND)],
                 names=["anchor", "span", "runs"],
             )
 
         for batch in batches:
-            for anchor, span, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, span, at, room, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != last:
-                    for s, d in _promising(members, least).items():
+                    for s, d in _promising(members, screen).items():
                         held[last, s] = d
-                        size += len(d)
+                        size += len(d[1])
                     members, last = {}, anchor
                     if size >= BATCH_BYTES:
                         yield settle()
                         held, size = {}, 0
-                members.setdefault(span, (at, data))
-        held.update({(last, s): d for s, d in _promising(members, least).items()})
+                members.setdefault(span, (at, room, data))
+        held.update({(last, s): d for s, d in _promising(members, screen).items()})
         if held:
             yield settle()
 
-    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, "anchor long, span long, runs array<struct<a:long,b:long>>")
+    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, f"anchor long, span long, runs {_RUN}")
 
 
-def _counted(cut: DataFrame, least: int) -> DataFrame:
-    """The same for anchors with very many spans: a row a window, counted by the hash of its bytes, so no task holds an
-    anchor's spans together."""
+def _counted(cut: DataFrame, least: int, screen: int) -> DataFrame:
+    """The same for anchors with very many spans, so that no task holds an anchor's spans together: those that share a core
+    with another are found by counting cores, and then each of their strings is counted by the hash of its bytes."""
 
     @F.arrow_udf("array<binary>")
-    def windows(data: pa.Array) -> pa.Array:
-        return pa.array([[xxhash.xxh3_128_digest(d[i : i + least]) for i in range(len(d) - least + 1)] for d in data.to_pylist()], pa.list_(pa.binary()))
-
-    single = cut.dropDuplicates(["anchor", "span"])
-    each = stored(single.select("anchor", "span", F.posexplode(windows("data")).alias("at", "h")), "windows")
-    twice = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = each.join(twice, "h").groupBy("anchor", "span").agg(F.array_sort(F.collect_set(F.col("at").cast("long"))).alias("p"))
-    return places.select("anchor", "span", F.transform("p", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("runs"))
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, max_spans: int = MAX_SPANS) -> DataFrame:
-    """(key, runs) for the texts with strings of `least` bytes that start anywhere else: key is the MD5 of the text, runs
-    are ranges (a, b) of such starts.
+    def cores(anchor: pa.Array, at: pa.Array, room: pa.Array, data: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (anchor, at, room, data)), strict=True)
+        return pa.array([[xxhash.xxh3_128_digest(b"%d,%d," % (a, c) + core) for c, core in _cores(p, r, d, screen)] for a, p, r, d in rows], pa.list_(pa.binary()))
+
+    @F.arrow_udf("array<struct<a:long,long:boolean,h:binary>>")
+    def windows(room: pa.Array, data: pa.Array) -> pa.Array:
+        out = []
+        for r, d in zip(room.to_pylist(), data.to_pylist(), strict=True):
+            mine = [(i, length == least, d[i : i + length]) for length in (screen, least) for i in range(min(r, len(d) - length + 1))]
+            out.append([{"a": i, "long": long, "h": xxhash.xxh3_128_digest(w)} for i, long, w in mine])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("long", pa.bool_()), ("h", pa.binary())])))
+
+    single = stored(cut.dropDuplicates(["anchor", "span"]), "crowded")
+    each_core = single.select("anchor", "span", F.explode(cores("anchor", "at", "room", "data")).alias("core"))
+    common = each_core.groupBy("core").agg(F.count("*").alias("n"), F.min("span").alias("span")).filter("n > 1")
+    sharing = spread_join(each_core, common.select("core", "n"), ["core"]).select("anchor", "span").distinct()
+    each = stored(single.join(sharing, ["anchor", "span"], "left_semi").select("anchor", "span", F.inline(windows("room", "data"))), "windows")
+    twice = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    places = spread_join(each, twice, ["h"]).groupBy("anchor", "span").agg(F.collect_set(F.struct("a", F.col("a").alias("b"), "long")).alias("runs"))
+    return places.select("anchor", "span", F.col("runs").cast(_RUN).alias("runs"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, screen: int = SCREEN, max_spans: int = MAX_SPANS) -> DataFrame:
+    """(key, runs) for the texts with strings of `screen` bytes that start anywhere else: key is the MD5 of the text, runs
+    are ranges (a, b, long) of such starts, those of `least` bytes marked long.
 
     Spans with equal bytes are counted first, which settles copies of any number without moving their texts. Only where an
-    anchor has different spans are the bytes of one of each fetched and compared.
+    anchor has different spans are the bytes of one of each fetched and compared. Rows of hot anchors and hot spans, as of
+    a line or passage that very many texts have, are joined where they are.
     """
     small_batches(docs.sparkSession)
     data = F.col(text_col).cast("binary")
-    held = docs.filter(F.octet_length(text_col) >= least).select(F.unhex(F.md5(data)).alias("key"), F.col(id_col).cast("long").alias("id"), data.alias("data"))
-    every = stored(_all_spans(held, least), "spans")
-    # n: rows with the span; spans: different spans of its anchor. Most anchors occur once and go no further
-    kinds = every.groupBy("anchor", "span").agg(F.count("*").alias("n"))
-    shared = kinds.groupBy("anchor").agg(F.count("*").cast("int").alias("spans"), F.sum("n").alias("rows")).filter("rows > 1").select("anchor", "spans")
-    live = stored(every.join(shared, "anchor"), "shared-spans")
-    counted = live.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.max("spans").alias("spans"), F.min(F.struct("key", "id", "first", "last", "at")).alias("one"))
+    held = docs.filter(F.octet_length(text_col) >= screen).select(F.unhex(F.md5(data)).alias("key"), F.col(id_col).cast("long").alias("id"), data.alias("data"))
+    every = stored(_all_spans(held, least, screen), "spans")
+    # most anchors occur once and go no further
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("span") != F.max("span")).alias("several")).filter("n > 1")
+    live = stored(spread_join(every, shared, ["anchor"]).drop("n"), "shared-spans")
+    counted = live.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("key", "id", "first", "last", "at")).alias("one"))
     counted = stored(counted, "span-counts")
-    place = F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "anchor", "span", "spans")
-    wanted = stored(counted.filter("spans > 1").groupBy("one.key", "one.id").agg(F.collect_list(place).alias("wanted")), "wanted")
+    different = counted.filter("several").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > max_spans)
+    # there are at most as many such anchors as spans divided by max_spans
+    crowded = spread_join(counted.filter("several").select("anchor", "span"), different, ["anchor"]).select("anchor", "span", F.lit(True).alias("crowded"))
+    some = len(different.take(1)) > 0
+    compared = counted.filter("several")
+    compared = compared.join(stored(crowded, "crowded-spans"), ["anchor", "span"], "left") if some else compared.withColumn("crowded", F.lit(None).cast("boolean"))
+    place = F.struct(F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "anchor", "span", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    wanted = stored(compared.groupBy("one.key", "one.id").agg(F.collect_list(place).alias("wanted")), "wanted")
     packed = held.select("key", "id", _packed(F.col("data")).alias("packed"))
     by = packed.join(wanted, (packed.key == wanted.key) & packed.id.eqNullSafe(wanted.id)).select("packed", "wanted")
-    usual = by.withColumn("wanted", F.filter("wanted", lambda w: w["spans"] <= max_spans)).filter(F.size("wanted") > 0)
-    settled = _expanded(_cut_out(usual, least), least)
-    if wanted.filter(F.exists("wanted", lambda w: w["spans"] > max_spans)).limit(1).count():
-        crowded = by.withColumn("wanted", F.filter("wanted", lambda w: w["spans"] > max_spans)).filter(F.size("wanted") > 0)
-        settled = settled.unionByName(_counted(_cut_out(crowded, least), least))
+    usual = by.withColumn("wanted", F.filter("wanted", lambda w: ~w["crowded"])).filter(F.size("wanted") > 0)
+    settled = _expanded(_cut_out(usual, least), least, screen)
+    if some:
+        settled = settled.unionByName(_counted(_cut_out(by.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"])).filter(F.size("wanted") > 0), least), least, screen))
     # all strings of a span that occurs twice are repeated; in a span that occurs once, those that the comparison found
-    whole = counted.filter("n > 1").select("anchor", "span", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("one.last") - F.col("one.first")).cast("long").alias("b"))).alias("runs"))
-    once = counted.filter("n = 1 and spans > 1").select("anchor", "span")
-    hits = whole.unionByName(settled.join(once, ["anchor", "span"], "left_semi"))
-    # a text's copies have the same places, so each place is taken once
-    placed = live.select("key", "first", "anchor", "span").join(hits, ["anchor", "span"])
-    ranges = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
-    return placed.select("key", ranges.alias("runs")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("runs")))).alias("runs"))
-
-
-def cover(data: bytes, runs: list[dict[str, int]] | None, least: int = LEAST) -> list[tuple[int, int]]:
-    """The maximal removed ranges of bytes (from, to), given the starts of repeated strings in order."""
+    room = (F.col("one.last") - F.col("one.first")).cast("long")
+    whole = F.array(*[F.struct(F.lit(0).cast("long").alias("a"), room.alias("b"), F.lit(long).alias("long")) for long in (False, True)])
+    once = settled.join(counted.filter("n = 1 and several").select("anchor", "span", "n"), ["anchor", "span"])
+    hits = counted.filter("n > 1").select("anchor", "span", whole.alias("runs"), "n").unionByName(once.select("anchor", "span", "runs", "n"))
+    # a text's copies have the same places, so each is taken once
+    placed = spread_join(live.select("key", "first", "anchor", "span"), stored(hits, "hits"), ["anchor", "span"])
+    return placed.groupBy("key").agg(F.collect_set(F.struct("first", "runs")).alias("runs"))
+
+
+def cover(size: int, starts: Iterable[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int]]:
+    """The maximal ranges of bytes (from, to) of a text of `size` bytes that strings of `least` bytes cover, given the ranges
+    (first, last) of their starts; starts with fewer bytes behind them are none."""
     out: list[tuple[int, int]] = []
-    for run in runs or ():
-        a, b = run["a"], run["b"] + least
+    for first, last in sorted(starts):
+        a, b = first, min(last + least, size)
+        if b - a < least:
+            continue
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -230,45 +266,64 @@ def _rest(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(data[e:s] for e, s in zip(ends, starts, strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, max_spans: int = MAX_SPANS) -> DataFrame:
-    """(id, n_bytes, removed, kept) for every row, repeated rows included: removed are the maximal ranges of bytes covered by
-    a string of `least` bytes that starts anywhere else in the table, the same text included; kept are the other bytes.
+def passages(data: bytes, covered: list[tuple[int, int]], words: int = PASSAGE_WORDS) -> int:
+    """How many of the ranges hold more than `words` words, cut ones at their ends not counted."""
+    found = 0
+    for a, b in covered:
+        # a word goes on across an end where neither side of it is white space
+        cut = sum(0 < end < len(data) and not data[end - 1 : end].isspace() and not data[end : end + 1].isspace() for end in (a, b))
+        found += len(data[a:b].split()) - cut > words
+    return found
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, screen: int = SCREEN, max_spans: int = MAX_SPANS) -> DataFrame:
+    """(id, n_bytes, removed, kept, n_passages) for every row, repeated rows included: removed are the maximal ranges of bytes
+    covered by a string of `least` bytes that starts anywhere else in the table, the same text included; kept are the other
+    bytes. n_passages counts the passages that repeat: maximal ranges covered by strings of `screen` bytes that start anywhere
+    else, of more than PASSAGE_WORDS words; they are counted, not removed.
 
     Texts are UTF-8 bytes, null is empty, and ranges may cut a character. Strings are judged on the input, and never cross
-    texts. Repeated rows are copies of one another. Texts under `least` bytes lose nothing; an empty table gives an empty
+    texts. Repeated rows are copies of one another. Texts under `screen` bytes lose nothing; an empty table gives an empty
     result; null ids and other columns do not matter.
     """
-    runs = repeated_windows(docs, id_col, text_col, least, max_spans)
-    kind = pa.struct([("removed", _RUN_KIND), ("kept", pa.binary())])
+    if screen > least:
+        raise ValueError("passages are found by strings of at most the removed length")
+    runs = repeated_windows(docs, id_col, text_col, least, screen, max_spans)
+    kind = pa.struct([("removed", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("kept", pa.binary()), ("n_passages", pa.int64())])
 
-    @F.arrow_udf("removed array<struct<a:long,b:long>>, kept binary")
+    @F.arrow_udf("removed array<struct<a:long,b:long>>, kept binary, n_passages long")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
         for packed, ranges in zip(texts.to_pylist(), found.to_pylist(), strict=True):
             data = zstandard.decompress(packed)
-            removed = cover(data, ranges, least)
-            rows.append({"removed": [{"a": a, "b": b} for a, b in removed], "kept": _rest(data, removed)})
+            starts = [(r["a"] + f["first"], r["b"] + f["first"], r["long"]) for f in ranges or () for r in f["runs"]]
+            removed = cover(len(data), ((a, b) for a, b, long in starts if long), least)
+            repeated = passages(data, cover(len(data), ((a, b) for a, b, long in starts if not long), screen))
+            rows.append({"removed": [{"a": a, "b": b} for a, b in removed], "kept": _rest(data, removed), "n_passages": repeated})
         return pa.array(rows, kind)
 
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("id"), data.alias("data")).withColumn("key", F.unhex(F.md5("data")))
     rows = rows.select("id", "key", F.octet_length("data").cast("long").alias("n_bytes"), _packed(F.col("data")).alias("packed"))
     joined = rows.join(runs, "key", "left").select("id", "n_bytes", cut("packed", "runs").alias("r"))
-    return joined.select(F.col("id").alias(id_col), "n_bytes", "r.removed", "r.kept")
+    return joined.select(F.col("id").alias(id_col), "n_bytes", "r.removed", "r.kept", "r.n_passages")
 
 
 def digest(kept: Column) -> Column:
     return F.sha2(kept, 256)
 
 
-def brute_force(texts: list[bytes], least: int = LEAST) -> list[tuple[int, int, str]]:
-    """(n_removed, n_spans, SHA-256 of the rest) by counting every string; for tests."""
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - least + 1):
-            seen[t[i : i + least]] = seen.get(t[i : i + least], 0) + 1
+def brute_force(texts: list[bytes], least: int = LEAST, screen: int = SCREEN) -> list[tuple[int, int, str, int]]:
+    """(n_removed, n_spans, SHA-256 of the rest, n_passages) by counting every string; for tests."""
+
+    def covered(length: int) -> list[list[tuple[int, int]]]:
+        seen: dict[bytes, int] = {}
+        for t in texts:
+            for i in range(len(t) - length + 1):
+                seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+        return [cover(len(t), ((i, i) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1), length) for t in texts]
+
     out = []
-    for t in texts:
-        removed = cover(t, [{"a": i, "b": i} for i in range(len(t) - least + 1) if seen[t[i : i + least]] > 1], least)
-        out.append((sum(b - a for a, b in removed), len(removed), hashlib.sha256(_rest(t, removed)).hexdigest()))
+    for t, removed, repeated in zip(texts, covered(least), covered(screen), strict=True):
+        out.append((sum(b - a for a, b in removed), len(removed), hashlib.sha256(_rest(t, removed)).hexdigest(), passages(t, repeated)))
     return out
