@@ -14,11 +14,13 @@ def brute(rows, every=50, k=5):
     return out
 
 
-@pytest.mark.parametrize("block", [16384, 3])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "tree", "per_task"), [(16384, 4096, 16), (3, 4096, 16), (16384, 40, 2), (5, 25, 1)])
+def test_equals_brute_force(spark, monkeypatch, block, tree, per_task):
+    monkeypatch.setattr(topk_search, "TREE_ROWS", tree)
+    monkeypatch.setattr(topk_search, "TASK_TREES", per_task)
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(700)]
-    for i in range(0, 700, 9):  # ties: one hot vector
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(450)]
+    for i in range(0, 450, 9):  # ties: one hot vector
         rows[i] = (i, rows[0][1])
     rows += [(1000, None), (1050, [None] * 6), (1100, [float("nan")] * 6), (1150, [float("inf")] + [0.0] * 5), (1200, [1.0, 2.0]), (1201, [2.0, -1.0]), (1250, []), (None, [0.0] * 6), (1300, [0.0] * 6), (1301, [-0.0] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from venuelake.llm.common import checkpointed
 SCALE = 256
 #: Results of a query.
 TOP = 5
-#: Vectors of one tree, of one leaf page, and children of an inner node.
-TREE_ROWS, PAGE_ROWS, FAN_OUT = 4096, 128, 12
+#: Vectors of one tree, of one leaf page, and children of an inner node; trees that one task builds and searches in turn.
+TREE_ROWS, PAGE_ROWS, FAN_OUT, TASK_TREES = 4096, 128, 12, 16
 #: Distinct query vectors broadcast at once; more are searched block by block.
 QUERY_BLOCK = 16_384
 #: Vectors sampled as pivots, by which near vectors are put into one tree. Every vector is indexed.
@@ -94,9 +96,9 @@ class MTree:
         which, rows, scores = self.find(queries, k)
         return which, self.ids[rows], scores
 
-    def find(self, queries: np.ndarray, k: int, own: np.ma.MaskedArray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, queries: np.ndarray, k: int, own: np.ma.MaskedArray | None = None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query's row, vector's row, score) of the k best vectors of each query, ties to the smaller id. Vectors with the
-        id that `own` has for a query are passed over.
+        id that `own` has for a query are passed over, and so may be those that score less than the query's `floor`.
 
         Each query goes best page first: it opens the page of its frontier with the least bound, until that lies beyond the
         distance of its k-th result. Queries that open the same page do so together. Pages and vectors are left out without
@@ -111,6 +113,14 @@ class MTree:
         none = np.iinfo(np.int64).min
         best, reach = np.full((m, k), none), np.full(m, np.inf)
 
+        def reaching(asked: np.ndarray, score: np.ndarray) -> np.ndarray:
+            # the slack outweighs the rounding of distances; it may open a page too many, never one too few
+            return np.sqrt(np.maximum(q2[asked] + self.norm2 - 2.0 * score, 0.0) + _SLACK * (q2[asked] + self.norm2 + 1.0)) + 1e-3
+
+        if floor is not None:
+            known = np.flatnonzero(floor != none)
+            reach[known] = reaching(known, floor[known].astype(np.float64))
+
         def distances(asked: np.ndarray, pivots: np.ndarray) -> np.ndarray:
             squares = q2[asked][:, None] + (pivots**2).sum(axis=1) - 2.0 * (queries[asked] @ pivots[:, :-1].T)
             return np.sqrt(np.maximum(squares, 0.0))
@@ -153,9 +163,7 @@ class MTree:
                 keys = np.concatenate([best[asked], keys], axis=1)
                 best[asked] = np.partition(keys, -k, axis=1)[:, -k:]
                 least = best[asked].min(axis=1)
-                # the slack outweighs the rounding of distances; it may open a page too many, never one too few
-                far = np.sqrt(np.maximum(q2[asked] + self.norm2 - 2.0 * (least >> _ROW_BITS), 0.0) + _SLACK * (q2[asked] + self.norm2 + 1.0)) + 1e-3
-                reach[asked] = np.where(least == none, np.inf, far)
+                reach[asked] = np.minimum(reach[asked], np.where(least == none, np.inf, reaching(asked, least >> _ROW_BITS)))
         which, column = np.nonzero(best != none)
         found = best[which, column]
         return which, (1 << _ROW_BITS) - 1 - (found & ((1 << _ROW_BITS) - 1)), found >> _ROW_BITS
@@ -189,7 +197,7 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _trees(points: DataFrame, n_rows: int) -> DataFrame:
-    """One row a tree: (n, tree). Near vectors meet in a tree: rows are dealt by their nearest of a few sampled pivots; a
+    """One row a tree: (part, n, tree), part being the task that holds it. Near vectors meet in a tree: rows are dealt by their nearest of a few sampled pivots; a
     crowded pivot spreads over several trees by a hash."""
     sample = points.orderBy(F.xxhash64("v", "id"), "id").limit(PIVOTS).select("n", "v").toPandas()
     by_n = {int(n): np.stack(g["v"].to_list()) for n, g in sample.groupby("n")}
@@ -211,16 +219,96 @@ def _trees(points: DataFrame, n_rows: int) -> DataFrame:
             return
         table = pa.Table.from_batches(rows)
         widths = table.column("n").to_numpy()
+        pivots = table.column("pivot").to_numpy()
         for n in np.unique(widths):
             own = np.flatnonzero(widths == n)
-            for start in range(0, len(own), 2 * TREE_ROWS):
-                part = table.take(pa.array(own[start : start + 2 * TREE_ROWS]))
+            own = own[np.argsort(pivots[own], kind="stable")]
+            for start in range(0, len(own), TREE_ROWS):
+                part = table.take(pa.array(own[start : start + TREE_ROWS]))
                 vectors = _matrix(part.column("v")) if n else np.zeros((part.num_rows, 0))
                 tree = MTree(part.column("id").to_numpy(), vectors, part.column("copies").to_numpy())
-                yield pa.record_batch([pa.array([int(n)], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], names=["n", "tree"])
+                columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([int(n)], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())]
+                yield pa.record_batch(columns, names=["part", "n", "tree"])
 
     dealt = points.mapInArrow(nearest, "id long, v array<double>, n int, copies long, pivot long")
-    return dealt.repartitionByRange(max(1, -(-n_rows // TREE_ROWS)), "n", "pivot", F.xxhash64("v", "id")).mapInArrow(build, "n int, tree binary")
+    tasks = max(1, -(-n_rows // (TREE_ROWS * TASK_TREES)))
+    return dealt.repartitionByRange(tasks, "n", "pivot", F.xxhash64("v", "id")).mapInArrow(build, "part int, n int, tree binary")
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _merged(parts: list[Found], k: int) -> Found:
+    """(query, id, score, copies) of the k best of each query."""
+    which, ids, scores, copies = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((ids, ~scores, which))  # ~x falls as x rises, without overflow
+    which = which[order]
+    first = np.searchsorted(which, which)
+    kept = order[np.arange(len(which)) - first < k]
+    return tuple(c[kept] for c in (np.concatenate([p[0] for p in parts]), ids, scores, copies))
+
+
+def _searched(trees: DataFrame, asking: dict, k: int) -> DataFrame:
+    """(q, id, score, copies): the k best vectors of each task's trees for the queries `asking`, n -> (q, vectors, own ids,
+    floors). A task's trees raise the floors for one another, and what lies below the floor is not returned."""
+    none = np.iinfo(np.int64).min
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, Found] = {}
+        floors: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, stored in zip(batch.column("n").to_pylist(), batch.column("tree").to_pylist(), strict=True):
+                if n not in sent.value:
+                    continue
+                tree: MTree = pickle.loads(stored)
+                _, vectors, skipped, floor = sent.value[n]
+                floor = floors.setdefault(n, floor.copy())
+                which, at, scores = tree.find(vectors, k, skipped, floor)
+                good = scores >= floor[which]
+                parts = [best[n]] if n in best else []
+                best[n] = _merged([*parts, (which[good], tree.ids[at[good]], scores[good], tree.copies[at[good]])], k)
+                which, _, scores, _ = best[n]
+                full = np.flatnonzero(np.bincount(which, minlength=len(floor)) == k)
+                floor[full] = np.maximum(floor[full], scores[np.searchsorted(which, full, side="right") - 1])
+        for n, (which, ids, scores, copies) in best.items():
+            good = scores >= floors[n][which]
+            yield pa.record_batch([pa.array(sent.value[n][0][which[good]]), pa.array(ids[good]), pa.array(scores[good]), pa.array(copies[good])], names=["q", "id", "score", "copies"])
+
+    asking = {n: (q, v, own, np.full(len(q), none) if floor is None else floor) for n, (q, v, own, floor) in asking.items()}
+    sent = trees.sparkSession.sparkContext.broadcast(asking)
+    found = checkpointed(trees.select("n", "tree").mapInArrow(search, "q long, id long, score long, copies long"))
+    sent.destroy()
+    return found
+
+
+def _asking(block: DataFrame) -> dict[int, list]:
+    """n -> [q, vectors, own ids, no floors] of a block of queries, whose number is bounded."""
+    got = block.select("q", "v", "n", "own").toArrow()
+    widths = got.column("n").to_numpy()
+    asking = {}
+    for n in np.unique(widths):
+        part = got.take(pa.array(np.flatnonzero(widths == n)))
+        own = part.column("own")
+        vectors = _matrix(part.column("v")) if n else np.zeros((part.num_rows, 0))
+        skipped = np.ma.masked_array(own.fill_null(0).to_numpy(), own.is_null().to_numpy()) if own.null_count < len(own) else None
+        asking[int(n)] = [part.column("q").to_numpy(), vectors, skipped, None]
+    return asking
+
+
+def _search_block(trees: DataFrame, tasks: int, asking: dict[int, list], k: int) -> DataFrame:
+    """The k best vectors of each task's trees for one block of queries. Some tasks, about the root of all, go first; the
+    k-th score that they find is a floor for the others, which then return hardly more than what is above it."""
+    stride = max(1, round(tasks**0.5))
+    first = _searched(trees.filter(F.col("part") % stride == 0), asking, k)
+    if tasks == 1:
+        return first
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    top = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    known = top.groupBy("q").agg(F.count("*").alias("c"), F.min("score").alias("floor")).filter(F.col("c") == k).select("q", "floor").toArrow()
+    floors = dict(zip(known.column("q").to_pylist(), known.column("floor").to_pylist(), strict=True))
+    for entry in asking.values():
+        entry[3] = np.array([floors.get(q, np.iinfo(np.int64).min) for q in entry[0].tolist()], np.int64)
+    return first.unionByName(_searched(trees.filter(F.col("part") % stride != 0), asking, k))
 
 
 def top_k(rows: DataFrame, every: int = 50, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -232,8 +320,9 @@ def top_k(rows: DataFrame, every: int = 50, k: int = TOP, id_col: str = "vec_id"
     but an id with several vectors asks by itself, and its own points are passed over in the trees: the answers to all its
     vectors are ranked together. Rows with the query's id never answer it; other repeated rows count each. An empty table,
     or one without usable queries, gives an empty result; other columns are ignored.
+
+    The queries reach the tasks in blocks of `query_block` at most.
     """
-    spark = rows.sparkSession
     usable = checkpointed(quantised(rows, id_col, vector_col).groupBy("id", "v", "n").agg(F.count("*").alias("copies")))
     ranked = usable.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id")))
     asked = usable.filter(F.col("id") % every == 0).select("id", "v", "n")
@@ -241,34 +330,11 @@ def top_k(rows: DataFrame, every: int = 50, k: int = TOP, id_col: str = "vec_id"
     asked = checkpointed(asked.join(several, "id", "left"))
     points = checkpointed(ranked.filter(F.col("r") <= k + 1).drop("r"))
     trees = checkpointed(_trees(points, points.count()))
+    tasks = (trees.agg(F.max("part")).first()[0] or 0) + 1
     queries = checkpointed(asked.groupBy("v", "n", "own").agg(F.count("*")).withColumn("q", F.monotonically_increasing_id()))
     blocks = max(1, -(-queries.count() // query_block))
-    found = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "v", "n", "own").toArrow()
-        widths = block.column("n").to_numpy()
-        asking = {}
-        for n in np.unique(widths):
-            part = block.take(pa.array(np.flatnonzero(widths == n)))
-            own = part.column("own")
-            vectors = _matrix(part.column("v")) if n else np.zeros((part.num_rows, 0))
-            skipped = np.ma.masked_array(own.fill_null(0).to_numpy(), own.is_null().to_numpy()) if own.null_count < len(own) else None
-            asking[int(n)] = (part.column("q").to_numpy(), vectors, skipped)
-        sent = spark.sparkContext.broadcast(asking)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for n, stored in zip(batch.column("n").to_pylist(), batch.column("tree").to_pylist(), strict=True):
-                    if n not in sent.value:
-                        continue
-                    tree: MTree = pickle.loads(stored)
-                    names, vectors, skipped = sent.value[n]
-                    which, at, scores = tree.find(vectors, k + 1, skipped)
-                    yield pa.record_batch([pa.array(names[which]), pa.array(tree.ids[at]), pa.array(scores), pa.array(tree.copies[at])], names=["q", "id", "score", "copies"])
-
-        part = checkpointed(trees.mapInArrow(search, "q long, id long, score long, copies long"))
-        sent.destroy()
-        found = part if found is None else found.unionByName(part)
+    parts = [_search_block(trees, tasks, _asking(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)), k + 1) for b in range(blocks)]
+    found = functools.reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).drop("r")
     same = (asked.v == queries.v) & asked.own.eqNullSafe(queries.own)
