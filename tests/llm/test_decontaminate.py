@@ -47,9 +47,10 @@ def tables():
     return items, texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_screen_words": 3, "max_broadcast_windows": 1}])
-def test_against_brute_force(spark, limits):
+@pytest.mark.parametrize(("limits", "least"), [({"screen_longs": 1024}, 0), ({"screen_longs": 1}, 0), ({}, 9), ({"screen_longs": 2}, 10)])
+def test_against_brute_force(spark, limits, least):
     items, texts = tables()
+    items = [(i, t) for i, t in items if len((t or "").split()) >= least]
     docs = [(i, t, "clash", 1) for i, t in enumerate([*texts, texts[4]])]
     got = d.find_hits(spark.createDataFrame(docs, "doc_id long, text string, item string, w int"), spark.createDataFrame(items, "item_id long, text string"), **limits).collect()
     assert len(got) == len(docs)

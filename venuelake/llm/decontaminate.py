@@ -9,16 +9,25 @@ from venuelake.llm.common import ascii_lower, checkpointed
 
 #: Words of a window.
 WINDOW = 10
-#: Distinct benchmark words up to which a set of them screens the texts; a larger benchmark is joined without the screen.
-MAX_SCREEN_WORDS = 50_000
-#: Benchmark windows up to which their table is broadcast; a larger one is joined by shuffling both sides.
-MAX_BROADCAST_WINDOWS = 500_000
+#: Every so many words, at most, a text's word is looked at first; a window holds two of them in a row.
+STRIDE = 5
+#: Longs of a screen: a set of hashes kept as bits, of one size for every benchmark, which each task holds.
+SCREEN_LONGS = 1 << 17
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BREAK_CHARS = "".join(chr(c) for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_BREAK_CHARS))
+
+
+def _split(trimmed: Column) -> Column:
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BREAKS))
 
 
 def words(text: Column) -> Column:
     """Runs of a-z, 0-9 and characters outside ASCII, after A-Z is lower-cased; null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _BREAKS), lambda w: w != "")
+    return _split(_trimmed(text))
 
 
 def _window_at(w: Column, start: Column, length: Column) -> Column:
@@ -36,27 +45,37 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     )
 
 
-def _screen(windows: DataFrame, limit: int) -> tuple[list[int], list[str] | None]:
-    """The window lengths (at most WINDOW numbers) and, if there are at most `limit`, the words of the windows."""
-    lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())
-    vocabulary = windows.select(F.explode(F.split("win", " ")).alias("w")).distinct().limit(limit + 1)
-    found = [r["w"] for r in vocabulary.collect()]
-    return lengths, (found if len(found) <= limit else None)
+def _screen(hashes: DataFrame, longs: int) -> str:
+    """The bits of a set of 64-bit hashes `h` as SQL of an array of longs. Only rows with a bit come back, at most `longs`."""
+    at = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(longs - 1)).cast("int")
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    held = [0] * longs
+    for r in hashes.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
+        held[r["at"]] = r["bits"]
+    return f"CAST(split('{','.join(map(str, held))}', ',') AS ARRAY<BIGINT>)"
 
 
-def _runs(lengths: list[int], vocabulary: list[str] | None) -> Column:
-    """Window places (start, m) all of whose words occur in the benchmark, in a text whose words are `w`."""
-    if vocabulary is None:
-        places = "flatten(transform(array({ms}), m -> if(size(w) < m, array(), transform(sequence(1, size(w) - m + 1), i -> struct(i AS i, m AS m)))))"
-        return F.expr(places.format(ms=", ".join(map(str, lengths))))
-    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in sorted(vocabulary)) or "''"
-    # one character a word: 1 if the benchmark has it; a place fits where m of them in a row are 1
-    flags = f"array_join(transform(w, x -> if(x IN ({quoted}), '1', '0')), '')"
+def _in(screen: str, h: str, longs: int) -> str:
+    return f"getbit(get({screen}, CAST((shiftrightunsigned({h}, 6) & {longs - 1}L) AS INT)), CAST({h} & 63 AS INT)) = 1"
+
+
+def _runs(lengths: list[int], known_words: str, known_windows: str, longs: int) -> Column:
+    """Window places (i, m) that may hold a benchmark window, in a text whose words are `w`.
+
+    First a few words of the text are looked at, so far apart that a window holds two of them in a row; only where two in a
+    row may be the benchmark's are all words looked at, and only windows of such words hashed as a whole.
+    """
+    stride = max(1, min(STRIDE, min(lengths) // 2))
+    two = "11" if 2 * stride <= min(lengths) else "1"
+    word = _in(known_words, "h", longs)
+    some = f"array_join(transform(transform(sequence({stride}, size(w), {stride}), i -> xxhash64(get(w, i - 1))), h -> if({word}, '1', '0')), '')"
+    maybe = f"size(w) >= {stride} AND instr({some}, '{two}') > 0"
+    flags = f"array_join(transform(transform(w, x -> xxhash64(x)), h -> if({word}, '1', '0')), '')"
     places = (
         "flatten(transform(array({ms}), m -> if(instr(f, repeat('1', m)) = 0, array(), "
-        "filter(transform(sequence(1, size(w) - m + 1), i -> struct(i AS i, m AS m)), p -> substring(f, p.i, m) = repeat('1', m)))))"
-    ).format(ms=", ".join(map(str, lengths)))
-    return F.expr(f"transform(array({flags}), f -> {places})[0]")
+        "filter(transform(sequence(1, size(w) - m + 1), i -> struct(i AS i, m AS m)), p -> substring(f, p.i, m) = repeat('1', m) AND exists(array(xxhash64(slice(w, p.i, m))), h -> {known})))))"
+    ).format(ms=", ".join(map(str, lengths)), known=_in(known_windows, "h", longs))
+    return F.expr(f"if({maybe}, transform(array({flags}), f -> {places})[0], array())")
 
 
 def find_hits(
@@ -67,42 +86,42 @@ def find_hits(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    max_screen_words: int = MAX_SCREEN_WORDS,
-    max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
+    screen_longs: int = SCREEN_LONGS,
 ) -> DataFrame:
     """(id, h, n_words, n_hit, items, spans) for every row: h is the text's hash, n_hit the words inside any
     occurrence of a benchmark window, items the sorted ids of the items with an occurring window, spans the occurrences as
     (first word, words). Texts and items without words have no hits; null texts have no words; null ids are kept.
 
-    Two steps look the windows up: a text first keeps the places all of whose words the benchmark knows, which leaves nearly
-    nothing of a clean text; those windows are then joined with the benchmark's, by content. The benchmark side is broadcast
-    only while its counted windows are under a bound.
+    The benchmark's words and windows are two sets of hashes, each a broadcast array of bits of one size; a larger benchmark
+    only lets more false candidates through (`screen_longs` is a power of two). The candidate windows of all texts are then
+    joined with the benchmark's by content, which decides; a row's own number keys its hits, so no text's rows gather.
     """
     windows = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, window))
-    n_windows = windows.count()
     key, h = F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.length(F.col(text_col))).alias("h")
-    if n_windows == 0:
+    lengths = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most `window` numbers
+    if not lengths:
         none = F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<i:int,m:int>>").alias("spans")
         return docs.select(key, h, F.size(words(F.col(text_col))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *none)
-    lengths, vocabulary = _screen(windows, max_screen_words)
-    scanned = docs.select(key, h, words(F.col(text_col)).alias("w"))
-    places = scanned.select("id", "h", F.size("w").cast("long").alias("n_words"), "w", _runs(lengths, vocabulary).alias("p"))
-    kept = checkpointed(places.select("id", "h", "n_words", F.expr("transform(p, q -> struct(q.i AS i, q.m AS m, array_join(slice(w, q.i, q.m), ' ') AS win))").alias("p")))
-    side = F.broadcast(windows) if n_windows <= max_broadcast_windows else windows
-    hits = kept.select("id", "h", F.inline("p")).join(side, ["m", "win"])
+    split = windows.select(F.split("win", " ").alias("v"))
+    known_words = _screen(split.select(F.explode("v").alias("x")).select(F.xxhash64("x").alias("h")), screen_longs)
+    known_windows = _screen(split.select(F.xxhash64("v").alias("h")), screen_longs)
+    trimmed = docs.select(key, h, _trimmed(F.col(text_col)).alias("t"))
+    scanned = trimmed.select("id", "h", _split(F.col("t")).alias("w"))
+    places = scanned.select("id", "h", F.size("w").cast("long").alias("n_words"), "w", _runs(lengths, known_words, known_windows, screen_longs).alias("p"))
+    found = places.select("id", "h", "n_words", F.expr("transform(p, q -> struct(q.i AS i, q.m AS m, array_join(slice(w, q.i, q.m), ' ') AS win))").alias("p"))
+    kept = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
+    hits = kept.select("row", F.inline("p")).join(windows, ["m", "win"])
     # the covered words of a text: its places in order, each adding what the ones before it left uncovered
     covered = F.expr(
         "aggregate(spans, struct(0 AS upto, 0L AS total), (a, s) -> struct(greatest(a.upto, s.i + s.m - 1) AS upto, "
         "a.total + greatest(0, s.i + s.m - 1 - greatest(a.upto, s.i - 1)) AS total), a -> a.total)"
     )
-    found = (
-        hits.groupBy("id", "h")
+    of_row = (
+        hits.groupBy("row")
         .agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-        .select(F.col("id").alias("f_id"), F.col("h").alias("f_h"), "items", "spans", covered.alias("n_hit"))
+        .select("row", "items", "spans", covered.alias("n_hit"))
     )
-    base = kept.select("id", "h", "n_words")
-    joined = base.join(found, base.id.eqNullSafe(F.col("f_id")) & (base.h == F.col("f_h")), "left")
-    return joined.select(
+    return kept.select("row", "id", "h", "n_words").join(of_row, "row", "left").select(
         "id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<i:int,m:int>>")).alias("spans"),
     )
