@@ -43,6 +43,58 @@ def test_short_runs_inside_an_article_that_is_not_marked_are_kept():
         assert want in got and got.count("Section 7") == 0
 
 
+def _page(*blocks):
+    return "<html><body>" + "".join(f"<p>{b}</p>" for b in blocks) + "</body></html>"
+
+
+def brute_flat(html, sigma, threshold):
+    """Pages of plain paragraphs: all from the first to the last line above the threshold."""
+    import math
+
+    lines = [(t, len(t) / max(n, 1)) for t, n, *_ in html_text.text_lines(html)]
+    ratios = [r for _, r in lines]
+    reach = math.ceil(3 * sigma)
+    smooth = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-(((j - i) / sigma) ** 2) / 2), ratios[j]) for j in range(max(0, i - reach), min(len(ratios), i + reach + 1))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    used = [r for t, r in lines if t]
+    cut = min(threshold * spread, html_text.MEAN_SHARE * sum(used) / len(used))
+    over = [i for i, (t, _) in enumerate(lines) if t and smooth[i] >= cut]
+    return " ".join(t for t, _ in lines[over[0] : over[-1] + 1] if t)
+
+
+def test_unmarked_pages_equal_brute_force():
+    import random
+
+    rng = random.Random(6)
+    dropped = 0
+    for _ in range(60):
+        blocks = ["word " * rng.choice([1, 1, 2, 3, 60, 90]) + str(i) for i in range(rng.randint(2, 25))]
+        for sigma, threshold in ((1.0, 0.5), (0.4, 0.5), (2.0, 0.9)):
+            got = html_text.main_text(_page(*blocks), sigma, threshold)
+            assert got == brute_flat(_page(*blocks), sigma, threshold)
+            dropped += len(got) < len(" ".join(blocks))
+    assert dropped > 20
+
+
+def test_ratio_smoothing_and_threshold_decide():
+    long = "word " * 80 + "end"
+    flat = _page("Home", "News", "Sport", "Mail", "Title", long, long, "So it ends", "Terms", "Privacy", "Imprint", "Help")
+    normal = html_text.main_text(flat)
+    assert normal.startswith("Mail Title word") and normal.endswith("So it ends Terms")
+    assert html_text.main_text(flat, sigma=0.2).startswith("word")  # smoothing lends the title its neighbours' ratio
+    assert html_text.main_text(flat, threshold=0.0).startswith("Home News")
+    spread = "<html><body>" + "".join(f"<p>{'<b>x</b>' * 60}{long}</p>" if p == "tags" else f"<p>{p}</p>" for p in ("a b", "c d", "e f", "g h", long, "i", "j", "k", "l", "tags")) + "</body></html>"
+    assert html_text.main_text(spread).count("end") == 1  # as long a text among many tags is no content
+    teasers = "".join(f"<article><h2>Teaser {i}</h2><p>More</p></article>" for i in range(6))
+    marked = f"<html><body><div><article><h1>Head</h1><div><p>By</p><p>Me</p></div><p>{long}</p><p>{long}</p><section><h2>Last</h2><p>bit</p></section></article></div><div>{teasers}</div></body></html>"
+    assert html_text.main_text(marked) == f"Head By Me {long} {long} Last bit"
+    assert "Teaser 5" in html_text.main_text(marked, threshold=0.0)
+
+
 WORDS = {"en": "the cat and the dog with this house of that man", "de": "der hund und die katze mit dem haus von einem mann", "fr": "le chat et le chien avec la maison de cet homme"}
 
 

@@ -33,7 +33,7 @@ SIGMA = 1.0
 THRESHOLD = 0.5
 MEAN_SHARE = 0.35
 #: Elements that make a region of a page; others only shape its lines.
-CONTAINERS = frozenset("aside center details div fieldset section".split())
+CONTAINERS = frozenset("article aside center details div fieldset main section".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements whose end tag may be left out: a block inside or after them closes them.
@@ -61,7 +61,7 @@ class _Lines(HTMLParser):
     """Collects lines: (text, number of tags, in a content element, outside the content).
 
     For each line, `regions` has the number of its container and `linked` whether all its text is of links; `parents` has
-    the container around each, the page itself being 0.
+    the container around each and `homes` the innermost article or main element, the page itself being 0.
     """
 
     def __init__(self) -> None:
@@ -72,6 +72,7 @@ class _Lines(HTMLParser):
         self.regions: list[int] = []
         self.linked: list[bool] = []
         self.parents: list[int] = [0]
+        self.homes: list[int] = [0]
         self.region, self.in_link, self.plain = 0, False, False
         self.stack: list[tuple[str, int, bool]] = []  # (tag, outside: 1 only by a weak element, 2 else; inside an article or main)
 
@@ -124,6 +125,7 @@ class _Lines(HTMLParser):
             self.stack.append((tag, off, inside or (content and not off)))
             if tag in CONTAINERS:
                 self.parents.append(self.region)
+                self.homes.append(len(self.parents) - 1 if content else self.homes[self.region])
                 self.region = len(self.parents) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -178,13 +180,14 @@ def _between(regions: list[int], keep: np.ndarray) -> np.ndarray:
 def _whole_regions(page: _Lines, usable: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """The kept lines and the short lines that stand in one region with them.
 
-    Usable lines between kept lines of one container belong to it, and so do lines beside kept
-    lines in a container of the page, unless they are links only. Then a container of one line is taken for its line, as
+    Usable lines between kept lines of one container belong to it, and so do lines beside kept lines in a container of the
+    page or anywhere in an article, unless they are links only. Then a container of one line is taken for its line, as
     where each paragraph has its own, and lines between kept ones belong to these again unless they are links only.
     """
     regions, plain = page.regions, ~np.array(page.linked, bool)
-    held = {regions[i] for i in np.flatnonzero(keep).tolist()} - {0}
-    keep = usable & (_between(regions, keep) | plain & np.array([r in held for r in regions], bool))
+    kept = {regions[i] for i in np.flatnonzero(keep).tolist()}
+    held, homes = kept - {0}, {page.homes[r] for r in kept} - {0}
+    keep = usable & (_between(regions, keep) | plain & np.array([r in held or page.homes[r] in homes for r in regions], bool))
     under = [0] * len(page.parents)
     for i in np.flatnonzero(usable).tolist():
         under[regions[i]] += 1
@@ -206,11 +209,13 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
-    """The lines whose smoothed text-to-tag ratio reaches the threshold, joined by one space.
+    """The lines of the content regions, joined by one space.
 
-    The parser's events weigh the ratios first: a line outside the content (menus, notices, forms, comments and so on) has
-    ratio 0; where the page marks its article, a line of it has the page's mean at least, and one outside of it 0. Where it
-    marks none, lists, dialogue or verse in one region with the lines above the threshold are kept with them.
+    A line's ratio is its text's length to its tags. The parser's events weigh it first: outside the content (menus, notices,
+    forms, comments and so on), and outside the article where the page marks one, it is 0. Smoothed by a Gaussian over the
+    neighbouring lines, the ratios are clustered by a threshold; a region (an article, a container of the page) with lines
+    above it is content, with the headings, lists, dialogue or verse that stand in it, and one without is not: so teasers
+    beside an article go, marked as articles or not. A null or empty page, and one without usable lines, has no text.
     """
     if not html:
         return ""
@@ -221,13 +226,9 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     if not usable.any():
         return ""
     ratios = np.where(usable, [len(text) / max(tags, 1) for text, tags, *_ in lines], 0.0)
-    mean = ratios[usable].mean()
-    if marked:
-        ratios = np.where(usable, np.maximum(ratios, mean), 0.0)
     smooth = smoothed(ratios, sigma)
-    keep = usable & (smooth >= min(threshold * smooth.std(), MEAN_SHARE * mean))
-    if not marked:
-        keep = _whole_regions(page, usable, keep)
+    keep = usable & (smooth >= min(threshold * smooth.std(), MEAN_SHARE * ratios[usable].mean()))
+    keep = _whole_regions(page, usable, keep)
     return " ".join(line[0] for line, k in zip(lines, keep, strict=True) if k)
 
 
