@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed
+from venuelake.llm.common import HOT_PARTS, HOT_ROWS, checkpointed, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One round. Each node's least neighbour is a grouped minimum, combined before the shuffle, so a node with very many
-    links costs one row per task; no neighbour list is gathered."""
+    links costs one row per task; no neighbour list is gathered, and the links of hot nodes stay where they are."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both if large else both.filter("b <= a")
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = around.join(least, "a")
+    least = around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    above = max(HOT_ROWS, 2 * n_edges / HOT_PARTS)
+    moved = spread_join(around, least, ["a"], above=above) if n_edges > above else around.join(least, "a")
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -30,13 +31,13 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     current = checkpointed(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct()
     )
-    mark = None
+    mark, n_edges = None, current.count()
     for _ in range(max_rounds):
-        current = checkpointed(_star(_star(current, True), False))
+        current = checkpointed(_star(_star(current, True, n_edges), False, 2 * n_edges))
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n_edges = now, now[0]
     else:
         raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

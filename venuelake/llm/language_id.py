@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed, small_batches
+from venuelake.llm.common import checkpointed, small_batches, spread_join
 
 #: Hash buckets of the character trigrams, as a power of two.
 BUCKET_BITS = 15
-#: Languages a model may have: its table is sent to every task.
-MAX_LANGUAGES = 64
+#: Languages a model may have at most: its table, of 128 KB a language, is sent to every task. More labels than languages
+#: exist are a fault of the table, which is refused.
+MAX_LANGUAGES = 1024
 #: Neighbouring trigrams share characters, so each counts as this part of an independent observation.
 TEMPER = 0.3
 #: Pages' worth of evidence that a parent level lends to its child's prior.
@@ -66,7 +67,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     table = np.full((len(languages), 1 << BUCKET_BITS), 0.5)
     got = counts.toPandas()  # at most languages x buckets rows
     np.add.at(table, (got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64), got["bucket"].to_numpy(np.int64)), got["n"].to_numpy(float))
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
+    return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _host(url: Column) -> Column:
@@ -108,7 +109,7 @@ def identify(
         for page in htmls.to_pylist():
             found = _LANG_ATTR.search(page or "")
             declared.append(found[1].lower() if found else None)
-            total = sent.value[:, trigram_buckets(visible_text(page))].sum(axis=1)
+            total = sent.value @ np.bincount(trigram_buckets(visible_text(page)), minlength=1 << BUCKET_BITS).astype(float)
             logs.append(TEMPER * (total - total.max()))
         return pa.StructArray.from_arrays([pa.array(declared, pa.string()), pa.array(logs, pa.list_(pa.float64()))], names=["declared", "logs"])
 
@@ -124,16 +125,17 @@ def identify(
         .select("id", "host", "domain", "address", F.coalesce("declared", F.lit("")).alias("declared"), "logs", *[(F.exp(F.col("logs")[i]) / F.col("total")).alias(f"p{i}") for i in range(n)])
     )
     seen = checkpointed(seen)
-    hosts = seen.groupBy("host").agg(*_sum_columns(n, "h"), F.first("domain").alias("domain"))
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(n)])
+    hosts = checkpointed(seen.groupBy("host").agg(*_sum_columns(n, "h"), F.first("domain").alias("domain"), F.count("*").alias("n")))
+    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(n)], F.sum("n").alias("n"))
     whole = [float(v or 0.0) for v in seen.agg(*_sum_columns(n, "a")).first()]
     base = [(v + 1.0) / (sum(whole) + n) for v in whole]
     kinds = {}
     for name in ("declared", "address"):
-        kinds[name] = seen.groupBy(name).agg(*_sum_columns(n, name[0] * 2))
-    joined = seen.join(hosts.drop("domain"), "host").join(domains, "domain")
-    for name, counted in kinds.items():
-        joined = joined.join(counted, name)
+        kinds[name] = seen.groupBy(name).agg(*_sum_columns(n, name[0] * 2), F.count("*").alias("n"))
+    # pages of a hot host, domain or kind stay where they are
+    joined = seen
+    for name, counted in {"host": hosts.drop("domain"), "domain": domains, **kinds}.items():
+        joined = spread_join(joined, checkpointed(counted), [name]).drop("n")
     # the page's own share is taken out of every sum before it serves as evidence on the page
     logs = []
     for i in range(n):

@@ -170,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(~is_held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     sample = known.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) > 0.5).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    got = rows.select("id", "y", F.arrow_udf(_feature_rows, "array<double>")("text").alias("x")).orderBy("id", F.col("x")).limit(2 * max_rows).toPandas()
+    # of rows that share an id, all of whose texts have its label, one is learnt from: at most `max_rows` come back
+    single = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = single.select("id", "y", F.arrow_udf(_feature_rows, "array<double>")("text").alias("x")).toPandas().sort_values("id")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy(float))
 
@@ -191,6 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """`docs` without the rows that the classifier rejects (predicted 0)."""
+    """`docs` without the rows that the classifier rejects (predicted 0); each row is judged by its text alone, so null ids and
+    repeated rows do not matter, and null texts count as empty."""
     model = train(docs, labels, id_col, text_col, label_col)
     return docs.filter(score(F.col(text_col), model) >= 0.5)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed, content_hash, small_batches, stored
+from venuelake.llm.common import checkpointed, content_hash, small_batches, spread_join, stored
 from venuelake.llm.components import components
 
 #: Links join fingerprints at this many differing bits or fewer.
@@ -122,11 +122,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     marked = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
-    points = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    points = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     named = _grouped(points, cell_pairs)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    resolved = named.join(least, "component").select("fp", "component_id")
-    return marked.join(resolved, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    resolved = checkpointed(named.join(least, "component").select("fp", "component_id", "n"))
+    return spread_join(marked, resolved, ["fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_pairs: int = CELL_PAIRS) -> DataFrame:

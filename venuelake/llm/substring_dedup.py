@@ -143,35 +143,58 @@ _RUN_KIND = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("long", p
 def _expanded(cut: DataFrame, least: int, screen: int) -> DataFrame:
     """(anchor, span, runs) of the spans (anchor, span, at, room, data) with a repeated string of `screen` bytes; runs are
     ranges of places (a, b) from the span's start, those of `least` bytes marked long. All spans of an anchor meet in a
-    task, which transforms some anchors at a time."""
+    task, which transforms some anchors at a time: once for the strings of either length."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[int, bytes]] = {}
+        held: dict[bool, list[tuple[int, list[int], int, bytes]]] = {True: [], False: []}  # (anchor, its spans, room, bytes)
+        runs: dict[tuple[int, int], list[dict]] = {}
         members: dict[int, tuple[int, int, bytes]] = {}
         size, last = 0, None
 
+        def collect() -> int:
+            """Take over the spans of one anchor that a transform must compare; returns their bytes."""
+            full = {s: (at, min(room, len(data) - least + 1), data) for s, (at, room, data) in members.items() if len(data) >= least}
+            long = [(last, [s], room, data) for s, (room, data) in _promising(full, least).items()]
+            # spans whose bytes differ only beyond their short strings repeat all of these; one of them is compared with others
+            alike: dict[tuple[int, bytes], list[int]] = {}
+            for s, (at, room, data) in members.items():
+                alike.setdefault((at, data[: room - 1 + screen]), []).append(s)
+            for (_, data), spans in alike.items():
+                if len(spans) > 1:
+                    for s in spans:
+                        runs[last, s] = [{"a": 0, "b": len(data) - screen, "long": False}]
+            near = _promising({spans[0]: (at, len(data) - screen + 1, data) for (at, data), spans in alike.items()}, screen)
+            short = [(last, alike[members[s][0], data], room, data) for s, (room, data) in near.items()]
+            held[True] += long
+            if any(len(spans) == 1 for _, spans, *_ in short):
+                held[False] += short
+            return sum(len(d) for *_, d in long) + sum(len(d) for *_, d in short)
+
         def settle() -> pa.RecordBatch:
-            full, short = repeated_starts([d for _, d in held.values()], least, screen, rooms=[r for r, _ in held.values()])
-            found = [(k, _runs(f, True) + _runs(s, False)) for k, f, s in zip(held, full, short, strict=True)]
-            kept = [(k, r) for k, r in found if r]
-            return pa.record_batch(
-                [pa.array([k[0] for k, _ in kept], pa.int64()), pa.array([k[1] for k, _ in kept], pa.int64()), pa.array([r for _, r in kept], _RUN_KIND)],
+            for long, rows in held.items():
+                (flags,) = repeated_starts([d for *_, d in rows], least if long else screen, rooms=[r for *_, r, _ in rows]) if rows else ([],)
+                for (anchor, spans, *_), f in zip(rows, flags, strict=True):
+                    if len(spans) == 1 and (found := _runs(f, long)):
+                        runs.setdefault((anchor, spans[0]), []).extend(found)
+                rows.clear()
+            out = pa.record_batch(
+                [pa.array([a for a, _ in runs], pa.int64()), pa.array([s for _, s in runs], pa.int64()), pa.array(list(runs.values()), _RUN_KIND)],
                 names=["anchor", "span", "runs"],
             )
+            runs.clear()
+            return out
 
         for batch in batches:
             for anchor, span, at, room, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != last:
-                    for s, d in _promising(members, screen).items():
-                        held[last, s] = d
-                        size += len(d[1])
+                    size += collect()
                     members, last = {}, anchor
                     if size >= BATCH_BYTES:
                         yield settle()
-                        held, size = {}, 0
+                        size = 0
                 members.setdefault(span, (at, room, data))
-        held.update({(last, s): d for s, d in _promising(members, screen).items()})
-        if held:
+        collect()
+        if runs or any(held.values()):
             yield settle()
 
     return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, f"anchor long, span long, runs {_RUN}")
