@@ -12,23 +12,48 @@ from pyspark.sql.types import StringType, StructType
 
 
 def budget_state(receipts: DataFrame, allowances: DataFrame, as_of: Column) -> DataFrame:
-    """Each allowance's balance, month-to-date (UTC) and trailing 24 hour spend, and alert stage at an instant.
+    """Each allowance's state at an instant, from its receipts (allowance_id, amount, at) and the provider's last snapshot.
 
-    Receipts are (allowance_id, amount, at); allowances (allowance_id, allocated). One grouped pass of conditional sums;
-    allowances without receipts have zeros. Stages: EXHAUSTED at nothing left, CRITICAL below a tenth, LOW below a quarter.
+    Allowances are (allowance_id, monthly, allocated, reserved, requests, max_requests, price, enabled, verified_at,
+    expires_at) with the snapshot's (available, month_consumed, month, ledger_month, ledger_reserved, grant_left,
+    grant_expires, basis) and the limits (ceiling, reserve). Unspent grant is lost at its expiry: only receipts between the
+    snapshot and the expiry have drawn on it. Month to date and the last 24 hours, both ends closed, are conditional sums of
+    one grouped pass; allowances without receipts have zeros. The stage goes by the lesser of the provider's and the internal
+    part that is left: blocked below one request, 10_percent, 25_percent, healthy.
     """
     at, amount = F.col("at"), F.col("amount")
-    spent = receipts.filter(at <= as_of).groupBy("allowance_id").agg(
-        F.sum(amount).alias("spent"),
-        F.sum(F.when(at >= F.date_trunc("month", as_of), amount)).alias("month_spent"),
-        F.sum(F.when(at > as_of - F.expr("interval 24 hours"), amount)).alias("day_spent"),
+    joined = receipts.join(allowances.select("allowance_id", "verified_at", "grant_expires"), "allowance_id")
+    before_expiry = (at > F.col("verified_at")) & (at < F.col("grant_expires")) & (at <= as_of)
+    spent = joined.groupBy("allowance_id").agg(
+        F.sum(F.when((at >= F.date_trunc("month", as_of)) & (at <= as_of), amount)).alias("month_ledger"),
+        F.sum(F.when((at >= as_of - F.expr("interval 24 hours")) & (at <= as_of), amount)).alias("burn"),
+        F.sum(F.when(before_expiry, amount)).alias("pre_expiry"),
     )
-    out = allowances.join(spent, "allowance_id", "left").select(
-        "allowance_id", "allocated", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("spent", "month_spent", "day_spent")]
+    zero = F.lit(0).cast("long")
+    full = allowances.join(spent, "allowance_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("month_ledger", "burn", "pre_expiry")})
+    told = F.coalesce("month_consumed", zero) + F.greatest(zero, F.col("month_ledger") - F.coalesce("ledger_month", zero))
+    used = F.when(F.col("month") == F.date_format(as_of, "yyyy-MM"), F.greatest("month_ledger", told)).otherwise(F.col("month_ledger"))
+    full = full.withColumn("month_used", used).withColumn("debt", F.greatest(zero, F.col("reserved") - F.coalesce("ledger_reserved", zero)))
+    lost = F.greatest(zero, F.coalesce("grant_left", zero) - F.least("debt", "pre_expiry"))
+    full = full.withColumn("expired_grant", F.when(as_of >= F.col("grant_expires"), lost).otherwise(zero))
+    full = full.withColumn("projected", F.greatest(zero, F.coalesce("available", zero) - F.col("debt") - F.col("expired_grant")))
+    full = full.withColumn("denominator", F.least("allocated", "ceiling", F.col("max_requests") * F.col("price")))
+    by_month = F.greatest(zero, F.col("denominator") - F.col("month_used"))
+    by_life = F.least(F.greatest(zero, F.col("denominator") - F.col("reserved")), F.greatest(zero, (F.col("max_requests") - F.col("requests")) * F.col("price")))
+    full = full.withColumn("allowance_left", F.when(F.col("monthly"), by_month).otherwise(by_life))
+    kept = F.when(F.col("monthly"), F.greatest(zero, F.col("projected") - F.col("reserve"))).otherwise(F.col("projected"))
+    reason = (
+        F.when(F.col("available").isNull(), "PROVIDER_BALANCE_UNVERIFIED")
+        .when(~F.col("enabled") | (F.col("verified_at") > as_of) | (F.col("expires_at") <= as_of), "ALLOWANCE_INACTIVE")
+        .when(F.col("monthly") & (F.col("projected") < F.col("reserve") + F.col("price")), "PROVIDER_ACCOUNT_RESERVE")
+        .when(F.least("allowance_left", kept) < F.col("price"), "ALLOCATION_EXHAUSTED")
     )
-    left = F.col("allocated") - F.col("spent")
-    stage = F.when(left <= 0, "EXHAUSTED").when(left * 10 < F.col("allocated"), "CRITICAL").when(left * 4 < F.col("allocated"), "LOW").otherwise("OK")
-    return out.withColumn("balance", left).withColumn("stage", stage)
+    full = full.withColumn("reason", reason).withColumn("remaining", F.when(F.col("reason").isNull(), F.least("allowance_left", kept)).otherwise(zero))
+    basis = F.coalesce("basis", F.coalesce("available", zero) + F.coalesce("month_consumed", zero))
+    part = lambda left, whole: F.when(whole > 0, F.least(F.lit(1.0), left / whole)).otherwise(0.0)
+    fraction = F.least(part(F.col("projected"), basis), part(F.col("allowance_left"), F.col("denominator")))
+    stage = F.when(F.col("remaining") < F.col("price"), "blocked").when(fraction <= 0.10, "10_percent").when(fraction <= 0.25, "25_percent").otherwise("healthy")
+    return full.select("allowance_id", "month_used", "burn", "debt", "expired_grant", "projected", "allowance_left", "remaining", "reason", stage.alias("stage"), F.expr("remaining div price").alias("remaining_requests"))
 
 
 def admit(requests: DataFrame, scope: Sequence[str], order: Sequence[Column], caps: Sequence[tuple[str, Column, int]]) -> DataFrame:
@@ -140,3 +165,106 @@ def illegal_edits(before: DataFrame, after: DataFrame, key: str, frozen: Sequenc
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "left")
     change = F.when(F.col(f"b.{key}").isNull(), "DELETED").when(~same, "EDITED")
     return joined.select(F.col(f"a.{key}").alias(key), change.alias("change")).filter("change is not null")
+
+
+def charge(state: Column, cost: Column, reserved: Column, actual: Column) -> Column:
+    """What a receipt counts for: its actual requests once completed at no cost, else the larger of reserved and actual."""
+    return F.when((state == "COMPLETED") & (F.coalesce(cost, F.lit(0)) == 0) & actual.isNotNull(), actual).otherwise(F.greatest(reserved, F.coalesce(actual, F.lit(0))))
+
+
+def at_most_once(requests: DataFrame, scope: str, key: str, order: Sequence[Column], cap: int) -> DataFrame:
+    """Requests with `decision` for reservations of one unit: a repeated key within its scope is REPLAYED, and of the others
+    the first `cap` of a scope are RESERVED, the rest CAP_REACHED. Both are ranks, so a scope is sorted, not folded."""
+    first = F.row_number().over(Window.partitionBy(scope, key).orderBy(*order)) == 1
+    marked = requests.withColumn("__first", first)
+    taken = F.sum(F.when(F.col("__first"), 1).otherwise(0)).over(Window.partitionBy(scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    decision = F.when(~F.col("__first"), "REPLAYED").when(taken <= cap, "RESERVED").otherwise("CAP_REACHED")
+    return marked.withColumn("decision", decision).drop("__first")
+
+
+def scope_totals(reservations: DataFrame, receipts: DataFrame, scope: str, key: str, most_requests: int) -> DataFrame:
+    """(scope, reserved, completed, requests, bytes, over_budget): what the reservations of a scope came to. A receipt without
+    a reservation counts for nothing; over_budget counts receipts of more requests than `most_requests`."""
+    joined = reservations.select(scope, key).dropDuplicates([scope, key]).join(receipts, [scope, key], "left")
+    return joined.groupBy(scope).agg(
+        F.count("*").alias("reserved"), F.count("requests").alias("completed"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("requests") > most_requests).alias("over_budget"),
+    )
+
+
+def accepted_balances(observations: DataFrame, scope: str, at: str, balance: str, ceiling: str, as_of: Column) -> DataFrame:
+    """Observations with `reason`, null if accepted: not of the future, not older than one before it in arrival order
+    (`seq`), within 0 and the ceiling."""
+    newest = F.max(at).over(Window.partitionBy(scope).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    b = F.col(balance)
+    reason = F.when(F.col(at).isNull() | b.isNull(), "INCOMPLETE").when(F.col(at) > as_of, "FUTURE").when(F.col(at) <= newest, "STALE").when((b < 0) | (b > F.col(ceiling)), "OUT_OF_RANGE")
+    return observations.withColumn("reason", reason)
+
+
+def alert_claims(attempts: DataFrame, keys: Sequence[str], at: str, done: str, lease_minutes: int = 5) -> DataFrame:
+    """Attempts to send an alert with `claimed`: the first of its keys, and one whose last claim is past its lease; none
+    after the alert is done (`done` is when, or null). Claims depend on claims before, so an alert's attempts, a handful,
+    are folded in order of time."""
+    whole = attempts.groupBy(*keys).agg(F.sort_array(F.collect_list(at)).alias("__at"), F.min(done).alias("__done"))
+    fold = (
+        f"aggregate(__at, struct(CAST(NULL AS TIMESTAMP_NTZ) AS held, CAST(array() AS ARRAY<STRUCT<at: TIMESTAMP_NTZ, claimed: BOOLEAN>>) AS o), (s, x) -> "
+        f"if((s.held IS NULL OR x >= s.held + INTERVAL {lease_minutes} MINUTE) AND (__done IS NULL OR x < __done), struct(x AS held, array_append(s.o, struct(x AS at, true AS claimed)) AS o), "
+        "struct(s.held AS held, array_append(s.o, struct(x AS at, false AS claimed)) AS o)), s -> s.o)"
+    )
+    return whole.select(*keys, F.expr(f"inline({fold})")).withColumnRenamed("at", at)
+
+
+def stored_results(versions: DataFrame, key: str, order: str, retryable: Sequence[str]) -> DataFrame:
+    """The result that a store ends with for each key when a version is only replaced while its state may be retried: the
+    first terminal version, or the last of all where none is terminal."""
+    terminal = ~F.col("state").isin(*retryable)
+    ended = F.min(F.when(terminal, F.col(order))).over(Window.partitionBy(key))
+    latest = F.max(order).over(Window.partitionBy(key))
+    return versions.withColumn("__keep", F.coalesce(ended, latest)).filter(F.col(order) == F.col("__keep")).drop("__keep")
+
+
+def closed_runs(runs: DataFrame, receipts: DataFrame, run: str) -> DataFrame:
+    """Runs (run, declared_venues, declared_requests, lease_until, now) with their recounted totals and `state`: EXPIRED past
+    the lease, MISMATCH where the declared totals are below the recount, else CLOSED."""
+    counted = receipts.groupBy(run).agg(F.count("*").alias("venues"), F.sum("requests").alias("requests"))
+    joined = runs.join(counted, run, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("venues", "requests")})
+    state = F.when(F.col("lease_until") < F.col("now"), "EXPIRED").when((F.col("declared_venues") < F.col("venues")) | (F.col("declared_requests") < F.col("requests")), "MISMATCH").otherwise("CLOSED")
+    return joined.withColumn("state", state)
+
+
+def phase(completed: Column, inventory: Column) -> Column:
+    """A programme is in its initial phase until it has completed its whole inventory once."""
+    return F.when(F.coalesce(completed, F.lit(0)) < inventory, "INITIAL_INVENTORY").otherwise("ONGOING")
+
+
+def policy_active(policy: Column, as_of: Column) -> Column:
+    """Whether a policy document is enabled, has its keys, and is within its dates; a null end is open only if standing."""
+    get = lambda path: F.get_json_object(policy, f"$.{path}")
+    start, end = get("validFrom").try_cast("timestamp_ntz"), get("validUntil").try_cast("timestamp_ntz")
+    keys = F.size(F.array_intersect(F.json_object_keys(policy), F.array(*map(F.lit, ("enabled", "validFrom", "countries"))))) == 3
+    ends = F.when(get("validUntil").isNull(), F.coalesce(get("standing") == "true", F.lit(False))).otherwise(as_of < end)
+    return F.coalesce(keys & (get("enabled") == "true") & (as_of >= start) & ends & (F.json_array_length(get("countries")) > 0), F.lit(False))
+
+
+def search_reuse(requests: DataFrame, receipts: DataFrame, query: str, as_of: Column) -> DataFrame:
+    """Requests (query, allowance) with what a receipt of the same query makes of them: CACHE_PROVIDER_MISMATCH, CACHED while a
+    completed one has not expired, else IN_FLIGHT_OR_UNKNOWN, expired ones included; NEW without a receipt."""
+    held = receipts.select(query, F.col("allowance").alias("held_by"), "state", "expires_at")
+    decision = (
+        F.when(F.col("held_by").isNull(), "NEW").when(F.col("held_by") != F.col("allowance"), "CACHE_PROVIDER_MISMATCH")
+        .when((F.col("state") == "COMPLETED") & (F.col("expires_at") > as_of), "CACHED").otherwise("IN_FLIGHT_OR_UNKNOWN")
+    )
+    return requests.join(held, query, "left").withColumn("decision", decision)
+
+
+def held_replay(requests: DataFrame, receipts: DataFrame, query: str, as_of: Column, most_hours: int = 720) -> DataFrame:
+    """Requests (query, fingerprint) with the one receipt that may be replayed for them: exactly one of the query, of the same
+    fingerprint, at most `most_hours` old."""
+    counted = receipts.groupBy(query).agg(F.count("*").alias("n"), F.min(F.struct("receipt_id", "fingerprint", "observed_at")).alias("r"))
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("r.observed_at").cast("timestamp"))) / 3.6e9
+    found = requests.withColumnRenamed("fingerprint", "asked").join(counted, query, "left")
+    state = (
+        F.when(F.col("n").isNull(), "MISSING").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("r.fingerprint") != F.col("asked"), "FINGERPRINT")
+        .when((age > most_hours) | (age < 0), "AGE").otherwise("REPLAYED")
+    )
+    return found.withColumn("state", state).withColumn("receipt_id", F.when(F.col("state") == "REPLAYED", F.col("r.receipt_id"))).drop("n", "r", "asked")

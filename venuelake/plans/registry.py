@@ -6,43 +6,25 @@ receipts of spend; part and supplier are the catalogue; orders are requests; pag
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelake.functions import text
 from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
+from venuelake.plans import address_queries, contact_queries, extraction_queries, ledger_queries  # noqa: F401
+from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, register  # noqa: F401
 from venuelake.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 STATES = ("QUALIFIED", "REVIEW_REQUIRED", "REJECTED", "DUPLICATE", "RESEARCHED")
 STATUS = {"error": "REJECTED", "purchase": "QUALIFIED", "signup": "REVIEW_REQUIRED", "click": "RESEARCHED", "view": "DUPLICATE"}
 CATEGORY = {"error": "NEWSLETTER", "purchase": "TALK_TO_SALES", "signup": "TRIAL_STARTED", "click": "RESOURCE_DOWNLOAD", "view": "TEMPLATE_DOWNLOAD"}
-AS_OF = "2024-01-20 00:00:00"
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
 
 
 def _case(column: str, values: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
-def _as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp_ntz")
-
-
 APPEARANCES = f"""SELECT event_id AS id, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, user_id AS canonical_key,
   {_case("event_type", STATUS)} AS status, CASE WHEN user_id % 2 = 0 THEN 'ZA' ELSE 'GB' END AS territory,
   event_id % 17 = 0 AS deduped, k % 4 AS sources, k % 5 AS facts, k % 3 AS unknowns, CASE WHEN k % 7 = 0 THEN 'UNRESOLVED' END AS resolution,
@@ -188,31 +170,6 @@ def lead_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.metrics(_leads(spark, sf_dir), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
 
 
-@register(
-    "budget_state",
-    f"""WITH r AS (SELECT user_id AS allowance_id, CAST(round(value * 100) AS BIGINT) AS amount, ts AS t FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
-      a AS (SELECT DISTINCT user_id AS allowance_id, CAST(100000 AS BIGINT) AS allocated FROM events),
-      s AS (SELECT allowance_id, sum(amount) AS spent, sum(amount) FILTER (WHERE t >= date_trunc('month', TIMESTAMP '{AS_OF}')) AS m, sum(amount) FILTER (WHERE t > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) AS d FROM r GROUP BY 1),
-      j AS (SELECT allowance_id, allocated, CAST(coalesce(spent, 0) AS BIGINT) AS spent, CAST(coalesce(m, 0) AS BIGINT) AS month_spent, CAST(coalesce(d, 0) AS BIGINT) AS day_spent FROM a LEFT JOIN s USING (allowance_id))
-      SELECT *, allocated - spent AS balance, CASE WHEN allocated - spent <= 0 THEN 'EXHAUSTED' WHEN (allocated - spent) * 10 < allocated THEN 'CRITICAL' WHEN (allocated - spent) * 4 < allocated THEN 'LOW' ELSE 'OK' END AS stage FROM j""",
-)
-def budget_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    receipts = events.select(F.col("user_id").alias("allowance_id"), F.round(F.col("value") * 100).cast("long").alias("amount"), F.col("ts").alias("at"))
-    allowances = events.select(F.col("user_id").alias("allowance_id")).distinct().withColumn("allocated", F.lit(100000).cast("long"))
-    return ledgers.budget_state(receipts, allowances, _as_of())
-
-
-@register(
-    "work_admission",
-    """SELECT o_orderkey, CASE WHEN venues > 5 THEN 'DAILY_VENUE_CAP' WHEN requests > 12 THEN 'DAILY_REQUEST_CAP' ELSE 'ADMITTED' END AS decision FROM (
-      SELECT o_orderkey, count(*) OVER w AS venues, sum(1 + o_orderkey % 4) OVER w AS requests FROM orders WINDOW w AS (PARTITION BY o_orderdate ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))""",
-)
-def work_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    caps = [("DAILY_VENUE_CAP", F.lit(1), 5), ("DAILY_REQUEST_CAP", 1 + F.col("o_orderkey") % 4, 12)]
-    return ledgers.admit(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"], [F.asc("o_orderkey")], caps).select("o_orderkey", "decision")
-
-
 @register(
     "reservation_guards",
     """SELECT o_orderkey, CASE WHEN NOT coalesce(o_orderstatus <> 'F', false) THEN 'POLICY_INACTIVE' WHEN NOT coalesce(o_totalprice < 400000, false) THEN 'RESERVATION_SCOPE'
@@ -265,7 +222,7 @@ def field_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = table(spark, sf_dir, "events").select("event_id", "props", (F.col("ts") + F.expr("interval 24 hours")).alias("expires_at"))
-    return ledgers.expire(cache, ["props"], "expires_at", _as_of())
+    return ledgers.expire(cache, ["props"], "expires_at", as_of())
 
 
 CATALOGUE = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND lower(p_name) LIKE '%ring%' AND (p_size > 10) = false"
@@ -367,18 +324,7 @@ def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT event_id, ts FROM events WHERE event_type IN ('click', 'signup') AND ts <= TIMESTAMP '{AS_OF}' ORDER BY ts, event_id LIMIT 25",
 )
 def due_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "signup") & (F.col("ts") <= _as_of())).select("event_id", "ts").orderBy("ts", "event_id").limit(25)
-
-
-@register(
-    "page_addresses",
-    r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages)
-      SELECT page_id, host, regexp_extract(host, '([^.]+\.(?:(?:co|org|ac|gov|net|com)\.[a-z]{2}|[^.]+))$', 1) AS domain,
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|gclid|fbclid|msclkid|ref)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS plain_url FROM h""",
-)
-def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = text.url_host(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), text.registrable_domain(host).alias("domain"), text.without_tracking(F.col("url")).alias("plain_url"))
+    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "signup") & (F.col("ts") <= as_of())).select("event_id", "ts").orderBy("ts", "event_id").limit(25)
 
 
 @register(
@@ -487,10 +433,10 @@ def lead_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, customer = F.col("c_custkey"), table(spark, sf_dir, "customer")
     rows = customer.select(
         key, F.when(key % 5 == 0, "why").alias("hold_reason"), F.lit("NEW").alias("stage"), F.lit("GENUINE_PROSPECT").alias("lead_classification"), F.nullif("c_nationkey", F.lit(0)).alias("owner_id"),
-        F.lit("call").alias("next_action"), _as_of().alias("follow_up_at"), F.when(key % 3 == 0, 1).alias("product_opportunity_id"),
+        F.lit("call").alias("next_action"), as_of().alias("follow_up_at"), F.when(key % 3 == 0, 1).alias("product_opportunity_id"),
     )
     asked = customer.select(
-        key, F.element_at(F.array(*map(F.lit, ACTIONS)), (1 + key % 7).cast("int")).alias("action"), F.lit(7).alias("new_owner_id"), F.lit("visit").alias("plan"), _as_of().alias("due_at"),
+        key, F.element_at(F.array(*map(F.lit, ACTIONS)), (1 + key % 7).cast("int")).alias("action"), F.lit(7).alias("new_owner_id"), F.lit("visit").alias("plan"), as_of().alias("due_at"),
         F.when(key % 2 == 0, F.col("c_mktsegment")).alias("reason"), F.lit("later").alias("condition"),
     )
     return actions.acted(rows, asked, "c_custkey").select("c_custkey", "action", "error", "owner_id", "hold_reason")
