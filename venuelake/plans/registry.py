@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from venuelake.functions import text
 from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
-from venuelake.plans import address_queries, contact_queries, extraction_queries, ledger_queries  # noqa: F401
+from venuelake.plans import address_queries, contact_queries, extraction_queries, ledger_queries, scoring_queries  # noqa: F401
 from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, register  # noqa: F401
 from venuelake.sources.tables import table
 
@@ -299,18 +299,6 @@ def parents_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "c_name", (F.size("orders") > 0).alias("has_orders"), F.size("orders").cast("long").alias("n_orders"), F.try_element_at("orders", F.lit(1))["o_orderkey"].alias("first_order"))
 
 
-@register(
-    "phase_rank",
-    """SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'PHASE_ONE' WHEN p_size >= 20 THEN 'PHASE_TWO' ELSE 'LATER' END AS phase, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS stable_rank FROM part""",
-)
-def phase_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    phase = F.when(F.col("p_size") >= 40, "PHASE_ONE").when(F.col("p_size") >= 20, "PHASE_TWO").otherwise("LATER")
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", phase.alias("phase"), rank.alias("stable_rank"))
-
-
 @register(
     "state_histogram",
     f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, {", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}_count" for t in STATUS)} FROM events GROUP BY 1""",
