@@ -9,8 +9,6 @@ from venuelake.llm.common import ascii_lower, checkpointed
 
 #: Words of a window.
 WINDOW = 10
-#: Every so many words, at most, a text's word is looked at first; a window holds two of them in a row.
-STRIDE = 5
 #: Longs of a screen: a set of hashes kept as bits, of one size for every benchmark, which each task holds.
 SCREEN_LONGS = 1 << 17
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,23 +57,25 @@ def _in(screen: str, h: str, longs: int) -> str:
     return f"getbit(get({screen}, CAST((shiftrightunsigned({h}, 6) & {longs - 1}L) AS INT)), CAST({h} & 63 AS INT)) = 1"
 
 
-def _runs(lengths: list[int], known_words: str, known_windows: str, longs: int) -> Column:
+def _gram(m: int) -> int:
+    """Words of a gram such that each window of `m` words holds a whole one of those a text is cut into."""
+    return (m + 1) // 2
+
+
+def _places(lengths: list[int], known_grams: str, known_windows: str, longs: int) -> Column:
     """Window places (i, m) that may hold a benchmark window, in a text whose words are `w`.
 
-    First a few words of the text are looked at, so far apart that a window holds two of them in a row; only where two in a
-    row may be the benchmark's are all words looked at, and only windows of such words hashed as a whole.
+    The text is cut into grams of half a window, side by side, and only where one of them may be the benchmark's are the
+    windows around it hashed as a whole.
     """
-    stride = max(1, min(STRIDE, min(lengths) // 2))
-    two = "11" if 2 * stride <= min(lengths) else "1"
-    word = _in(known_words, "h", longs)
-    some = f"array_join(transform(transform(sequence({stride}, size(w), {stride}), i -> xxhash64(get(w, i - 1))), h -> if({word}, '1', '0')), '')"
-    maybe = f"size(w) >= {stride} AND instr({some}, '{two}') > 0"
-    flags = f"array_join(transform(transform(w, x -> xxhash64(x)), h -> if({word}, '1', '0')), '')"
-    places = (
-        "flatten(transform(array({ms}), m -> if(instr(f, repeat('1', m)) = 0, array(), "
-        "filter(transform(sequence(1, size(w) - m + 1), i -> struct(i AS i, m AS m)), p -> substring(f, p.i, m) = repeat('1', m) AND exists(array(xxhash64(slice(w, p.i, m))), h -> {known})))))"
-    ).format(ms=", ".join(map(str, lengths)), known=_in(known_windows, "h", longs))
-    return F.expr(f"if({maybe}, transform(array({flags}), f -> {places})[0], array())")
+    found = []
+    for m in lengths:
+        g = _gram(m)
+        grams = f"filter(sequence(1, size(w) - {g - 1}, {g}), p -> exists(array(xxhash64(slice(w, p, {g}))), h -> {_in(known_grams, 'h', longs)}))"
+        around = f"flatten(transform({grams}, p -> transform(sequence(greatest(1, p - {g - 1}), p), i -> struct(i AS i, {m} AS m))))"
+        windows = f"filter({around}, q -> q.i <= size(w) - {m - 1} AND exists(array(xxhash64(slice(w, q.i, {m}))), h -> {_in(known_windows, 'h', longs)}))"
+        found.append(f"if(size(w) < {m}, array(), {windows})")
+    return F.expr(f"flatten(array({', '.join(found)}))")
 
 
 def find_hits(
@@ -92,7 +92,7 @@ def find_hits(
     occurrence of a benchmark window, items the sorted ids of the items with an occurring window, spans the occurrences as
     (first word, words). Texts and items without words have no hits; null texts have no words; null ids are kept.
 
-    The benchmark's words and windows are two sets of hashes, each a broadcast array of bits of one size; a larger benchmark
+    The benchmark's grams and windows are two sets of hashes, each a broadcast array of bits of one size; a larger benchmark
     only lets more false candidates through (`screen_longs` is a power of two). The candidate windows of all texts are then
     joined with the benchmark's by content, which decides; a row's own number keys its hits, so no text's rows gather.
     """
@@ -103,11 +103,13 @@ def find_hits(
         none = F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<i:int,m:int>>").alias("spans")
         return docs.select(key, h, F.size(words(F.col(text_col))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *none)
     split = windows.select(F.split("win", " ").alias("v"))
-    known_words = _screen(split.select(F.explode("v").alias("x")).select(F.xxhash64("x").alias("h")), screen_longs)
+    g = F.floor((F.size("v") + 1) / 2).cast("int")
+    grams = F.transform(F.sequence(F.lit(1), F.size("v") - g + 1), lambda i: F.xxhash64(F.slice("v", i, g)))
+    known_grams = _screen(split.select(F.explode(grams).alias("h")), screen_longs)
     known_windows = _screen(split.select(F.xxhash64("v").alias("h")), screen_longs)
     trimmed = docs.select(key, h, _trimmed(F.col(text_col)).alias("t"))
     scanned = trimmed.select("id", "h", _split(F.col("t")).alias("w"))
-    places = scanned.select("id", "h", F.size("w").cast("long").alias("n_words"), "w", _runs(lengths, known_words, known_windows, screen_longs).alias("p"))
+    places = scanned.select("id", "h", F.size("w").cast("long").alias("n_words"), "w", _places(lengths, known_grams, known_windows, screen_longs).alias("p"))
     found = places.select("id", "h", "n_words", F.expr("transform(p, q -> struct(q.i AS i, q.m AS m, array_join(slice(w, q.i, q.m), ' ') AS win))").alias("p"))
     kept = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
     hits = kept.select("row", F.inline("p")).join(windows, ["m", "win"])
