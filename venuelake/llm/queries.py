@@ -70,4 +70,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk_search": op10_topk_search,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _site(host: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}'))"
+
+
+def _windows(table: str, key: str, at: str) -> str:
+    """The windows of a table's texts, m words at each place."""
+    return f"SELECT {key}, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM {table}{at})"
+
+
+#: SQL for the operators that it can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op5_url_filters": f"""WITH s AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+      r AS (SELECT *, CASE WHEN {_site("example.com")} AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN {_site("example.net")} AND starts_with(path, '/de/8') THEN 'example.net/de/8' WHEN {_site("com")} AND starts_with(path, '/en/') THEN 'com/en/'
+        WHEN {_site("net")} AND starts_with(path, '/de/') THEN 'net/de/' WHEN {_site("org")} AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM s)
+      SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN regexp_matches(host || path, '^([^/]*[.-])?({"|".join(url_filters.UNWANTED_HOST_WORDS)})([.:/-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op9_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents),
+      b AS (SELECT item_id, w, least(10, len(w)) AS m FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM benchmark) WHERE len(w) > 0),
+      bw AS (SELECT DISTINCT item_id, m, win FROM ({_windows("b", "item_id", "")})),
+      h AS (SELECT doc_id, i, x.m, item_id FROM ({_windows("d", "doc_id", ", (SELECT DISTINCT m FROM b)")}) x JOIN bw ON bw.m = x.m AND bw.win = x.win),
+      n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY 1),
+      t AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS items FROM h GROUP BY 1)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op10_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
