@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track.
-TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|msclkid|ref)"
-#: Mailbox names of a role.
-ROLE_MAILBOXES = ("info", "sales", "hello", "contact", "events", "enquiries", "admin", "office", "support", "bookings")
-#: The entities that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The named entities that are decoded; the ampersand is decoded last.
+ENTITIES = (
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("reg", "®"), ("trade", "™"), ("pound", "£"), ("euro", "€"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("lsquo", "‘"), ("rsquo", "’"),
+    ("ldquo", "“"), ("rdquo", "”"), ("bull", "•"), ("middot", "·"), ("times", "×"), ("deg", "°"), ("eacute", "é"), ("egrave", "è"), ("agrave", "à"), ("ccedil", "ç"), ("ouml", "ö"), ("uuml", "ü"), ("auml", "ä"), ("ntilde", "ñ"), ("frac12", "½"), ("amp", "&"),
+)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -23,38 +22,24 @@ def escaped_ilike(c: Column, text: str) -> Column:
     return F.lower(c).like(f"%{literal}%")
 
 
-def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-
-
-def registrable_domain(host: Column) -> Column:
-    """The last two labels, or three after a two-letter second level."""
-    return F.regexp_extract(host, r"([^.]+\.(?:(?:co|org|ac|gov|net|com)\.[a-z]{2}|[^.]+))$", 1)
-
-
-def without_tracking(url: Column) -> Column:
-    """The URL without fragment and tracking parameters."""
-    bare = F.regexp_replace(url, r"#.*$", "")
-    dropped = F.regexp_replace(bare, rf"([?&]){TRACKING}=[^&]*", "$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(dropped, r"&{2,}", "&"), r"\?&+", "?"), r"[?&]+$", "")
-
-
-def page_tier(path: Column) -> Column:
-    """1: venue or contact pages; 2: events; 3: other; 4: articles."""
-    return F.when(path.rlike(r"(?i)(contact|venue|capacity|hire)"), 1).when(path.rlike(r"(?i)(event|calendar|whats-on)"), 2).when(path.rlike(r"(?i)(blog|news|article)"), 4).otherwise(3)
-
-
-def plan_score(tier: Column, strength: Column, served: Column, depth: Column, linked: Column, article: Column) -> Column:
-    """The gap planner's rank."""
-    return (4 - tier) * 1000 + 10 * strength + 4 * served - F.least(depth, F.lit(6)) + F.when(linked, 2).otherwise(0) - F.when(article, 30).otherwise(0)
+def _numeric_decoded(text: Column) -> Column:
+    """Decimal and hexadecimal references decoded; those of no character are left as they stand."""
+    parts = F.split(text, "&#")
+    known = r"(?s)^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));(.*)$"
+    code = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, known, 1), F.lit("")).try_cast("int"), F.conv(F.nullif(F.regexp_extract(p, known, 2), F.lit("")), 16, 10).try_cast("int"))
+    valid = lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+    # UTF-32 has a character's code as its bytes
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    piece = lambda p, i: F.when(i == 0, p).when(F.coalesce(valid(code(p)), F.lit(False)), F.concat(char(code(p)), F.regexp_extract(p, known, 3))).otherwise(F.concat(F.lit("&#"), p))
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, piece), "")).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
-    """Text outside scripts, styles and tags, with entities decoded and white space collapsed."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    """Text outside scripts, styles and tags, with references decoded and white space collapsed."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+    text = _numeric_decoded(F.regexp_replace(text, r"(?s)<[^>]*>", " "))
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -62,20 +47,6 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), 1)
 
 
-def email_verdict(email: Column) -> Column:
-    """INVALID, ROLE or PERSONAL."""
-    mail = F.lower(F.trim(email))
-    shaped = mail.rlike(r"^[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$") & (F.length(mail) <= 320)
-    return F.when(~F.coalesce(shaped, F.lit(False)), "INVALID").when(F.split(mail, "@")[0].isin(*ROLE_MAILBOXES), "ROLE").otherwise("PERSONAL")
-
-
-def phone(number: Column) -> Column:
-    """+44 form: (0) dropped, 00 to +, a leading 0 to +44; null if not 8 to 15 digits."""
-    bare = F.regexp_replace(F.regexp_replace(number, r"\(0\)", ""), r"[^0-9+]", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^00", "+"), r"^0", "+44")
-    return F.when(bare.rlike(r"^\+?[0-9]{8,15}$"), bare)
-
-
 def slug_key(name: Column, domain: Column) -> Column:
     slug = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), r"^-|-$", "")
     return F.concat(slug, F.lit("|"), F.coalesce(domain, F.lit("")))
@@ -87,9 +58,26 @@ def stable_id(*parts: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+def shell_signals(html: Column) -> Column:
+    """What tells that a script fills a page, in fixed order."""
+    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body>|$)", 1), F.lit("")), html)
+    size = F.length(visible_text(body))
+    told = (
+        ("EMPTY_FRAMEWORK_MOUNT", html.rlike(r"(?is)<div\b[^>]*\bid=[\"'](?:__next|__nuxt|root|app|svelte|___gatsby|q-app)[\"'][^>]*>\s*(?:</div>|<noscript)")),
+        ("NEXT_DATA", html.rlike(r"(?i)<script\b[^>]*id=[\"']__NEXT_DATA__[\"']")),
+        ("NUXT_STATE", html.rlike(r"(?i)__NUXT__|__NUXT_DATA__")),
+        ("NOSCRIPT_JS_REQUIRED", html.rlike(r"(?i)<noscript\b[^>]*>[^<]*(?:enable|requires?)\s+javascript")),
+        ("METADATA_WITHOUT_BODY", html.rlike(r"(?i)<meta\b[^>]*(?:name|property)=[\"'](?:description|og:description)[\"'][^>]*content=[\"'][^\"']{40,}") & (size < 200)),
+        ("SCRIPT_HEAVY_THIN_BODY", (F.regexp_count(html, F.lit(r"(?i)<script\b")) >= 8) & (size < 300)),
+    )
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in told]))
+
+
 def shell_page(html: Column) -> Column:
-    """Whether a page is a thin shell that a script fills."""
-    return (F.length(visible_text(html)) < 400) & F.coalesce(html, F.lit("")).rlike(r'(?i)(id="(root|app|__next)"|<noscript|data-reactroot)')
+    """Whether a page is a thin shell that a script fills: under 400 characters to see, and a signal."""
+    html = F.coalesce(html, F.lit(""))
+    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body>|$)", 1), F.lit("")), html)
+    return (F.length(visible_text(body)) < 400) & (F.size(shell_signals(html)) > 0)
 
 
 def looks_binary(sample: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelake.operators.latest import latest_per_key
@@ -111,13 +111,17 @@ def run_history(appearances: DataFrame, runs: DataFrame, states: Sequence[str])
     return joined.select("run_id", duration.cast("long").alias("duration_seconds"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers])
 
 
-def attention(lanes: Sequence[tuple[str, DataFrame, Sequence[Column], int]]) -> DataFrame:
-    """The first few rows of each lane (name, rows, order, limit), put together."""
-    out = None
-    for number, (name, rows, order, limit) in enumerate(lanes):
-        part = rows.orderBy(*order).limit(limit).withColumn("lane", F.lit(name)).withColumn("lane_order", F.lit(number))
-        out = part if out is None else out.unionByName(part)
-    return out
+def attention(rows: DataFrame, lanes: Sequence[tuple[str, Column, Column, int]], at: str, key: str) -> DataFrame:
+    """(lane, lane_order, key, at): the first few rows of each lane (name, test, sign, limit), by `at` times the sign, then key.
+
+    One pass: each row goes to the lanes whose test it passes, and all lanes are ranked together, cut to the largest limit
+    before the shuffle.
+    """
+    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    mine = [F.when(test, F.struct(F.lit(name).alias("lane"), F.lit(i).alias("lane_order"), (moment * sign).alias("by"), F.lit(limit).alias("most"))) for i, (name, test, sign, limit) in enumerate(lanes)]
+    each = rows.select(key, at, F.inline(F.array_compact(F.array(*mine))))
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("lane_order").orderBy("by", key)))
+    return ranked.filter(F.col("n") <= max(limit for *_, limit in lanes)).filter("n <= most").select("lane", "lane_order", key, at)
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def name_tokens(name: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks and the letters they are without them, by their decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFKD", chr(c))) == 2]
+    kept = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+def canonical_name(name: Column) -> Column:
+    """Lower case, without marks, everything but a-z and 0-9 as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(name, *_plain_letters())), r"[^a-z0-9]+", " "))
+
+
+def _grams(name: Column) -> Column:
+    """The three-letter strings of a name, or the name itself if it is shorter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3))))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str, least: int = 2, share: float = 0.5) -> DataFrame:
-    """(left id, right id, overlap, score) of rows that share at least `least` tokens and `share` of the larger name, or one of
-    whose names holds all tokens of the other.
+    """(left id, right id, overlap, score) of rows whose canonical names share at least `least` tokens and `share` of the larger
+    name's, or one of whose names contains the other as a string.
 
-    Blocked on tokens by a prefix filter: a name that shares a part of its tokens shares one of its rarest, and a name that
-    lies within another shares its rarest of all. Only those tokens open pairs, so very common words seldom do.
+    Two blockings, each by what is rare: names that share a part of their tokens share one of the rarest of either, and a
+    name within another has its rarest three letters there (one of under three letters its own). So very common words and
+    letters seldom open pairs, but a name that consists of them meets all that hold it, as each is a result.
     """
-    l, r = (d.select(F.col(i).alias("id"), name_tokens(F.col(n)).alias("t")).filter(F.size("t") > 0) for d, i, n in ((left, left_id, left_name), (right, right_id, right_name)))
-    lt, rt = (d.select("id", "t", F.explode("t").alias("token")) for d in (l, r))
+    sides = []
+    for d, i, n in ((left, left_id, left_name), (right, right_id, right_name)):
+        one = d.select(F.col(i).alias("id"), canonical_name(F.col(n)).alias("name")).filter("name <> ''")
+        sides.append(one.withColumn("t", F.array_distinct(F.split("name", " "))))
+    l, r = sides
+    lt, rt = (d.select("id", "name", "t", F.explode("t").alias("token")) for d in sides)
     frequent = lt.select("token").unionByName(rt.select("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = lambda d: d.join(frequent, "token").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n", "token")))
-    prefix = ranked(lt).filter(F.col("k") <= F.size("t") - F.ceil(F.size("t") * share) + 1)
-    name = lambda d, side: d.select("token", F.col("id").alias(f"{side}id"), F.col("t").alias(f"{side}t"))
-    pairs = name(prefix, "l").join(name(rt, "r"), "token").unionByName(name(lt, "l").join(name(ranked(rt).filter("k = 1"), "r"), "token"))
-    pairs = pairs.select("lid", "rid", "lt", "rt").distinct()
-    overlap = F.size(F.array_intersect("lt", "rt"))
-    scored = pairs.withColumn("overlap", overlap).withColumn("score", F.col("overlap") / F.greatest(F.size("lt"), F.size("rt")))
-    within = F.col("overlap") == F.least(F.size("lt"), F.size("rt"))
-    scored = scored.filter(within | ((F.col("overlap") >= least) & (F.col("score") >= share)))
+    ranked = lt.join(frequent, "token").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n", "token")))
+    prefix = ranked.filter(F.col("k") <= F.size("t") - F.ceil(F.size("t") * share) + 1)
+    name = lambda d, side, key: d.select(F.col(key).alias("key"), F.col("id").alias(f"{side}id"), F.col("name").alias(f"{side}n"), F.col("t").alias(f"{side}t"))
+    pairs = name(prefix, "l", "token").join(name(rt, "r", "token"), "key")
+    # the strings of one to three letters that a name has, for those that it contains
+    parts = lambda d: d.select("id", "name", "t", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - w + 1, F.lit(1))), lambda i: F.substr("name", i, w)))))).alias("gram"))
+    lg, rg = (d.select("id", "name", "t", F.explode(_grams(F.col("name"))).alias("gram")) for d in sides)
+    counted = lg.select("gram").unionByName(rg.select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = lambda d: d.join(counted, "gram").groupBy("id", "name", "t").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    columns = ["lid", "rid", "ln", "rn", "lt", "rt"]
+    within = name(rarest(lg), "l", "gram").join(name(parts(r), "r", "gram"), "key").filter(F.contains("rn", "ln")).select(*columns)
+    within = within.unionByName(name(parts(l), "l", "gram").join(name(rarest(rg), "r", "gram"), "key").filter(F.contains("ln", "rn")).select(*columns))
+    scored = pairs.select(*columns).unionByName(within).distinct().withColumn("overlap", F.size(F.array_intersect("lt", "rt")))
+    scored = scored.withColumn("score", F.col("overlap") / F.greatest(F.size("lt"), F.size("rt")))
+    scored = scored.filter(F.contains("rn", "ln") | F.contains("ln", "rn") | ((F.col("overlap") >= least) & (F.col("score") >= share)))
     return scored.select(F.col("lid").alias(f"left_{left_id}"), F.col("rid").alias(f"right_{right_id}"), "overlap", "score")
 
 

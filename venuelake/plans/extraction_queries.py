@@ -126,7 +126,7 @@ def calendar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.concat(F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.when(e % 3 == 2, "Z").otherwise(""))
     title = F.when(e % 7 > 0, F.concat(F.lit("SUMMARY;LANGUAGE=en:Night of\r\n  music\\, part "), F.col("user_id").cast("string"), F.lit("\r\n"))).otherwise("")
     url = F.when(e % 2 == 0, F.concat(F.lit("URL:https://hall.org/"), e.cast("string"), F.lit("\r\n"))).otherwise("")
-    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\n"), title, start, stamp, F.lit("\r\n"), url, F.lit("LOCATION:Hall\; side\r\nEND:VEVENT\r\nEND:VCALENDAR"))
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\n"), title, start, stamp, F.lit("\r\n"), url, F.lit("LOCATION:Hall\\; side\r\nEND:VEVENT\r\nEND:VCALENDAR"))
     return happenings.calendar_entries(table(spark, sf_dir, "events").select(e, body.alias("body")), "event_id", "body")
 
 

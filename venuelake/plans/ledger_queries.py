@@ -11,10 +11,10 @@ from venuelake.sources.tables import table
 
 #: Allowances made of users: amounts in cents, snapshots taken on different days of the month.
 ALLOWANCES = """SELECT DISTINCT user_id AS allowance_id, user_id % 2 = 0 AS monthly, CAST(100000 + user_id % 7 * 40000 AS BIGINT) AS allocated, CAST(20000 + user_id % 11 * 9000 AS BIGINT) AS reserved,
-  CAST(user_id % 50 AS BIGINT) AS requests, CAST(1000 AS BIGINT) AS max_requests, CAST(150 + user_id % 3 * 100 AS BIGINT) AS price, user_id % 13 <> 0 AS enabled, TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(user_id % 9 AS INT)) AS verified_at,
-  TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(user_id % 40 AS INT)) AS expires_at, CASE WHEN user_id % 17 <> 0 THEN CAST(30000 + user_id % 8 * 15000 AS BIGINT) END AS available, CAST(user_id % 5 * 10000 AS BIGINT) AS month_consumed,
+  CAST(user_id % 50 AS BIGINT) AS requests, CAST(1000 AS BIGINT) AS max_requests, CAST(150 + user_id % 3 * 100 AS BIGINT) AS price, user_id % 13 <> 0 AS enabled, TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(user_id % 17 AS INT)) AS verified_at,
+  TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(6 + user_id % 40 AS INT)) AS expires_at, CASE WHEN user_id % 17 <> 0 THEN CAST(60000 + user_id % 8 * 25000 AS BIGINT) END AS available, CAST(user_id % 5 * 10000 AS BIGINT) AS month_consumed,
   CASE WHEN user_id % 3 = 0 THEN '2023-12' ELSE '2024-01' END AS month, CAST(user_id % 4 * 5000 AS BIGINT) AS ledger_month, CAST(user_id % 6 * 8000 AS BIGINT) AS ledger_reserved, CAST(user_id % 3 * 15000 AS BIGINT) AS grant_left,
-  CASE WHEN user_id % 4 > 0 THEN TIMESTAMP '2024-01-12 00:00:00' + to_days(CAST(user_id % 15 AS INT)) END AS grant_expires, CASE WHEN user_id % 5 > 0 THEN CAST(150000 AS BIGINT) END AS basis, CAST(180000 AS BIGINT) AS ceiling, CAST(4000 AS BIGINT) AS reserve FROM events"""
+  CASE WHEN user_id % 4 > 0 THEN TIMESTAMP '2024-01-12 00:00:00' + to_days(CAST(user_id % 15 AS INT)) END AS grant_expires, CASE WHEN user_id % 5 > 0 THEN CAST(250000 AS BIGINT) END AS basis, CAST(180000 AS BIGINT) AS ceiling, CAST(4000 AS BIGINT) AS reserve FROM events"""
 
 
 def _allowances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def _allowances(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda text, days: F.lit(text).cast("timestamp_ntz") + F.make_dt_interval(days.cast("int"))
     return table(spark, sf_dir, "events").select("user_id").distinct().select(
         u.alias("allowance_id"), (u % 2 == 0).alias("monthly"), long(100000 + u % 7 * 40000).alias("allocated"), long(20000 + u % 11 * 9000).alias("reserved"), long(u % 50).alias("requests"), F.lit(1000).cast("long").alias("max_requests"),
-        long(150 + u % 3 * 100).alias("price"), (u % 13 != 0).alias("enabled"), day("2024-01-05 00:00:00", u % 9).alias("verified_at"), day("2024-01-10 00:00:00", u % 40).alias("expires_at"),
-        F.when(u % 17 != 0, long(30000 + u % 8 * 15000)).alias("available"), long(u % 5 * 10000).alias("month_consumed"), F.when(u % 3 == 0, "2023-12").otherwise("2024-01").alias("month"), long(u % 4 * 5000).alias("ledger_month"),
-        long(u % 6 * 8000).alias("ledger_reserved"), long(u % 3 * 15000).alias("grant_left"), F.when(u % 4 > 0, day("2024-01-12 00:00:00", u % 15)).alias("grant_expires"), F.when(u % 5 > 0, F.lit(150000).cast("long")).alias("basis"),
+        long(150 + u % 3 * 100).alias("price"), (u % 13 != 0).alias("enabled"), day("2024-01-05 00:00:00", u % 17).alias("verified_at"), day("2024-01-10 00:00:00", 6 + u % 40).alias("expires_at"),
+        F.when(u % 17 != 0, long(60000 + u % 8 * 25000)).alias("available"), long(u % 5 * 10000).alias("month_consumed"), F.when(u % 3 == 0, "2023-12").otherwise("2024-01").alias("month"), long(u % 4 * 5000).alias("ledger_month"),
+        long(u % 6 * 8000).alias("ledger_reserved"), long(u % 3 * 15000).alias("grant_left"), F.when(u % 4 > 0, day("2024-01-12 00:00:00", u % 15)).alias("grant_expires"), F.when(u % 5 > 0, F.lit(250000).cast("long")).alias("basis"),
         F.lit(180000).cast("long").alias("ceiling"), F.lit(4000).cast("long").alias("reserve"),
     )
 
@@ -69,14 +69,14 @@ def work_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "monthly_tier_budget",
-    """WITH RECURSIVE e AS (SELECT event_id, event_type AS tier, CAST(round(value) AS BIGINT) AS cost, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE user_id % 5 = 0),
-      f AS (SELECT event_id, tier, n, CASE WHEN cost > 1500 THEN 'TIER_BUDGET' ELSE 'ADMITTED' END AS decision, CASE WHEN cost > 1500 THEN 0 ELSE cost END AS spent FROM e WHERE n = 1
-        UNION ALL SELECT e.event_id, e.tier, e.n, CASE WHEN f.spent + cost > 1500 THEN 'TIER_BUDGET' ELSE 'ADMITTED' END, CASE WHEN f.spent + cost > 1500 THEN f.spent ELSE f.spent + cost END FROM f JOIN e ON e.tier = f.tier AND e.n = f.n + 1)
+    """WITH RECURSIVE e AS (SELECT event_id, event_type AS tier, CAST(round(value) AS BIGINT) AS cost, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT event_id, user_id, tier, n, CASE WHEN cost > 450 THEN 'TIER_BUDGET' ELSE 'ADMITTED' END AS decision, CASE WHEN cost > 450 THEN 0 ELSE cost END AS spent FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.tier, e.n, CASE WHEN f.spent + cost > 450 THEN 'TIER_BUDGET' ELSE 'ADMITTED' END, CASE WHEN f.spent + cost > 450 THEN f.spent ELSE f.spent + cost END FROM f JOIN e ON e.user_id = f.user_id AND e.tier = f.tier AND e.n = f.n + 1)
       SELECT event_id, tier, decision FROM f""",
 )
 def monthly_tier_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "events").filter("user_id % 5 = 0").select("event_id", F.col("event_type").alias("tier"), "ts", F.round("value").cast("long").alias("cost"))
-    return ledgers.admit(calls, ["tier"], [F.asc("ts"), F.asc("event_id")], [("TIER_BUDGET", F.col("cost"), 1500)]).select("event_id", "tier", "decision")
+    calls = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("tier"), "ts", F.round("value").cast("long").alias("cost"))
+    return ledgers.admit(calls, ["user_id", "tier"], [F.asc("ts"), F.asc("event_id")], [("TIER_BUDGET", F.col("cost"), 450)]).select("event_id", "tier", "decision")
 
 
 @register(
@@ -200,11 +200,11 @@ def search_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "held_search_replay",
-    """WITH r AS (SELECT o_custkey AS query, count(*) AS n, min(o_orderkey) AS receipt_id, arg_min(o_orderstatus, o_orderkey) AS f, arg_min(o_orderdate, o_orderkey) AS seen FROM orders WHERE o_orderkey % 6 = 0 GROUP BY 1),
-      s AS (SELECT c_custkey AS query, receipt_id, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' WHEN f <> 'F' THEN 'FINGERPRINT' WHEN epoch(TIMESTAMP '1998-01-01') - epoch(seen) > 26280 * 3600 OR seen > TIMESTAMP '1998-01-01' THEN 'AGE' ELSE 'REPLAYED' END AS state FROM customer LEFT JOIN r ON query = c_custkey)
+    """WITH r AS (SELECT o_custkey * 7 + o_orderkey % 7 AS query, count(*) AS n, min(o_orderkey) AS receipt_id, arg_min(o_orderstatus, o_orderkey) AS f, arg_min(o_orderdate, o_orderkey) AS seen FROM orders GROUP BY 1),
+      s AS (SELECT q.query, receipt_id, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' WHEN f <> 'F' THEN 'FINGERPRINT' WHEN epoch(TIMESTAMP '1998-01-01') - epoch(seen) > 26280 * 3600 OR seen > TIMESTAMP '1998-01-01' THEN 'AGE' ELSE 'REPLAYED' END AS state FROM (SELECT c_custkey * 7 + unnest(range(7)) AS query FROM customer) q LEFT JOIN r USING (query))
       SELECT query, state, CASE WHEN state = 'REPLAYED' THEN receipt_id END AS receipt_id FROM s""",
 )
 def held_search_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    receipts = table(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("receipt_id"), F.col("o_orderstatus").alias("fingerprint"), F.col("o_orderdate").alias("observed_at"))
-    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query"), F.lit("F").alias("fingerprint"))
+    receipts = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 7 + F.col("o_orderkey") % 7).alias("query"), F.col("o_orderkey").alias("receipt_id"), F.col("o_orderstatus").alias("fingerprint"), F.col("o_orderdate").alias("observed_at"))
+    asked = table(spark, sf_dir, "customer").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.col("c_custkey") * 7 + i)).alias("query"), F.lit("F").alias("fingerprint"))
     return ledgers.held_replay(asked, receipts, "query", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), 26280)

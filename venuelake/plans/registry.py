@@ -13,7 +13,7 @@ from venuelake.functions import text
 from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
 from venuelake.plans import address_queries, contact_queries, extraction_queries, ledger_queries, scoring_queries  # noqa: F401
-from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, register  # noqa: F401
+from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, pick, quoted, register, sql_pick  # noqa: F401
 from venuelake.sources.tables import table
 
 STATES = ("QUALIFIED", "REVIEW_REQUIRED", "REJECTED", "DUPLICATE", "RESEARCHED")
@@ -103,11 +103,22 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.run_history(app, runs, STATES)
 
 
-@register("prospect_queue_page", f"{CANONICAL} SELECT {', '.join(PAGE)} FROM canonical WHERE inventory_state = 'ACTIVE' AND (last_seen_at < TIMESTAMP '2024-01-29' OR (last_seen_at = TIMESTAMP '2024-01-29' AND id < 100)) ORDER BY last_seen_at DESC, id DESC LIMIT 11")
+QUEUE = f"{CANONICAL} SELECT {', '.join(PAGE)} FROM canonical WHERE inventory_state <> 'REJECTED'"
+
+
+def _queue(spark: SparkSession, sf_dir: str, forward: bool) -> DataFrame:
+    rows = inventory.canonical(appearances(spark, sf_dir)).filter("inventory_state <> 'REJECTED'")
+    return inventory.keyset_page(rows, [("territory", True), ("last_seen_at", False), ("id", True)], ["GB", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 100], 4, forward).select(*PAGE)
+
+
+@register("prospect_queue_page", f"{QUEUE} AND (territory > 'GB' OR territory = 'GB' AND (last_seen_at < TIMESTAMP '2024-01-30 12:00:00' OR last_seen_at = TIMESTAMP '2024-01-30 12:00:00' AND id > 100)) ORDER BY territory, last_seen_at DESC, id LIMIT 5")
 def prospect_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inventory.canonical(appearances(spark, sf_dir)).filter("inventory_state = 'ACTIVE'")
-    order = [("last_seen_at", False), ("id", False)]
-    return inventory.keyset_page(rows, order, [F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"), 100], 10).select(*PAGE)
+    return _queue(spark, sf_dir, True)
+
+
+@register("prospect_queue_back", f"{QUEUE} AND (territory < 'GB' OR territory = 'GB' AND (last_seen_at > TIMESTAMP '2024-01-30 12:00:00' OR last_seen_at = TIMESTAMP '2024-01-30 12:00:00' AND id < 100)) ORDER BY territory DESC, last_seen_at, id DESC LIMIT 5")
+def prospect_queue_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queue(spark, sf_dir, False)
 
 
 @register(
@@ -118,13 +129,9 @@ def prospect_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
       (SELECT 'qualified' AS lane, 2 AS lane_order, id, last_seen_at FROM canonical WHERE inventory_state = 'QUALIFIED' ORDER BY last_seen_at DESC, id LIMIT 3))""",
 )
 def attention_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inventory.canonical(appearances(spark, sf_dir)).select("id", "last_seen_at", "inventory_state", "inventory_quality")
-    pick = lambda test: rows.filter(test).select("id", "last_seen_at")
-    return inventory.attention([
-        ("review", pick("inventory_state = 'NEEDS_REVIEW'"), [F.asc("last_seen_at"), F.asc("id")], 3),
-        ("missing", pick("inventory_quality = 'MISSING_SOURCE'"), [F.desc("last_seen_at"), F.asc("id")], 2),
-        ("qualified", pick("inventory_state = 'QUALIFIED'"), [F.desc("last_seen_at"), F.asc("id")], 3),
-    ])
+    state, quality = F.col("inventory_state"), F.col("inventory_quality")
+    lanes = [("review", state == "NEEDS_REVIEW", F.lit(1), 3), ("missing", quality == "MISSING_SOURCE", F.lit(-1), 2), ("qualified", state == "QUALIFIED", F.lit(-1), 3)]
+    return inventory.attention(inventory.canonical(appearances(spark, sf_dir)), lanes, "last_seen_at", "id")
 
 
 SUBMISSIONS = f"""SELECT event_id AS id, CAST(user_id AS VARCHAR) || '|suite' AS canonical_key, {_case("event_type", CATEGORY)} AS category, ts AS received_at, ts AS occurred_at FROM events"""
@@ -190,8 +197,11 @@ def request_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "batch_selection",
-    """WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS h FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS i FROM a WHERE h = 1)
-      SELECT o_orderkey, o_custkey, o_orderdate FROM b WHERE i = 1 ORDER BY o_orderkey LIMIT 50""",
+    """WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+      f AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS hosts, CAST([] AS TIMESTAMP[]) AS days, CAST(NULL AS BIGINT) AS picked
+        UNION ALL SELECT o.n, CASE WHEN list_contains(hosts, o_custkey) OR list_contains(days, o_orderdate) THEN hosts ELSE list_append(hosts, o_custkey) END, CASE WHEN list_contains(hosts, o_custkey) OR list_contains(days, o_orderdate) THEN days ELSE list_append(days, o_orderdate) END,
+          CASE WHEN list_contains(hosts, o_custkey) OR list_contains(days, o_orderdate) THEN NULL ELSE o_orderkey END FROM f JOIN o ON o.n = f.n + 1 WHERE len(hosts) < 50)
+      SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey IN (SELECT picked FROM f)""",
 )
 def batch_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledgers.select_batch(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey", "o_custkey", "o_orderdate", 50)
@@ -245,20 +255,32 @@ def catalogue_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "account_match",
-    """WITH a AS (SELECT lower(trim(c_mktsegment)) AS name, count(*) AS n, min(c_custkey) AS i FROM customer GROUP BY 1)
-      SELECT p_partkey, p_type AS organisation, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS identity_state, CASE WHEN n = 1 THEN i END AS account_id FROM part LEFT JOIN a ON lower(p_type) = name""",
+    """WITH a AS (SELECT c_custkey, lower(trim('Account ' || CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % 20 END)) AS name FROM customer), n AS (SELECT name, count(*) AS n, min(c_custkey) AS i FROM a GROUP BY 1),
+      l AS (SELECT p_partkey, '  ACCOUNT   ' || p_partkey AS organisation FROM part)
+      SELECT p_partkey, organisation, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS identity_state, CASE WHEN n = 1 THEN i END AS account_id FROM l LEFT JOIN n ON name = regexp_replace(lower(trim(organisation)), '\\s+', ' ', 'g')""",
 )
 def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("account_name"))
-    return leads.account_match(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("organisation")), accounts)
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("Account "), F.when(key % 3 == 0, key).otherwise(key % 20).cast("string"))
+    accounts = table(spark, sf_dir, "customer").select(key.alias("account_id"), name.alias("account_name"))
+    return leads.account_match(table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("  ACCOUNT   "), F.col("p_partkey").cast("string")).alias("organisation")), accounts)
+
+
+ORGANISATIONS = ("Café Royal Hall", "The Grand Hall", "hall", "City Art Museum", "Art", "Museum of the City", "Grand-Hall!", "Lakeside Barn & Farm", "Barn", "Ça", "Unrelated Place", "Farm Lakeside Events")
+SUPPLIERS = ("cafe royal", "GRAND HALL", "Smart Party", "city museum", "Lakeside farm", "ca", "...", "Old Unrelated Place Hotel", "Hallmark")
+_CANONICAL = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @register(
     "fuzzy_names",
-    "SELECT c_custkey AS left_c_custkey, s_suppkey AS right_s_suppkey, 1 AS overlap, 0.5 AS score FROM customer JOIN supplier ON split_part(c_name, '#', 2) = split_part(s_name, '#', 2)",
+    f"""WITH l AS (SELECT c_custkey, {_CANONICAL.format(sql_pick(ORGANISATIONS, "c_custkey") + " || ' ' || c_custkey // 12")} AS n FROM customer), r AS (SELECT s_suppkey, {_CANONICAL.format(sql_pick(SUPPLIERS, "s_suppkey") + " || ' ' || s_suppkey // 9")} AS m FROM supplier),
+      p AS (SELECT c_custkey, s_suppkey, n, m, list_distinct(string_split(n, ' ')) AS a, list_distinct(string_split(m, ' ')) AS b FROM l, r WHERE n <> '' AND m <> ''), o AS (SELECT *, len(list_intersect(a, b)) AS overlap, greatest(len(a), len(b)) AS most FROM p)
+      SELECT c_custkey AS left_c_custkey, s_suppkey AS right_s_suppkey, CAST(overlap AS INT) AS overlap, overlap / most AS score FROM o WHERE contains(n, m) OR contains(m, n) OR overlap >= 2 AND overlap * 2 >= most""",
 )
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.fuzzy_pairs(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", "c_name", "s_name", least=1)
+    left = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", pick(ORGANISATIONS, F.col("c_custkey")), F.floor(F.col("c_custkey") / 12).cast("string")).alias("name"))
+    right = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", pick(SUPPLIERS, F.col("s_suppkey")), F.floor(F.col("s_suppkey") / 9).cast("string")).alias("name"))
+    return resolution.fuzzy_pairs(left, right, "c_custkey", "s_suppkey", "name", "name")
 
 
 @register(
@@ -341,15 +363,51 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.stable_id(F.col("c_name"), F.col("c_mktsegment")).alias("stable_id"))
 
 
-@register("successor_chains")
+@register(
+    "successor_chains",
+    """WITH RECURSIVE m AS (SELECT p_partkey AS place, CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 3 WHEN p_partkey % 13 = 0 THEN p_partkey WHEN p_partkey % 7 = 0 THEN -1 - p_partkey ELSE p_partkey // 2 END AS successor FROM part),
+      c AS (SELECT place AS start, [place, successor] AS ids FROM m UNION ALL SELECT start, list_append(ids, successor) FROM c JOIN m ON place = ids[-1] WHERE len(ids) <= 5 AND NOT list_contains(ids[:-2], ids[-1])),
+      l AS (SELECT start, arg_max(ids, len(ids)) AS ids FROM c GROUP BY 1)
+      SELECT start, ids[-1] AS last, CAST(len(ids) - 1 AS INT) AS hops, CASE WHEN list_contains(ids[:-2], ids[-1]) THEN 'CYCLE' WHEN len(ids) > 5 THEN 'LIMIT' ELSE 'ENDED' END AS state FROM l""",
+)
 def successor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), F.floor(F.col("p_partkey") / 3).cast("long").alias("successor"))
-    return resolution.successors(moves)
+    key = F.col("p_partkey")
+    successor = F.when(key % 11 == 0, key + 3).when(key % 13 == 0, key).when(key % 7 == 0, -1 - key).otherwise(F.floor(key / 2).cast("long"))
+    return resolution.successors(table(spark, sf_dir, "part").select(key.alias("place"), successor.alias("successor")))
+
 
+_BODY = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
-@register("page_text")
+
+def _decoded_sql(html: str) -> str:
+    out = f"regexp_replace(regexp_replace({html}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for name, char in text.ENTITIES:
+        out = f"replace({out}, '&{name};', {quoted(char)})"
+    return _BODY.format(out)
+
+
+ENCODED = ("&lt;b&gt; &amp;amp; &pound;5&ndash;6", "caf&eacute; &#233;&#x41;", "&copy; Hall &hellip; &#0; &#128512;", "<p>a</p><script>x</script>&nbsp;b", "&unknown; &quot;q&quot;", "plain")
+DECODED = ("<b> &amp; £5–6", "café éA", "© Hall … &#0; 😀", "a b", '&unknown; "q"', "plain")
+
+
+@register("page_text", f"SELECT page_id, {_decoded_sql('html')} AS text FROM (SELECT page_id, coalesce(html, '') AS html FROM pages) UNION ALL SELECT 1000000000 + event_id, {sql_pick(DECODED, 'event_id')} FROM events")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"), text.shell_page(F.col("html")).alias("is_shell"))
+    encoded = table(spark, sf_dir, "events").select((F.lit(1000000000) + F.col("event_id")).alias("page_id"), pick(ENCODED, F.col("event_id")).alias("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(encoded)
+    return pages.select("page_id", text.visible_text(F.col("html")).alias("text"))
+
+
+SHELLS = (
+    '<body><div id="root"></div><p>Hi</p></body>', "<body><p>Hi</p></body>", "<script id='__NEXT_DATA__'>{}</script><body>x</body>", "<body>window.__NUXT__={}</body>", "<body><noscript>Please enable JavaScript</noscript></body>",
+    '<meta name="description" content="A hall for all sorts of events in the middle of town"><body>x</body>', "<body>" + "<script></script>" * 8 + "x</body>", '<body><div id="app"> <noscript>x</noscript></div>' + "word " * 100 + "</body>",
+)
+_SIGNALS = ("EMPTY_FRAMEWORK_MOUNT", "", "NEXT_DATA", "NUXT_STATE", "NOSCRIPT_JS_REQUIRED", "METADATA_WITHOUT_BODY", "SCRIPT_HEAVY_THIN_BODY", "EMPTY_FRAMEWORK_MOUNT")
+
+
+@register("shell_pages", f"SELECT event_id, {sql_pick(_SIGNALS, 'event_id')} AS signals, event_id % 8 NOT IN (1, 7) AS shell FROM events")
+def shell_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", pick(SHELLS, F.col("event_id")).alias("html"))
+    return rows.select("event_id", F.array_join(text.shell_signals(F.col("html")), ",").alias("signals"), text.shell_page(F.col("html")).alias("shell"))
 
 
 @register(

@@ -25,7 +25,7 @@ _V = ", ".join(f"({i}, {', '.join(map(str, t))})" for i, t in enumerate(_TOLD))
 @register(
     "prospect_assessment",
     f"""WITH t(k, event, responsible, fresh, gap, gap_counter, ticket, ticket_counter, complex) AS (VALUES {_V}),
-      f AS (SELECT c_custkey AS candidate, (c_custkey * 7 + i * (1 + c_custkey % 5)) % 13 AS k, (c_custkey + i) % 3 = 0 AS validation, (c_custkey + i) % 2 = 0 AS trusted FROM customer, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE c_custkey % 10 > 0),
+      f AS (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_custkey ELSE -1 - c_custkey END AS candidate, (c_custkey * 7 + i * (1 + c_custkey % 5)) % 13 AS k, (c_custkey + i) % 3 = 0 AS validation, (c_custkey + i) % 2 = 0 AS trusted FROM customer, (SELECT unnest([0, 1, 2, 3]) AS i)),
       n AS (SELECT candidate, sum(CASE WHEN event = 1 AND responsible = 1 AND validation THEN 1 ELSE 0 END) AS confirmed, sum(CASE WHEN event = 1 AND (responsible = 1 OR validation) THEN 1 ELSE 0 END) AS answering, sum(event) AS mentions, min(fresh) AS fresh,
         sum(CASE WHEN trusted THEN 1 ELSE 0 END) AS trusted, sum(gap) AS gap, sum(gap_counter) AS gc, sum(ticket) AS ticket, sum(ticket_counter) AS tc, sum(complex) AS complex FROM f JOIN t USING (k) GROUP BY 1),
       a AS (SELECT c_custkey AS candidate, {sql_pick(RELATIONS, "c_custkey")} AS relationship, n.* EXCLUDE (candidate), {list(scoring.FRESHNESS_ORDER)}[coalesce(fresh, 5)] AS freshness FROM customer LEFT JOIN n ON candidate = c_custkey),
@@ -40,8 +40,8 @@ _V = ", ".join(f"({i}, {', '.join(map(str, t))})" for i, t in enumerate(_TOLD))
 def prospect_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     customer = table(spark, sf_dir, "customer")
-    each = customer.filter(key % 10 > 0).select(key, F.explode(F.array(*map(F.lit, range(4)))).alias("i"))
-    facts = each.select(key.alias("candidate"), pick(CLAIMS, key * 7 + F.col("i") * (1 + key % 5)).alias("claim"), ((key + F.col("i")) % 3 == 0).alias("validation"), ((key + F.col("i")) % 2 == 0).alias("trusted"))
+    each = customer.select(key, F.explode(F.array(*map(F.lit, range(4)))).alias("i"))
+    facts = each.select(F.when(key % 10 > 0, key).otherwise(-1 - key).alias("candidate"), pick(CLAIMS, key * 7 + F.col("i") * (1 + key % 5)).alias("claim"), ((key + F.col("i")) % 3 == 0).alias("validation"), ((key + F.col("i")) % 2 == 0).alias("trusted"))
     return scoring.assessed(facts, customer.select(key.alias("candidate"), pick(RELATIONS, key).alias("relationship")), "candidate", 2024)
 
 
@@ -168,15 +168,15 @@ def place_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "registry_outcomes",
-    """WITH c AS (SELECT o_custkey AS search, o_orderkey AS company, o_orderkey % 4 = 0 AS exact, CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'dissolved' ELSE 'liquidation' END AS status FROM orders WHERE o_orderkey % 3 = 0),
+    """WITH c AS (SELECT o_custkey * 4 + o_orderkey % 4 AS search, o_orderkey AS company, o_orderkey % 3 = 0 AS exact, CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'dissolved' ELSE 'liquidation' END AS status FROM orders),
       a AS (SELECT search, count(*) AS n, count(*) FILTER (WHERE exact) AS e, count(*) FILTER (WHERE exact AND status = 'Active') AS a, bool_or(exact AND status = 'dissolved') AS gone, min(company) FILTER (WHERE exact AND status = 'Active') AS one FROM c GROUP BY 1)
-      SELECT c_custkey AS search, CASE WHEN a = 1 THEN 'REGISTRAR_CONFIRMED' WHEN a > 1 OR e > 1 THEN 'REGISTRAR_AMBIGUOUS' WHEN gone THEN 'REGISTRAR_CONFLICT' WHEN n > 0 THEN 'REGISTRAR_AMBIGUOUS' ELSE 'REGISTRAR_NOT_FOUND' END AS outcome, CASE WHEN a = 1 THEN one END AS company FROM customer LEFT JOIN a ON search = c_custkey""",
+      SELECT q.search, CASE WHEN a = 1 THEN 'REGISTRAR_CONFIRMED' WHEN a > 1 OR e > 1 THEN 'REGISTRAR_AMBIGUOUS' WHEN gone THEN 'REGISTRAR_CONFLICT' WHEN n > 0 THEN 'REGISTRAR_AMBIGUOUS' ELSE 'REGISTRAR_NOT_FOUND' END AS outcome, CASE WHEN a = 1 THEN one END AS company FROM (SELECT c_custkey * 4 + unnest(range(4)) AS search FROM customer) q LEFT JOIN a USING (search)""",
 )
 def registry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "Active").when(F.col("o_orderstatus") == "F", "dissolved").otherwise("liquidation")
-    companies = o.select(F.col("o_custkey").alias("search"), F.col("o_orderkey").alias("company"), (F.col("o_orderkey") % 4 == 0).alias("exact"), status.alias("status"))
-    return scoring.registry_outcomes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("search")), companies, "search")
+    companies = o.select((F.col("o_custkey") * 4 + F.col("o_orderkey") % 4).alias("search"), F.col("o_orderkey").alias("company"), (F.col("o_orderkey") % 3 == 0).alias("exact"), status.alias("status"))
+    return scoring.registry_outcomes(table(spark, sf_dir, "customer").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("c_custkey") * 4 + i)).alias("search")), companies, "search")
 
 
 TIERS = (("id", "ESSENTIALS", 1, 5), ("name", "ESSENTIALS", 1, 5), ("types", "PRO", 2, 17), ("website", "ENTERPRISE", 3, 20), ("reviews", "ATMOSPHERE", 4, 25))

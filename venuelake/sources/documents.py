@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 SITEMAP_URLS = 5000
 
 
-def sitemap_urls(bodies: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """(id, kind, position, url): of an index the maps, of a set its pages, of plain text its lines."""
+def sitemap_urls(bodies: DataFrame, id_col: str, body_col: str, most: int | None = SITEMAP_URLS) -> DataFrame:
+    """(id, kind, position, url): of an index the maps, of a set its pages, of plain text its lines; the first `most` (None:
+    all)."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     kind = F.when(body.rlike(r"(?i)<sitemapindex\b"), "INDEX").when(body.rlike(r"(?i)<urlset\b"), "URLSET").otherwise("TEXT")
     marked = F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)
     plain = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^https?://"))
-    found = bodies.select(F.col(id_col), kind.alias("kind"), F.slice(F.when(kind == "TEXT", plain).otherwise(marked), 1, SITEMAP_URLS).alias("urls"))
+    found = bodies.select(F.col(id_col), kind.alias("kind"), _first(F.when(kind == "TEXT", plain).otherwise(marked), most).alias("urls"))
     return found.select(id_col, "kind", F.posexplode("urls").alias("position", "url"))
 
 
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
 def robots_rules(bodies: DataFrame, host_col: str, body_col: str) -> DataFrame:
     """(host, agent, allow, path): each rule under each agent of its group."""
     lines = bodies.select(F.col(host_col).alias("host"), F.posexplode(F.split(F.coalesce(F.col(body_col), F.lit("")), r"\r?\n")).alias("at", "line"))
@@ -44,10 +49,10 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     return asked.withColumn("pattern", wild).withColumn("fits", fits).groupBy("host", "path").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
 
 
-def search_results(responses: DataFrame, id_col: str, body_col: str, most: int = 10) -> DataFrame:
-    """(id, rank, title, link) of the organic rows of stored search responses, public web links only."""
+def search_results(responses: DataFrame, id_col: str, body_col: str, most: int | None = 10) -> DataFrame:
+    """(id, rank, title, link) of the organic rows of stored search responses, public web links only; the first `most` (None: all)."""
     parsed = F.from_json(body_col, "organic array<struct<title:string,link:string>>")
-    rows = responses.select(F.col(id_col), F.posexplode(F.slice(parsed["organic"], 1, most)).alias("rank", "r"))
+    rows = responses.select(F.col(id_col), F.posexplode(_first(parsed["organic"], most)).alias("rank", "r"))
     return rows.select(id_col, (F.col("rank") + 1).alias("rank"), "r.title", "r.link").filter(F.col("link").rlike(r"^https?://[^/@]+\.[a-z]{2,}"))
 
 
