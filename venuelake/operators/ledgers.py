@@ -268,3 +268,51 @@ def held_replay(requests: DataFrame, receipts: DataFrame, query: str, as_of: Col
         .when((age > most_hours) | (age < 0), "AGE").otherwise("REPLAYED")
     )
     return found.withColumn("state", state).withColumn("receipt_id", F.when(F.col("state") == "REPLAYED", F.col("r.receipt_id"))).drop("n", "r", "asked")
+
+
+def admit_searches(requests: DataFrame, scope: str, at: str, key: str, guard: str, daily: int, spacing_ms: int) -> DataFrame:
+    """Requests with `decision`: what their `guard` says unless it is OPEN, then PROVIDER_DAILY_BUDGET once `daily` of a UTC day are
+    reserved, PROVIDER_RATE_LIMIT less than the spacing after the last reserved one, else RESERVED. Only reserved requests
+    count, so a scope is folded in order of time, in one partition, streamed."""
+    marked = requests.withColumn("__scope", F.col(scope)).withColumn("__us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__guard", F.col(guard))
+    dealt = marked.repartition("__scope").sortWithinPartitions("__scope", "__us", key)
+    kept = [f for f in requests.schema.fields if f.name != "decision"]
+    day_us = 86_400_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, day, used, last = None, None, 0, None
+        for batch in batches:
+            decisions = []
+            for s, us, state in zip(*(batch.column(c).to_pylist() for c in ("__scope", "__us", "__guard")), strict=True):
+                if s != now:
+                    now, day, used, last = s, None, 0, None
+                if us // day_us != day:
+                    day, used = us // day_us, 0
+                if state != "OPEN":
+                    decisions.append(state)
+                elif used >= daily:
+                    decisions.append("PROVIDER_DAILY_BUDGET")
+                elif last is not None and us < last + spacing_ms * 1000:
+                    decisions.append("PROVIDER_RATE_LIMIT")
+                else:
+                    decisions.append("RESERVED")
+                    used, last = used + 1, us
+            yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(decisions, pa.string())], names=[*(f.name for f in kept), "decision"])
+
+    return dealt.mapInArrow(fold, StructType([*kept]).add("decision", StringType()))
+
+
+def completed_work(receipts: DataFrame, policy: str, at: str, key: str, most_failures: int) -> DataFrame:
+    """Receipts with `outcome`, the policy's failure `streak` after them, and whether it is still `enabled`.
+
+    More requests than reserved, or any cost, quarantine a receipt and disable the policy for good, as does a streak of
+    `most_failures`; a receipt within its reservation ends the streak. Streaks are runs between good receipts.
+    """
+    good = F.coalesce((F.col("actual") <= F.col("reserved")) & (F.col("cost") == 0), F.lit(False))
+    outcome = F.when(F.coalesce(F.col("actual") > F.col("reserved"), F.lit(False)) | (F.col("cost") > 0), "QUARANTINED").otherwise(F.col("state"))
+    order = Window.partitionBy(policy).orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
+    marked = receipts.withColumn("__good", good).withColumn("outcome", outcome).withColumn("__run", F.sum(F.when(good, 1).otherwise(0)).over(order))
+    in_run = Window.partitionBy(policy, "__run").orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
+    streak = F.when(F.col("__good"), 0).otherwise(F.sum(F.when(F.col("__good"), 0).otherwise(1)).over(in_run))
+    out = marked.withColumn("streak", streak.cast("long"))
+    return out.withColumn("enabled", F.bool_and((F.col("outcome") != "QUARANTINED") & (F.col("streak") < most_failures)).over(order)).drop("__good", "__run")
