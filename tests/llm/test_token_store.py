@@ -59,3 +59,15 @@ def test_segments_are_split_and_counted(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() > 5
     found = token_store.encode_documents(docs, json, str(tmp_path / "u")).orderBy("start").collect()
     assert [r.doc_id for r in found] == list(range(50)) and [r.n_tokens for r in found] == [i % 7 + 1 for i in range(50)]
+
+
+def test_a_tokenizer_that_joins_across_white_space_is_used_whole():
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"a b": 0, "a": 1, "b": 2, "?": 3}, unk_token="?"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+    mine = token_store.WordTokenizer(tokenizer.to_str())
+    texts = ["a b\na", "b", None, "a b"]
+    assert [x.tolist() for x in mine.ids(pa.array(texts))] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not mine.by_words and token_store.WordTokenizer(token_store.default_tokenizer()).by_words
