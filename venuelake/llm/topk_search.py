@@ -231,7 +231,9 @@ def _trees(points: DataFrame, n_rows: int) -> DataFrame:
                 yield pa.record_batch(columns, names=["part", "n", "tree"])
 
     dealt = points.mapInArrow(nearest, "id long, v array<double>, n int, copies long, pivot long")
-    tasks = max(1, -(-n_rows // (TREE_ROWS * TASK_TREES)))
+    # a tree a task until every core has one, then up to TASK_TREES of them
+    n_trees = max(1, -(-n_rows // TREE_ROWS))
+    tasks = max(-(-n_trees // TASK_TREES), min(n_trees, points.sparkSession.sparkContext.defaultParallelism))
     return dealt.repartitionByRange(tasks, "n", "pivot", F.xxhash64("v", "id")).mapInArrow(build, "part int, n int, tree binary")
 
 
