@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +77,11 @@ def facets(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     return df.agg(F.count("*").alias("total"), *[F.count_if(F.col(column) == v).alias(v.lower()) for v in values])
 
 
+def histogram(df: DataFrame, key: str, column: str, values: Iterable[str]) -> DataFrame:
+    """A row a key with a counter for each of the values."""
+    return df.groupBy(key).agg(*[F.count_if(F.col(column) == v).alias(f"{v}_count") for v in values])
+
+
 def keyset_page(df: DataFrame, order: Sequence[tuple[str, bool]], after: Sequence | None, size: int, forward: bool = True) -> DataFrame:
     """Rows strictly after (or before) a cursor in a total order of (column, ascending), one more than `size` to tell whether
     more follow. Sort columns must not be null."""

@@ -140,6 +140,11 @@ def reconcile(declared: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     return out.withColumn("effective", F.greatest("declared", "recounted")).withColumn("agrees", F.col("declared") == F.col("recounted"))
 
 
+def due(messages: DataFrame, state: str, states: Sequence[str], at: str, key: str, as_of: Column, most: int = 25) -> DataFrame:
+    """The messages in one of the states whose time has come, the longest due first, `most` at a time."""
+    return messages.filter(F.col(state).isin(*states) & (F.col(at) <= as_of)).orderBy(at, key).limit(most)
+
+
 def expire(cache: DataFrame, payloads: Sequence[str], expires: str, as_of: Column) -> DataFrame:
     """Expired rows lose their payloads and keep the rest."""
     for c in payloads:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from venuelake.functions import text
 from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
-from venuelake.plans import address_queries, contact_queries, crawl_queries, document_queries, extraction_queries, identity_queries, ledger_queries, scoring_queries  # noqa: F401
+from venuelake.plans import address_queries, contact_queries, crawl_queries, document_queries, extraction_queries, identity_queries, ledger_queries, reader_queries, scoring_queries  # noqa: F401
 from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, pick, quoted, register, sql_pick  # noqa: F401
 from venuelake.sources.tables import table
 
@@ -313,12 +313,12 @@ def first_wins_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "parents_with_children",
-    """SELECT c.c_custkey, c.c_name, to_json(list(o.o_orderkey ORDER BY o.o_orderkey) FILTER (WHERE o.o_orderkey IS NOT NULL)) IS NOT NULL AS has_orders, count(o.o_orderkey) AS n_orders, min(o.o_orderkey) AS first_order FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2""",
+    """SELECT c.c_custkey, c.c_name, coalesce(string_agg(o.o_orderkey || o.o_orderstatus, ',' ORDER BY o.o_orderkey), '') AS children, count(o.o_orderkey) AS n_orders, min(o.o_orderkey) AS first_order FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2""",
 )
 def parents_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
     rows = inventory.with_children(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderkey"], "orders")
-    return rows.select("c_custkey", "c_name", (F.size("orders") > 0).alias("has_orders"), F.size("orders").cast("long").alias("n_orders"), F.try_element_at("orders", F.lit(1))["o_orderkey"].alias("first_order"))
+    return rows.select("c_custkey", "c_name", F.array_join(F.transform("orders", lambda o: F.concat(o["o_orderkey"].cast("string"), o["o_orderstatus"])), ",").alias("children"), F.size("orders").cast("long").alias("n_orders"), F.try_element_at("orders", F.lit(1))["o_orderkey"].alias("first_order"))
 
 
 @register(
@@ -326,7 +326,7 @@ def parents_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, {", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}_count" for t in STATUS)} FROM events GROUP BY 1""",
 )
 def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("run_id")).agg(*[F.count_if(F.col("event_type") == t).alias(f"{t}_count") for t in STATUS])
+    return inventory.histogram(table(spark, sf_dir, "events").withColumn("run_id", F.to_date("ts").cast("string")), "run_id", "event_type", STATUS)
 
 
 @register(
@@ -334,7 +334,7 @@ def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT event_id, ts FROM events WHERE event_type IN ('click', 'signup') AND ts <= TIMESTAMP '{AS_OF}' ORDER BY ts, event_id LIMIT 25",
 )
 def due_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "signup") & (F.col("ts") <= as_of())).select("event_id", "ts").orderBy("ts", "event_id").limit(25)
+    return ledgers.due(table(spark, sf_dir, "events"), "event_type", ["click", "signup"], "ts", "event_id", as_of()).select("event_id", "ts")
 
 
 @register(
