@@ -39,5 +39,5 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert rows(got.toPandas()) == rows(want)
 
 
-def test_entry_is_the_inventory_page(spark):
+def test_entry_is_the_inventory(spark):
     assert entry.entry(spark).columns == list(registry.PAGE)
