@@ -31,6 +31,24 @@ def canonical_key(email: Column, submission: Column, product: Column) -> Column:
     return F.concat(F.when(mail != "", mail).otherwise(F.concat(F.lit("submission:"), submission.cast("string"))), F.lit("|"), product)
 
 
+def partials(submissions: DataFrame) -> DataFrame:
+    """What the fold keeps of the events of a key: its first and its last in order of arrival, and a few counts. `merged` puts the
+    partials of parts of a ledger together."""
+    order, rank = F.struct("received_at", "id"), lookup(F.col("category"), RANKS)
+    return submissions.groupBy("canonical_key").agg(
+        F.min(order).alias("first_at"), F.min_by("category", order).alias("first_category"), F.max(order).alias("last_at"), F.max_by("category", order).alias("latest_category"), F.count("*").alias("activity_count"),
+        F.max(rank).alias("highest_rank"), F.count_if(rank >= 4).alias("high"), F.min("occurred_at").alias("first_activity"), F.max("occurred_at").alias("last_activity"),
+    )
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """The partials of each key as one."""
+    return states.groupBy("canonical_key").agg(
+        F.min("first_at").alias("first_at"), F.min_by("first_category", "first_at").alias("first_category"), F.max("last_at").alias("last_at"), F.max_by("latest_category", "last_at").alias("latest_category"), F.sum("activity_count").alias("activity_count"),
+        F.max("highest_rank").alias("highest_rank"), F.sum("high").alias("high"), F.min("first_activity").alias("first_activity"), F.max("last_activity").alias("last_activity"),
+    )
+
+
 def project(submissions: DataFrame) -> DataFrame:
     """One row a canonical key from the ledger (canonical_key, id, category, received_at, occurred_at).
 
@@ -40,12 +58,12 @@ def project(submissions: DataFrame) -> DataFrame:
     rank is 4 or more, or, for intent, if it is a newsletter, else the first, which starts low. The stage starts as trial or
     new; a later event of rank 4 makes a new one reviewing.
     """
-    order, rank = F.struct("received_at", "id"), lookup(F.col("category"), RANKS)
+    return finished(partials(submissions))
+
+
+def finished(folded: DataFrame) -> DataFrame:
+    """Partials to projected leads."""
     ladder = lambda c: F.when(c >= 5, "VERY_HIGH").when(c == 4, "HIGH")
-    folded = submissions.groupBy("canonical_key").agg(
-        F.min_by("category", order).alias("first_category"), F.max_by("category", order).alias("latest_category"), F.count("*").alias("activity_count"),
-        F.max(rank).alias("highest_rank"), F.count_if(rank >= 4).alias("high"), F.min("occurred_at").alias("first_activity"), F.max("occurred_at").alias("last_activity"),
-    )
     first, last, n = lookup(F.col("first_category"), RANKS), lookup(F.col("latest_category"), RANKS), F.col("activity_count")
     nurture = lambda c: F.when(c == 0, "NURTURE")
     start = F.coalesce(ladder(first), F.lit("LOW"))

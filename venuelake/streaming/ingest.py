@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from venuelake.operators import leads
 
@@ -19,24 +20,59 @@ def append_ledger(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     return stream.withColumn("day", F.to_date("received_at")).writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+#: Folders that ledger and projection are spread over by a hash of their keys; a batch reads those of its own keys.
+BUCKETS = 64
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _earlier(spark: SparkSession, path: str, schema: StructType, number: int, buckets: list[int]) -> DataFrame:
+    """Rows of earlier batches in the buckets; other folders are not read."""
+    whole = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
+    return spark.read.schema(whole).option("basePath", path).parquet(path).filter((F.col("batch") < number) & F.col("bucket").isin(buckets))
+
+
+def _put(rows: DataFrame, path: str, number: int, bucket: Column) -> DataFrame:
+    """Write a batch's rows, in place of an earlier try of it, and read them back."""
+    rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={number}")
+
+
+def _buckets(rows: DataFrame, bucket: Column) -> list[int]:
+    return [r[0] for r in rows.select(bucket).distinct().collect()]  # at most BUCKETS
+
+
 def project_batches(stream: DataFrame, ledger: str, projection: str, checkpoint: str) -> DataStreamWriter:
-    """Each batch joins the ledger under its number, so a repeated batch replaces itself, and the projection is rebuilt for
-    the keys it touches into a folder of that batch; `read_projection` takes the newest of each key."""
+    """Each batch's new submissions join the ledger under its number, and their partials those that earlier batches have left of
+    the same keys, under that number too: a repeated batch replaces itself, and no batch folds a key's history again. Replays
+    are found by the ledger's source keys, of the buckets that the batch has. `read_projection` takes the newest of each key.
+    """
+    source, key = _bucket("source_system", "source_record_id"), _bucket("canonical_key")
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
-        every = leads.once(spark.read.option("basePath", ledger).parquet(f"{ledger}/batch=*").filter(F.col("batch") <= number).drop("batch"))
-        touched = spark.read.parquet(f"{ledger}/batch={number}").select("canonical_key").distinct()
-        leads.project(every.join(touched, "canonical_key", "left_semi")).write.mode("overwrite").parquet(f"{projection}/batch={number}")
+        spark, rows = batch.sparkSession, leads.once(batch)
+        if number:
+            known = _earlier(spark, ledger, batch.schema, number, _buckets(batch, source)).select("source_system", "source_record_id")
+            rows = rows.join(known, ["source_system", "source_record_id"], "left_anti").select(*batch.columns)
+        fresh = _put(rows, ledger, number, source)
+        state = leads.partials(fresh)
+        if number:
+            held = _newest(_earlier(spark, projection, state.schema, number, _buckets(fresh, key)))
+            state = leads.merged(state.unionByName(held.join(fresh.select("canonical_key").distinct(), "canonical_key", "left_semi").select(*state.columns)))
+        _put(state, projection, number, key)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 
 
-def read_projection(spark, projection: str) -> DataFrame:
-    rows = spark.read.option("basePath", projection).parquet(f"{projection}/batch=*")
+def _newest(rows: DataFrame) -> DataFrame:
     newest = rows.groupBy("canonical_key").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["canonical_key", "batch"]).drop("batch")
+    return rows.join(newest, ["canonical_key", "batch"])
+
+
+def read_projection(spark: SparkSession, projection: str) -> DataFrame:
+    return leads.finished(_newest(spark.read.option("basePath", projection).parquet(f"{projection}/batch=*")))
 
 
 def windowed_counts(stream: DataFrame, at: str, size: str, delay: str, key: str) -> DataFrame:
