@@ -76,5 +76,5 @@ def read_projection(spark: SparkSession, projection: str) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, at: str, size: str, delay: str, key: str) -> DataFrame:
-    """Counts by event-time window and key (an extension: the reference has no windows over streams)."""
+    """Counts by event-time window and key, late events within the delay included."""
     return stream.withWatermark(at, delay).groupBy(F.window(at, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
