@@ -91,11 +91,15 @@ def _steps(inner: Column, place: Column, arity: int) -> Column:
     return F.transform(F.slice(inner, F.lit(1), F.size(inner) - 1), step)
 
 
-def push(tables: list[DataFrame], suffixes: DataFrame, leaves: DataFrame, arity: int = ARITY, levels: int = LEVELS) -> DataFrame:
+_NO_PROOF = "array<struct<before:string,after:string>>"
+
+
+def push(tables: list[DataFrame], suffixes: DataFrame | None, leaves: DataFrame, arity: int = ARITY, levels: int = LEVELS) -> DataFrame:
     """`leaves` (tree, pos and others) with `proof` and `subroot`. From the last table down, children join their block: each
-    puts its siblings there before the proof that the block inherited. `suffixes` (tree, proof) has what lies above the trees."""
+    puts its siblings there before the proof that the block inherited. `suffixes` (tree, proof) has what lies above the trees; None: nothing."""
     span = arity**levels
-    top = tables[-1].select("tree", "pos", "inner", F.col("digest").alias("subroot")).join(suffixes, "tree")
+    top = tables[-1].select("tree", "pos", "inner", F.col("digest").alias("subroot"))
+    top = top.withColumn("proof", F.array().cast(_NO_PROOF)) if suffixes is None else top.join(suffixes, "tree")
     for children in [*reversed([t.select("tree", "pos", "inner") for t in tables[:-1]]), leaves]:
         above = top.select("tree", F.col("pos").alias("block"), F.col("inner").alias("around"), F.col("proof").alias("suffix"), "subroot")
         joined = children.withColumn("block", F.floor(F.col("pos") / span)).join(above, ["tree", "block"])
@@ -129,8 +133,6 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "la
     subroots = trees[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), "digest")
     crown = build(subroots.withColumn("size", F.lit(n_groups).cast("long")), arity, levels)
     root = crown[-1].select("digest").first()
-    none = F.array().cast("array<struct<before:string,after:string>>")
-    top = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), none.alias("proof"))
-    suffixes = push(crown, top, subroots.select("tree", "pos"), arity, levels).select(F.col("pos").alias("tree"), "proof")
+    suffixes = push(crown, None, subroots.select("tree", "pos"), arity, levels).select(F.col("pos").alias("tree"), "proof")
     found = push(trees, suffixes, leaves.select("tree", "pos", "id", "carried", "leaf"), arity, levels)
     return found.select(F.col("id").alias(id_col), "carried", "leaf", "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), "proof")
