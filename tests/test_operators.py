@@ -113,25 +113,6 @@ def test_ledger_rules(spark):
         catalogue.page(before, ["x"], "y", "id")
 
 
-def test_stream_projection_survives_replayed_batches(spark, tmp_path):
-    from venuelake.streaming import ingest
-
-    schema = "source_system string, source_record_id string, id long, canonical_key string, category string, received_at timestamp, occurred_at timestamp"
-    source, rng = str(tmp_path / "in"), random.Random(9)
-    row = lambda n: ("s", str(n), n, f"k{n % 3}|p", ["RESOURCE_DOWNLOAD", "TALK_TO_SALES", "NEWSLETTER", "TRIAL_STARTED"][n * 7 % 4], datetime(2024, 1, 1, n % 24, n % 60), datetime(2024, 1, 1, n % 24))
-    batches = [[row(n) for n in range(4)] * 2, [row(n) for n in (2, 5, 7)], [row(rng.randint(0, 30)) for _ in range(12)], [row(1)]]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = ingest.project_batches(stream, str(tmp_path / "ledger"), str(tmp_path / "projection"), str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    assert query.exception() is None
-    once = sorted({r for rows in batches for r in rows})
-    want = leads.project(spark.createDataFrame(once, schema))
-    got = ingest.read_projection(spark, str(tmp_path / "projection")).select(*want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 @pytest.mark.parametrize("cap", [4, 1000])
 def test_a_batch_is_selected_in_order(spark, cap):
     rng = random.Random(6)

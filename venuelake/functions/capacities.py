@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of seating layouts.
@@ -40,13 +42,20 @@ SENTENCES = (
 _GAP = "␞"  # stands where an earlier sentence was read
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def layout_of(text: Column) -> Column:
-    value = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[():*]", " "), r"\s+", " ")))
-    out = None
-    for pattern, name in LAYOUTS:
-        test = value.rlike(f"^(?:{pattern})$")
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+    def named(value: Column) -> Column:
+        out = None
+        for pattern, name in LAYOUTS:
+            test = value.rlike(f"^(?:{pattern})$")
+            out = F.when(test, name) if out is None else out.when(test, name)
+        return F.when(value.rlike(f"^(?:{'|'.join(p for p, _ in LAYOUTS)})$"), out)  # most texts are none, and one test tells
+
+    return _once(F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[():*]", " "), r"\s+", " "))), named)
 
 
 def count_of(text: Column) -> Column:
@@ -57,11 +66,16 @@ def count_of(text: Column) -> Column:
     return F.when(number.between(1, 100_000), number)
 
 
-def space_name(text: Column) -> Column:
-    """The name of a space in a table's cell; null for a heading, a layout, a sentence, or over six words."""
-    value = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[*:]+$", ""))
-    bad = (F.length(value) > 60) | value.rlike(rf"(?i)^(?:{NO_SPACE})$") | layout_of(value).isNotNull() | ~value.rlike("^[A-Za-z0-9]") | ~value.rlike("[A-Za-z]") | (F.size(F.split(value, " ")) > 6) | value.rlike(r"[.!?]$")
-    return F.when((value != "") & ~bad, value)
+def space_name(text: Column, layout: Column | None = None) -> Column:
+    """The name of a space in a table's cell; null for a heading, a layout, a sentence, or over six words. `layout` is that of
+    the text where it is known already."""
+
+    def named(value: Column) -> Column:
+        known = layout_of(value) if layout is None else layout
+        bad = (F.length(value) > 60) | ~value.rlike("^[A-Za-z0-9].*[A-Za-z]|^[A-Za-z]") | value.rlike(rf"(?i)^(?:{NO_SPACE})$") | (F.size(F.split(value, " ")) > 6) | value.rlike(r"[.!?]$") | known.isNotNull()
+        return F.when((value != "") & ~bad, value)
+
+    return _once(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[*:]+$", "")), named)
 
 
 def facilities(text: Column) -> Column:
@@ -105,26 +119,31 @@ def table_rows(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1), rows)
 
 
-def table_capacities(rows: Column) -> Column:
-    """array<(space, layout, count)> of one table: layouts head the columns and spaces the rows, or the other way round; a
-    table of two columns without a head gives layouts and counts of one space without a name."""
-    is_head = lambda r: F.exists(r, lambda c: layout_of(c).isNotNull()) & F.exists(r, lambda c: count_of(c).isNull())
-    no_count = lambda r: F.forall(r, lambda c: count_of(c).isNull())
-    heads = F.transform(rows, lambda r: is_head(r) & (no_count(r) | (F.size(r) > 2)))
-    at = F.array_position(heads, True)
-    head, body = F.element_at(rows, at.cast("int")), F.slice(rows, at.cast("int") + 1, F.size(rows))
+def table_capacities(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
+    """`tables` with its rows of cells in `rows_col` replaced by (space, layout, count), a row a fact: layouts head the columns
+    and spaces the rows, or the other way round; a table of two columns without a head gives layouts and counts of one space
+    without a name. Each stage is a column of its own, so every cell is read once: what it names or counts, then the head,
+    then the facts. The outer generator keeps the optimizer from testing for facts below these stages, by doing them again."""
+    others = [c for c in tables.columns if c != rows_col]
+    read = F.transform(F.col(rows_col), lambda r: F.transform(r, lambda c: _once(F.struct(c.alias("text"), layout_of(c).alias("layout"), count_of(c).alias("count")), lambda v: F.struct(v["layout"].alias("layout"), v["count"].alias("count"), space_name(v["text"], v["layout"]).alias("space")))))
+    no_count = lambda r: F.forall(r, lambda c: c["count"].isNull())
+    is_head = lambda r: F.exists(r, lambda c: c["layout"].isNotNull()) & F.exists(r, lambda c: c["count"].isNull()) & (no_count(r) | (F.size(r) > 2))
+    cells = tables.select(*others, read.alias("__cells"))
+    headed = cells.withColumn("__at", F.array_position(F.transform("__cells", is_head), True).cast("int"))
+    split = headed.withColumn("__head", F.try_element_at("__cells", F.nullif("__at", F.lit(0)))).withColumn("__body", F.slice("__cells", F.col("__at") + 1, F.greatest(F.size("__cells"), F.lit(0))))
+    first = lambda r: F.get(r, F.lit(0))
+    many = (F.size(F.filter("__head", lambda c: c["layout"].isNotNull())) <= 1) & (F.size(F.filter("__body", lambda r: first(r)["layout"].isNotNull())) >= 2)
+    turned = split.withColumn("__turned", many)
     fact = lambda space, layout, count: F.struct(space.alias("space"), layout.alias("layout"), count.alias("count"))
-    whole = lambda facts: F.filter(F.flatten(facts), lambda f: f["space"].isNotNull() & f["layout"].isNotNull() & f["count"].isNotNull())
-    cell = lambda r, i: F.try_element_at(r, i.cast("int") + 1)
-    places = F.sequence(F.lit(1), F.greatest(F.size(head) - 1, F.lit(1)))
-    normal = whole(F.transform(body, lambda r: F.transform(places, lambda i: fact(space_name(F.try_element_at(r, F.lit(1))), layout_of(cell(head, i)), count_of(cell(r, i))))))
-    turned = whole(F.transform(body, lambda r: F.transform(places, lambda i: fact(space_name(cell(head, i)), layout_of(F.try_element_at(r, F.lit(1))), count_of(cell(r, i))))))
-    is_turned = (F.size(F.filter(head, lambda c: layout_of(c).isNotNull())) <= 1) & (F.size(F.filter(body, lambda r: layout_of(F.try_element_at(r, F.lit(1))).isNotNull())) >= 2)
-    plain = F.filter(
-        F.transform(rows, lambda r: F.when(F.size(r) == 2, fact(F.lit(None).cast("string"), layout_of(F.try_element_at(r, F.lit(1))), count_of(F.try_element_at(r, F.lit(2)))))),
-        lambda f: f["layout"].isNotNull() & f["count"].isNotNull(),
-    )
-    return F.when(F.size(rows) < 2, F.array().cast("array<struct<space:string,layout:string,count:int>>")).when(at == 0, plain).when(is_turned, turned).otherwise(normal)
+    places = F.sequence(F.lit(1), F.greatest(F.size("__head") - 1, F.lit(1)))
+    normal = lambda r, i: fact(first(r)["space"], F.get(F.col("__head"), i)["layout"], F.get(r, i)["count"])
+    across = lambda r, i: fact(F.get(F.col("__head"), i)["space"], first(r)["layout"], F.get(r, i)["count"])
+    grid = lambda each: F.filter(F.flatten(F.transform("__body", lambda r: F.transform(places, lambda i: each(r, i)))), lambda f: f["space"].isNotNull() & f["layout"].isNotNull() & f["count"].isNotNull())
+    pair = F.transform(F.filter("__cells", lambda r: F.size(r) == 2), lambda r: fact(F.lit(None).cast("string"), first(r)["layout"], F.get(r, F.lit(1))["count"]))
+    plain = F.filter(pair, lambda f: f["layout"].isNotNull() & f["count"].isNotNull())
+    none = F.array().cast("array<struct<space:string,layout:string,count:int>>")
+    facts = F.when(F.size("__cells") < 2, none).when(F.col("__at") == 0, plain).when(F.col("__turned"), grid(across)).otherwise(grid(normal))
+    return turned.select(*others, F.inline_outer(facts)).filter("layout is not null")
 
 
 def definitions(html: Column) -> Column:

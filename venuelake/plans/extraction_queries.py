@@ -39,9 +39,10 @@ def capacity_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = F.format_string("<p>x</p><table><tr><th>Room<th>Theatre<th>Size<th>Standing</tr><tr><td>Main <b>Hall</b><td>%s<td>9<td>%s</tr><tr><td>Loft 2</td><td>%s</td><td>8</td><td>%s</td></tr></table>", n.cast("string"), big, (n + 1).cast("string"), last)
     turned = F.format_string("<TABLE class='a'><tr><td>Capacity</td><td>Main Hall</td><td>Loft 2</td></tr><tr><td>Theatre</td><td>%s</td><td>%s</td></tr><tr><td>Standing</td><td>%s</td><td>%s</td></tr></TABLE>", n.cast("string"), (n + 1).cast("string"), big, last)
     plain = F.format_string("<table><tr><td>Theatre</td><td>%s</td></tr><tr><td>Standing</td><td>%s</td></tr><tr><td>Note</td><td>x</td></tr></table><table><tr><td>Theatre</td><td>7</td></tr></table>", n.cast("string"), big)
-    pages = table(spark, sf_dir, "events").select(e, F.when(e % 3 == 0, normal).when(e % 3 == 1, turned).otherwise(plain).alias("html"))
-    each = pages.select(e, F.explode(capacities.table_rows(F.col("html"))).alias("rows"))
-    return each.select(e, F.inline(capacities.table_capacities(F.col("rows")))).withColumnRenamed("count", "number")
+    dealt = table(spark, sf_dir, "events").select(e, "user_id").repartition(spark.sparkContext.defaultParallelism, e)  # keys only, so that all cores read pages
+    pages = dealt.select(e, F.when(e % 3 == 0, normal).when(e % 3 == 1, turned).otherwise(plain).alias("html"))
+    each = pages.select(e, F.explode_outer(capacities.table_rows(F.col("html"))).alias("rows"))
+    return capacities.table_capacities(each).withColumnRenamed("count", "number")
 
 
 @register(

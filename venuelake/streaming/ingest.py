@@ -1,11 +1,16 @@
-"""Structured Streaming over the submission ledger: exactly once by key, a folded projection, windows and expiry."""
+"""Structured Streaming over the submission ledger: exactly once by key, a folded projection, windows and expiry.
+
+Streams of `first_arrivals` and `folded` keep keyed state and must be started inside `state.rocksdb`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from venuelake.operators import leads
 
@@ -20,59 +25,94 @@ def append_ledger(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     return stream.withColumn("day", F.to_date("received_at")).writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-#: Folders that ledger and projection are spread over by a hash of their keys; a batch reads those of its own keys.
-BUCKETS = 64
+SOURCE = ("source_system", "source_record_id")
+
+
+class _First(StatefulProcessor):
+    """Lets the first arrival of a key pass: of those that come together, the least by time of receipt and id."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        if self.seen.exists():
+            return iter(())
+        first = min(rows, key=lambda r: (r["__received"], r["id"]))
+        self.seen.update((first["__received"],))
+        return iter([first])
+
+    def close(self) -> None:
+        pass
+
+
+def first_arrivals(stream: DataFrame) -> DataFrame:
+    """Of the submissions with one (source_system, source_record_id) only the first, in whichever batches they come. A key's
+    state is one number, looked up by key: no batch reads what earlier ones have brought."""
+    marked = stream.withColumn("__received", F.coalesce(F.unix_micros("received_at"), F.lit(-(1 << 62))))
+    return marked.groupBy(*SOURCE).transformWithState(_First(), marked.schema, "Append", "None").drop("__received")
+
 
+#: The fold of a key: what `leads.partials` keeps, times as microseconds.
+_STATE = "first_received bigint, first_id bigint, first_category string, last_received bigint, last_id bigint, latest_category string, activity_count bigint, highest_rank int, high bigint, first_activity bigint, last_activity bigint"
+_NAMES = tuple(f.split()[0] for f in _STATE.split(", "))
 
-def _bucket(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
+def _ahead(a: Any, b: Any, best: Any) -> Any:
+    return b if a is None else a if b is None else best(a, b)
 
-def _earlier(spark: SparkSession, path: str, schema: StructType, number: int, buckets: list[int]) -> DataFrame:
-    """Rows of earlier batches in the buckets; other folders are not read."""
-    whole = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
-    return spark.read.schema(whole).option("basePath", path).parquet(path).filter((F.col("batch") < number) & F.col("bucket").isin(buckets))
 
+class _Fold(StatefulProcessor):
+    """Puts the rows of a batch into the state of their key and gives the new state out."""
 
-def _put(rows: DataFrame, path: str, number: int, bucket: Column) -> DataFrame:
-    """Write a batch's rows, in place of an earlier try of it, and read them back."""
-    rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={number}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", _STATE)
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        s = dict(zip(_NAMES, self.state.get(), strict=True)) if self.state.exists() else dict.fromkeys(_NAMES) | {"activity_count": 0, "high": 0}
+        for r in rows:
+            order = (r["received"], r["id"])
+            if not s["activity_count"] or order < (s["first_received"], s["first_id"]):
+                s |= {"first_received": order[0], "first_id": order[1], "first_category": r["category"]}
+            if not s["activity_count"] or order > (s["last_received"], s["last_id"]):
+                s |= {"last_received": order[0], "last_id": order[1], "latest_category": r["category"]}
+            s["activity_count"] += 1
+            s["highest_rank"] = _ahead(s["highest_rank"], r["rank"], max)
+            s["high"] += (r["rank"] or 0) >= 4
+            s["first_activity"] = _ahead(s["first_activity"], r["occurred"], min)
+            s["last_activity"] = _ahead(s["last_activity"], r["occurred"], max)
+        self.state.update(tuple(s[n] for n in _NAMES))
+        return iter([Row(canonical_key=key[0], **s)])
 
-def _buckets(rows: DataFrame, bucket: Column) -> list[int]:
-    return [r[0] for r in rows.select(bucket).distinct().collect()]  # at most BUCKETS
+    def close(self) -> None:
+        pass
 
 
-def project_batches(stream: DataFrame, ledger: str, projection: str, checkpoint: str) -> DataStreamWriter:
-    """Each batch's new submissions join the ledger under its number, and their partials those that earlier batches have left of
-    the same keys, under that number too: a repeated batch replaces itself, and no batch folds a key's history again. Replays
-    are found by the ledger's source keys, of the buckets that the batch has. `read_projection` takes the newest of each key.
-    """
-    source, key = _bucket("source_system", "source_record_id"), _bucket("canonical_key")
+def folded(submissions: DataFrame) -> DataFrame:
+    """The state of each key after each batch that has rows of it. A batch costs its own rows and keys, whatever came before:
+    the state of a key is one row, which the store loads by key."""
+    rows = submissions.select(
+        "canonical_key", F.unix_micros("received_at").alias("received"), "id", "category",
+        leads.lookup(F.col("category"), leads.RANKS).cast("int").alias("rank"), F.unix_micros("occurred_at").alias("occurred"),
+    )
+    return rows.groupBy("canonical_key").transformWithState(_Fold(), f"canonical_key string, {_STATE}", "Append", "None")
 
-    def fold(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, leads.once(batch)
-        if number:
-            known = _earlier(spark, ledger, batch.schema, number, _buckets(batch, source)).select("source_system", "source_record_id")
-            rows = rows.join(known, ["source_system", "source_record_id"], "left_anti").select(*batch.columns)
-        fresh = _put(rows, ledger, number, source)
-        state = leads.partials(fresh)
-        if number:
-            held = _newest(_earlier(spark, projection, state.schema, number, _buckets(fresh, key)))
-            state = leads.merged(state.unionByName(held.join(fresh.select("canonical_key").distinct(), "canonical_key", "left_semi").select(*state.columns)))
-        _put(state, projection, number, key)
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+def project_batches(stream: DataFrame, projection: str, checkpoint: str) -> DataStreamWriter:
+    """First arrivals folded by key; the states that a batch changed are written under its number, so a repeated batch replaces
+    itself. `read_projection` takes the newest state of each key."""
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{projection}/batch={number}")
 
-def _newest(rows: DataFrame) -> DataFrame:
-    newest = rows.groupBy("canonical_key").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["canonical_key", "batch"])
+    return folded(first_arrivals(stream)).writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
 
 
 def read_projection(spark: SparkSession, projection: str) -> DataFrame:
-    return leads.finished(_newest(spark.read.option("basePath", projection).parquet(f"{projection}/batch=*")))
+    """The projected leads. A key's newest state is the one with the most activities."""
+    states = spark.read.parquet(f"{projection}/batch=*")
+    newest = states.groupBy("canonical_key").agg(F.max_by(F.struct(*_NAMES), "activity_count").alias("s")).select("canonical_key", "s.*")
+    moment = lambda c: F.timestamp_micros(c).alias(c)
+    return leads.finished(newest.select("canonical_key", "first_category", "latest_category", "activity_count", "highest_rank", "high", moment("first_activity"), moment("last_activity")))
 
 
 def windowed_counts(stream: DataFrame, at: str, size: str, delay: str, key: str) -> DataFrame:
