@@ -1,3 +1,5 @@
+import pytest
+
 from venuelake.llm import html_text, language_id
 
 PAGE = (
@@ -118,3 +120,38 @@ def test_language_id_of_empty_tables(spark):
     assert language_id.identify(pages.limit(0), _docs(spark)).count() == 0
     row = language_id.identify(pages, _docs(spark).limit(0)).first()
     assert row.lang is None and row.probability == 0.0
+
+
+LONG = "This is a rather long paragraph of an article, with words enough to be content of the page. "
+
+
+def _article(inner):
+    return f"<body><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>{LONG * 3}</p>{inner}<p>{LONG * 2}end.</p></article><footer>f</footer></body>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "stays"),
+    [
+        ('<section id="search-history"><p>Old {}</p></section>', True),
+        ('<div class="login-guide"><p>Old {}</p></div>', True),
+        ('<p class="tags">Old {}</p>', True),
+        ('<div class="social-history"><p>Old {}</p></div>', True),
+        ('<p class="tags"><a>Old {}</a></p>', False),
+        ('<div class="ad">Old {}</div>', False),
+        ('<div class="related-posts"><p>Old {}</p></div>', False),
+        ('<div class="entry-footer">Old {}</div>', False),
+        ('<div id="comment-12">Old {}</div>', False),
+        ('<div class="notice">Old {}</div>', False),
+        ('<ul class="tags"><li><a>Old {}</a></ul>', False),
+    ],
+)
+def test_class_words_that_articles_use_too(inner, stays):
+    text = html_text.main_text(_article(inner.format(LONG)))
+    assert (f"Old {LONG.strip()}" in text) == stays
+    assert text.startswith("Title This") and text.endswith("end.")
+
+
+def test_articles_of_one_doubtful_part_and_headings_before_them():
+    assert html_text.main_text(f'<body><article><section id="search-history"><p>{LONG}</p></section></article></body>') == LONG.strip()
+    assert html_text.main_text(f"<body><header><h1>Site</h1></header><h1>Own</h1><article><p>{LONG}</p></article></body>") == f"Own {LONG.strip()}"
+    assert html_text.main_text(f"<body><h1>Site</h1><article><h1>Own</h1><p>{LONG}</p></article></body>") == f"Own {LONG.strip()}"

@@ -24,6 +24,12 @@ OUTSIDE_WORDS = frozenset(
 )
 #: Words of an article's own parts: with one of them, "header" is its heading.
 INSIDE_WORDS = frozenset("article articlebody post entry story main maincontent".split())
+#: Of the words above, those that name an article's own matters as well. Inside an article they cut an element only where
+#: nothing but them and words of layout make up a class or id; else the ratio of each of its lines decides.
+DOUBTFUL_WORDS = frozenset("ad ads alert copyright discussion footer header hidden login overlay promotion reactions related replies reply respond search share sharing signup social subscribe subscription tags".split())
+LAYOUT_WORDS = frozenset("area articles bar block bottom box button buttons container content field form icons inline inner item items left link links list main outer panel post posts right row section slot top unit wrap wrapper".split())
+#: Elements of running text: a doubtful word alone does not cut them inside an article.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt span em strong b i".split())
 #: An article or main element inside these still is the page's content: they are often left open, or wrap the whole page.
 WEAK = frozenset("nav header form menu".split())
 #: Width of the Gaussian, in lines.
@@ -41,8 +47,26 @@ _CLOSED_BY_BLOCK = frozenset(("p",))
 _SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether attributes put an element outside the content."""
+def _words(value: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
+
+
+def _names(attrs: list[tuple[str, str | None]]) -> list[set[str]]:
+    """The words of each class, id and role."""
+    return [_words(token) for name, value in attrs if name in ("class", "id", "role") and value for token in value.split()]
+
+
+def _only_outside(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether some class, id or role is made of words of the outside and of layout alone."""
+    return any(words & OUTSIDE_WORDS and words <= OUTSIDE_WORDS | LAYOUT_WORDS | INSIDE_WORDS for words in _names(attrs))
+
+
+def _doubtful(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(words & DOUBTFUL_WORDS for words in _names(attrs))
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
+    """Whether attributes put an element outside the content; `inside`: it stands in an article."""
     found: set[str] = set()
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -50,8 +74,10 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id", "role") and value:
-            found.update(w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
+            found.update(_words(value))
     bad = found & OUTSIDE_WORDS
+    if inside and bad and bad <= DOUBTFUL_WORDS and (tag in RUNNING or not _only_outside(attrs)):
+        return False
     if found & INSIDE_WORDS:
         bad = set() if tag in ("article", "main") and not {"comment", "related"} & bad else bad - {"header", "footer", "share", "tags"} if tag in ("article", "main") else bad - {"header"}
     return bool(bad)
@@ -61,7 +87,8 @@ class _Lines(HTMLParser):
     """Collects lines: (text, number of tags, in a content element, outside the content).
 
     For each line, `regions` has the number of its container and `linked` whether all its text is of links; `parents` has
-    the container around each and `homes` the innermost article or main element, the page itself being 0.
+    the container around each and `homes` the innermost article or main element, the page itself being 0. `doubted` says
+    whether a doubtful word stands on an element around the line, `heads` whether it is a main heading.
     """
 
     def __init__(self) -> None:
@@ -74,16 +101,20 @@ class _Lines(HTMLParser):
         self.parents: list[int] = [0]
         self.homes: list[int] = [0]
         self.region, self.in_link, self.plain = 0, False, False
-        self.stack: list[tuple[str, int, bool]] = []  # (tag, outside: 1 only by a weak element, 2 else; inside an article or main)
+        self.doubted: list[bool] = []
+        self.heads: list[bool] = []
+        self.stack: list[tuple[str, int, bool, bool]] = []  # (tag, outside: 1 only by a weak element, 2 else; inside an article or main; doubted)
 
-    def _state(self) -> tuple[int, bool]:
-        return self.stack[-1][1:] if self.stack else (0, False)
+    def _state(self) -> tuple[int, bool, bool]:
+        return self.stack[-1][1:] if self.stack else (0, False, False)
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        outside, inside = self._state()
+        outside, inside, doubted = self._state()
         if text or self.tags:
             self.lines.append((text, self.tags, inside, outside > 0))
+            self.doubted.append(doubted)
+            self.heads.append(any(tag == "h1" for tag, *_ in self.stack))
             self.regions.append(self.region)
             self.linked.append(not self.plain)
         self.parts, self.tags, self.plain = [], 0, False
@@ -111,18 +142,19 @@ class _Lines(HTMLParser):
         self.in_link = tag == "a" or self.in_link and tag not in CONTAINERS  # a link left open ends with its region
         if tag in VOID:
             return
-        outside, inside = self._state()
+        outside, inside, doubted = self._state()
         own = 0
-        if tag not in ("html", "body", "main") and attrs and _marked(tag, attrs):
+        if tag not in ("html", "body", "main") and attrs and _marked(tag, attrs, inside):
             own = 2
         elif tag in OUTSIDE or (tag == "header" and not inside):  # inside an article, a header is its heading
             own = 1 if tag in WEAK else 2
         content = tag in ("article", "main") or ("role", "main") in attrs
         off = 0 if content and not own and outside < 2 else max(outside, own)
-        if tag in BLOCKS or off != outside:
-            if off != outside:
+        unsure = doubted or bool(inside and not off and attrs and tag not in ("article", "main") and _doubtful(attrs))
+        if tag in BLOCKS or off != outside or unsure != doubted:
+            if off != outside or unsure != doubted:
                 self.end_line()
-            self.stack.append((tag, off, inside or (content and not off)))
+            self.stack.append((tag, off, inside or (content and not off), unsure))
             if tag in CONTAINERS:
                 self.parents.append(self.region)
                 self.homes.append(len(self.parents) - 1 if content else self.homes[self.region])
@@ -177,6 +209,25 @@ def _between(regions: list[int], keep: np.ndarray) -> np.ndarray:
     return np.cumsum(opened[:-1]) > 0
 
 
+def _own_headings(page: _Lines, marked: bool) -> np.ndarray:
+    """The main headings that stand just before an article, in the same container, where the article has none itself."""
+    found = np.zeros(len(page.lines), bool)
+    if not marked:
+        return found
+    waiting: list[int] = []
+    for i, (text, _, inside, outside) in enumerate(page.lines):
+        if not text or outside:
+            continue
+        if not inside:
+            waiting = [*waiting, i] if page.heads[i] else []
+            continue
+        article = page.homes[page.regions[i]]
+        if waiting and not any(page.heads[k] and page.homes[page.regions[k]] == article for k in range(i, len(page.lines))):
+            found[[k for k in waiting if page.regions[k] == page.parents[article]]] = True
+        waiting = []
+    return found
+
+
 def _whole_regions(page: _Lines, usable: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """The kept lines and the short lines that stand in one region with them.
 
@@ -215,7 +266,9 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     forms, comments and so on), and outside the article where the page marks one, it is 0. Smoothed by a Gaussian over the
     neighbouring lines, the ratios are clustered by a threshold; a region (an article, a container of the page) with lines
     above it is content, with the headings, lists, dialogue or verse that stand in it, and one without is not: so teasers
-    beside an article go, marked as articles or not. A null or empty page, and one without usable lines, has no text.
+    beside an article go, marked as articles or not. A class word that also names matters of articles cuts nothing inside
+    one: lines under it stay if their own smoothed ratio reaches the threshold and they are not links only. The heading just
+    before an article that has none belongs to it. A null or empty page, and one without usable lines, has no text.
     """
     if not html:
         return ""
@@ -223,12 +276,16 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     lines = page.lines
     marked = any(inside and text and not outside for text, _, inside, outside in lines)
     usable = np.array([bool(text) and not outside and (inside or not marked) for text, _, inside, outside in lines], bool)
+    headings = _own_headings(page, marked)
     if not usable.any():
         return ""
     ratios = np.where(usable, [len(text) / max(tags, 1) for text, tags, *_ in lines], 0.0)
     smooth = smoothed(ratios, sigma)
     keep = usable & (smooth >= min(threshold * smooth.std(), MEAN_SHARE * ratios[usable].mean()))
-    keep = _whole_regions(page, usable, keep)
+    unsure = np.array(page.doubted, bool) & ~(keep & ~np.array(page.linked, bool))
+    keep = _whole_regions(page, usable & ~unsure, keep & ~unsure)
+    if keep.any():
+        keep |= headings
     return " ".join(line[0] for line, k in zip(lines, keep, strict=True) if k)
 
 
