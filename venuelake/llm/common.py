@@ -76,9 +76,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n"
     return left.join(sent, keys).unionByName(rest)
 
 
+def nested(df: DataFrame) -> Column:
+    """The whole row as one column `doc`, so that no name of its columns meets an operator's own; `doc.*` restores it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+
+
 def content_hash(df: DataFrame) -> Column:
     """A hash of a row's columns; maps, which have no order, are left out."""
-    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
 
 
 def ascii_lower(text: Column) -> Column:

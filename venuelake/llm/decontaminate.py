@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import ascii_lower, checkpointed
+from venuelake.llm.common import ascii_lower, checkpointed, nested, spread_join
 
 #: Words of a window.
 WINDOW = 10
@@ -94,7 +94,8 @@ def find_hits(
 
     The benchmark's grams and windows are two sets of hashes, each a broadcast array of bits of one size; a larger benchmark
     only lets more false candidates through (`screen_longs` is a power of two). The candidate windows of all texts are then
-    joined with the benchmark's by content, which decides; a row's own number keys its hits, so no text's rows gather.
+    joined with the benchmark's by content, which decides; a row's own number keys its hits, so no text's rows gather, and
+    the rows of a window that very many texts hold stay where they are. An empty table of either kind gives no hits.
     """
     windows = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, window))
     key, h = F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.length(F.col(text_col))).alias("h")
@@ -112,7 +113,11 @@ def find_hits(
     places = scanned.select("id", "h", F.size("w").cast("long").alias("n_words"), "w", _places(lengths, known_grams, known_windows, screen_longs).alias("p"))
     found = places.select("id", "h", "n_words", F.expr("transform(p, q -> struct(q.i AS i, q.m AS m, array_join(slice(w, q.i, q.m), ' ') AS win))").alias("p"))
     kept = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
-    hits = kept.select("row", F.inline("p")).join(windows, ["m", "win"])
+    # a window that very many texts hold, or very many items, is one row a text: its rows stay where they are, its items are one list
+    places_found = kept.select("row", F.inline("p"))
+    held = places_found.groupBy("m", "win").agg(F.count("*").alias("n"))
+    items_of = checkpointed(windows.groupBy("m", "win").agg(F.collect_set("item").alias("members")).join(held, ["m", "win"]))
+    hits = spread_join(places_found, items_of, ["m", "win"])
     # the covered words of a text: its places in order, each adding what the ones before it left uncovered
     covered = F.expr(
         "aggregate(spans, struct(0 AS upto, 0L AS total), (a, s) -> struct(greatest(a.upto, s.i + s.m - 1) AS upto, "
@@ -120,7 +125,7 @@ def find_hits(
     )
     of_row = (
         hits.groupBy("row")
-        .agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        .agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("members")))).alias("items"))
         .select("row", "items", "spans", covered.alias("n_hit"))
     )
     return kept.select("row", "id", "h", "n_words").join(of_row, "row", "left").select(
@@ -132,14 +137,14 @@ def find_hits(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "documents") -> DataFrame:
     """`docs` without contaminated rows (mode "documents"), or with the words of each occurrence removed (mode "spans": such
     a text becomes its remaining words, lower-cased, joined by one space). Clean rows are unchanged, repeated rows included."""
-    hits = find_hits(docs, benchmark, id_col, text_col).filter("n_hit > 0")
-    h = F.xxhash64(F.col(text_col), F.length(F.col(text_col)))
-    hits = hits.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__h"])
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (h == F.col("__h"))
+    text, h = F.col(text_col), F.xxhash64(F.col(text_col), F.length(F.col(text_col)))
+    hits = find_hits(docs, benchmark, id_col, text_col).filter("n_hit > 0").select(F.col("id").alias("hit_id"), F.col("h").alias("hit_h"), "spans").dropDuplicates(["hit_id", "hit_h"])
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h"))
     if mode == "documents":
-        return docs.join(hits, same, "left_anti")
+        return docs.select(nested(docs), F.col(id_col).alias("id"), h.alias("h")).join(hits, same, "left_anti").select("doc.*")
     if mode != "spans":
         raise ValueError(f"no such mode: {mode}")
-    joined = docs.join(hits, same, "left").withColumn("__w", F.when(F.col("__spans").isNotNull(), words(F.col(text_col))))
-    rest = F.expr("array_join(transform(filter(transform(__w, (x, k) -> struct(x AS x, k + 1 AS k)), t -> not exists(__spans, s -> t.k between s.i and s.i + s.m - 1)), t -> t.x), ' ')")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), rest).otherwise(F.col(text_col))).select(*docs.columns)
+    joined = docs.select(nested(docs), F.col(id_col).alias("id"), h.alias("h"), text.alias("text")).join(hits, same, "left").withColumn("w", F.when(F.col("spans").isNotNull(), words(F.col("text"))))
+    rest = F.expr("array_join(transform(filter(transform(w, (x, k) -> struct(x AS x, k + 1 AS k)), t -> not exists(spans, s -> t.k between s.i and s.i + s.m - 1)), t -> t.x), ' ')")
+    kept = F.when(F.col("spans").isNotNull(), rest).otherwise(F.col("text")).alias(text_col)
+    return joined.select(*[kept if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

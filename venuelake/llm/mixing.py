@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed, content_hash, stored
+from venuelake.llm.common import checkpointed, content_hash, nested, stored
 
 #: No document is taken more often than this.
 MAX_COPIES = 3
@@ -13,7 +13,9 @@ MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 #: Rows of one rounding group at most, so that ranking its rows stays a small task.
 GROUP_ROWS = 50_000
-_NEWTON_ROUNDS = 60
+#: So many rounds take Newton's steps; those after them halve the bracket, which ends within 51.
+_NEWTON_ROUNDS = 20
+_ROUNDS = 75
 _TOLERANCE = 1e-7
 _FIX_ROUNDS = 6
 
@@ -66,7 +68,7 @@ def _solve(groups: DataFrame, targets: DataFrame) -> DataFrame:
         .select("source", "target", "source_size", F.greatest("scale", F.lit(1e-9)).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(-800.0).alias("low"), F.lit(800.0).alias("high"), F.lit(False).alias("done"))
     )
     state = checkpointed(state)
-    for _ in range(_NEWTON_ROUNDS):
+    for k in range(_ROUNDS):
         g, s = groups.alias("g"), state.alias("s")
         x = F.col("g.size") / F.col("s.scale")
         rate = F.exp(F.least(F.col("s.tilt") * x, F.lit(700.0)))
@@ -82,7 +84,7 @@ def _solve(groups: DataFrame, targets: DataFrame) -> DataFrame:
         gap = F.col("value") - F.col("target")
         done = (F.abs(gap) <= _TOLERANCE * F.greatest("target", F.lit(1.0))) | (F.col("target") >= MAX_COPIES * F.col("source_size")) | (F.col("high") - F.col("low") < 1e-12)
         low, high = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low")), F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
-        step = F.when(F.col("slope") > 0, F.col("tilt") - gap / F.col("slope"))
+        step = F.when((F.col("slope") > 0) & F.lit(k < _NEWTON_ROUNDS), F.col("tilt") - gap / F.col("slope"))
         state = checkpointed(
             state.join(sums, state.source.eqNullSafe(sums.key))
             .select("source", "target", "source_size", "scale", "tilt", low.alias("low"), high.alias("high"), done.alias("done"), step.alias("step"))
@@ -93,8 +95,8 @@ def _solve(groups: DataFrame, targets: DataFrame) -> DataFrame:
             )
         )
         if state.filter(~F.col("done")).limit(1).count() == 0:
-            break
-    return state
+            return state
+    raise RuntimeError(f"rates did not settle in {_ROUNDS} rounds")
 
 
 def _round(groups: DataFrame, state: DataFrame) -> DataFrame:
@@ -179,8 +181,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col:
     included, may differ in text and source. Among rows of one id, source and size a hash of their columns decides."""
     # a place is a row's own only once the rows are written
     facts = F.struct(*_facts(id_col, text_col, source_col), content_hash(docs).alias("content"))
-    marked = stored(docs.select("*", facts.alias("__facts"), F.monotonically_increasing_id().alias("__row")), "marked")
-    rows = checkpointed(marked.select("__facts.*", F.col("__row").alias("row")))
-    dealt = _dealt(rows, weights, group_rows, ("content", "row")).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    taken = marked.join(dealt, "__row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    marked = stored(docs.select(nested(docs), facts.alias("facts"), F.monotonically_increasing_id().alias("row")), "marked")
+    rows = checkpointed(marked.select("facts.*", "row"))
+    dealt = _dealt(rows, weights, group_rows, ("content", "row")).filter("copies > 0").select("row", F.col("copies").cast("int"))
+    taken = marked.select("doc", "row").join(dealt, "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelake.llm.common import checkpointed, content_hash, small_batches, spread_join, stored
+from venuelake.llm.common import checkpointed, content_hash, nested, small_batches, spread_join, stored
 from venuelake.llm.components import components
 
 #: Links join fingerprints at this many differing bits or fewer.
@@ -135,8 +135,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group one stays, the same on reruns."""
     small_batches(docs.sparkSession)
     # a place is a row's own only once the rows are written
-    rows = stored(docs.select("*", fingerprint(F.col(text_col)).alias("__fp"), content_hash(docs).alias("__hash"), F.monotonically_increasing_id().alias("__row")), "fingerprinted")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__hash").alias("hash"), F.col("__row").alias("row"))
-    points = checkpointed(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("first")))
-    kept = _grouped(points, cell_pairs).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    rows = stored(docs.select(nested(docs), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"), content_hash(docs).alias("hash"), F.monotonically_increasing_id().alias("row")), "fingerprinted")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "row")
+    points = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    kept = _grouped(points, cell_pairs).groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    return rows.select("doc", "row").join(kept, "row", "left_semi").select("doc.*")
