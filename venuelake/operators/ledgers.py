@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from venuelake.sources.shared import checkpointed
+
 
 def budget_state(receipts: DataFrame, allowances: DataFrame, as_of: Column) -> DataFrame:
     """Each allowance's state at an instant, from its receipts (allowance_id, amount, at) and the provider's last snapshot.
@@ -110,29 +111,21 @@ def select_batch(items: DataFrame, order: str, host: str, identity: str, cap: in
     host or identity go. Each round settles one more of the batch at least, and nothing after its `cap`-th item is kept.
     """
     key = F.struct(F.col(order).alias("at"), F.col("__row").alias("row"))
-    left = _checkpointed(items.withColumn("__row", F.monotonically_increasing_id()))
+    left = checkpointed(items.withColumn("__row", F.monotonically_increasing_id()))
     taken = left.limit(0)
     while left.limit(1).count():
         by_host = left.groupBy(host).agg(F.min(key).alias("k")).select("k.row")
         by_identity = left.groupBy(identity).agg(F.min(key).alias("k")).select("k.row")
         first = by_host.join(by_identity, "row").withColumnRenamed("row", "__row")
-        taken = _checkpointed(taken.unionByName(left.join(first, "__row", "left_semi")).orderBy(order, "__row").limit(cap))
+        taken = checkpointed(taken.unionByName(left.join(first, "__row", "left_semi")).orderBy(order, "__row").limit(cap))
         last = taken.agg(F.count("*").alias("__n"), F.max(key).alias("__last"))
         t, i = F.broadcast(taken.select(F.col(host).alias("__h"))), F.broadcast(taken.select(F.col(identity).alias("__i")))
         rest = left.join(t, F.col(host).eqNullSafe(F.col("__h")), "left_anti").join(i, F.col(identity).eqNullSafe(F.col("__i")), "left_anti")
         rest = rest.join(F.broadcast(last), (F.col("__n") < cap) | (key < F.col("__last")), "left_semi")
-        left = _checkpointed(rest)
+        left = checkpointed(rest)
     return taken.orderBy(order).drop("__row")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that spark.checkpoint.dir names; only where it is unset is one made, as in tests."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def reconcile(declared: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """Declared totals (key, declared) against a recount of the entries; the counter is raised to the larger."""
     counted = entries.groupBy(key).agg(F.count("*").alias("recounted"))

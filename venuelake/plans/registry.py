@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from venuelake.functions import text
 from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
-from venuelake.plans import address_queries, contact_queries, crawl_queries, document_queries, extraction_queries, identity_queries, ledger_queries, reader_queries, rule_queries, scoring_queries  # noqa: F401
+from venuelake.plans import address_queries, contact_queries, crawl_queries, document_queries, extraction_queries, identity_queries, ledger_queries, reader_queries, rule_queries, scoring_queries, stream_queries  # noqa: F401
 from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, pick, quoted, register, sql_pick  # noqa: F401
+from venuelake.sources.shared import shared_folder
 from venuelake.sources.tables import table
+from venuelake.streaming import ingest, state
 
 STATES = ("QUALIFIED", "REVIEW_REQUIRED", "REJECTED", "DUPLICATE", "RESEARCHED")
 STATUS = {"error": "REJECTED", "purchase": "QUALIFIED", "signup": "REVIEW_REQUIRED", "click": "RESEARCHED", "view": "DUPLICATE"}
@@ -159,6 +161,22 @@ def lead_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leads(spark, sf_dir)
 
 
+@register("streamed_projection", f"{PROJECTION} SELECT * FROM leads")
+def streamed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moment = F.col("ts").cast("timestamp")
+    events = stream_queries.stream(spark, sf_dir, "events").select(
+        F.lit("events").alias("source_system"), F.col("event_id").cast("string").alias("source_record_id"), F.col("event_id").alias("id"), F.concat(F.col("user_id").cast("string"), F.lit("|suite")).alias("canonical_key"),
+        leads.lookup(F.col("event_type"), CATEGORY).alias("category"), moment.alias("received_at"), moment.alias("occurred_at"),
+    )
+    path = shared_folder(spark, "projection")
+    with state.rocksdb(spark):
+        query = ingest.project_batches(events, path, shared_folder(spark, "projection-state")).trigger(availableNow=True).start()
+    stream_queries.finished(query)
+    wall = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    found = ingest.read_projection(spark, path)
+    return found.select(*[wall(c) if c in ("first_activity", "last_activity") else c for c in found.columns])
+
+
 @register(
     "lead_queue",
     f"""{PROJECTION}, q AS (SELECT *, {"CASE priority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in leads.PRIORITY_RANKS.items()) + " END"} AS priority_rank FROM leads WHERE (first_category = 'TRIAL_STARTED' OR latest_category = 'TRIAL_STARTED'))
