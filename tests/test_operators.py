@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from venuelake.functions import addresses, contacts, text
-from venuelake.operators import catalogue, inventory, leads, ledgers, resolution
+from venuelake.operators import catalogue, inventory, leads, ledgers, resolution, reviews, scoring
 from venuelake.sources import documents
 
 
@@ -25,6 +25,40 @@ def test_robots_longest_rule_wins_and_allow_wins_ties(spark):
     assert not documents.robots_allowed(urls.filter("path = '/'"), rules, "stranger").first().allowed
 
 
+@pytest.mark.parametrize(
+    ("body", "path", "allowed"),
+    [
+        ("User-agent: *\nDisallow: /\n\nUser-agent: Crawler\nDisallow:", "/x", True),  # named without a rule
+        ("User-agent: Crawler\nDisallow:\n\nUser-agent: *\nDisallow: /", "/x", False),  # a rule without value ends no group
+        ("User-agent: crawl\nDisallow: /\nUser-agent: *\nAllow: /", "/x", False),  # part of the name
+        ("User-agent: *\nDisallow: /***a\nAllow: /b/a", "/b/a", True),  # stars do not count
+        ("User-agent: *\nDisallow: /a$b", "/a$bc", False),
+        ("Disallow: /\nUser-agent: *\nAllow: /y", "/x", True),  # before any agent
+    ],
+)
+def test_robots_groups_and_lengths(spark, body, path, allowed):
+    rules = documents.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"), "host", "body")
+    assert documents.robots_allowed(spark.createDataFrame([("h", path)], "host string, path string"), rules, "Crawler").first().allowed == allowed
+
+
+@pytest.mark.parametrize(("category", "consent", "marketing"), [("NEWSLETTER_SIGNUP", "UNKNOWN", False), ("NEWSLETTER_SIGNUP", None, False), ("NEWSLETTER_SIGNUP", "GRANTED", True), ("RESOURCE_DOWNLOAD", "opted_in", True), ("RESOURCE_DOWNLOAD", "OPTED_OUT", False), ("DEMO_REQUEST", "GRANTED", False)])
+def test_marketing_needs_recorded_consent(spark, category, consent, marketing):
+    frame = spark.createDataFrame([(category, consent)], "c string, s string")
+    sent = frame.select(scoring.communication_policy(F.col("c"), F.col("s")).alias("p")).first().p
+    assert any(c.startswith("Marketing") for c in sent.communications) == marketing
+
+
+def test_outbound_text_is_refused_not_mended(spark):
+    rows = [("Hi [name]", "x"), ("Hi", "see https://a.org/x, and www.b.org."), ("world-class", None), ("a   b", "one\n\n\n\ntwo  "), ("x", "evidence-id: 12"), ("x", "Best regards,\nPartnerships")]
+    frame = spark.createDataFrame(rows, "s string, b string")
+    got = [tuple(r.t) for r in frame.select(reviews.sanitised(F.col("s"), F.col("b"), F.array(F.lit("https://a.org/x")), "Partnerships").alias("t")).collect()]
+    signed = "\n\nBest regards,\nPartnerships"
+    assert got == [
+        (None, None, "INTERNAL_EVIDENCE_OR_PLACEHOLDER"), ("Hi", "see https://a.org/x and" + signed, None), (None, None, "UNSUPPORTED_CLAIM"), ("a b", "one\n\ntwo" + signed, None),
+        (None, None, "INTERNAL_EVIDENCE_OR_PLACEHOLDER"), ("x", "Best regards,\nPartnerships", None),
+    ]
+
+
 def test_sitemaps_search_results_and_kinds(spark):
     maps = [(1, "<urlset><url><loc> https://a.org/1 </loc></url><url><loc>https://a.org/2</loc></url></urlset>"), (2, "<sitemapindex><sitemap><loc>https://a.org/m</loc></sitemap></sitemapindex>"), (3, "https://a.org/t\nno url\n"), (4, None)]
     got = documents.sitemap_urls(spark.createDataFrame(maps, "id int, body string"), "id", "body").collect()

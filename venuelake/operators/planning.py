@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from venuelake.functions.text import visible_text
+
 #: Pages that a dimension may be given before the planner leaves it.
 MOST_ATTEMPTS = 4
 
@@ -65,39 +67,70 @@ def admitted_hosts(links: DataFrame, site: str, host: str, order: str, most: int
     return first.withColumn("n", F.row_number().over(Window.partitionBy(site).orderBy("seen", host))).filter(F.col("n") <= most).select(site, host)
 
 
-def stop_reason(pages: Column, page_budget: Column, requests: Column, request_budget: Column, candidates: Column, open_dims: Column, failed: Column) -> Column:
-    """Why a crawl ended, by the first that holds, and what it is worth."""
+def stop_reason(documents: Column, pages: Column, page_budget: Column, requests: Column, request_budget: Column, unsatisfied: Column, open_gaps: Column, candidates: Column, robots: Column, retryable: Column, blocked: Column) -> Column:
+    """struct<reason, status>: why a crawl ended, by the first that holds, and what it is worth. `robots` is UNAVAILABLE, BLOCKED or
+    null; `unsatisfied` counts the dimensions without evidence, `open_gaps` those that may still be tried, `candidates` the
+    pages that would serve one. A crawl that a budget ended with gaps and candidates left, or one with a page that failed
+    for the time being, is partial."""
+    some = documents > 0
     reason = (
-        F.when(failed & (pages == 0), "ENTRY_FAILED").when(open_dims == 0, "ALL_DIMENSIONS_SERVED").when(pages >= page_budget, "PAGE_BUDGET")
-        .when(requests >= request_budget, "REQUEST_BUDGET").when(candidates == 0, "NO_CANDIDATES").otherwise("ATTEMPTS_EXHAUSTED")
+        F.when(robots == "UNAVAILABLE", "ROBOTS_UNAVAILABLE").when(robots == "BLOCKED", "ROBOTS_BLOCKED").when(some & (unsatisfied == 0), "DIMENSIONS_SATISFIED").when(some & (open_gaps == 0), "GAPS_EXHAUSTED")
+        .when(pages >= page_budget, "PAGE_BUDGET").when(requests >= request_budget, "REQUEST_BUDGET").when((candidates == 0) & some, "NO_GAP_CANDIDATES").when(~some, "ENTRY_FAILED").otherwise("QUEUE_EXHAUSTED")
     )
-    status = F.when(pages == 0, "FAILED").when(open_dims == 0, "COMPLETE").otherwise("PARTIAL")
+    short = reason.isin("PAGE_BUDGET", "REQUEST_BUDGET") & (candidates > 0) & (unsatisfied > 0)
+    status = F.when(~some, F.when(blocked > 0, "BLOCKED").otherwise("FAILED")).when(short | retryable, "PARTIAL").otherwise("COMPLETED")
     return F.struct(reason.alias("reason"), status.alias("status"))
 
 
-def mail_outcome(accepted: Column, reviewed: Column, rejected: Column, pages: Column) -> Column:
-    """What a crawl found of mail: an accepted one, one for review, only rejected ones, none, or nothing read."""
-    return F.when(accepted > 0, "EMAIL_ACCEPTED").when(reviewed > 0, "EMAIL_REVIEW_REQUIRED").when(rejected > 0, "EMAIL_REJECTED").when(pages > 0, "NO_PUBLIC_EMAIL").otherwise("NOT_ASSESSED")
+def mail_outcome(wanted: Column, found: Column, held: Column, status: Column, retryable: Column, reason: Column, render_needed: Column, paths_left: Column) -> Column:
+    """What a crawl has made of the search for a mail address, apart from whether it ran to its end: a crawl that completed has
+    exhausted the search only if nothing was left to try."""
+    return (
+        F.when(~wanted, "EMAIL_NOT_REQUESTED").when(found, "EMAIL_FOUND").when(F.coalesce(held, F.lit(0)) > 0, "EMAIL_CANDIDATES_HELD")
+        .when((status == "BLOCKED") | reason.isin("ROBOTS_BLOCKED", "ROBOTS_UNAVAILABLE"), "BLOCKED").when(status == "FAILED", F.when(retryable, "TRANSIENT_FAILURE").otherwise("BLOCKED"))
+        .when(render_needed, "RENDER_NEEDED").when(reason == "PAGE_BUDGET", "PAGE_BUDGET_REACHED").when(reason == "REQUEST_BUDGET", "REQUEST_BUDGET_REACHED").when(paths_left > 0, "CONTACT_PATHS_REMAIN").otherwise("EMAIL_SEARCH_EXHAUSTED")
+    )
 
 
 def terminal_urls(answers: DataFrame, url: str, at: str) -> DataFrame:
-    """(url, status, at): addresses that were gone (404, 410), each at its first such answer; one that answered well later is
-    not."""
-    gone = F.col("status").isin(404, 410)
-    seen = answers.groupBy(url).agg(F.min_by("status", F.when(gone, F.struct(at, "status"))).alias("status"), F.min(F.when(gone, F.col(at))).alias("first_gone"), F.max(F.when(F.col("status") < 400, F.col(at))).alias("last_good"))
-    return seen.filter(F.col("first_gone").isNotNull() & (F.col("last_good").isNull() | (F.col("last_good") <= F.col("first_gone")))).select(url, "status", F.col("first_gone").alias(at))
-
-
-def improvements(html: Column) -> Column:
-    """What a page's markup lacks, in fixed order."""
-    h = F.coalesce(html, F.lit(""))
+    """(url, status, at): addresses that were gone (404, 410), each at its first such answer, which later answers of any kind
+    do not take back; of two at one instant the lesser status."""
+    gone = answers.filter(F.col("status").isin(404, 410) & F.col(at).isNotNull())
+    return gone.groupBy(url).agg(F.min(F.struct(at, "status")).alias("s")).select(url, "s.status", f"s.{at}")
+
+
+#: Pages that say these are no evidence about a site.
+NOT_THE_SITE = r"(?i)access denied|forbidden|just a moment|verify you are human|captcha|under construction|coming soon|page not found|service unavailable"
+_META = r"""(?i)<meta\b(?:[^"'<>]|"[^"]*"|'[^']*')*>"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a tag, however it is quoted; '' if missing."""
+    found = F.regexp_extract(tag, rf"""(?i)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)""", 1)
+    return F.regexp_replace(found, "^[\"']|[\"']$", "")
+
+
+def improvements(url: Column, html: Column, longest: int = 1_500_000) -> Column:
+    """What a page's static markup lacks, in fixed order: LEGACY_FRAMESET alone, or MISSING_TITLE, MISSING_META_DESCRIPTION and
+    MISSING_DEVICE_WIDTH_VIEWPORT. Empty where the page is no evidence: not https, longer than `longest`, without whole html
+    and head elements, an error or waiting page, a body of under 40 characters or one that asks for scripts, or a meta
+    tag that cannot be read."""
+    h = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    head = F.regexp_extract(h, r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1)
+    title = visible_text(F.regexp_extract(head, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+    body = visible_text(F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)</body\s*>", 1))
+    metas = F.regexp_extract_all(head, F.lit(_META), 0)
+    whole = url.rlike("(?i)^https:") & (F.length(html) <= longest) & h.rlike(r"(?is)<html\b.*</html\s*>") & h.rlike(r"(?is)<head\b.*</head\s*>") & ~F.concat_ws(" ", title, body).rlike(NOT_THE_SITE)
+    readable = (F.length(body) >= 40) & ~body.rlike(r"(?i)enable javascript|javascript (?:is )?required") & (F.size(metas) == F.regexp_count(head, F.lit(r"(?i)<meta\b")))
+    named = lambda name, told: F.exists(metas, lambda m: (F.lower(F.trim(_attribute(m, "name"))) == name) & told(_attribute(m, "content")))
     told = (
-        ("NO_VIEWPORT", ~h.rlike(r"(?i)<meta\b[^>]*name=[\"']viewport[\"']")),
-        ("NO_DESCRIPTION", ~h.rlike(r"(?i)<meta\b[^>]*name=[\"']description[\"']")),
-        ("IMAGES_WITHOUT_TEXT", h.rlike(r"(?i)<img\b(?![^>]*\balt=)[^>]*>")),
-        ("NO_STRUCTURED_DATA", ~h.rlike(r"(?i)application/ld\+json")),
+        ("MISSING_TITLE", title == ""),
+        ("MISSING_META_DESCRIPTION", ~named("description", lambda c: F.trim(c) != "")),
+        ("MISSING_DEVICE_WIDTH_VIEWPORT", ~named("viewport", lambda c: c.rlike(r"(?i)(?:^|[,;\s])width\s*=\s*device-width(?:$|[,;\s])"))),
     )
-    return F.array_compact(F.array(*[F.when(test, name) for name, test in told]))
+    none = F.array().cast("array<string>")
+    listed = F.when(readable, F.array_compact(F.array(*[F.when(test, name) for name, test in told]))).otherwise(none)
+    return F.when(F.coalesce(whole, F.lit(False)), F.when(h.rlike(r"(?i)<frameset\b"), F.array(F.lit("LEGACY_FRAMESET"))).otherwise(listed)).otherwise(none)
 
 
 def authority(answer: Column, final_same: Column, parked: Column, blocked: Column, identity: Column) -> Column:

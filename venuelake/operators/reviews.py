@@ -97,10 +97,28 @@ def audited(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str
     return image(before, "before").join(image(after, "after"), key).filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def sanitised(text: Column, banned: Mapping[str, str]) -> Column:
-    """struct<text, error>: outbound text without placeholders' brackets and doubled spaces; an error names what it must not hold."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\[\[?[^\]]*\]?\]", " "), r"[ \t]+", " "))
-    error = F.when(F.coalesce(plain, F.lit("")) == "", "EMPTY")
-    for name, pattern in banned.items():
-        error = error.when(plain.rlike(pattern), name)
-    return F.struct(plain.alias("text"), error.alias("error"))
+#: What outbound text must not hold: unresolved placeholders, traces of research, claims without support.
+PLACEHOLDER = r"(?i)(?:\[\s*(?:your\s+name|name|company|sender|email)\s*\]|\{\{\s*(?:name|sender|company|email)\s*\}\}|<\s*(?:todo|name|sender|company)\s*>|\bTODO\b)"
+RESEARCH_TRACE = r"(?i)(?:\[\s*(?:\d+|source|citation|evidence|fact|inference)[^\]]*\]|\b(?:evidence|source)[_-]?id\s*[:#-]?\s*[a-z0-9-]+\b|\b(?:fact|inference)[_-]?\d+\b|\b(?:FACT|INFERENCE)\s*[:·-])"
+SUPERLATIVE = r"(?i)\b(?:industry-leading|market-leading|best-in-class|world-class)\b"
+URL = r"(?i)(?:https?://|www\.)\S+"
+
+
+def _approved_urls(text: Column, allowed: Column) -> Column:
+    """The text with each address that is allowed, less punctuation at its end, and without the others."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(URL), 0), lambda u: F.regexp_replace(F.regexp_replace(u, r"[.,;:!?]+$", ""), r"\)$", ""))
+    kept = F.transform(found, lambda u: F.when(F.array_contains(allowed, u), u).otherwise(""))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, URL), kept, lambda t, u: F.array(t, F.coalesce(u, F.lit(""))))), "")
+
+
+def sanitised(subject: Column, body: Column, allowed: Column, signature: str) -> Column:
+    """struct<subject, body, error>: outbound text with the addresses of `allowed` only and its signature. Text with a placeholder,
+    a trace of research or an unsupported claim is refused, not mended: then both are null and `error` says why. A null
+    subject or body is empty."""
+    parts = [F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))]
+    holds = lambda pattern: parts[0].rlike(pattern) | parts[1].rlike(pattern)
+    error = F.when(holds(PLACEHOLDER) | holds(RESEARCH_TRACE), "INTERNAL_EVIDENCE_OR_PLACEHOLDER").when(holds(SUPERLATIVE), "UNSUPPORTED_CLAIM")
+    clean_subject = F.trim(F.regexp_replace(_approved_urls(parts[0], allowed), r"\s{2,}", " "))
+    clean_body = F.regexp_replace(F.regexp_replace(_approved_urls(parts[1], allowed), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    signed = F.when(clean_body.rlike(f"(?i)best regards,?\\s*{signature}"), clean_body).otherwise(F.concat(clean_body, F.lit(f"\n\nBest regards,\n{signature}")))
+    return F.struct(F.when(error.isNull(), clean_subject).alias("subject"), F.when(error.isNull(), signed).alias("body"), error.alias("error"))

@@ -208,12 +208,44 @@ def mask_tiers(masks: DataFrame, tiers: DataFrame, key: str, highest: str) -> Da
     return known.groupBy(key).agg(top.alias("t")).select(key, "t.tier", "t.cost")
 
 
+#: Consent states that are evidence of consent.
+CONSENTED = ("GRANTED", "OPTED_IN", "VALID")
+#: Fixed values, by category: what is permitted, whether marketing needs consent, urgency, whether an owner and an approval are needed, what to
+#: send, and what ends the state. Two entries in a field: with valid consent, and without.
+POLICIES = {
+    "DEMO_REQUEST": ("Transactional acknowledgement and human sales follow-up permitted.", False, "IMMEDIATE", True, True, ("Transactional acknowledgement", "Human demo follow-up"), "Owner records contact or demo is scheduled."),
+    "TALK_TO_SALES": ("Direct response to the enquiry permitted.", False, "IMMEDIATE", True, True, ("Direct human response",), "Owner records contact and qualification outcome."),
+    "TRIAL_STARTED": ("Service and activation communication permitted; commercial assistance is separate.", False, "SAME_DAY", False, True, ("Trial activation/service support",), "Trial is active, qualified, or closed."),
+    "PRODUCT_ENQUIRY": ("Human qualification permitted.", False, "SAME_DAY", True, True, ("Human qualification response",), "Qualification outcome recorded."),
+    "NEWSLETTER_SIGNUP": (
+        {True: "Marketing communication permitted with recorded consent.", False: "No marketing communication until valid consent evidence exists."}, True, "NURTURE", False, True,
+        {True: ("Marketing newsletter",), False: ()}, "Consent is confirmed or the contact opts out.",
+    ),
+    "INTERNAL_TEST": ("No communication.", False, "NONE", False, False, (), "Remain excluded."),
+}
+OTHER_POLICY = (
+    {True: "Requested resource delivery; marketing nurture is permitted with recorded consent.", False: "Requested resource delivery only; marketing nurture requires valid consent."}, True, "WITHIN_2_DAYS", False, True,
+    {True: ("Requested resource delivery", "Marketing nurture"), False: ("Requested resource delivery",)}, "Delivery is complete, consent changes, or engagement becomes high intent.",
+)
+_POLICY_FIELDS = ("treatment", "consent_required", "urgency", "owner_required", "approval_required", "communications", "transition")
+
+
 def communication_policy(category: Column, consent: Column) -> Column:
-    """struct<reply, service, marketing>: what may be sent for a submission."""
-    asked = category.isin(*PRODUCT_CATEGORIES)
-    marketing = (consent == "OPTED_IN") | (category == "NEWSLETTER") & (consent != "OPTED_OUT")
-    return F.struct(asked.alias("reply"), (asked | category.endswith("DOWNLOAD")).alias("service"), F.coalesce(marketing, F.lit(False)).alias("marketing"))
+    """struct<treatment, consent_required, urgency, owner_required, approval_required, communications, transition>: what may be
+    sent for a submission. Marketing is sent on recorded consent only: an unknown, withdrawn or missing state is none."""
+    valid = F.coalesce(F.upper(consent).isin(*CONSENTED), F.lit(False))
 
+    def literal(value: object) -> Column:
+        return F.array(*map(F.lit, value)).cast("array<string>") if isinstance(value, tuple) else F.lit(value)
+
+    def policy(values: tuple) -> Column:
+        pick = lambda v: F.when(valid, literal(v[True])).otherwise(literal(v[False])) if isinstance(v, dict) else literal(v)
+        return F.struct(*[pick(v).alias(f) for f, v in zip(_POLICY_FIELDS, values, strict=True)])
+
+    out = policy(OTHER_POLICY)
+    for name, values in reversed(POLICIES.items()):
+        out = F.when(category == name, policy(values)).otherwise(out)
+    return out
 
 def lead_assessment(country: Column, activity: Column, kind: Column, frequency: Column, needs: Column, provider: Column, evidence: Column) -> Column:
     """struct<territory, motion, signals, gaps>: what is supported of an account by at least one piece of evidence, and what is

@@ -40,21 +40,29 @@ def admitted_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "crawl_endings",
-    """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) % 9 AS pages, l_partkey % 15 AS requests, l_suppkey % 3 AS candidates, l_orderkey % 4 AS open, l_linenumber = 7 AS failed, l_partkey % 4 AS acc, l_partkey % 5 AS rev, l_partkey % 6 AS rej FROM lineitem)
-      SELECT l_orderkey, l_linenumber, CASE WHEN failed AND pages = 0 THEN 'ENTRY_FAILED' WHEN open = 0 THEN 'ALL_DIMENSIONS_SERVED' WHEN pages >= 8 THEN 'PAGE_BUDGET' WHEN requests >= 14 THEN 'REQUEST_BUDGET' WHEN candidates = 0 THEN 'NO_CANDIDATES' ELSE 'ATTEMPTS_EXHAUSTED' END AS reason,
-        CASE WHEN pages = 0 THEN 'FAILED' WHEN open = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, CASE WHEN acc = 0 THEN 'EMAIL_ACCEPTED' WHEN rev = 0 THEN 'EMAIL_REVIEW_REQUIRED' WHEN rej = 0 THEN 'EMAIL_REJECTED' WHEN pages > 0 THEN 'NO_PUBLIC_EMAIL' ELSE 'NOT_ASSESSED' END AS mail FROM c""",
+    """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) % 5 AS docs, CAST(l_quantity AS BIGINT) % 9 AS pages, l_partkey % 15 AS requests, l_suppkey % 3 AS candidates, l_orderkey % 4 AS missing, l_orderkey % 4 - CASE WHEN l_orderkey % 7 = 0 THEN l_orderkey % 4 ELSE 0 END AS gaps,
+        CASE l_partkey % 11 WHEN 0 THEN 'UNAVAILABLE' WHEN 1 THEN 'BLOCKED' END AS robots, l_partkey % 6 = 0 AS retryable, l_suppkey % 2 AS blocked, l_linenumber <> 7 AS wanted, l_partkey % 8 = 3 AS found, CASE WHEN l_suppkey % 5 > 0 THEN CASE WHEN l_partkey % 9 = 0 THEN 2 ELSE 0 END END AS held, l_suppkey % 7 = 0 AS render, l_partkey % 2 AS paths FROM lineitem),
+      r AS (SELECT *, CASE WHEN robots = 'UNAVAILABLE' THEN 'ROBOTS_UNAVAILABLE' WHEN robots = 'BLOCKED' THEN 'ROBOTS_BLOCKED' WHEN docs > 0 AND missing = 0 THEN 'DIMENSIONS_SATISFIED' WHEN docs > 0 AND gaps = 0 THEN 'GAPS_EXHAUSTED' WHEN pages >= 8 THEN 'PAGE_BUDGET' WHEN requests >= 13 THEN 'REQUEST_BUDGET'
+        WHEN docs = 0 THEN 'ENTRY_FAILED' WHEN candidates = 0 THEN 'NO_GAP_CANDIDATES' ELSE 'QUEUE_EXHAUSTED' END AS reason FROM c),
+      s AS (SELECT *, CASE WHEN docs = 0 AND blocked > 0 THEN 'BLOCKED' WHEN docs = 0 THEN 'FAILED' WHEN retryable OR reason IN ('PAGE_BUDGET', 'REQUEST_BUDGET') AND candidates > 0 AND missing > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status FROM r)
+      SELECT l_orderkey, l_linenumber, reason, status, CASE WHEN NOT wanted THEN 'EMAIL_NOT_REQUESTED' WHEN found THEN 'EMAIL_FOUND' WHEN held > 0 THEN 'EMAIL_CANDIDATES_HELD' WHEN status = 'BLOCKED' OR reason LIKE 'ROBOTS%' THEN 'BLOCKED' WHEN status = 'FAILED' AND retryable THEN 'TRANSIENT_FAILURE' WHEN status = 'FAILED' THEN 'BLOCKED'
+        WHEN render THEN 'RENDER_NEEDED' WHEN reason = 'PAGE_BUDGET' THEN 'PAGE_BUDGET_REACHED' WHEN reason = 'REQUEST_BUDGET' THEN 'REQUEST_BUDGET_REACHED' WHEN paths > 0 THEN 'CONTACT_PATHS_REMAIN' ELSE 'EMAIL_SEARCH_EXHAUSTED' END AS mail FROM s""",
 )
 def crawl_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, part = F.col("l_quantity").cast("long") % 9, F.col("l_partkey")
-    s = planning.stop_reason(pages, F.lit(8), part % 15, F.lit(14), F.col("l_suppkey") % 3, F.col("l_orderkey") % 4, F.col("l_linenumber") == 7)
-    is_zero = lambda n: (part % n == 0).cast("int")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", s.alias("s"), planning.mail_outcome(is_zero(4), is_zero(5), is_zero(6), pages).alias("mail")).select("l_orderkey", "l_linenumber", "s.*", "mail")
+    number, part, supplier, order = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
+    robots, retryable = F.when(part % 11 == 0, "UNAVAILABLE").when(part % 11 == 1, "BLOCKED"), part % 6 == 0
+    gaps = order % 4 - F.when(order % 7 == 0, order % 4).otherwise(0)
+    ended = planning.stop_reason(number % 5, number % 9, F.lit(8), part % 15, F.lit(13), order % 4, gaps, supplier % 3, robots, retryable, supplier % 2)
+    rows = table(spark, sf_dir, "lineitem").withColumn("s", ended)
+    held = F.when(supplier % 5 > 0, F.when(part % 9 == 0, 2).otherwise(0))
+    mail = planning.mail_outcome(F.col("l_linenumber") != 7, part % 8 == 3, held, F.col("s.status"), retryable, F.col("s.reason"), supplier % 7 == 0, part % 2)
+    return rows.select("l_orderkey", "l_linenumber", "s.*", mail.alias("mail"))
 
 
 @register(
     "terminal_urls",
-    """WITH a AS (SELECT l_partkey * 10 + l_suppkey % 10 AS url, l_shipdate AS seen_at, [200, 404, 503, 410, 301][1 + l_orderkey % 5] AS status FROM lineitem), g AS (SELECT url, min(seen_at) FILTER (WHERE status IN (404, 410)) AS gone, max(seen_at) FILTER (WHERE status < 400) AS good, arg_min(status, struct_pack(a := seen_at, b := status)) FILTER (WHERE status IN (404, 410)) AS s FROM a GROUP BY 1)
-      SELECT url, s AS status, gone AS seen_at FROM g WHERE gone IS NOT NULL AND (good IS NULL OR good <= gone)""",
+    """WITH a AS (SELECT l_partkey * 10 + l_suppkey % 10 AS url, l_shipdate AS seen_at, [200, 404, 503, 410, 301][1 + l_orderkey % 5] AS status FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seen_at, status) AS n FROM a WHERE status IN (404, 410) AND seen_at IS NOT NULL)
+      SELECT url, status, seen_at FROM r WHERE n = 1""",
 )
 def terminal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, (200, 404, 503, 410, 301))), (1 + F.col("l_orderkey") % 5).cast("int"))
@@ -63,11 +71,11 @@ def terminal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "page_improvements",
-    """SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(h, '<meta[^>]*name=["'']viewport["'']', 'i') THEN 'NO_VIEWPORT' END, CASE WHEN NOT regexp_matches(h, '<meta[^>]*name=["'']description["'']', 'i') THEN 'NO_DESCRIPTION' END,
-      CASE WHEN len(list_filter(regexp_extract_all(h, '<img\\b[^>]*>', 0, 'i'), lambda x: NOT regexp_matches(x, '\\balt=', 'i'))) > 0 THEN 'IMAGES_WITHOUT_TEXT' END, CASE WHEN NOT contains(lower(h), 'application/ld+json') THEN 'NO_STRUCTURED_DATA' END) AS lacks FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""",
+    r"""WITH h AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<head>(.*?)</head>', 1) AS head, coalesce(len(regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '<[^>]*>', '', 'g')), 0) AS n FROM pages)
+      SELECT page_id, CASE WHEN url LIKE 'https:%' AND contains(html, '</html>') AND head <> '' AND n >= 60 THEN concat_ws(',', CASE WHEN NOT regexp_matches(head, '<title>\s*[^<\s]') THEN 'MISSING_TITLE' END, CASE WHEN NOT contains(head, 'name="description"') THEN 'MISSING_META_DESCRIPTION' END, CASE WHEN NOT contains(head, 'name="viewport"') THEN 'MISSING_DEVICE_WIDTH_VIEWPORT' END) ELSE '' END AS lacks FROM h""",
 )
 def page_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(planning.improvements(F.col("html")), ",").alias("lacks"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(planning.improvements(F.col("url"), F.col("html")), ",").alias("lacks"))
 
 
 @register(
@@ -174,11 +182,22 @@ def audit_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.audited(before, after, "c_custkey", ["c_name", "c_nationkey"])
 
 
-TEXTS = ("Hello  [[name]], see us", "We guarantee more sales", "[x]", "Call now, it is free forever", "Plain")
-_TEXTS = (("Hello , see us", None), ("We guarantee more sales", "GUARANTEE"), ("", "EMPTY"), ("Call now, it is free forever", "PRICE_CLAIM"), ("Plain", None))
+SUBJECTS = ("Your  evening", "Hello [ your name ]", "See https://ok.org/a now", "A world-class offer", "fact_12 of you", None)
+ENDINGS = ("", "\n\n\n\nMore at www.bad.org/x.", " (https://ok.org/a)", "\nBest regards,\nPartnerships", " [source 3]", " {{company}}", "\nOur market-leading tool")
+_ALLOWED = "https://ok.org/a"
 
 
-@register("outbound_texts", f"SELECT event_id, {sql_pick([t for t, _ in _TEXTS], 'event_id')} AS text, {sql_pick([e for _, e in _TEXTS], 'event_id')} AS error FROM events")
+@register(
+    "outbound_texts",
+    rf"""WITH t AS (SELECT doc_id, coalesce({sql_pick(SUBJECTS, "doc_id")}, '') AS s, coalesce(text, '') || {sql_pick(ENDINGS, "doc_id // 6")} AS b FROM documents),
+      k AS (SELECT *, regexp_matches(s || chr(10) || b, '\[\s*(?:your\s+name|name|company|sender|email)\s*\]|\{{\{{\s*(?:name|sender|company|email)\s*\}}\}}|<\s*(?:todo|name|sender|company)\s*>|\bTODO\b|\[\s*(?:\d+|source|citation|evidence|fact|inference)[^\]]*\]|\b(?:evidence|source)[_-]?id\s*[:#-]?\s*[a-z0-9-]+\b|\b(?:fact|inference)[_-]?\d+\b|\b(?:fact|inference)\s*[:·-]', 'i') AS leak,
+          regexp_matches(s || chr(10) || b, '\b(?:industry-leading|market-leading|best-in-class|world-class)\b', 'i') AS claim FROM t),
+      u AS (SELECT doc_id, CASE WHEN leak THEN 'INTERNAL_EVIDENCE_OR_PLACEHOLDER' WHEN claim THEN 'UNSUPPORTED_CLAIM' END AS error, trim(regexp_replace(s, '\s{{2,}}', ' ', 'g')) AS subject,
+          regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(b, '({_ALLOWED})', '( ' || chr(1)), '(?i)(?:https?://|www\.)\S+', '', 'g'), '\( ' || chr(1), '({_ALLOWED}', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM k)
+      SELECT doc_id, error, CASE WHEN error IS NULL THEN subject END AS subject, CASE WHEN error IS NULL THEN CASE WHEN regexp_matches(body, 'best regards,?\s*partnerships', 'i') THEN body ELSE body || chr(10) || chr(10) || 'Best regards,' || chr(10) || 'Partnerships' END END AS body FROM u""",
+)
 def outbound_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = reviews.sanitised(pick(TEXTS, F.col("event_id")), {"GUARANTEE": r"(?i)\bguarantee", "PRICE_CLAIM": r"(?i)\bfree forever\b"})
-    return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s.*")
+    d = F.col("doc_id")
+    body = F.concat(F.coalesce("text", F.lit("")), pick(ENDINGS, F.floor(d / 6)))
+    s = reviews.sanitised(pick(SUBJECTS, d), body, F.array(F.lit(_ALLOWED)), "Partnerships")
+    return table(spark, sf_dir, "documents").select(d, s.alias("s")).select(d, "s.*")

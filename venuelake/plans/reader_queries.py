@@ -24,13 +24,13 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.sitemap_urls(urls.select("map", body.alias("body")), "map", "body", most=None)
 
 
-ROBOTS = ("User-agent: *\nDisallow: /private\nAllow: /private/open # x\nDisallow: /*.pdf$", "User-agent: Other\nUser-agent: Crawler\nDisallow: /\n\nUser-agent: *\nAllow: /", "", None)
+ROBOTS = ("User-agent: *\nDisallow: /private\nAllow: /private/open # x\nDisallow: /*.pdf$", "User-agent: Other\nUser-agent: Crawler\nDisallow: /\n\nUser-agent: *\nAllow: /", "", None, "User-agent: *\nDisallow: /\n\nUser-agent: Crawler\nDisallow:", "User-agent: crawl\nDisallow: /private/*/y\nAllow: /private\n\nUser-agent: *\nDisallow: /")
 ASKED = ("/", "/private/x", "/private/open/y", "/a.pdf", "/a.pdf?x")
 
 
 @register(
     "robots_decisions",
-    f"""WITH a AS (SELECT DISTINCT 'h' || user_id AS host, user_id % 4 AS k, {sql_pick(ASKED, "event_id")} AS path FROM events) SELECT host, path, CASE k WHEN 0 THEN path NOT IN ('/private/x', '/a.pdf') WHEN 1 THEN false ELSE true END AS allowed FROM a""",
+    f"""WITH a AS (SELECT DISTINCT 'h' || user_id AS host, user_id % 6 AS k, {sql_pick(ASKED, "event_id")} AS path FROM events) SELECT host, path, CASE k WHEN 0 THEN path NOT IN ('/private/x', '/a.pdf') WHEN 1 THEN false WHEN 5 THEN path <> '/private/open/y' ELSE true END AS allowed FROM a""",
 )
 def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from venuelake.functions import text
 from venuelake.operators import actions, catalogue, crawling, inventory, leads, ledgers, resolution
 from venuelake.operators.latest import latest_per_key
-from venuelake.plans import address_queries, contact_queries, crawl_queries, document_queries, extraction_queries, identity_queries, ledger_queries, reader_queries, rule_queries, scoring_queries, stream_queries  # noqa: F401
+from venuelake.plans import address_queries, contact_queries, crawl_queries, document_queries, extraction_queries, identity_queries, ledger_queries, page_queries, reader_queries, rule_queries, scoring_queries, stream_queries  # noqa: F401
 from venuelake.plans.catalog import AS_OF, ORACLES, QUERIES, as_of, pick, quoted, register, sql_pick  # noqa: F401
 from venuelake.sources.shared import shared_folder
 from venuelake.sources.tables import table

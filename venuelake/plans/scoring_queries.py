@@ -194,18 +194,23 @@ def mask_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.mask_tiers(masks, spark.createDataFrame(TIERS, "field string, tier string, rank int, cost int"), "c_custkey", "ATMOSPHERE")
 
 
-CATEGORIES = ("DEMO_REQUEST", "RESOURCE_DOWNLOAD", "NEWSLETTER", "TRIAL_STARTED", "TEMPLATE_DOWNLOAD", "OTHER")
-CONSENTS = ("UNKNOWN", "OPTED_IN", "OPTED_OUT", None)
+CATEGORIES = (*scoring.POLICIES, "RESOURCE_DOWNLOAD", "TEMPLATE_DOWNLOAD", None)
+CONSENTS = ("UNKNOWN", "OPTED_IN", "OPTED_OUT", None, "granted", "GRANTED", "WITHDRAWN", "Valid")
 
 
 @register(
     "communication_policy",
-    f"""WITH s AS (SELECT event_id, {sql_pick(CATEGORIES, "event_id")} AS c, {sql_pick(CONSENTS, "event_id // 6")} AS s FROM events)
-      SELECT event_id, c IN ('DEMO_REQUEST', 'TRIAL_STARTED') AS reply, c NOT IN ('NEWSLETTER', 'OTHER') AS service, coalesce(s = 'OPTED_IN' OR c = 'NEWSLETTER' AND s <> 'OPTED_OUT', false) AS marketing FROM s""",
+    f"""WITH s AS (SELECT event_id, {sql_pick(CATEGORIES, "event_id")} AS c, coalesce(upper({sql_pick(CONSENTS, "event_id // 9")}) IN ('GRANTED', 'OPTED_IN', 'VALID'), false) AS v FROM events)
+      SELECT event_id, coalesce(c IN ('DEMO_REQUEST', 'TALK_TO_SALES', 'PRODUCT_ENQUIRY'), false) AS owner_required, coalesce(c NOT IN ('DEMO_REQUEST', 'TALK_TO_SALES', 'TRIAL_STARTED', 'PRODUCT_ENQUIRY', 'INTERNAL_TEST'), true) AS consent_required, coalesce(c <> 'INTERNAL_TEST', true) AS approval_required,
+        CASE WHEN c IN ('DEMO_REQUEST', 'TALK_TO_SALES') THEN 'IMMEDIATE' WHEN c IN ('TRIAL_STARTED', 'PRODUCT_ENQUIRY') THEN 'SAME_DAY' WHEN c = 'NEWSLETTER_SIGNUP' THEN 'NURTURE' WHEN c = 'INTERNAL_TEST' THEN 'NONE' ELSE 'WITHIN_2_DAYS' END AS urgency,
+        coalesce(v AND (c IN ('NEWSLETTER_SIGNUP', 'RESOURCE_DOWNLOAD', 'TEMPLATE_DOWNLOAD') OR c IS NULL), false) AS marketing,
+        CASE c WHEN 'DEMO_REQUEST' THEN 2 WHEN 'TALK_TO_SALES' THEN 1 WHEN 'TRIAL_STARTED' THEN 1 WHEN 'PRODUCT_ENQUIRY' THEN 1 WHEN 'NEWSLETTER_SIGNUP' THEN CAST(v AS INT) WHEN 'INTERNAL_TEST' THEN 0 ELSE 1 + CAST(v AS INT) END AS n_communications FROM s""",
 )
 def communication_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(e, scoring.communication_policy(pick(CATEGORIES, e), pick(CONSENTS, F.floor(e / 6))).alias("p")).select(e, "p.*")
+    told = table(spark, sf_dir, "events").select(e, scoring.communication_policy(pick(CATEGORIES, e), pick(CONSENTS, F.floor(e / 9))).alias("p")).select(e, "p.*")
+    marketing = F.exists("communications", lambda c: c.rlike("^Marketing"))
+    return told.select(e, "owner_required", "consent_required", "approval_required", "urgency", marketing.alias("marketing"), F.size("communications").alias("n_communications"))
 
 
 COUNTRIES = ("za", "United Kingdom", " GB ", "FR", None)

@@ -25,27 +25,32 @@ def _first(values: Column, most: int | None) -> Column:
 
 
 def robots_rules(bodies: DataFrame, host_col: str, body_col: str) -> DataFrame:
-    """(host, agent, allow, path): each rule under each agent of its group."""
+    """(host, agent, allow, path): each rule under each agent of its group; an agent whose group has no rule has one row with
+    a null path. A group begins with the agent line after a rule; rules without a value, and those before any agent, are none."""
     lines = bodies.select(F.col(host_col).alias("host"), F.posexplode(F.split(F.coalesce(F.col(body_col), F.lit("")), r"\r?\n")).alias("at", "line"))
     clean = F.trim(F.regexp_replace("line", r"#.*$", ""))
-    parsed = lines.select("host", "at", F.lower(F.trim(F.regexp_extract(clean, r"^([A-Za-z-]+)\s*:", 1))).alias("name"), F.trim(F.regexp_extract(clean, r"^[A-Za-z-]+\s*:(.*)$", 1)).alias("value")).filter("name in ('user-agent', 'allow', 'disallow')")
+    parsed = lines.select("host", "at", F.lower(F.trim(F.regexp_extract(clean, r"^([^:]*):", 1))).alias("name"), F.trim(F.regexp_extract(clean, r"^[^:]*:(.*)$", 1)).alias("value"))
+    told = parsed.filter("name = 'user-agent' or name in ('allow', 'disallow') and value <> ''")
     order = Window.partitionBy("host").orderBy("at")
-    opens = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(order), F.lit("")) != "user-agent")
-    grouped = parsed.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(order), F.lit("allow")) != "user-agent")
+    grouped = told.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     agents = grouped.filter("name = 'user-agent'").select("host", "group", F.lower("value").alias("agent"))
-    rules = grouped.filter("name <> 'user-agent' and value <> ''").select("host", "group", (F.col("name") == "allow").alias("allow"), F.col("value").alias("path"))
-    return rules.join(agents, ["host", "group"]).select("host", "agent", "allow", "path").distinct()
+    rules = grouped.filter("name <> 'user-agent'").select("host", "group", (F.col("name") == "allow").alias("allow"), F.col("value").alias("path"))
+    return agents.join(rules, ["host", "group"], "left").select("host", "agent", "allow", "path").distinct()
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """(host, path, allowed): the longest rule decides, allow wins a tie; the named agent's rules go before those of *."""
-    mine = rules.filter(F.col("agent").isin(agent.lower(), "*"))
-    own = mine.groupBy("host").agg(F.bool_or(F.col("agent") == agent.lower()).alias("named"))
-    used = mine.join(own, "host").filter((F.col("agent") == agent.lower()) | ~F.col("named")).select("host", F.col("path").alias("rule"), "allow")
-    wild = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("rule", r"([.+()\[\]{}^|\\?])", r"\\$1"), r"\*", ".*"))
+    """(host, path, allowed): the longest rule decides, its stars not counted, and allow wins a tie; the groups of agents that
+    the crawler's name holds go before those of *, even without a rule. A star stands for anything, a final $ for the end."""
+    named = (F.col("agent") != "*") & F.contains(F.lit(agent.lower()), F.col("agent"))
+    mine = rules.filter(named | (F.col("agent") == "*")).withColumn("named", named)
+    own = mine.groupBy("host").agg(F.bool_or("named").alias("any_named"))
+    used = mine.join(own, "host").filter("named = any_named and path is not null").select("host", F.col("path").alias("rule"), "allow")
+    body = F.regexp_replace("rule", r"\$$", "")
+    wild = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(body, r"([.+()\[\]{}^|\\?$])", r"\\$1"), r"\*", ".*"), F.when(F.col("rule").endswith("$"), "$").otherwise(""))
     asked = urls.select("host", "path").distinct().join(used, "host", "left")
     fits = F.col("rule").isNotNull() & F.expr("path rlike pattern")
-    best = F.max_by("allow", F.when(F.col("fits"), F.struct(F.length("rule"), "allow")))
+    best = F.max_by("allow", F.when(F.col("fits"), F.struct(F.length(F.replace(F.col("rule"), F.lit("*"), F.lit(""))), "allow")))
     return asked.withColumn("pattern", wild).withColumn("fits", fits).groupBy("host", "path").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
 
 
