@@ -23,22 +23,38 @@ FACILITIES = (
     ("catering", r"\b(?:in[- ]house catering|external catering|catering available)\b[^.]{0,100}"),
     ("bar", r"\b(?:licensed bar|private bar|bar service)\b[^.]{0,100}"),
     ("kitchen", r"\b(?:commercial kitchen|catering kitchen|kitchen facilities)\b[^.]{0,100}"),
+    ("avProduction", r"\b(?:AV equipment|audio[- ]visual equipment|production facilities|projector)\b[^.]{0,100}"),
     ("sound", r"\b(?:sound system|PA system|sound equipment)\b[^.]{0,100}"),
+    ("lighting", r"\b(?:stage lighting|lighting rig|production lighting)\b[^.]{0,100}"),
     ("staging", r"\b(?:built[- ]in stage|raised stage|stage facilities|staging available|modular staging|stage equipment)\b[^.]{0,100}"),
+    ("loadingAccess", r"\b(?:loading bay|loading access|load[- ]?in)\b[^.]{0,100}"),
     ("wifi", r"\b(?:wi[- ]?fi|wireless internet)\b[^.]{0,100}"),
+    ("power", r"\b(?:three[- ]phase power|power outlets?|power supply)\b[^.]{0,100}"),
+    ("outdoorSpace", r"\b((?:(?:sunny|heated|covered|enclosed)\s+)?(?:beer\s+)?(?:garden|terrace|courtyard|outdoor space))\b"),
+    ("accommodation", r"\b(?:on[- ]site accommodation|hotel rooms?|bedrooms?)\b[^.]{0,100}"),
     ("cloakroom", r"\b(?:cloakroom|coat check)\b[^.]{0,100}"),
+    ("hireSuitability", r"\b(?:available|suitable)\s+for\s+(?:weddings?|receptions?|corporate events?|conferences?|private events?|meetings?|exhibitions?)\b[^.]{0,100}"),
 )
 _BEFORE_NEGATED = r"(?i)\b(?:no|not|without|don['’]t|doesn['’]t|isn['’]t|aren['’]t|can['’]t|cannot|won['’]t)\s+(?:[a-z-]+\s+){0,4}$"
 _NEGATED = r"(?i)\b(?:not (?:available|permitted|provided|allowed|accessible)|unavailable|closed)\b"
-#: Sentences that state a capacity: (pattern, group of the layout, group of the count, least count).
+#: Sentences that state a capacity: (pattern, group of the layout or 0, groups of the count, least count). No
+#: count is followed by the x of a dimension.
 _NAMES = "banquet|reception|theatre|theater|standing|seated|classroom|cabaret|dinner|conference|boardroom"
 _NUMBER = r"\d{1,3}(?:,\d{3})+|\d{1,5}"
+_NO_DIMENSION = r"(?!\s{0,3}x\b)"
+_BEDS = r"\b(?:cottages?|bedrooms?|overnight|sleeps?|beds?|tents?|glamping|accommodation|rooms? (?:are|is)? ?available)\b"
 SENTENCES = (
-    (rf"(?i)\b({_NAMES})\s+(?:style\s*)?(?:capacity\s*)?[:\-]?\s*({_NUMBER})\b", 1, 2, 2),
-    (rf"(?i)\bcapacity\s*(?:of|:|-)?\s*({_NUMBER})\s*({_NAMES})?\b", 2, 1, 2),
-    (rf"(?i)\bup to\s*({_NUMBER})\s*(standing|seated|guests?|people)\b", 2, 1, 2),
-    (rf"(?i)\b({_NUMBER})\s*(standing|seated)\b", 2, 1, 10),
+    (rf"(?i)(?>\b({_NAMES})\s+(?:style\s*)?(?:capacity\s*)?[:\-]?\s*({_NUMBER})\b){_NO_DIMENSION}", 1, (2,), 2),
+    (rf"(?i)(?>\bcapacity\s*(?:of|:|-)?\s*({_NUMBER})\s*({_NAMES})?\b){_NO_DIMENSION}", 2, (1,), 2),
+    (rf"(?i)(?>\bup to\s*({_NUMBER})\s*(standing|seated|guests?|people)\b){_NO_DIMENSION}", 2, (1,), 2),
+    (rf"(?i)(?>\b({_NUMBER})\s*(standing|seated)\b){_NO_DIMENSION}", 2, (1,), 10),
+    (rf"(?i)(?>\b({_NAMES})\s+(?:sets?|set[- ]?ups?|layouts?)\s+(?:of\s+|up\s+)?(?:up\s+)?to\s*({_NUMBER})\b){_NO_DIMENSION}", 1, (2,), 2),
 )
+#: A verb of hosting states a capacity, of a range its upper end, unless beds are spoken of nearby.
+HOSTING = (
+    rf"(?is)(?<!{_BEDS}.{{0,45}})(?>\b(?:host|hosts|cater\s+for|caters\s+for|seat|seats|hold|holds)\s+(?:up\s+to\s+|between\s+)?({_NUMBER})(?:\s*(?:[-–—]|to|and)\s*({_NUMBER}))?\s+(?:guests?|people|delegates|persons|pax)\b)(?!.{{0,70}}{_BEDS})",
+    0, (2, 1), 2,
+)
 _GAP = "␞"  # stands where an earlier sentence was read
 
 
@@ -91,24 +107,24 @@ def facilities(text: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def _stated(text: Column, pattern: str, layout: int, count: int, least: int) -> Column:
+def _stated(text: Column, pattern: str, layout: int, counts: tuple[int, ...], least: int) -> Column:
     def fact(m: Column) -> Column:
-        name = F.lower(F.regexp_extract(m, pattern, layout))
+        name = F.lower(F.regexp_extract(m, pattern, layout)) if layout else F.lit("")
         kind = F.when(name.isin("", "guest", "guests", "people"), "unspecified").otherwise(F.replace(name, F.lit("theater"), F.lit("theatre")))
-        number = F.regexp_replace(F.regexp_extract(m, pattern, count), ",", "").try_cast("int")
-        return F.struct(kind.alias("layout"), number.alias("count"), F.trim(m).alias("statement"))
+        told = F.coalesce(*[F.nullif(F.regexp_extract(m, pattern, c), F.lit("")) for c in counts])
+        return F.struct(kind.alias("layout"), F.regexp_replace(told, ",", "").try_cast("int").alias("count"), F.trim(m).alias("statement"))
 
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), fact), lambda f: f["count"].between(least, 100_000))
 
 
 def sentences(text: Column) -> Column:
     """array<(layout, count, statement)> of the sentences that state a capacity, pattern after pattern; what one has read, a
-    later one does not read again."""
+    later one does not read again, apart from verbs of hosting, which are read in the whole text."""
     found, left = [], text
-    for pattern, layout, count, least in SENTENCES:
-        found.append(_stated(left, pattern, layout, count, least))
+    for pattern, layout, counts, least in SENTENCES:
+        found.append(_stated(left, pattern, layout, counts, least))
         left = F.regexp_replace(left, pattern, _GAP)
-    return F.concat(*found)
+    return F.concat(*found, _stated(text, *HOSTING))
 
 
 def table_rows(html: Column) -> Column:

@@ -15,7 +15,10 @@ ROLE_MAILBOX = (
     r"|hospitality|conference|conferences|conferencing|weddings?|sales|admin|manager|management|frontdesk|guests?|stay|marketing|press|technical|general|notes|groups?|meetings?|catering|restaurant|studio|team|mail|welcome)$"
 )
 #: Services of free mail, which say nothing of a site.
-FREE_MAIL = r"^(?:gmail|googlemail|outlook|hotmail|live|msn|yahoo|ymail|icloud|me|aol|btinternet|sky|mweb|telkomsa|vodamail|webmail|iafrica|absamail)\."
+FREE_MAIL_DOMAINS = (
+    "gmail.com googlemail.com outlook.com hotmail.com hotmail.co.uk live.com live.co.uk msn.com yahoo.com yahoo.co.uk ymail.com icloud.com me.com aol.com btinternet.com sky.com talktalk.net virginmedia.com gmx.com "
+    "protonmail.com proton.me mweb.co.za telkomsa.net vodamail.co.za webmail.co.za iafrica.com absamail.co.za lantic.net polka.co.za afrihost.co.za cybersmart.co.za"
+).split()
 #: What a contact is for, the first that fits, and their order in a list.
 PURPOSES = (
     ("CORPORATE_SUPPORT", r"\b(?:corporate|business) support\b"),

@@ -28,7 +28,7 @@ def directory_mailboxes(found: DataFrame, page: str, mail: str, host: str) -> Da
     """Mailboxes with `review`: those of other domains than the page's, free mail apart, on a page that lists three such domains
     or six such mailboxes, which is a directory of other places or of staff."""
     domain = registrable_domain(F.split_part(F.lower(mail), F.lit("@"), F.lit(2)))
-    foreign = ~domain.eqNullSafe(registrable_domain(F.col(host))) & ~F.split_part(F.lower(mail), F.lit("@"), F.lit(2)).rlike(contacts.FREE_MAIL)
+    foreign = ~domain.eqNullSafe(registrable_domain(F.col(host))) & ~F.split_part(F.lower(mail), F.lit("@"), F.lit(2)).isin(*contacts.FREE_MAIL_DOMAINS)
     marked = found.withColumn("__domain", F.when(foreign, domain)).withColumn("__foreign", foreign)
     per_page = marked.filter("__foreign").groupBy(page).agg(F.count_distinct("__domain").alias("__domains"), F.count("*").alias("__mails")).filter("__domains >= 3 or __mails >= 6")
     joined = marked.join(per_page.select(F.col(page), F.lit(True).alias("__listed")), page, "left")

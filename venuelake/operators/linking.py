@@ -31,12 +31,20 @@ def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     return a.select(key, F.regexp_extract("a", r'(?i)href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", r"(?i)>([^<]*)</a>", 1).alias("label"))
 
 
-def ranked_links(links: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
-    """(key, href, score, position): an address scores a point for each term in its label or path; the best of its labels
-    counts, and addresses without a point are left out."""
+#: Pages that serve no reader, and words of labels that tell of events.
+NO_USE = r"(?i)\b(?:accessibility-statement|privacy-policy|cookie-policy|terms-of-use|search)\b"
+EVENT_LABEL = r"(?i)\b(events?|gigs?|shows?|tour dates?|live dates?|what'?s on|calendar|concerts?)\b"
+
+
+def ranked_links(links: DataFrame, key: str, terms: Sequence[str], events: bool = False) -> DataFrame:
+    """(key, href, score, position): an address scores a point for each term in its label or path. Where events are asked for, a
+    folder of events adds four, a label that tells of events three, and an /event/ or /events/ one more. The best of its
+    labels counts; addresses without a point, and pages such as policies, are left out."""
     text = F.lower(F.concat_ws(" ", "label", "href"))
     score = sum((F.when(F.contains(text, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
-    best = links.withColumn("score", score).filter("score > 0").groupBy(key, "href").agg(F.max("score").alias("score"))
+    if events:
+        score += F.when(F.col("href").rlike(EVENT_FOLDERS), 4).otherwise(0) + F.when(F.col("label").rlike(EVENT_LABEL), 3).otherwise(0) + F.when(F.col("href").rlike("(?i)/events?/"), 1).otherwise(0)
+    best = links.filter(~F.col("href").rlike(NO_USE)).withColumn("score", score).filter("score > 0").groupBy(key, "href").agg(F.max("score").alias("score"))
     return best.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "href")))
 
 

@@ -7,35 +7,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Inventory actions, the status each leads to, and the states it may be taken from (empty: any).
-INVENTORY_ACTIONS = {
-    "QUALIFY": ("QUALIFIED", ("REVIEW_REQUIRED", "RESEARCHED")),
-    "REJECT": ("REJECTED", ("REVIEW_REQUIRED", "RESEARCHED", "QUALIFIED")),
-    "BLOCK": ("BLOCKED", ()),
-    "MARK_DUPLICATE": ("DUPLICATE", ()),
-    "RESTORE": ("REVIEW_REQUIRED", ("REJECTED", "BLOCKED", "DUPLICATE")),
-}
-#: Actions that need a reason.
-NEED_REASON = ("REJECT", "BLOCK")
+#: Inventory actions, each with the status it leads to (None: the status stays) and the decision on record.
+INVENTORY_ACTIONS = {"QUALIFY": ("QUALIFIED", "QUALIFIED"), "REJECT": ("REJECTED", "REJECTED"), "BLOCK": ("BLOCKED", "BLOCKED"), "MARK_DUPLICATE": ("DUPLICATE", "DUPLICATED"), "RESTORE": ("REVIEW_REQUIRED", "REOPENED"), "SET_NEXT_ACTION": (None, "NEXT_ACTION_SET")}
+#: The longest note and next action.
+NOTE_MOST, NEXT_ACTION_MOST = 1000, 500
 #: What may be done to many leads at once, and to how many.
-BULK_ACTIONS, BULK_MOST = ("ASSIGN_OWNER", "CLASSIFY", "ARCHIVE"), 100
+BULK_ACTIONS, BULK_MOST = ("ASSIGN_OWNER", "MARK_REVIEWED", "CLASSIFY"), 100
 #: States of a promotion that a new import does not touch.
 PROTECTED = ("PROMOTED", "REJECTED", "IN_REVIEW")
 
 
 def decided(candidates: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """Candidates (key, status) joined with the action asked of each (key, action, reason): `error`, or the new status."""
+    """Candidates (key, status, next_action, approved) joined with the action asked of each (key, action, note, wanted): `error`, or
+    the decision on record with the new status and next action. An action may be taken from any status. Blocking an
+    approved candidate revokes the approval: `revoked`. A blank note is none; `wanted` is the next action that
+    SET_NEXT_ACTION sets, trimmed, and must not be blank or too long."""
     joined = asked.join(candidates, key, "left")
-    allowed, target = F.lit(False), F.lit(None).cast("string")
-    for action, (to, states) in INVENTORY_ACTIONS.items():
+    next_action = F.trim("wanted")
+    sets = F.col("action") == "SET_NEXT_ACTION"
+    error = (
+        F.when(~F.coalesce(F.col("action").isin(*INVENTORY_ACTIONS), F.lit(False)), "PROSPECT_REVIEW_ACTION_INVALID").when(F.char_length("note") > NOTE_MOST, "PROSPECT_BLOCK_NOTE_TOO_LONG")
+        .when(sets & (F.coalesce(next_action, F.lit("")) == ""), "PROSPECT_NEXT_ACTION_INVALID").when(sets & (F.char_length(next_action) > NEXT_ACTION_MOST), "PROSPECT_NEXT_ACTION_INVALID")
+        .when(F.col("status").isNull(), "PROSPECT_NOT_FOUND")
+    )
+    target = decision = F.lit(None).cast("string")
+    for action, (to, record) in INVENTORY_ACTIONS.items():
         mine = F.col("action") == action
-        allowed = F.when(mine, F.col("status").isin(*states) if states else F.lit(True)).otherwise(allowed)
         target = F.when(mine, F.lit(to)).otherwise(target)
-    error = (
-        F.when(F.col("status").isNull(), "NOT_FOUND").when(target.isNull(), "UNKNOWN_ACTION").when(F.col("action").isin(*NEED_REASON) & F.col("reason").isNull(), "REASON_REQUIRED")
-        .when(~allowed, "TRANSITION_DENIED")
+        decision = F.when(mine, F.lit(record)).otherwise(decision)
+    done = F.col("error").isNull()
+    return (
+        joined.withColumn("error", error).withColumn("decision", F.when(done, decision)).withColumn("new_status", F.when(done, F.coalesce(target, "status")).otherwise(F.col("status")))
+        .withColumn("new_action", F.when(done & sets, next_action).otherwise(F.col("next_action"))).withColumn("revoked", F.coalesce(done & (F.col("action") == "BLOCK") & F.col("approved"), F.lit(False)))
     )
-    return joined.withColumn("error", error).withColumn("new_status", F.when(F.col("error").isNull(), target).otherwise(F.col("status")))
 
 
 def bulk(rows: DataFrame, requests: DataFrame, request: str, key: str) -> DataFrame:

@@ -37,8 +37,11 @@ ROLE_FAMILIES = (
     ("venue operations", ("venue director", "venue manager", "venue operations", "general manager")),
     ("commercial leadership", ("commercial director", "commercial manager", "revenue director", "business development")),
     ("ticketing or box office", ("ticketing", "box office", "registration manager", "admissions manager")),
+    ("marketing or audience growth", ("marketing director", "marketing manager", "audience development", "audience growth")),
+    ("digital, technology or product", ("digital director", "digital manager", "technology director", "technology manager", "product director", "product manager", "head of digital", "head of technology")),
     ("procurement or supplier management", ("procurement", "supplier manager", "vendor manager", "purchasing manager")),
     ("managing director, founder or owner", ("managing director", "founder", "owner", "chief executive officer", "ceo")),
+    ("event manager, producer or project manager", ("event manager", "event producer", "project manager", "programme manager", "program manager")),
     ("freelance event professional", ("freelance event", "freelance producer", "independent event")),
 )
 BUYERS = ("event leadership", "event operations", "venue operations", "commercial leadership", "ticketing or box office", "managing director, founder or owner")

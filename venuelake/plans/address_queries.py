@@ -166,3 +166,17 @@ def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), pick(("/events/a", "/about", "/gigs/may-2024/x", "/shows", "/whats-on/2024", "/live/x/y", "/prices"), e).alias("href"), pick(("Next", "Sat night", "Tickets"), F.floor(e / 7)).alias("label"))
     return linking.event_links(rows, "page", F.lit(1))
+
+
+@register(
+    "useful_links",
+    f"""WITH u AS (SELECT user_id AS page, {sql_pick(("/events/a", "/about", "/Gigs/may-2024", "/private-hire", "/whats-on/2024", "/search/events", "/venue-hire/rooms"), "event_id")} AS href, {sql_pick(("Next", "What's on", "Contact", "Live dates"), "event_id // 7")} || ' ' || event_type AS label FROM events),
+      s AS (SELECT page, href, list_sum(list_transform(['contact', 'hire', 'view', 'purchase'], lambda t: CAST(contains(lower(label || ' ' || href), t) AS INT))) + CASE WHEN regexp_matches(href, '(^|/)(events?|gigs?|shows?|tour|live|whats[-_]?on|calendar|concerts?)(/|$)', 'i') THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(label, '\\b(events?|gigs?|shows?|tour dates?|live dates?|what''?s on|calendar|concerts?)\\b', 'i') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(href, '/events?/', 'i') THEN 1 ELSE 0 END AS score FROM u WHERE NOT contains(href, 'search'))
+      SELECT page, href, CAST(max(score) AS INT) AS score, row_number() OVER (PARTITION BY page ORDER BY max(score) DESC, href) AS position FROM s WHERE score > 0 GROUP BY 1, 2""",
+)
+def useful_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    href = pick(("/events/a", "/about", "/Gigs/may-2024", "/private-hire", "/whats-on/2024", "/search/events", "/venue-hire/rooms"), e)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), href.alias("href"), F.concat_ws(" ", pick(("Next", "What's on", "Contact", "Live dates"), F.floor(e / 7)), "event_type").alias("label"))
+    return linking.ranked_links(rows, "page", ["contact", "hire", "view", "purchase"], events=True)

@@ -99,32 +99,36 @@ def https_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATES = ("REVIEW_REQUIRED", "RESEARCHED", "QUALIFIED", "REJECTED", "BLOCKED", "DUPLICATE")
-ACTS = ("QUALIFY", "REJECT", "BLOCK", "MARK_DUPLICATE", "RESTORE", "ERASE")
+ACTS = ("QUALIFY", "REJECT", "BLOCK", "MARK_DUPLICATE", "RESTORE", "ERASE", "SET_NEXT_ACTION")
 
 
 @register(
     "inventory_actions",
-    f"""WITH a AS (SELECT o_orderkey, o_custkey % 200 AS candidate, {sql_pick(ACTS, "o_orderkey")} AS action, CASE WHEN o_orderkey % 4 > 0 THEN 'why' END AS reason FROM orders), c AS (SELECT c_custkey AS candidate, {sql_pick(STATES, "c_custkey")} AS status FROM customer),
-      j AS (SELECT a.*, status FROM a LEFT JOIN c USING (candidate)), e AS (SELECT *, CASE WHEN status IS NULL THEN 'NOT_FOUND' WHEN action = 'ERASE' THEN 'UNKNOWN_ACTION' WHEN action IN ('REJECT', 'BLOCK') AND reason IS NULL THEN 'REASON_REQUIRED'
-        WHEN action = 'QUALIFY' AND status NOT IN ('REVIEW_REQUIRED', 'RESEARCHED') OR action = 'REJECT' AND status NOT IN ('REVIEW_REQUIRED', 'RESEARCHED', 'QUALIFIED') OR action = 'RESTORE' AND status NOT IN ('REJECTED', 'BLOCKED', 'DUPLICATE') THEN 'TRANSITION_DENIED' END AS error FROM j)
-      SELECT o_orderkey, error, CASE WHEN error IS NOT NULL THEN status ELSE CASE action WHEN 'QUALIFY' THEN 'QUALIFIED' WHEN 'REJECT' THEN 'REJECTED' WHEN 'BLOCK' THEN 'BLOCKED' WHEN 'MARK_DUPLICATE' THEN 'DUPLICATE' ELSE 'REVIEW_REQUIRED' END END AS new_status FROM e""",
+    f"""WITH a AS (SELECT o_orderkey, o_custkey % 200 AS candidate, {sql_pick(ACTS, "o_orderkey")} AS action, CASE WHEN o_orderkey % 4 > 0 THEN repeat(o_orderstatus, CAST(floor(o_totalprice) AS INT) % 1100) END AS note, CASE WHEN o_orderkey % 5 > 0 THEN repeat(' ', CAST(o_orderkey % 3 AS INT)) || repeat('call ', CAST(floor(o_totalprice) AS INT) % 130) END AS wanted FROM orders),
+      c AS (SELECT c_custkey AS candidate, {sql_pick(STATES, "c_custkey")} AS status, c_name AS next_action, c_nationkey % 2 = 0 AS approved FROM customer), j AS (SELECT a.*, trim(wanted) AS n, status, next_action, approved FROM a LEFT JOIN c USING (candidate)),
+      e AS (SELECT *, CASE WHEN action NOT IN ('QUALIFY', 'REJECT', 'BLOCK', 'MARK_DUPLICATE', 'RESTORE', 'SET_NEXT_ACTION') THEN 'PROSPECT_REVIEW_ACTION_INVALID' WHEN length(note) > 1000 THEN 'PROSPECT_BLOCK_NOTE_TOO_LONG' WHEN action = 'SET_NEXT_ACTION' AND (coalesce(n, '') = '' OR length(n) > 500) THEN 'PROSPECT_NEXT_ACTION_INVALID' WHEN status IS NULL THEN 'PROSPECT_NOT_FOUND' END AS error FROM j)
+      SELECT o_orderkey, error, CASE WHEN error IS NULL THEN CASE action WHEN 'QUALIFY' THEN 'QUALIFIED' WHEN 'REJECT' THEN 'REJECTED' WHEN 'BLOCK' THEN 'BLOCKED' WHEN 'MARK_DUPLICATE' THEN 'DUPLICATED' WHEN 'RESTORE' THEN 'REOPENED' ELSE 'NEXT_ACTION_SET' END END AS decision,
+        CASE WHEN error IS NOT NULL OR action = 'SET_NEXT_ACTION' THEN status ELSE CASE action WHEN 'QUALIFY' THEN 'QUALIFIED' WHEN 'REJECT' THEN 'REJECTED' WHEN 'BLOCK' THEN 'BLOCKED' WHEN 'MARK_DUPLICATE' THEN 'DUPLICATE' ELSE 'REVIEW_REQUIRED' END END AS new_status,
+        CASE WHEN error IS NULL AND action = 'SET_NEXT_ACTION' THEN n ELSE next_action END AS new_action, coalesce(error IS NULL AND action = 'BLOCK' AND approved, false) AS revoked FROM e""",
 )
 def inventory_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.col("o_orderkey")
-    asked = table(spark, sf_dir, "orders").select(o, (F.col("o_custkey") % 200).alias("candidate"), pick(ACTS, o).alias("action"), F.when(o % 4 > 0, "why").alias("reason"))
-    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate"), pick(STATES, F.col("c_custkey")).alias("status"))
-    return reviews.decided(candidates, asked, "candidate").select("o_orderkey", "error", "new_status")
+    o, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("int")
+    note = F.when(o % 4 > 0, F.repeat("o_orderstatus", price % 1100))
+    wanted = F.when(o % 5 > 0, F.concat(F.repeat(F.lit(" "), (o % 3).cast("int")), F.repeat(F.lit("call "), price % 130)))
+    asked = table(spark, sf_dir, "orders").select(o, (F.col("o_custkey") % 200).alias("candidate"), pick(ACTS, o).alias("action"), note.alias("note"), wanted.alias("wanted"))
+    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate"), pick(STATES, F.col("c_custkey")).alias("status"), F.col("c_name").alias("next_action"), (F.col("c_nationkey") % 2 == 0).alias("approved"))
+    return reviews.decided(candidates, asked, "candidate").select("o_orderkey", "error", "decision", "new_status", "new_action", "revoked")
 
 
 @register(
     "bulk_actions",
-    """WITH r AS (SELECT o_custkey AS request, CASE WHEN o_custkey % 5 = 0 THEN 'ERASE' ELSE 'ARCHIVE' END AS action, list_distinct(list(o_orderkey % 180)) AS keys FROM orders GROUP BY 1), m AS (SELECT *, CASE WHEN len(keys) > 100 THEN 'BULK_SIZE' WHEN action = 'ERASE' THEN 'BULK_ACTION' END AS e FROM r),
+    """WITH r AS (SELECT o_custkey AS request, CASE WHEN o_custkey % 5 = 0 THEN 'ERASE' ELSE 'MARK_REVIEWED' END AS action, list_distinct(list(o_orderkey % 180)) AS keys FROM orders GROUP BY 1), m AS (SELECT *, CASE WHEN len(keys) > 100 THEN 'BULK_SIZE' WHEN action = 'ERASE' THEN 'BULK_ACTION' END AS e FROM r),
       x AS (SELECT request, unnest(CASE WHEN e IS NULL THEN keys ELSE [NULL] END) AS c_custkey, e FROM m)
       SELECT request, x.c_custkey, coalesce(e, CASE WHEN c.c_custkey IS NULL THEN 'NOT_FOUND' END) AS error FROM x LEFT JOIN customer c ON c.c_custkey = x.c_custkey""",
 )
 def bulk_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("request")).agg(F.collect_list(F.col("o_orderkey") % 180).alias("keys"))
-    action = F.when(F.col("request") % 5 == 0, "ERASE").otherwise("ARCHIVE")
+    action = F.when(F.col("request") % 5 == 0, "ERASE").otherwise("MARK_REVIEWED")
     return reviews.bulk(table(spark, sf_dir, "customer"), requests.withColumn("action", action), "request", "c_custkey")
 
 

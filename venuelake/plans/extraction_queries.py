@@ -56,13 +56,16 @@ def definition_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", F.inline(capacities.definitions(F.col("html")))).withColumnRenamed("count", "number")
 
 
-STATED = ("Theatre style capacity: {n} and standing {m}.", "Up to {n} guests, {m} seated.", "Capacity of {n} Banquet; 5 standing", "A reception for {n}", "It holds {n} standing or {m} seated, capacity {m}")
+STATED = ("Theatre style capacity: {n} and standing {m}.", "Up to {n} guests, {m} seated.", "Capacity of {n} Banquet; 5 standing", "A reception for {n}", "It holds {n} standing or {m} seated, capacity {m}", "Larger reception sets up to {n}; seated 40 x 20", "We cater for 100 – {n} guests", "The cottages hold {n} guests")
 _STATED = (  # for each text: (layout, which number, statement) in the order of the patterns
     (("theatre", "n", "Theatre style capacity: {n}"), ("standing", "m", "standing {m}")),
     (("unspecified", "n", "Up to {n} guests"), ("seated", "m", "{m} seated")),
     (("banquet", "n", "Capacity of {n} Banquet"),),
     (),
     (("unspecified", "m", "capacity {m}"), ("standing", "n", "{n} standing"), ("seated", "m", "{m} seated")),
+    (("reception", "n", "reception sets up to {n}"),),
+    (("unspecified", "n", "cater for 100 – {n} guests"),),
+    (),
 )
 
 
@@ -75,23 +78,25 @@ def _stated_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@register("capacity_sentences", f"WITH e AS (SELECT event_id, event_id % 5 AS k, 30 + user_id AS n, 200 + event_id % 77 AS m FROM events) {_stated_sql()}")
+@register("capacity_sentences", f"WITH e AS (SELECT event_id, event_id % 8 AS k, 30 + user_id AS n, 200 + event_id % 77 AS m FROM events) {_stated_sql()}")
 def capacity_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     text = F.replace(F.replace(pick(STATED, e), F.lit("{n}"), (30 + F.col("user_id")).cast("string")), F.lit("{m}"), (200 + e % 77).cast("string"))
     return table(spark, sf_dir, "events").select(e, F.inline(capacities.sentences(text))).withColumnRenamed("count", "number")
 
 
-PROSE = ("We have step-free access to all floors. Wi-Fi is fast.", "There is no on-site parking here. A car park", "Sorry, we do not have a raised stage", "The cloakroom is closed", "Licensed bar and PA system. Enjoy", "Nothing of note", "A train station, near; external catering. Kitchen facilities")
+PROSE = ("We have step-free access to all floors. Wi-Fi is fast.", "There is no on-site parking here. A car park", "Sorry, we do not have a raised stage", "The cloakroom is closed", "Licensed bar and PA system. Enjoy", "Nothing of note", "A train station, near; external catering. Kitchen facilities", "A projector and a loading bay. No bedrooms here; suitable for weddings", "Our sunny garden, stage lighting. Three-phase power")
 _PROSE = (
     (("accessibility", "step-free access to all floors", "false"), ("wifi", "Wi-Fi is fast", "false")), (("parking", "There is no on-site parking here", "true"),), (("staging", "Sorry, we do not have a raised stage", "true"),),
     (("cloakroom", "The cloakroom is closed", "true"),), (("bar", "Licensed bar and PA system", "false"), ("sound", "PA system", "false")), (), (("publicTransport", "train station, near; external catering", "false"), ("catering", "external catering", "false"), ("kitchen", "Kitchen facilities", "false")),
+    (("avProduction", "projector and a loading bay", "false"), ("loadingAccess", "loading bay", "false"), ("accommodation", "No bedrooms here; suitable for weddings", "true"), ("hireSuitability", "suitable for weddings", "false")),
+    (("outdoorSpace", "sunny garden", "false"), ("lighting", "stage lighting", "false"), ("power", "Three-phase power", "false")),
 )
 
 
 @register(
     "facility_facts",
-    " UNION ALL ".join(f"SELECT event_id, {quoted(f)} AS field, {quoted(s)} AS statement, {r} AS review FROM events WHERE event_id % 7 = {k}" for k, facts in enumerate(_PROSE) for f, s, r in facts),
+    " UNION ALL ".join(f"SELECT event_id, {quoted(f)} AS field, {quoted(s)} AS statement, {r} AS review FROM events WHERE event_id % {len(_PROSE)} = {k}" for k, facts in enumerate(_PROSE) for f, s, r in facts),
 )
 def facility_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", pick(PROSE, F.col("event_id")).alias("text"))

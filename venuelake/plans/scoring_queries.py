@@ -107,9 +107,10 @@ def phase_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.stable_rank(rows, "p_brand", F.col("p.score"), "p_partkey").select("p_partkey", F.col("p.phase").alias("phase"), "rank")
 
 
-TITLES = ("Head of Events", "Venue Manager", "Procurement Lead", "Freelance Producer", "Founder & CEO", "Baker", "Box Office Supervisor", "Operations Director", None, "Commercial Manager")
+TITLES = ("Head of Events", "Venue Manager", "Procurement Lead", "Freelance Producer", "Founder & CEO", "Baker", "Box Office Supervisor", "Operations Director", None, "Commercial Manager", "Audience Development Lead", "Head of Technology", "Programme Manager")
 _ROLES = (("event leadership", "LIKELY_BUYER", 100), ("venue operations", "LIKELY_BUYER", 80), ("procurement or supplier management", "INFLUENCER_OR_ROUTE_TO_BUYER", 55), ("freelance event professional", "INFLUENCER_OR_ROUTE_TO_BUYER", 45), ("managing director, founder or owner", "LIKELY_BUYER", 80), (None, "IRRELEVANT", 0),
-    ("ticketing or box office", "LIKELY_BUYER", 80), ("event operations", "LIKELY_BUYER", 100), (None, "IRRELEVANT", 0), ("commercial leadership", "LIKELY_BUYER", 80))
+    ("ticketing or box office", "LIKELY_BUYER", 80), ("event operations", "LIKELY_BUYER", 100), (None, "IRRELEVANT", 0), ("commercial leadership", "LIKELY_BUYER", 80),
+    ("marketing or audience growth", "INFLUENCER_OR_ROUTE_TO_BUYER", 55), ("digital, technology or product", "INFLUENCER_OR_ROUTE_TO_BUYER", 55), ("event manager, producer or project manager", "INFLUENCER_OR_ROUTE_TO_BUYER", 55))
 DOMAINS = ("hall.org", "mail.hall.org", "other.com", None, "thehall.org")
 
 
