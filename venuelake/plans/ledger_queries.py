@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from venuelake.operators import ledgers
+from venuelake.operators import budgets, ledgers
 from venuelake.plans.catalog import AS_OF, as_of, register
 from venuelake.sources.tables import table
 
@@ -67,16 +67,36 @@ def work_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledgers.admit(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"], [F.asc("o_orderkey")], caps).select("o_orderkey", "decision")
 
 
+#: The events table spread over four months: what each event asks of the budget of one of five tiers.
+_BUDGET_EVENTS = """SELECT event_id, user_id % 5 AS tier, TIMESTAMP '2024-01-01' + 4 * (ts - TIMESTAMP '2024-01-01') AS ts, CAST(date_part('month', TIMESTAMP '2024-01-01' + 4 * (ts - TIMESTAMP '2024-01-01')) AS INT) AS m,
+  CASE event_type WHEN 'view' THEN 'RESERVE' WHEN 'click' THEN 'RECONCILE' WHEN 'signup' THEN 'ENQUEUE' WHEN 'purchase' THEN 'CLAIM' ELSE CASE WHEN event_id % 7 = 0 THEN 'SET_LIMIT' ELSE 'RESERVE' END END AS kind, event_id % 13 > 0 AS enabled FROM events"""
+
+
 @register(
     "monthly_tier_budget",
-    """WITH RECURSIVE e AS (SELECT event_id, event_type AS tier, CAST(round(value) AS BIGINT) AS cost, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
-      f AS (SELECT event_id, user_id, tier, n, CASE WHEN cost > 450 THEN 'TIER_BUDGET' ELSE 'ADMITTED' END AS decision, CASE WHEN cost > 450 THEN 0 ELSE cost END AS spent FROM e WHERE n = 1
-        UNION ALL SELECT e.event_id, e.user_id, e.tier, e.n, CASE WHEN f.spent + cost > 450 THEN 'TIER_BUDGET' ELSE 'ADMITTED' END, CASE WHEN f.spent + cost > 450 THEN f.spent ELSE f.spent + cost END FROM f JOIN e ON e.user_id = f.user_id AND e.tier = f.tier AND e.n = f.n + 1)
-      SELECT event_id, tier, decision FROM f""",
+    f"""WITH RECURSIVE b AS ({_BUDGET_EVENTS}), e AS (SELECT *, CASE kind WHEN 'SET_LIMIT' THEN event_id % 100 WHEN 'RESERVE' THEN event_id % 5 - 1 WHEN 'RECONCILE' THEN event_id % 6 - 1 END AS amount, max(CASE WHEN kind = 'RESERVE' THEN ts END) OVER w AS last_at, row_number() OVER (PARTITION BY tier ORDER BY ts, event_id) AS n FROM b WINDOW w AS (PARTITION BY tier ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      z AS (SELECT tier, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, 1 AS of, CAST(40 AS BIGINT) AS def, list_transform(range(5), lambda x: CAST(NULL AS BIGINT)) AS lim, list_transform(range(5), lambda x: true) AS ena, list_transform(range(5), lambda x: CAST(0 AS BIGINT)) AS con, list_transform(range(5), lambda x: CAST(0 AS BIGINT)) AS res, CAST([] AS BIGINT[]) AS jobs, 0 AS rm, CAST(0 AS BIGINT) AS rc, 'NONE' AS rs, CAST(NULL AS BIGINT) AS job FROM (SELECT DISTINCT tier FROM e)
+        UNION ALL SELECT tier, n, event_id, outcome, of, CASE WHEN outcome IN ('LIMIT_SET', 'KILLED') THEN amount ELSE def END, CASE WHEN outcome IN ('LIMIT_SET', 'KILLED') THEN list_transform(lim, lambda x, i: CASE WHEN i = m THEN amount ELSE x END) ELSE lim END, CASE WHEN outcome IN ('LIMIT_SET', 'KILLED') THEN list_transform(ena, lambda x, i: CASE WHEN i = m THEN enabled ELSE x END) ELSE ena END,
+          CASE WHEN outcome IN ('CONSUMED', 'RELEASED') THEN list_transform(con, lambda x, i: CASE WHEN i = rm THEN x + amount ELSE x END) ELSE con END,
+          CASE WHEN outcome IN ('CONSUMED', 'RELEASED') THEN list_transform(res, lambda x, i: CASE WHEN i = rm THEN x - rc ELSE x END) WHEN outcome IN ('RESERVED', 'CLAIMED') THEN list_transform(res, lambda x, i: CASE WHEN i = m THEN x + CASE WHEN outcome = 'CLAIMED' THEN 1 ELSE amount END ELSE x END) ELSE res END,
+          CASE outcome WHEN 'QUEUED' THEN list_append(jobs, event_id) WHEN 'CLAIMED' THEN jobs[2:] ELSE jobs END, CASE WHEN kind = 'RESERVE' THEN m ELSE rm END, CASE WHEN kind = 'RESERVE' THEN amount ELSE rc END,
+          CASE WHEN kind = 'RESERVE' THEN CASE WHEN outcome = 'RESERVED' THEN 'OPEN' ELSE 'NONE' END WHEN outcome IN ('CONSUMED', 'RELEASED') THEN 'DONE' ELSE rs END, CASE WHEN outcome = 'CLAIMED' THEN jobs[1] END
+        FROM (SELECT *, CASE kind WHEN 'SET_LIMIT' THEN CASE WHEN enabled THEN 'LIMIT_SET' ELSE 'KILLED' END WHEN 'ENQUEUE' THEN 'QUEUED'
+            WHEN 'RECONCILE' THEN CASE WHEN rs = 'NONE' THEN 'RESERVATION_NOT_FOUND' WHEN rs = 'DONE' THEN 'ALREADY_RECONCILED' WHEN amount < 0 THEN 'NEGATIVE_ACTUAL' WHEN amount > rc THEN 'ACTUAL_EXCEEDS_RESERVED' WHEN con[rm] + amount > lim[rm] THEN 'EXCEEDS_MONTHLY_LIMIT' WHEN amount > 0 THEN 'CONSUMED' ELSE 'RELEASED' END
+            ELSE CASE WHEN kind = 'RESERVE' AND amount <= 0 THEN 'INVALID_COUNT' WHEN NOT ena[m] THEN 'BUDGET_DISABLED' WHEN greatest(0, lim[m] - con[m] - res[m]) < CASE WHEN kind = 'CLAIM' THEN 1 ELSE amount END THEN CASE WHEN lim[m] = 0 THEN 'ZERO_BUDGET_LIMIT' ELSE 'MONTHLY_LIMIT_EXCEEDED' END
+              WHEN kind = 'CLAIM' AND len(jobs) = 0 THEN 'NO_ELIGIBLE_JOBS' WHEN kind = 'CLAIM' THEN 'CLAIMED' ELSE 'RESERVED' END END AS outcome, CASE WHEN kind = 'RECONCILE' AND rs <> 'NONE' THEN rm ELSE m END AS of
+          FROM (SELECT e.tier, e.n, e.event_id, e.kind, e.m, e.enabled, e.amount, z.def, list_transform(z.lim, lambda x, i: CASE WHEN i = e.m THEN coalesce(x, z.def) ELSE x END) AS lim, z.ena, z.con, z.res, z.jobs, z.rm, z.rc, z.rs FROM z JOIN e ON e.tier = z.tier AND e.n = z.n + 1)))
+      SELECT event_id, outcome, CAST(of AS INT) AS month, lim[of] AS monthly_limit, con[of] AS consumed, res[of] AS reserved, greatest(0, lim[of] - con[of] - res[of]) AS remaining, job FROM z WHERE n > 0""",
 )
 def monthly_tier_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("tier"), "ts", F.round("value").cast("long").alias("cost"))
-    return ledgers.admit(calls, ["user_id", "tier"], [F.asc("ts"), F.asc("event_id")], [("TIER_BUDGET", F.col("cost"), 450)]).select("event_id", "tier", "decision")
+    begin, e = F.lit("2024-01-01").cast("timestamp_ntz"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "RESERVE").when(F.col("event_type") == "click", "RECONCILE").when(F.col("event_type") == "signup", "ENQUEUE").when(F.col("event_type") == "purchase", "CLAIM").when(e % 7 == 0, "SET_LIMIT").otherwise("RESERVE")
+    rows = table(spark, sf_dir, "events").select(e, (F.col("user_id") % 5).cast("string").alias("tier"), (begin + (F.col("ts") - begin) * 4).alias("ts"), kind.alias("kind"), (e % 13 > 0).alias("enabled"))
+    amount = F.when(F.col("kind") == "SET_LIMIT", e % 100).when(F.col("kind") == "RESERVE", e % 5 - 1).when(F.col("kind") == "RECONCILE", e % 6 - 1)
+    before = Window.partitionBy("tier").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    asked = rows.withColumn("amount", amount).withColumn("target", F.last(F.when(F.col("kind") == "RESERVE", e), ignorenulls=True).over(before)).withColumn("provider", F.lit("Places"))
+    found = budgets.ledger(asked, "provider", "tier", "ts", "event_id", default_limit=40)
+    return found.select("event_id", "outcome", F.month("month").alias("month"), F.col("limit").alias("monthly_limit"), "consumed", "reserved", "remaining", "job")
 
 
 @register(
