@@ -7,17 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuelake.functions.text import visible_text
+
 from venuelake.functions import capacities, text
 
 #: Words of a column that is no layout.
 OTHER_COLUMNS = r"size|area|sq\.? ?m|sqm|m2|m²|sq\.? ?ft|sqft|dimensions?|height|ceiling(?: height)?"
 _TERMS = rf"(?i)\b(theatre|theater|cabaret|banquet(?:ing)?|dinner|dining|reception|standing|seated|classroom|boardroom|conference|cocktail|capacity|{OTHER_COLUMNS})\b"
 _CELL = r"(?:\d{1,3}(?:,\d{3})+|\d{1,6}(?:\.\d+)?|[-–]|n/a)"
-#: Signals of what a site is.
-SITE_SIGNALS = (
-    ("TICKETS", r"(?i)\b(?:buy|book) tickets?\b"), ("HIRE", r"(?i)\b(?:venue|private) hire\b"), ("ROOMS", r"(?i)\b(?:check[- ]in|bedrooms?|overnight)\b"), ("MENU", r"(?i)\b(?:our|the) menus?\b"),
-    ("MEMBERS", r"(?i)\bmembership\b"), ("CHARITY", r"(?i)\b(?:registered charity|donate)\b"), ("COUNCIL", r"(?i)\b(?:parish|town|city|borough) council\b"), ("SHOP", r"(?i)\badd to (?:cart|basket)\b"),
+#: Structured types and words that tell what a site is.
+SIGNAL_TYPES = (("SCHEMA_PLACE_OR_VENUE", ("eventvenue", "place", "civicstructure", "performingartsvenue")), ("SCHEMA_ORGANISATION", ("organization", "localbusiness", "corporation", "ngo")))
+SIGNAL_WORDS = (
+    ("FESTIVAL_OR_SERIES_LANGUAGE", r"(?i)\b(?:festival|fest)\b"), ("PROMOTER_LANGUAGE", r"(?i)\b(?:promot(?:er|ing|es)|presents)\b"),
+    ("TICKETING_OR_MEDIA_LANGUAGE", r"(?i)\b(?:tickets?|box office|ticketmaster|dice\.fm)\b"), ("FACILITY_LANGUAGE", r"(?i)\b(?:capacity|seating|function rooms?|venue hire|banquet|auditorium)\b"),
 )
+#: Characters of a page's text that are read for them.
+SIGNAL_TEXT = 4000
+#: Names of spaces that name none, and words of categories, of articles and of kinds of space.
+GENERIC_SPACE = r"(?i)^(?:the |our |your )?(?:newsletter|contact|what'?s on|whats on|latest news|conference venue|wedding venue|corporate venue|home|gallery|events|hall|room|rooms|venue|space|spaces|guest accommodation|accommodation|facilities|amenities|our venue|outdoor space|private events|meeting rooms|chapel|weddings|conferences|functions|hire|venue hire|private hire|corporate hire)$"
+ARTICLES = ("the", "our", "your", "a", "an")
+CATEGORY_WORDS = ("guest", "wedding", "honeymoon", "private", "corporate", "meeting", "function", "outdoor", "conference", "event", "events")
+CATEGORY_NOUNS = ("accommodation", "facilities", "amenities", "gallery", "venue", "newsletter", "contact", "home")
+SPACE_TYPES = "hall halls room rooms suite suites cottage cottages chalet chalets chapel chapels auditorium ballroom ballrooms studio studios terrace terraces garden gardens nave theatre theater bar barn vault vaults".split()
 
 
 def contacts(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -87,16 +98,51 @@ def hydration_texts(pages: DataFrame, key: str, html: str, least: int = 3) -> Da
     return pages.select(key, F.explode(F.array_distinct(kept)).alias("value"))
 
 
-def site_signals(body: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(body.rlike(p), n) for n, p in SITE_SIGNALS]))
-
-
-def space_class(name: Column, count: Column) -> Column:
-    """Whether a named space is confirmed, for review, or none: by a word of spaces with a capacity, by one alone, or a word of what is
-    no space."""
-    space = name.rlike(r"(?i)\b(?:hall|room|suite|studio|theatre|auditorium|ballroom|terrace|garden|gallery|loft|library)\b")
-    none = name.rlike(r"(?i)\b(?:menu|package|offer|ticket|parking|toilets?|wifi|contact|gift)\b")
-    return F.when(none, "REJECTED").when(space & count.isNotNull(), "CONFIRMED").when(space | count.isNotNull(), "REVIEW").otherwise("REJECTED")
+def site_signals(html: Column) -> Column:
+    """What a page tells of the kind of its site, in fixed order: types of its structured data, words of its title, description and
+    text, and the conflicts between these."""
+    meta = lambda name: F.regexp_extract(html, rf"""(?i)<meta\b[^>]*\b(?:name|property)=["']{name}["'][^>]*\bcontent="([^"]*)\"""", 1)
+    filled = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))
+    title = filled(visible_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), meta("og:title"))
+    text = F.concat_ws(" ", title, filled(meta("description"), meta("og:description")), F.substring(visible_text(html), 1, SIGNAL_TEXT))
+    scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), 1), " ")
+    told = F.array_join(F.regexp_extract_all(scripts, F.lit(r'"@type"\s*:\s*("[^"]*"|\[[^\]]*\])'), 1), ",")
+    types = F.transform(F.regexp_extract_all(told, F.lit('"([^"]*)"'), 1), lambda t: F.lower(F.trim(F.regexp_replace(t, r"^.*[/#]", ""))))
+    by_type = [F.when(F.arrays_overlap(types, F.array(*map(F.lit, known))), name) for name, known in SIGNAL_TYPES]
+    plain = F.array_compact(F.array(*by_type, *[F.when(text.rlike(p), n) for n, p in SIGNAL_WORDS]))
+
+    def with_conflicts(found: Column) -> Column:
+        has = lambda name: F.array_contains(found, name)
+        place = has("SCHEMA_PLACE_OR_VENUE") | has("FACILITY_LANGUAGE")
+        conflicts = F.array(F.when(has("SCHEMA_ORGANISATION") & place, "ORGANISATION_VENUE_CONFLICT"), F.when(has("FESTIVAL_OR_SERIES_LANGUAGE") & place, "FESTIVAL_PLACE_CONFLICT"))
+        return F.concat(found, F.array_compact(conflicts))
+
+    return F.get(F.transform(F.array(plain), with_conflicts), F.lit(0))
+
+
+def space_class(name: Column, capacity: Column, structured: Column, listed: Column) -> Column:
+    """Whether a named space is CONFIRMED, for REVIEW or REJECTED. A proper name with a kind of space is confirmed, as are two kinds
+    together; other names need a capacity, a structured place or a list of spaces beside them. A heading of a category is for
+    review at best, and only with a capacity or a structured place."""
+
+    def judged(clean: Column) -> Column:
+        flag = lambda c: F.coalesce(c, F.lit(False))
+        backed = flag(capacity) | flag(structured)
+        strong = backed | flag(listed)
+        words = F.split(F.lower(clean), " ")
+        content = F.filter(words, lambda w: ~w.isin(*ARTICLES))
+        types = F.size(F.filter(content, lambda w: w.isin(*SPACE_TYPES)))
+        category = F.exists(content, lambda w: w.isin(*CATEGORY_WORDS, *CATEGORY_NOUNS))
+        proper, n = F.size(F.filter(content, lambda w: ~w.isin(*CATEGORY_WORDS, *CATEGORY_NOUNS, *SPACE_TYPES))), F.size(content)
+        weak = F.when(backed, "REVIEW").otherwise("REJECTED")
+        named = (proper >= 1) & (types >= 1) | (proper >= 2) & strong | (proper == 1) & (n == 1) & strong | (proper == 0) & (types >= 2) & (types == n)
+        the_kind = (proper == 0) & (types == 1) & (F.size(words) == 2) & F.get(words, F.lit(0)).isin(*ARTICLES) & strong
+        return (
+            F.when((clean == "") | (F.length(clean) > 60), "REJECTED").when(clean.rlike(GENERIC_SPACE), weak).when(n == 0, "REJECTED").when((proper == 0) & (types <= 1) & category, weak)
+            .when(named | the_kind, "CONFIRMED").when(proper == 0, weak).otherwise(F.when(strong, "CONFIRMED").otherwise("REVIEW"))
+        )
+
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))), judged), F.lit(0))
 
 
 def required(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -163,22 +163,38 @@ def capacity_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.matrix_capacities(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "event_id", "body")
 
 
-SPACES = ("Main Hall", "Menu Hall", "The Loft", "Blue", "Parking", "Garden Room")
+SPACES = ("Main Hall", "the  Hall", "Garden Room", "Blue", "Guest Accommodation", "Private Gallery", "The Loft", "Meeting Studio", "Great Oak", "Wedding", "Our Chapel Vault", "the", "", "Corporate Events Suite")
+_IN = {"a": "'the', 'our', 'your', 'a', 'an'", "c": ", ".join(f"'{w}'" for w in (*harvest.CATEGORY_WORDS, *harvest.CATEGORY_NOUNS)), "t": ", ".join(f"'{w}'" for w in harvest.SPACE_TYPES)}
 
 
 @register(
     "space_classes",
-    f"""WITH s AS (SELECT event_id, event_id % 6 AS k, event_id // 6 % 2 = 0 AS counted FROM events) SELECT event_id, CASE WHEN k IN (1, 4) THEN 'REJECTED' WHEN k IN (0, 2, 5) AND counted THEN 'CONFIRMED' WHEN k IN (0, 2, 5) OR counted THEN 'REVIEW' ELSE 'REJECTED' END AS class FROM s""",
+    f"""WITH s AS (SELECT event_id, trim(regexp_replace({sql_pick(SPACES, "event_id")} || CASE WHEN user_id % 4 = 0 THEN ' ' || event_type ELSE '' END, '\\s+', ' ', 'g')) AS name, event_id // 14 % 3 = 0 AS cap, event_id // 14 % 5 = 0 AS struct, event_id // 14 % 2 = 0 AS listed FROM events),
+      w AS (SELECT *, string_split(lower(name), ' ') AS words, cap OR struct AS backed, cap OR struct OR listed AS strong FROM s), c AS (SELECT *, list_filter(words, lambda x: x NOT IN ({_IN["a"]})) AS content FROM w),
+      n AS (SELECT *, len(content) AS n, len(list_filter(content, lambda x: x IN ({_IN["t"]}))) AS types, len(list_filter(content, lambda x: x IN ({_IN["c"]}))) AS cats FROM c), p AS (SELECT *, n - types - cats AS proper FROM n)
+      SELECT event_id, CASE WHEN name = '' THEN 'REJECTED' WHEN regexp_full_match(lower(name), '(the |our |your )?(gallery|events|hall|room|chapel|guest accommodation|accommodation|venue)') THEN CASE WHEN backed THEN 'REVIEW' ELSE 'REJECTED' END WHEN n = 0 THEN 'REJECTED' WHEN proper = 0 AND types <= 1 AND cats > 0 THEN CASE WHEN backed THEN 'REVIEW' ELSE 'REJECTED' END
+        WHEN proper >= 1 AND types >= 1 OR proper >= 2 AND strong OR proper = 1 AND n = 1 AND strong OR proper = 0 AND types >= 2 AND types = n OR proper = 0 AND types = 1 AND len(words) = 2 AND words[1] IN ({_IN["a"]}) AND strong THEN 'CONFIRMED' WHEN proper = 0 THEN CASE WHEN backed THEN 'REVIEW' ELSE 'REJECTED' END WHEN strong THEN 'CONFIRMED' ELSE 'REVIEW' END AS class FROM p""",
 )
 def space_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(e, harvest.space_class(pick(SPACES, e), F.when(F.floor(e / 6) % 2 == 0, 50)).alias("class"))
+    name, group = F.concat(pick(SPACES, e), F.when(F.col("user_id") % 4 == 0, F.concat(F.lit(" "), "event_type")).otherwise("")), F.floor(e / 14)
+    return table(spark, sf_dir, "events").select(e, harvest.space_class(name, group % 3 == 0, group % 5 == 0, group % 2 == 0).alias("class"))
 
 
-TOLD = ("Buy tickets for our shows", "Venue hire and bedrooms", "A registered charity: donate", "Town Council offices; add to basket", "Nothing")
-_TOLD = ("TICKETS", "HIRE,ROOMS", "CHARITY", "COUNCIL,SHOP", "")
+TOLD = ("Buy tickets for our shows.", "Venue hire and a festival.", "She presents it.", "Seating", "Nothing.", "The Fest; box  office")
+SCHEMA_TYPES = ('["Thing","Organization"]', '"http://schema.org/EventVenue"', '"Place"', '"LocalBusiness"', '"Event"')
 
 
-@register("site_signals", f"SELECT event_id, {sql_pick(_TOLD, 'event_id')} AS signals FROM events")
+@register(
+    "site_signals",
+    f"""WITH d AS (SELECT doc_id, {sql_pick(TOLD, "doc_id")} || ' ' || coalesce(text, '') AS t, doc_id // 6 % 7 AS k FROM documents),
+      s AS (SELECT doc_id, k IN (1, 2) AS place, k IN (0, 3) AS org, regexp_matches(t, '\\b(festival|fest)\\b', 'i') AS f, regexp_matches(t, '\\b(promot(er|ing|es)|presents)\\b', 'i') AS p, regexp_matches(regexp_replace(t, '\\s+', ' ', 'g'), '\\b(tickets?|box office|ticketmaster|dice\\.fm)\\b', 'i') AS m, regexp_matches(t, '\\b(capacity|seating|function rooms?|venue hire|banquet|auditorium)\\b', 'i') AS c FROM d)
+      SELECT doc_id, concat_ws(',', CASE WHEN place THEN 'SCHEMA_PLACE_OR_VENUE' END, CASE WHEN org THEN 'SCHEMA_ORGANISATION' END, CASE WHEN f THEN 'FESTIVAL_OR_SERIES_LANGUAGE' END, CASE WHEN p THEN 'PROMOTER_LANGUAGE' END, CASE WHEN m THEN 'TICKETING_OR_MEDIA_LANGUAGE' END, CASE WHEN c THEN 'FACILITY_LANGUAGE' END,
+        CASE WHEN org AND (place OR c) THEN 'ORGANISATION_VENUE_CONFLICT' END, CASE WHEN f AND (place OR c) THEN 'FESTIVAL_PLACE_CONFLICT' END) AS signals FROM s""",
+)
 def site_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(harvest.site_signals(pick(TOLD, F.col("event_id"))), ",").alias("signals"))
+    d, k = F.col("doc_id"), F.floor(F.col("doc_id") / 6) % 7
+    data = F.when(k < 5, F.concat(F.lit('<script type="application/ld+json">{"@type" : '), pick(SCHEMA_TYPES, k), F.lit("}</script>"))).otherwise("")
+    body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><head><title>A page</title>"), data, F.lit("</head><body><p>"), pick(TOLD, d), F.lit("</p> <div>"), body, F.lit("</div></body>"))
+    return table(spark, sf_dir, "documents").select(d, F.array_join(harvest.site_signals(html), ",").alias("signals"))
