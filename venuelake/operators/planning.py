@@ -133,11 +133,21 @@ def improvements(url: Column, html: Column, longest: int = 1_500_000) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), F.when(h.rlike(r"(?i)<frameset\b"), F.array(F.lit("LEGACY_FRAMESET"))).otherwise(listed)).otherwise(none)
 
 
-def authority(answer: Column, final_same: Column, parked: Column, blocked: Column, identity: Column) -> Column:
-    """Whether an address that was probed may be crawled as its place's own."""
+def authority(refusal: Column, failure: Column, cross_site: Column, redirect_refused: Column, status: Column, missing: Column, recovery: Column, robots: Column, mismatch: Column, shell: Column) -> Column:
+    """Whether an address that was probed may be crawled as its place's own, in the order in which a probe learns of it.
+
+    `refusal`: why the address is no target (NON_PUBLIC or another), `failure`: of the connection (DEAD_HOST, PRIVATE_NETWORK, CERTIFICATE
+    or another), `missing`: the page is gone, or says so, `recovery`: how another page of the site was reached in its place,
+    `robots`: UNAVAILABLE, DENIED, ALLOWED or ABSENT, `mismatch`: the page names another place. Flags are false where null.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    gone = flag(missing)
     return (
-        F.when(answer.isNull(), "UNREACHABLE").when(answer.isin(404, 410), "GONE").when(answer.isin(401, 403), "ACCESS_UNCERTAIN").when(answer >= 500, "SERVER_ERROR").when(answer >= 400, "HTTP_ERROR")
-        .when(blocked, "ROBOTS_BLOCKED").when(parked, "PARKED").when(~final_same, "REDIRECTED_ELSEWHERE").when(identity, "CRAWLABLE").otherwise("IDENTITY_UNVERIFIED")
+        F.when(refusal.isNotNull(), F.when(refusal == "NON_PUBLIC", "DEAD_HOST").otherwise("STALE_PATH_UNRECOVERED"))
+        .when(failure.isNotNull(), F.when(failure.isin("DEAD_HOST", "PRIVATE_NETWORK"), "DEAD_HOST").when(failure == "CERTIFICATE", "STALE_PATH_UNRECOVERED").otherwise("TRANSIENT_NETWORK"))
+        .when(flag(cross_site), "CROSS_DOMAIN_REVIEW").when(flag(redirect_refused), "STALE_PATH_UNRECOVERED").when((status >= 500) | (status == 429), "TRANSIENT_NETWORK").when(status.isin(401, 403), "ROBOTS_BLOCKED")
+        .when(gone & recovery.isNull(), "STALE_PATH_UNRECOVERED").when(~gone & ~flag(status.between(200, 299)), "TRANSIENT_NETWORK").when(robots == "UNAVAILABLE", "TRANSIENT_NETWORK").when(robots == "DENIED", "ROBOTS_BLOCKED")
+        .when(flag(mismatch), "AUTHORITY_MISMATCH").when(flag(shell), "STATIC_SHELL").when(recovery.isNotNull(), "SAFE_RECOVERY_AVAILABLE").otherwise("HEALTHY")
     )
 
 

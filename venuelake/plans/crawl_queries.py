@@ -80,13 +80,22 @@ def page_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "authority_preflight",
-    """WITH p AS (SELECT event_id, [200, 404, 403, 503, 418, 200, 200, 301, 200, 200][1 + event_id % 11] AS answer, event_id % 3 > 0 AS same, event_id % 13 = 0 AS parked, event_id % 17 = 0 AS blocked, event_id % 2 = 0 AS ident FROM events)
-      SELECT event_id, CASE WHEN answer IS NULL THEN 'UNREACHABLE' WHEN answer = 404 THEN 'GONE' WHEN answer = 403 THEN 'ACCESS_UNCERTAIN' WHEN answer = 503 THEN 'SERVER_ERROR' WHEN answer = 418 THEN 'HTTP_ERROR' WHEN blocked THEN 'ROBOTS_BLOCKED' WHEN parked THEN 'PARKED' WHEN NOT same THEN 'REDIRECTED_ELSEWHERE' WHEN ident THEN 'CRAWLABLE' ELSE 'IDENTITY_UNVERIFIED' END AS state FROM p""",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 17 WHEN 0 THEN 'NON_PUBLIC' WHEN 1 THEN 'CREDENTIALS' END AS refusal, CASE l_suppkey % 13 WHEN 0 THEN 'DEAD_HOST' WHEN 1 THEN 'PRIVATE_NETWORK' WHEN 2 THEN 'CERTIFICATE' WHEN 3 THEN 'TIMEOUT' END AS failure, l_orderkey % 11 = 0 AS cross_site, l_orderkey % 11 = 1 AS refused,
+        [200, 200, 204, 404, 410, 403, 401, 429, 503, 418, 200, 301][1 + l_partkey % 12] AS status, l_orderkey % 9 = 4 AS soft, CASE l_suppkey % 4 WHEN 0 THEN 'apex_www' WHEN 1 THEN 'same_site_homepage' END AS recovery, ['ALLOWED', 'ABSENT', 'ALLOWED', 'DENIED', 'UNAVAILABLE', 'ALLOWED', NULL][1 + l_orderkey % 7] AS robots, l_linenumber = 3 AS mismatch, l_linenumber = 5 AS shell FROM lineitem),
+      m AS (SELECT *, status IN (404, 410) OR status = 200 AND soft AS missing FROM p)
+      SELECT l_orderkey, l_linenumber, CASE WHEN refusal = 'NON_PUBLIC' THEN 'DEAD_HOST' WHEN refusal IS NOT NULL THEN 'STALE_PATH_UNRECOVERED' WHEN failure IN ('DEAD_HOST', 'PRIVATE_NETWORK') THEN 'DEAD_HOST' WHEN failure = 'CERTIFICATE' THEN 'STALE_PATH_UNRECOVERED' WHEN failure IS NOT NULL THEN 'TRANSIENT_NETWORK' WHEN cross_site THEN 'CROSS_DOMAIN_REVIEW' WHEN refused THEN 'STALE_PATH_UNRECOVERED'
+        WHEN status >= 500 OR status = 429 THEN 'TRANSIENT_NETWORK' WHEN status IN (401, 403) THEN 'ROBOTS_BLOCKED' WHEN missing AND recovery IS NULL THEN 'STALE_PATH_UNRECOVERED' WHEN NOT missing AND status NOT BETWEEN 200 AND 299 THEN 'TRANSIENT_NETWORK' WHEN robots = 'UNAVAILABLE' THEN 'TRANSIENT_NETWORK' WHEN robots = 'DENIED' THEN 'ROBOTS_BLOCKED'
+        WHEN mismatch THEN 'AUTHORITY_MISMATCH' WHEN shell THEN 'STATIC_SHELL' WHEN recovery IS NOT NULL THEN 'SAFE_RECOVERY_AVAILABLE' ELSE 'HEALTHY' END AS state FROM m""",
 )
 def authority_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    answer = F.get(F.array(*map(F.lit, (200, 404, 403, 503, 418, 200, 200, 301, 200, 200))), (e % 11).cast("int"))
-    return table(spark, sf_dir, "events").select(e, planning.authority(answer, e % 3 > 0, e % 13 == 0, e % 17 == 0, e % 2 == 0).alias("state"))
+    order, part, supplier, line = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))
+    refusal = F.when(part % 17 == 0, "NON_PUBLIC").when(part % 17 == 1, "CREDENTIALS")
+    failure = F.when(supplier % 13 < 4, pick(("DEAD_HOST", "PRIVATE_NETWORK", "CERTIFICATE", "TIMEOUT"), supplier % 13))
+    status = F.get(F.array(*map(F.lit, (200, 200, 204, 404, 410, 403, 401, 429, 503, 418, 200, 301))), (part % 12).cast("int"))
+    missing = status.isin(404, 410) | (status == 200) & (order % 9 == 4)
+    recovery = F.when(supplier % 4 == 0, "apex_www").when(supplier % 4 == 1, "same_site_homepage")
+    state = planning.authority(refusal, failure, order % 11 == 0, order % 11 == 1, status, missing, recovery, pick(("ALLOWED", "ABSENT", "ALLOWED", "DENIED", "UNAVAILABLE", "ALLOWED", None), order), line == 3, line == 5)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", state.alias("state"))
 
 
 HTTP = ("http://hall.org/x?a=1", "https://hall.org/", "http://10.0.0.1/", "http://hall.org:8080/", "ftp://hall.org/", "HTTP://Hall.org")
