@@ -104,6 +104,10 @@ def spaced(requests: DataFrame, scope: Sequence[str], at: str, least_ms: int) ->
     return requests.withColumn("too_soon", F.coalesce(gap < least_ms * 1000, F.lit(False)))
 
 
+#: A batch of no more items than this is sent to every task.
+SMALL_BATCH = 10_000
+
+
 def select_batch(items: DataFrame, order: str, host: str, identity: str, cap: int) -> DataFrame:
     """The batch: items in order, each unless its host or identity is that of one selected before it, `cap` at most.
 
@@ -119,7 +123,8 @@ def select_batch(items: DataFrame, order: str, host: str, identity: str, cap: in
         first = by_host.join(by_identity, "row").withColumnRenamed("row", "__row")
         taken = checkpointed(taken.unionByName(left.join(first, "__row", "left_semi")).orderBy(order, "__row").limit(cap))
         last = taken.agg(F.count("*").alias("__n"), F.max(key).alias("__last"))
-        t, i = F.broadcast(taken.select(F.col(host).alias("__h"))), F.broadcast(taken.select(F.col(identity).alias("__i")))
+        sent = F.broadcast if cap <= SMALL_BATCH else lambda d: d  # a batch has `cap` rows at most
+        t, i = sent(taken.select(F.col(host).alias("__h"))), sent(taken.select(F.col(identity).alias("__i")))
         rest = left.join(t, F.col(host).eqNullSafe(F.col("__h")), "left_anti").join(i, F.col(identity).eqNullSafe(F.col("__i")), "left_anti")
         rest = rest.join(F.broadcast(last), (F.col("__n") < cap) | (key < F.col("__last")), "left_semi")
         left = checkpointed(rest)

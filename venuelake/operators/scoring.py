@@ -171,20 +171,26 @@ def contact_status(person: Column, person_mail: Column, buyer: Column, route_mai
 
 
 def place_matches(found: DataFrame, search: str) -> DataFrame:
-    """Places with `match` from what agrees (name, locality, type, domain; domain null if unknown): several plausible ones of a
-    search are all for review, and so is a closed one."""
+    """Places with `match` and `reasons` from what agrees (name, locality, type, domain; domain null if unknown). Where a search asks
+    for no locality, the name alone is strong. Several plausible places of a search are all for review, and so is a closed one."""
     name, near, kind, domain = (F.col(c) for c in ("name_ok", "locality_ok", "type_ok", "domain_ok"))
-    own = F.when(~domain, "CONFLICTING").when(F.coalesce(domain, F.lit(False)) | (name & (near | kind)), "EXACT_OR_STRONG").when(name | near | kind, "REVIEW_REQUIRED").otherwise("NO_MATCH")
+    strong = F.coalesce(domain, F.lit(False)) | name & (near | kind | ~F.col("locality_asked"))
+    own = F.when(~domain, "CONFLICTING").when(strong, "EXACT_OR_STRONG").when(name | near | kind, "REVIEW_REQUIRED").otherwise("NO_MATCH")
     own = F.when(F.col("closed") & (own == "EXACT_OR_STRONG"), "REVIEW_REQUIRED").otherwise(own)
     plausible = F.col("own").isin("EXACT_OR_STRONG", "REVIEW_REQUIRED")
     several = F.count_if(plausible).over(Window.partitionBy(search)) > 1
-    return found.withColumn("own", own).withColumn("match", F.when(plausible & several, "REVIEW_REQUIRED").otherwise(F.col("own"))).drop("own")
+    told = (
+        ("WEBSITE_DOMAIN_CONFLICT", ~domain), ("NAME_NOT_ALIGNED", ~name), ("LOCALITY_NOT_ALIGNED", F.col("locality_asked") & ~near),
+        ("CLOSED_PLACE_COUNTER_EVIDENCE", F.col("closed")), ("MULTIPLE_PLAUSIBLE_MATCHES", plausible & F.col("several")),
+    )
+    judged = found.withColumn("own", own).withColumn("several", several)
+    return judged.withColumn("match", F.when(plausible & F.col("several"), "REVIEW_REQUIRED").otherwise(F.col("own"))).withColumn("reasons", F.array_compact(F.array(*[F.when(t, n) for n, t in told]))).drop("own", "several")
 
 
 def best_places(found: DataFrame, search: str, order: str, n: int = 2) -> DataFrame:
     """The `n` best places of a search that nothing speaks against, by points for name, brand, locality, type and operation."""
     score = sum((F.when(F.col(c), p).otherwise(0) for c, p in (("name_ok", 4), ("brand_same", 4), ("locality_ok", 2), ("type_ok", 2), ("operating", 1))), F.lit(0))
-    sound = F.coalesce(F.col("domain_ok"), F.lit(True)) & F.col("brand_ok") & F.col("locality_ok") & F.col("type_ok") & F.col("operating")
+    sound = F.coalesce(F.col("domain_ok"), F.lit(True)) & F.col("brand_ok") & (F.col("locality_ok") | ~F.col("locality_asked")) & F.col("type_ok") & F.col("operating")
     ranked = found.filter(sound).withColumn("score", score).withColumn("position", F.row_number().over(Window.partitionBy(search).orderBy(F.desc("score"), order)))
     return ranked.filter(F.col("position") <= n)
 
@@ -206,7 +212,7 @@ def mask_tiers(masks: DataFrame, tiers: DataFrame, key: str, highest: str) -> Da
     (field, tier, rank, cost)."""
     top = F.max(F.struct("rank", "tier", "cost"))
     worst = tiers.filter(F.col("tier") == highest).agg(top.alias("w")).select("w.*")
-    each = masks.select(key, F.explode("fields").alias("field")).join(F.broadcast(tiers), "field", "left").join(F.broadcast(worst.toDF("w_rank", "w_tier", "w_cost")))
+    each = masks.select(key, F.explode("fields").alias("field")).join(tiers, "field", "left").join(F.broadcast(worst.toDF("w_rank", "w_tier", "w_cost")))
     known = each.select(key, *[F.coalesce(c, f"w_{c}").alias(c) for c in ("rank", "tier", "cost")])
     return known.groupBy(key).agg(top.alias("t")).select(key, "t.tier", "t.cost")
 

@@ -138,29 +138,30 @@ def contact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", status.alias("status"))
 
 
-PLACES = "SELECT l_orderkey AS search, l_linenumber AS n, l_partkey % 3 > 0 AS name_ok, l_suppkey % 2 > 0 AS locality_ok, l_partkey % 5 > 1 AS type_ok, CASE l_suppkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS domain_ok, l_quantity < 6 AS closed, l_partkey % 4 > 0 AS brand_ok, l_partkey % 6 = 0 AS brand_same FROM lineitem"
+PLACES = "SELECT l_orderkey AS search, l_linenumber AS n, l_partkey % 3 > 0 AS name_ok, l_orderkey % 4 > 0 AND l_suppkey % 2 > 0 AS locality_ok, l_orderkey % 4 > 0 AS locality_asked, l_partkey % 5 > 1 AS type_ok, CASE l_suppkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS domain_ok, l_quantity < 6 AS closed, l_partkey % 4 > 0 AS brand_ok, l_partkey % 6 = 0 AS brand_same FROM lineitem"
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("search"), F.col("l_linenumber").alias("n"), (p % 3 > 0).alias("name_ok"), (s % 2 > 0).alias("locality_ok"), (p % 5 > 1).alias("type_ok"), F.when(s % 5 == 0, True).when(s % 5 == 1, False).alias("domain_ok"),
+        F.col("l_orderkey").alias("search"), F.col("l_linenumber").alias("n"), (p % 3 > 0).alias("name_ok"), ((F.col("l_orderkey") % 4 > 0) & (s % 2 > 0)).alias("locality_ok"), (F.col("l_orderkey") % 4 > 0).alias("locality_asked"), (p % 5 > 1).alias("type_ok"), F.when(s % 5 == 0, True).when(s % 5 == 1, False).alias("domain_ok"),
         (F.col("l_quantity") < 6).alias("closed"), (p % 4 > 0).alias("brand_ok"), (p % 6 == 0).alias("brand_same"), (F.col("l_quantity") >= 6).alias("operating"),
     )
 
 
 @register(
     "place_matches",
-    f"""WITH p AS ({PLACES}), o AS (SELECT *, CASE WHEN NOT domain_ok THEN 'CONFLICTING' WHEN coalesce(domain_ok, false) OR name_ok AND (locality_ok OR type_ok) THEN CASE WHEN closed THEN 'REVIEW_REQUIRED' ELSE 'EXACT_OR_STRONG' END WHEN name_ok OR locality_ok OR type_ok THEN 'REVIEW_REQUIRED' ELSE 'NO_MATCH' END AS own FROM p)
-      SELECT search, n, CASE WHEN own IN ('EXACT_OR_STRONG', 'REVIEW_REQUIRED') AND count(*) FILTER (WHERE own IN ('EXACT_OR_STRONG', 'REVIEW_REQUIRED')) OVER (PARTITION BY search) > 1 THEN 'REVIEW_REQUIRED' ELSE own END AS match FROM o""",
+    f"""WITH p AS ({PLACES}), o AS (SELECT *, CASE WHEN NOT domain_ok THEN 'CONFLICTING' WHEN coalesce(domain_ok, false) OR name_ok AND (locality_ok OR type_ok OR NOT locality_asked) THEN CASE WHEN closed THEN 'REVIEW_REQUIRED' ELSE 'EXACT_OR_STRONG' END WHEN name_ok OR locality_ok OR type_ok THEN 'REVIEW_REQUIRED' ELSE 'NO_MATCH' END AS own FROM p),
+      m AS (SELECT *, own IN ('EXACT_OR_STRONG', 'REVIEW_REQUIRED') AND count(*) FILTER (WHERE own IN ('EXACT_OR_STRONG', 'REVIEW_REQUIRED')) OVER (PARTITION BY search) > 1 AS several FROM o)
+      SELECT search, n, CASE WHEN several THEN 'REVIEW_REQUIRED' ELSE own END AS match, concat_ws(',', CASE WHEN NOT domain_ok THEN 'WEBSITE_DOMAIN_CONFLICT' END, CASE WHEN NOT name_ok THEN 'NAME_NOT_ALIGNED' END, CASE WHEN locality_asked AND NOT locality_ok THEN 'LOCALITY_NOT_ALIGNED' END, CASE WHEN closed THEN 'CLOSED_PLACE_COUNTER_EVIDENCE' END, CASE WHEN several THEN 'MULTIPLE_PLAUSIBLE_MATCHES' END) AS reasons FROM m""",
 )
 def place_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.place_matches(_places(spark, sf_dir), "search").select("search", "n", "match")
+    return scoring.place_matches(_places(spark, sf_dir), "search").select("search", "n", "match", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register(
     "place_selection",
-    f"""WITH p AS ({PLACES}), s AS (SELECT *, 4 * CAST(name_ok AS INT) + 4 * CAST(brand_same AS INT) + 5 AS score FROM p WHERE coalesce(domain_ok, true) AND brand_ok AND locality_ok AND type_ok AND NOT closed),
+    f"""WITH p AS ({PLACES}), s AS (SELECT *, 4 * CAST(name_ok AS INT) + 4 * CAST(brand_same AS INT) + 3 + 2 * CAST(locality_ok AS INT) AS score FROM p WHERE coalesce(domain_ok, true) AND brand_ok AND (locality_ok OR NOT locality_asked) AND type_ok AND NOT closed),
       r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY score DESC, n) AS position FROM s) SELECT search, n, score, position FROM r WHERE position <= 2""",
 )
 def place_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
