@@ -81,3 +81,15 @@ def test_empty_table_and_plain_text(spark):
     assert none.collect() == [] and page_reading.tables(none).collect() == [] and markup.shown_lines(none).collect() == []
     plain = markup.nodes(spark.createDataFrame([("k", "a < b\n &lt;c")], "id string, html string"), "id", "html")
     assert [re.sub(r"\s+", " ", r.text) for r in markup.shown_lines(plain).collect()] == ["a < b <c"]
+
+
+def test_pictures_by_source_and_place(spark):
+    html = """<div class="hero"><img srcset="a.jpg 300w, b.jpg 900w" src="c.jpg" alt="Main hall"></div><header class="site-logo"><img src="d.png"></header>
+<img src="spacer.gif" data-lazy-src="e.jpg" alt="the bar"><img src="https://x.org/pixel.gif"><img src="f.jpg" width="49"><img srcset="g1.jpg 1x, g2.jpg 2x" alt="inside">
+<ul class="swiper-wrapper"><li><img src="h.jpg"></ul><img src="e.jpg" alt="again"><img><img src="brand-logo.svg"><img data-src="data:x" src="i.jpg?w=1">"""
+    pages = spark.createDataFrame([(1, "https://a.org/", html), (2, "https://a.org/gallery/", "<img src=z.jpg><img src=y.jpg alt=facade>"), (3, None, None)], "page long, url string, html string")
+    got = page_reading.images(markup.nodes(pages, "page", "html"), pages, "page", "url").orderBy("id", "node").collect()
+    assert [(r.id, r.url, r.role) for r in got] == [
+        (1, "b.jpg", "HERO"), (1, "d.png", "LOGO"), (1, "e.jpg", "SPACE"), (1, "g2.jpg", "INTERIOR"), (1, "h.jpg", "GALLERY"), (1, "brand-logo.svg", "LOGO"), (1, "i.jpg?w=1", "OTHER"),
+        (2, "z.jpg", "GALLERY"), (2, "y.jpg", "EXTERIOR"),
+    ]

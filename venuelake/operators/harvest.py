@@ -42,20 +42,6 @@ def contacts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(F.array_distinct(F.concat(linked, free))).alias("c")).select(key, "c.*")
 
 
-def images(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, url, alt, role) of a page's pictures: the widest of its sources, lazy ones before placeholders; trackers and data are left
-    out. A role is told by the address or the text."""
-    tag = pages.select(key, F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)(<img\b[^>]*>)"), 1)).alias("t"))
-    attr = lambda name: F.nullif(F.regexp_extract("t", rf"(?i)\s{name}=[\"']([^\"']*)[\"']", 1), F.lit(""))
-    sources = F.filter(F.transform(F.split(F.coalesce(attr("srcset"), F.lit("")), r"\s*,\s+"), lambda s: F.struct(F.coalesce(F.regexp_extract(s, r"\s(\d+)w$", 1).try_cast("int"), F.lit(0)).alias("w"), F.split(F.trim(s), " ")[0].alias("u"))), lambda s: s["u"] != "")
-    widest = F.array_max(sources)["u"]
-    found = tag.select(key, F.coalesce(widest, attr("data-src"), attr("src")).alias("url"), F.coalesce(attr("alt"), F.lit("")).alias("alt"), attr("width").try_cast("int").alias("width"))
-    sound = F.col("url").isNotNull() & ~F.col("url").rlike(r"(?i)^data:|pixel|spacer|placeholder|1x1|/track") & (F.coalesce("width", F.lit(100)) > 2)
-    told = F.concat_ws(" ", "url", "alt")
-    role = F.when(told.rlike(r"(?i)\blogo"), "LOGO").when(told.rlike(r"(?i)floor[- ]?plan"), "FLOOR_PLAN").when(told.rlike(r"(?i)\b(?:hall|room|suite|interior|stage)\b"), "SPACE").otherwise("GENERAL")
-    return found.filter(sound).select(key, "url", "alt", role.alias("role")).distinct()
-
-
 def identity_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, field, value): title, first heading, site name, description and canonical address of a page, those that it has."""
     h = F.coalesce(html, F.lit(""))

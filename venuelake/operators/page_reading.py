@@ -77,6 +77,60 @@ def links(nodes: DataFrame) -> DataFrame:
     return found.select("id", "node", attribute("href").alias("href"), F.col("content").alias("label"), markup.closest("nav", "header", "footer").isNotNull().alias("navigation"))
 
 
+#: Pictures that are none, and what their address, text and place on the page tell of their role.
+PLACEHOLDER = r"(?i)(?:^data:|blank\.gif|spacer\.gif|placeholder|lazy[-_]?load|transparent\.png|1x1)"
+TRACKER = r"(?i)(?:facebook\.com/tr|google-analytics|doubleclick|googletagmanager|pixel\.|/pixel\b|analytics\.)"
+LAZY = ("data-src", "data-lazy-src", "data-original", "data-lazy", "data-full", "data-large_image")
+LOGO_PLACE = r"(?i)(?:^|[\s_])(?:custom-logo|site-logo|navbar-brand|logo)(?:$|[\s_])"
+HERO_PLACE = r"(?i)\b(?:hero|banner|masthead)\b"
+GALLERY_PLACE = r"(?i)gallery|carousel|slider|swiper|lightbox"
+ROLE_TEXTS = (
+    ("EXTERIOR", r"(?i)\b(?:exterior|outside|facade|façade|building front)\b"), ("INTERIOR", r"(?i)\b(?:interior|inside)\b"),
+    ("SPACE", r"(?i)\b(?:room|hall|suite|space|studio|auditorium|ballroom|theatre|terrace|bar|lounge)\b"),
+)
+LEAST_PIXELS = 50
+
+
+def _sources(value: Column) -> Column:
+    """array<(width, score, url)> of a srcset: its width, or its density as a thousand each."""
+    parts = F.transform(F.split(F.coalesce(value, F.lit("")), r",\s+(?=\S)"), lambda p: F.split(F.trim(p), r"\s+"))
+    width = lambda p: F.regexp_extract(F.coalesce(F.get(p, F.lit(1)), F.lit("")), r"^(\d+)w$", 1).try_cast("int")
+    density = lambda p: F.regexp_extract(F.coalesce(F.get(p, F.lit(1)), F.lit("")), r"^(\d+(?:\.\d+)?)x$", 1).try_cast("double")
+    each = F.transform(parts, lambda p: F.struct(width(p).alias("width"), F.coalesce(width(p).cast("double"), density(p) * 1000, F.lit(1.0)).alias("score"), F.get(p, F.lit(0)).alias("url")))
+    return F.filter(each, lambda s: (s["url"] != "") & ~s["url"].rlike("(?i)^data:"))
+
+
+def images(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """(id, node, url, alt, role) of a page's pictures, each address once, in order: of the best of each srcset the widest, else the first lazy
+    source, else its own unless that is a placeholder. Trackers and pictures under 50 pixels go. The role goes by logos,
+    by elements of hero and gallery classes around it and by its text; a gallery's page makes all its others GALLERY."""
+    marks = F.concat_ws(" ", attribute("class"), attribute("id"))
+    places = nodes.filter((F.col("tag") != markup.TEXT) & marks.rlike(f"(?i){HERO_PLACE[4:]}|{GALLERY_PLACE[4:]}|logo|navbar-brand")).select("id", F.col("node").alias("around"), F.col("tag").alias("kind"), marks.alias("marks"))
+    own = nodes.filter("tag = 'img'")
+    outer = own.select("id", "node", F.explode("path.node").alias("around")).join(places, ["id", "around"]).groupBy("id", "node").agg(
+        F.bool_or(~F.col("kind").isin("body", "html") & F.col("marks").rlike(LOGO_PLACE)).alias("logo"), F.bool_or(F.col("marks").rlike(HERO_PLACE)).alias("hero"), F.bool_or(F.col("marks").rlike(GALLERY_PLACE)).alias("gallery"),
+    )
+    best = lambda c: F.element_at(F.array_sort(c, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)), 1)
+    sets = F.array(_sources(F.coalesce(attribute("data-srcset"), attribute("data-lazy-srcset"))), _sources(attribute("srcset")))
+    bests = F.transform(F.filter(sets, lambda c: F.size(c) > 0), best)
+    widest = F.try_element_at(F.array_sort(bests, lambda a, b: F.coalesce(b["width"], F.lit(0)) - F.coalesce(a["width"], F.lit(0))), F.lit(1))
+    lazy = F.coalesce(*[F.when(~attribute(k).rlike("(?i)^data:|^$"), attribute(k)) for k in LAZY])
+    plain = F.when(~attribute("src").rlike(PLACEHOLDER) & (attribute("src") != ""), attribute("src"))
+    pixels = lambda k: F.regexp_extract(F.coalesce(attribute(k), F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
+    found = own.select("id", "node", F.col("path").alias("p"), F.coalesce(widest["url"], lazy, plain).alias("url"), F.coalesce(attribute("alt"), F.lit("")).alias("alt"), marks.alias("marks"), F.coalesce(widest["width"], pixels("width")).alias("width"), F.when(widest["width"].isNull(), pixels("height")).alias("height"))
+    sound = F.col("url").isNotNull() & ~F.col("url").rlike(TRACKER) & (F.coalesce("width", F.lit(LEAST_PIXELS)) >= LEAST_PIXELS) & (F.coalesce("height", F.lit(LEAST_PIXELS)) >= LEAST_PIXELS)
+    paths = pages.select(F.col(id_col).alias("id"), F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^https?://[^/?#]+([^?#]*)", 1).alias("page_path"))
+    placed = found.filter(sound).join(outer, ["id", "node"], "left").join(paths, "id", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    file = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
+    role = F.when(F.concat_ws(" ", file, "alt", "marks").rlike("(?i)logo") | flag("logo"), "LOGO").when(flag("hero"), "HERO")
+    for name, pattern in ROLE_TEXTS:
+        role = role.when(F.col("alt").rlike(pattern), name)
+    role = role.when(F.col("page_path").rlike("(?i)gallery|photos") | flag("gallery"), "GALLERY").otherwise("OTHER")
+    first = placed.withColumn("role", role).groupBy("id", "url").agg(F.min_by(F.struct("node", "alt", "role"), "node").alias("x"))
+    return first.select("id", "x.node", "url", "x.alt", "x.role")
+
+
 def article_events(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(id, title, external_id, start_at, end_at, venue, description, ticket_url): the event of each page whose path is that of
     an event and whose first article has a title. Instants are those of time elements that tell their zone, in UTC; the ticket

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuelake.operators import page_reading
-from venuelake.plans.catalog import register
+from venuelake.plans.catalog import pick, register
 from venuelake.sources import markup
 from venuelake.sources.tables import table
 
@@ -113,3 +113,28 @@ def listed_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_reading.card_events(markup.nodes(_order_pages(spark, sf_dir), "l_orderkey", "html")).select(F.col("id").alias("l_orderkey"), "title", "start_at", "venue")
+
+
+_ALTS = ("Main hall", "Building front", "Inside the bar", "", "Our crest", "Company logo")
+_CLASSES = ("site hero", "photo-gallery", "x", "navbar-brand", "banner ad")
+_FILES = ("", "a.jpg 300w, ", "a.jpg 1x, ", "data:x 900w, ")
+
+
+@register(
+    "page_images",
+    f"""WITH e AS (SELECT event_id, event_type, user_id, ['Main hall', 'Building front', 'Inside the bar', '', 'Our crest', 'Company logo'][1 + event_id % 6] AS alt, ['site hero', 'photo-gallery', 'x', 'navbar-brand', 'banner ad'][1 + event_id // 6 % 5] AS c, event_id // 30 % 4 AS f, 20 + CAST(floor(value) AS INT) AS w FROM events),
+      i AS (SELECT event_id, 1 AS k, event_type || user_id || '-wide.jpg' AS url, alt, CASE WHEN contains(alt, 'logo') OR c = 'navbar-brand' THEN 'LOGO' WHEN c IN ('site hero', 'banner ad') THEN 'HERO' WHEN alt = 'Building front' THEN 'EXTERIOR' WHEN alt = 'Inside the bar' THEN 'INTERIOR' WHEN alt = 'Main hall' THEN 'SPACE' WHEN c = 'photo-gallery' OR event_type = 'view' THEN 'GALLERY' ELSE 'OTHER' END AS role FROM e WHERE f <> 2
+        UNION ALL SELECT event_id, 2, 'lazy-' || user_id || '.png', '', CASE WHEN event_type = 'view' THEN 'GALLERY' ELSE 'OTHER' END FROM e WHERE w >= 50)
+      SELECT event_id, url, alt, role FROM i""",
+)
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(e, "event_type", "user_id", (20 + F.floor("value")).cast("string").alias("w"), F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("name"))
+    files = pick(_FILES, F.floor(e / 30))
+    best = F.when(F.floor(e / 30) % 4 == 2, F.concat("name", F.lit(".jpg 2x"))).otherwise(F.concat("name", F.lit("-wide.jpg 800w")))
+    html = F.concat(
+        F.lit("<body class='my logo'><div id='m' class='"), pick(_CLASSES, F.floor(e / 6)), F.lit("'><p><img width=20 srcset='"), files, best, F.lit("' src='"), F.lit("spacer.gif' alt='"), pick(_ALTS, e), F.lit("'><img src='https://www.google-analytics.com/a.gif'></div>"),
+        F.lit("<img data-src='lazy-"), F.col("user_id").cast("string"), F.lit(".png' src='data:image/gif;x' width='"), F.col("w"), F.lit("'><img src='placeholder.png'><img data-original='lazy-"), F.col("user_id").cast("string"), F.lit(".png' width=20>"),
+    )
+    pages = rows.select("event_id", F.concat(F.lit("https://a.org/"), F.when(F.col("event_type") == "view", "photos").otherwise("about")).alias("url"), html.alias("html"))
+    return page_reading.images(markup.nodes(pages, "event_id", "html"), pages, "event_id", "url").select(F.col("id").alias("event_id"), "url", "alt", "role")

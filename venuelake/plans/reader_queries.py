@@ -117,7 +117,6 @@ PAGES = (
     '<script id="__NEXT_DATA__" type="application/json">{"props":{"name":"Grand \\"Hall\\"","url":"/x","n":3,"list":["for hire","ab"]}}</script>',
 )
 _CONTACTS = {0: (("EMAIL", "hi@hall.org", "LINK"), ("PHONE", "+44 20", "LINK"), ("EMAIL", "jo@hall.org", "TEXT")), 1: (("WHATSAPP", "2721", "LINK"),)}
-_IMAGES = {1: (("main-hall.jpg", "Main", "SPACE"), ("logo.png", "Our logo", "LOGO")), 2: (("plan.png", "Floor plan", "FLOOR_PLAN"),)}
 _FACTS = {0: (("title", "The Hall"), ("heading", "Hire us"), ("siteName", "Hall & Co")), 2: (("description", "A hall"), ("canonical", "https://hall.org/"))}
 _STATE = {3: (('Grand "Hall"',), ("for hire",))}
 
@@ -136,11 +135,6 @@ def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.contacts(_made_pages(spark, sf_dir), "event_id", "html")
 
 
-@register("page_images", _expected(_IMAGES, ("url", "alt", "role")))
-def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvest.images(_made_pages(spark, sf_dir), "event_id", "html")
-
-
 @register("page_identity", _expected(_FACTS, ("field", "value")))
 def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.identity_facts(_made_pages(spark, sf_dir), "event_id", "html")
