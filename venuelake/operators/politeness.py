@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from venuelake.sources.shared import checkpointed
 
-_ROUNDS = 100
-
 
 def _split(rows: DataFrame, group: str, part: str) -> DataFrame:
     """`rows` with the number of the range of (group, at, id) that each lies in. Ranges follow the order, so a scan over a
@@ -59,21 +57,19 @@ def schedule(requests: DataFrame, origin: str, key: str, at: str, request_id: st
     spacing is 0.
 
     Who shares depends on ends, and ends on who shares; both only on earlier requests. So rounds from "all are asked" to
-    the point where none changes settle more of the earliest each time. Neither an origin's nor a key's rows meet in one task.
+    the point where none changes settle more of the earliest each time, which ends; a backlog over days takes some tens of
+    rounds, requests that are answered within theirs a few. Neither an origin's nor a key's rows meet in one task.
     """
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     busy = zero(duration) + zero(F.lit(None).cast("long") if retry_after is None else retry_after)
     rows = requests.select(F.col(request_id).alias("id"), F.col(origin).alias("origin"), F.col(key).alias("key"), F.col(at).cast("long").alias("at"), zero(duration).alias("duration"), F.greatest(zero(spacing), busy).alias("weight"))
     rows = _split(rows.dropna(subset=["id", "origin", "key", "at"]), "key", "key_part")
     rows = _split(rows, "origin", "origin_part").withColumn("asked", F.lit(True))
-    for _ in range(_ROUNDS):
-        judged = _in_flight(_started(rows)).withColumn("now", F.coalesce(F.col("at") >= F.col("first.end"), F.lit(True)))
-        judged = checkpointed(judged)
+    while True:
+        judged = checkpointed(_in_flight(_started(rows)).withColumn("now", F.coalesce(F.col("at") >= F.col("first.end"), F.lit(True))))
         if not judged.filter("now <> asked").limit(1).count():
             break
         rows = judged.select("id", "origin", "key", "at", "duration", "weight", "key_part", "origin_part", F.col("now").alias("asked"))
-    else:
-        raise RuntimeError(f"requests in flight did not settle in {_ROUNDS} rounds")
     own = F.struct("id", "start", (F.col("start") + F.col("duration")).alias("end"))
     by = F.when(F.col("asked"), own).otherwise(F.col("first"))
     return judged.select("id", "origin", F.when(F.col("asked"), "ASKED").otherwise("SHARED").alias("outcome"), by.alias("by")).select("id", "origin", "outcome", F.col("by.id").alias("asked_by"), "by.start", "by.end")

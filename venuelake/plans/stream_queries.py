@@ -48,12 +48,12 @@ def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(path).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), F.col("at").cast("timestamp_ntz").alias("moment"), "outcome")
 
 
-GAP, RETRY = 1200, 3600
+GAP, RETRY = 300, 3600
 
 
 @register(
     "polite_schedule",
-    f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 15 AS origin, epoch(date_trunc('day', ts)) :: BIGINT AS t, CAST(600 + floor(60 * value) AS BIGINT) AS duration, CASE WHEN event_type = 'error' THEN {RETRY} ELSE 0 END AS retry,
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 15 AS origin, epoch(date_trunc('day', ts)) :: BIGINT AS t, CAST(60 + floor(6 * value) AS BIGINT) AS duration, CASE WHEN event_type = 'error' THEN {RETRY} ELSE 0 END AS retry,
         CAST(1 + 3 * (list_position(['view', 'click', 'signup', 'error', 'purchase'], event_type) - 1) + event_id % 3 AS INT) AS k FROM events),
       n AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY t, event_id) AS n FROM e),
       f AS (SELECT origin, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST(0 AS BIGINT) AS free, list_transform(range(15), lambda x: CAST(0 AS BIGINT)) AS ids, list_transform(range(15), lambda x: CAST(0 AS BIGINT)) AS starts, list_transform(range(15), lambda x: CAST(0 AS BIGINT)) AS ends, 0 AS k FROM (SELECT DISTINCT origin FROM e)
@@ -67,5 +67,5 @@ def polite_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = F.unix_seconds(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))  # wall clocks have no zone
     asked = e.withColumn("at", F.col("at") - local).withColumn("key", F.concat_ws("/", "origin", "event_type", F.col("event_id") % 3))
     retry = F.when(F.col("event_type") == "error", RETRY)
-    found = politeness.schedule(asked, "origin", "key", "at", "event_id", 600 + F.floor(60 * F.col("value")), F.lit(GAP), retry)
+    found = politeness.schedule(asked, "origin", "key", "at", "event_id", 60 + F.floor(6 * F.col("value")), F.lit(GAP), retry)
     return found.select(F.col("id").alias("event_id"), "origin", "outcome", "asked_by", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
