@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from venuelake.operators import page_reading
 from venuelake.plans.catalog import pick, register
 from venuelake.sources import markup
+from venuelake.sources.shared import stored
 from venuelake.sources.tables import table
 
 _DECODED = """replace(replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&lt;', '<'), '&gt;', '>')"""
@@ -16,6 +17,11 @@ _PLAIN = f"trim(regexp_replace({_DECODED}, '&amp;?', '&', 'g'))"
 _SPACES = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
+def _nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The table of nodes, parsed once for all that reads it."""
+    return stored(markup.nodes(pages, key, html), "nodes")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
@@ -27,7 +33,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT page_id, unnest(generate_series(1, len(lines))) AS position, unnest(lines) AS text FROM l""",
 )
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = markup.shown_lines(markup.nodes(_pages(spark, sf_dir), "page_id", "html"))
+    lines = markup.shown_lines(_nodes(_pages(spark, sf_dir), "page_id", "html"))
     counted = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
     return counted.select(F.col("id").alias("page_id"), F.posexplode("lines").alias("at", "x")).select("page_id", (F.col("at") + 1).cast("long").alias("position"), "x.text")
 
@@ -39,7 +45,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT page_id, {_PLAIN.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href, {_PLAIN.format("regexp_extract(a, '(?s)>(.*)</a>', 1)")} AS label, navigation FROM a""",
 )
 def placed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_reading.links(markup.nodes(_pages(spark, sf_dir), "page_id", "html")).select(F.col("id").alias("page_id"), "href", "label", "navigation")
+    return page_reading.links(_nodes(_pages(spark, sf_dir), "page_id", "html")).select(F.col("id").alias("page_id"), "href", "label", "navigation")
 
 
 def _escaped(text: Column) -> Column:
@@ -66,7 +72,7 @@ def article_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     url = F.concat(F.lit("https://"), lang, F.lit(".example.org"), F.when(lang == "es", "/about/").otherwise("/whats-on/"), number)
     pages = d.select("doc_id", url.alias("url"), html.alias("html"))
-    return page_reading.article_events(markup.nodes(pages, "doc_id", "html"), pages, "doc_id", "url").withColumnRenamed("id", "doc_id")
+    return page_reading.article_events(_nodes(pages, "doc_id", "html"), pages, "doc_id", "url").withColumnRenamed("id", "doc_id")
 
 
 _LINES = "SELECT l_orderkey, l_linenumber, 'Wing ' || l_linestatus AS mode, CAST(l_quantity AS INT) AS quantity, l_returnflag, CAST(floor(l_extendedprice) AS INT) % 900 AS price FROM lineitem"
@@ -96,13 +102,13 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT l_orderkey, NULL, 'seated', q + 1000 FROM f""",
 )
 def page_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_reading.table_capacities(markup.nodes(_order_pages(spark, sf_dir), "l_orderkey", "html"))
+    found = page_reading.table_capacities(_nodes(_order_pages(spark, sf_dir), "l_orderkey", "html"))
     return found.select(F.col("id").alias("l_orderkey"), "space", "layout", F.col("count").alias("number"))
 
 
 @register("listed_capacities", f"""WITH l AS ({_LINES}) SELECT l_orderkey, 'Hall ' || l_orderkey AS space, 'banquet' AS layout, 100 + min(quantity) AS number, 'Banquet ' || (100 + min(quantity)) AS statement FROM l GROUP BY 1""")
 def listed_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_reading.definition_capacities(markup.nodes(_order_pages(spark, sf_dir), "l_orderkey", "html"))
+    found = page_reading.definition_capacities(_nodes(_order_pages(spark, sf_dir), "l_orderkey", "html"))
     return found.select(F.col("id").alias("l_orderkey"), "space", "layout", F.col("count").alias("number"), "statement")
 
 
@@ -112,7 +118,7 @@ def listed_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT l_orderkey, mode || ' ' || l_linenumber || ' live' AS title, wall - INTERVAL 1 HOUR * CASE WHEN month(wall) BETWEEN 4 AND 10 THEN 1 ELSE 0 END AS start_at, 'Stage ' || l_returnflag AS venue FROM s""",
 )
 def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_reading.card_events(markup.nodes(_order_pages(spark, sf_dir), "l_orderkey", "html")).select(F.col("id").alias("l_orderkey"), "title", "start_at", "venue")
+    return page_reading.card_events(_nodes(_order_pages(spark, sf_dir), "l_orderkey", "html")).select(F.col("id").alias("l_orderkey"), "title", "start_at", "venue")
 
 
 _ALTS = ("Main hall", "Building front", "Inside the bar", "", "Our crest", "Company logo")
@@ -137,4 +143,4 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<img data-src='lazy-"), F.col("user_id").cast("string"), F.lit(".png' src='data:image/gif;x' width='"), F.col("w"), F.lit("'><img src='placeholder.png'><img data-original='lazy-"), F.col("user_id").cast("string"), F.lit(".png' width=20>"),
     )
     pages = rows.select("event_id", F.concat(F.lit("https://a.org/"), F.when(F.col("event_type") == "view", "photos").otherwise("about")).alias("url"), html.alias("html"))
-    return page_reading.images(markup.nodes(pages, "event_id", "html"), pages, "event_id", "url").select(F.col("id").alias("event_id"), "url", "alt", "role")
+    return page_reading.images(_nodes(pages, "event_id", "html"), pages, "event_id", "url").select(F.col("id").alias("event_id"), "url", "alt", "role")
