@@ -154,13 +154,18 @@ def manifest_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT candidate, count(*) AS facts FROM c JOIN f ON f.day = c.day AND (f.url = c.url OR f.page = c.page) GROUP BY 1""",
 )
 def calendar_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the same day and address or page: two equi-joins, a pair that both find counted once."""
+    """Facts of the same day and address or page: those of the address and those of the page, less those of both. Facts are counted
+    by what they are sought by, so no pair of a candidate and a fact is made."""
     e, o = F.col("event_id"), F.col("o_orderkey")
-    f = table(spark, sf_dir, "events").select(e, F.concat(F.lit("u"), (e % 9).cast("string")).alias("url"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("page"), F.to_date("ts").alias("day"))
+    f = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (e % 9).cast("string")).alias("url"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("page"), F.to_date("ts").alias("day"))
     c = table(spark, sf_dir, "orders").select(o.alias("candidate"), F.concat(F.lit("u"), (o % 40).cast("string")).alias("url"), F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("page"), F.date_add(F.lit("2024-01-01").cast("date"), (o % 30).cast("int")).alias("day"))
-    by_url = c.join(f.withColumnRenamed("page", "other"), ["day", "url"])
-    by_page = c.join(f.withColumnRenamed("url", "other"), ["day", "page"]).filter(F.col("url") != F.col("other"))
-    return by_url.select("candidate").unionByName(by_page.select("candidate")).groupBy("candidate").agg(F.count("*").alias("facts"))
+    kinds = c.groupBy("day", "url", "page").agg(F.count("*"))
+    for keys, name in ((["day", "url"], "by_url"), (["day", "page"], "by_page"), (["day", "url", "page"], "by_both")):
+        kinds = kinds.join(f.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left")
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0))
+    found = kinds.select(*[F.col(k).alias(f"c_{k}") for k in ("day", "url", "page")], (zero("by_url") + zero("by_page") - zero("by_both")).alias("facts")).filter("facts > 0")
+    same = F.col("day").eqNullSafe(F.col("c_day")) & F.col("url").eqNullSafe(F.col("c_url")) & F.col("page").eqNullSafe(F.col("c_page"))
+    return c.join(found, same).groupBy("candidate").agg(F.sum("facts").alias("facts"))
 
 
 @register(
