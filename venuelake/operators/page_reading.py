@@ -33,23 +33,29 @@ def heading_space(heading: Column) -> Column:
     return F.when(fits, name)
 
 
-def _under_headings(nodes: DataFrame, *tags: str) -> DataFrame:
-    """(id, node, heading): elements of these tags with the text of the heading before them in the page, if any."""
-    heads = markup.with_text(nodes, F.lit(True), HEADINGS).select("id", "node", F.col("content").alias("heading"))
-    both = heads.unionByName(nodes.filter(F.col("tag").isin(*tags)).select("id", "node", F.lit(None).cast("string").alias("heading")).withColumn("asked", F.lit(True)), allowMissingColumns=True)
+def _under_headings(read: DataFrame) -> DataFrame:
+    """Elements with the text of the heading before each in its page, if any."""
     before = Window.partitionBy("id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("heading", F.last("heading", ignorenulls=True).over(before)).filter("asked").select("id", "node", "heading")
+    return read.withColumn("heading", F.last(F.when(F.col("tag").isin(*HEADINGS), F.col("content")), ignorenulls=True).over(before))
+
+
+#: The elements that `tables` and `definition_capacities` read.
+TABLE_TAGS, LIST_TAGS = (*HEADINGS, "table", "td", "th"), (*HEADINGS, "dl", "dt", "dd")
 
 
 def tables(nodes: DataFrame) -> DataFrame:
     """(id, node, heading, rows): each table's rows of cells' texts, rows and cells in order. A cell belongs to the nearest row
-    and table around it, so a table within a cell is a table of its own; its text is part of that cell's too."""
-    cells = markup.with_text(nodes, markup.closest("tr").isNotNull() & (F.element_at("path", -1)["tag"] == "tr"), ("td", "th"))
-    placed = cells.select("id", markup.closest("table").alias("table"), markup.closest("tr").alias("row"), "node", "content").filter("table is not null")
+    and table around it, so a table within a cell is a table of its own; its text is part of that cell's too. Nodes, or elements
+    of TABLE_TAGS; a page's are dealt to a task once, for the heading and the rows."""
+    is_cell = markup.closest("tr").isNotNull() & markup.closest("table").isNotNull() & (F.element_at("path", -1)["tag"] == "tr")
+    read = markup.with_text(nodes, ~F.col("tag").isin("td", "th") | is_cell, TABLE_TAGS)
+    placed = read.select("id", "node", "tag", "content", F.when(F.col("tag") == "table", F.col("node")).otherwise(markup.closest("table")).alias("table"), F.when(F.col("tag") != "table", markup.closest("tr")).alias("row"))
+    headed = _under_headings(placed.repartition("id")).filter(~F.col("tag").isin(*HEADINGS))
     ordered = lambda column: F.transform(F.array_sort(F.collect_list(column)), lambda c: c["value"])
-    rows = placed.groupBy("id", "table", "row").agg(ordered(F.struct("node", F.col("content").alias("value"))).alias("cells"))
-    whole = rows.groupBy("id", F.col("table").alias("node")).agg(ordered(F.struct("row", F.col("cells").alias("value"))).alias("rows"))
-    return whole.join(_under_headings(nodes, "table"), ["id", "node"], "left")
+    told = F.max(F.when(F.col("tag") == "table", F.col("heading"))).alias("heading")
+    rows = headed.groupBy("id", "table", "row").agg(ordered(F.when(F.col("tag") != "table", F.struct("node", F.col("content").alias("value")))).alias("cells"), told)
+    whole = rows.groupBy("id", F.col("table").alias("node")).agg(F.max("heading").alias("heading"), ordered(F.when(F.size("cells") > 0, F.struct("row", F.col("cells").alias("value")))).alias("rows"))
+    return whole.filter(F.size("rows") > 0)
 
 
 def table_capacities(nodes: DataFrame) -> DataFrame:
@@ -62,13 +68,16 @@ def table_capacities(nodes: DataFrame) -> DataFrame:
 
 def definition_capacities(nodes: DataFrame) -> DataFrame:
     """(id, node, space, layout, count, statement) of definition lists: a term that names a layout and the count right after it;
-    the space is that of the heading before the list. Terms and their texts are children of the list."""
-    items = markup.with_text(nodes, F.element_at("path", -1)["tag"] == "dl", ("dt", "dd")).select("id", "node", "tag", "content", markup.closest("dl").alias("list"))
+    the space is that of the heading before the list. Terms and their texts are children of the list. Nodes, or elements of
+    LIST_TAGS; a page's are dealt to a task once, for all three."""
+    read = markup.with_text(nodes, ~F.col("tag").isin("dt", "dd") | (F.element_at("path", -1)["tag"] == "dl"), LIST_TAGS)
+    placed = read.select("id", "node", "tag", "content", F.when(F.col("tag") == "dl", F.col("node")).otherwise(markup.closest("dl")).alias("list"))
+    headed = _under_headings(placed.repartition("id")).filter(~F.col("tag").isin(*HEADINGS))
     order = Window.partitionBy("id", "list").orderBy("node")
-    after = items.withColumn("term", F.when(F.lag("tag").over(order) == "dt", F.lag("content").over(order))).filter("tag = 'dd' and term is not null")
-    heads = _under_headings(nodes, "dl").select("id", F.col("node").alias("list"), heading_space(F.col("heading")).alias("space"))
-    facts = after.select("id", "list", "node", capacities.layout_of(F.col("term")).alias("layout"), capacities.count_of(F.col("content")).alias("count"), F.concat_ws(" ", "term", "content").alias("statement"))
-    return facts.filter("layout is not null and count is not null").join(heads, ["id", "list"], "left").select("id", "node", "space", "layout", "count", "statement")
+    first = F.first("heading").over(order.rowsBetween(Window.unboundedPreceding, 0))  # the list itself comes before its parts
+    after = headed.withColumn("named", first).withColumn("term", F.when(F.lag("tag").over(order) == "dt", F.lag("content").over(order))).filter("tag = 'dd' and term is not null")
+    facts = after.select("id", "node", heading_space(F.col("named")).alias("space"), capacities.layout_of(F.col("term")).alias("layout"), capacities.count_of(F.col("content")).alias("count"), F.concat_ws(" ", "term", "content").alias("statement"))
+    return facts.filter("layout is not null and count is not null")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -103,13 +112,11 @@ def _sources(value: Column) -> Column:
 def images(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(id, node, url, alt, role) of a page's pictures, each address once, in order: of the best of each srcset the widest, else the first lazy
     source, else its own unless that is a placeholder. Trackers and pictures under 50 pixels go. The role goes by logos,
-    by elements of hero and gallery classes around it and by its text; a gallery's page makes all its others GALLERY."""
+    by elements of hero and gallery classes around it, which its path tells, and by its text; a gallery's page makes all its
+    others GALLERY. Nodes, or elements of the tag img."""
     marks = F.concat_ws(" ", attribute("class"), attribute("id"))
-    places = nodes.filter((F.col("tag") != markup.TEXT) & marks.rlike(f"(?i){HERO_PLACE[4:]}|{GALLERY_PLACE[4:]}|logo|navbar-brand")).select("id", F.col("node").alias("around"), F.col("tag").alias("kind"), marks.alias("marks"))
     own = nodes.filter("tag = 'img'")
-    outer = own.select("id", "node", F.explode("path.node").alias("around")).join(places, ["id", "around"]).groupBy("id", "node").agg(
-        F.bool_or(~F.col("kind").isin("body", "html") & F.col("marks").rlike(LOGO_PLACE)).alias("logo"), F.bool_or(F.col("marks").rlike(HERO_PLACE)).alias("hero"), F.bool_or(F.col("marks").rlike(GALLERY_PLACE)).alias("gallery"),
-    )
+    within = lambda pattern, *but: F.exists("path", lambda a: ~a["tag"].isin("", *but) & F.concat_ws(" ", a["class"], a["id"]).rlike(pattern))
     best = lambda c: F.element_at(F.array_sort(c, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)), 1)
     sets = F.array(_sources(F.coalesce(attribute("data-srcset"), attribute("data-lazy-srcset"))), _sources(attribute("srcset")))
     bests = F.transform(F.filter(sets, lambda c: F.size(c) > 0), best)
@@ -117,16 +124,15 @@ def images(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> Dat
     lazy = F.coalesce(*[F.when(~attribute(k).rlike("(?i)^data:|^$"), attribute(k)) for k in LAZY])
     plain = F.when(~attribute("src").rlike(PLACEHOLDER) & (attribute("src") != ""), attribute("src"))
     pixels = lambda k: F.regexp_extract(F.coalesce(attribute(k), F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
-    found = own.select("id", "node", F.col("path").alias("p"), F.coalesce(widest["url"], lazy, plain).alias("url"), F.coalesce(attribute("alt"), F.lit("")).alias("alt"), marks.alias("marks"), F.coalesce(widest["width"], pixels("width")).alias("width"), F.when(widest["width"].isNull(), pixels("height")).alias("height"))
+    found = own.select("id", "node", within(LOGO_PLACE, "body", "html").alias("logo"), within(HERO_PLACE).alias("hero"), within(GALLERY_PLACE).alias("gallery"), F.coalesce(widest["url"], lazy, plain).alias("url"), F.coalesce(attribute("alt"), F.lit("")).alias("alt"), marks.alias("marks"), F.coalesce(widest["width"], pixels("width")).alias("width"), F.when(widest["width"].isNull(), pixels("height")).alias("height"))
     sound = F.col("url").isNotNull() & ~F.col("url").rlike(TRACKER) & (F.coalesce("width", F.lit(LEAST_PIXELS)) >= LEAST_PIXELS) & (F.coalesce("height", F.lit(LEAST_PIXELS)) >= LEAST_PIXELS)
     paths = pages.select(F.col(id_col).alias("id"), F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^https?://[^/?#]+([^?#]*)", 1).alias("page_path"))
-    placed = found.filter(sound).join(outer, ["id", "node"], "left").join(paths, "id", "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    placed = found.filter(sound).join(paths, "id", "left")
     file = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
-    role = F.when(F.concat_ws(" ", file, "alt", "marks").rlike("(?i)logo") | flag("logo"), "LOGO").when(flag("hero"), "HERO")
+    role = F.when(F.concat_ws(" ", file, "alt", "marks").rlike("(?i)logo") | F.col("logo"), "LOGO").when(F.col("hero"), "HERO")
     for name, pattern in ROLE_TEXTS:
         role = role.when(F.col("alt").rlike(pattern), name)
-    role = role.when(F.col("page_path").rlike("(?i)gallery|photos") | flag("gallery"), "GALLERY").otherwise("OTHER")
+    role = role.when(F.col("page_path").rlike("(?i)gallery|photos") | F.col("gallery"), "GALLERY").otherwise("OTHER")
     first = placed.withColumn("role", role).groupBy("id", "url").agg(F.min_by(F.struct("node", "alt", "role"), "node").alias("x"))
     return first.select("id", "x.node", "url", "x.alt", "x.role")
 
@@ -161,20 +167,23 @@ def article_events(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str
     )
 
 
+#: The elements that `card_events` reads.
+CARD_TAGS = ("h2", "p", "a", "img", "div")
+
+
 def card_events(nodes: DataFrame) -> DataFrame:
     """(id, node, title, start_at, venue, ticket_url, image_url) of the cards of an events page: div elements of the classes
     grid_item and event, with a date and a title. A card without a time of its own starts at 19:00; times are London's, given
-    in UTC. A part belongs to the nearest card around it; the first of its kind counts."""
-    classes = F.split(F.coalesce(attribute("class"), F.lit("")), r"\s+")
-    has = lambda *names: F.array_contains(classes, names[0]) if len(names) == 1 else F.array_contains(classes, names[0]) & has(*names[1:])
-    is_card = (F.col("tag") == "div") & has("grid_item", "event")
-    cards = nodes.filter(is_card).select("id", F.col("node").alias("card"), F.col("last").alias("card_last"))
-    inner = nodes.join(cards, "id").filter("node >= card and node <= card_last")
-    # of nested cards the innermost, which begins last
-    own = inner.groupBy("id", "node").agg(F.max("card").alias("card"))
-    texts = markup.with_text(nodes, F.lit(True), ("h2", "p", "a", "img", "div")).join(own, ["id", "node"])
-    of = lambda test, value: F.min_by(F.when(test, value), F.when(test & value.isNotNull(), F.col("node")))
+    in UTC. A part belongs to the nearest card around it; the first of its kind counts. Nodes, or elements of CARD_TAGS."""
+    classes = lambda text: F.split(F.coalesce(text, F.lit("")), r"\s+")
+    has = lambda *names: F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(classes(attribute("class")), n))
+    of_card = lambda tag, text: (tag == "div") & F.coalesce(text, F.lit("")).contains("grid_item") & F.array_contains(classes(text), "grid_item") & F.array_contains(classes(text), "event")
     tag = F.col("tag")
+    # of nested cards the innermost, which is the last on the path
+    around = F.try_element_at(F.filter("path", lambda a: of_card(a["tag"], a["class"])), F.lit(-1))["node"]
+    told = (tag.isin("h2", "img")) | attribute("data-date").isNotNull() | ((tag == "p") & (has("date") | has("location"))) | ((tag == "a") & has("event_link"))
+    texts = markup.with_text(nodes, told, CARD_TAGS).withColumn("card", F.when(of_card(tag, attribute("class")), F.col("node")).otherwise(around)).filter("card is not null")
+    of = lambda test, value: F.min_by(F.when(test, value), F.when(test & value.isNotNull(), F.col("node")))
     found = texts.groupBy("id", "card").agg(
         of(tag == "h2", F.col("content")).alias("title"), of(F.lit(True), attribute("data-date")).alias("day"), of((tag == "p") & has("date"), F.col("content")).alias("told"),
         of((tag == "p") & has("location"), F.col("content")).alias("venue"), of((tag == "a") & has("event_link"), attribute("href")).alias("ticket_url"), of(tag == "img", attribute("src")).alias("image_url"),

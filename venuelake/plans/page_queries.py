@@ -102,13 +102,13 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT l_orderkey, NULL, 'seated', q + 1000 FROM f""",
 )
 def page_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_reading.table_capacities(_nodes(_order_pages(spark, sf_dir), "l_orderkey", "html"))
+    found = page_reading.table_capacities(markup.elements(_order_pages(spark, sf_dir), "l_orderkey", "html", page_reading.TABLE_TAGS))
     return found.select(F.col("id").alias("l_orderkey"), "space", "layout", F.col("count").alias("number"))
 
 
 @register("listed_capacities", f"""WITH l AS ({_LINES}) SELECT l_orderkey, 'Hall ' || l_orderkey AS space, 'banquet' AS layout, 100 + min(quantity) AS number, 'Banquet ' || (100 + min(quantity)) AS statement FROM l GROUP BY 1""")
 def listed_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_reading.definition_capacities(_nodes(_order_pages(spark, sf_dir), "l_orderkey", "html"))
+    found = page_reading.definition_capacities(markup.elements(_order_pages(spark, sf_dir), "l_orderkey", "html", page_reading.LIST_TAGS))
     return found.select(F.col("id").alias("l_orderkey"), "space", "layout", F.col("count").alias("number"), "statement")
 
 
@@ -118,7 +118,7 @@ def listed_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT l_orderkey, mode || ' ' || l_linenumber || ' live' AS title, wall - INTERVAL 1 HOUR * CASE WHEN month(wall) BETWEEN 4 AND 10 THEN 1 ELSE 0 END AS start_at, 'Stage ' || l_returnflag AS venue FROM s""",
 )
 def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_reading.card_events(_nodes(_order_pages(spark, sf_dir), "l_orderkey", "html")).select(F.col("id").alias("l_orderkey"), "title", "start_at", "venue")
+    return page_reading.card_events(markup.elements(_order_pages(spark, sf_dir), "l_orderkey", "html", page_reading.CARD_TAGS)).select(F.col("id").alias("l_orderkey"), "title", "start_at", "venue")
 
 
 _ALTS = ("Main hall", "Building front", "Inside the bar", "", "Our crest", "Company logo")
@@ -143,4 +143,4 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<img data-src='lazy-"), F.col("user_id").cast("string"), F.lit(".png' src='data:image/gif;x' width='"), F.col("w"), F.lit("'><img src='placeholder.png'><img data-original='lazy-"), F.col("user_id").cast("string"), F.lit(".png' width=20>"),
     )
     pages = rows.select("event_id", F.concat(F.lit("https://a.org/"), F.when(F.col("event_type") == "view", "photos").otherwise("about")).alias("url"), html.alias("html"))
-    return page_reading.images(_nodes(pages, "event_id", "html"), pages, "event_id", "url").select(F.col("id").alias("event_id"), "url", "alt", "role")
+    return page_reading.images(markup.elements(pages, "event_id", "html", ["img"]), pages, "event_id", "url").select(F.col("id").alias("event_id"), "url", "alt", "role")
