@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from venuelake.operators import resolution
 from venuelake.plans import document_queries
 
 DAY = datetime.datetime(2024, 1, 1, 5)
@@ -19,3 +20,22 @@ def test_calendar_facts_counts_crowded_days_without_pairs(spark, tmp_path):
     spark.range(20_000).select((F.col("id") * 1200 * 3 + 0).alias("o_orderkey"), F.lit(57).cast("long").alias("o_custkey")).unionByName(spark.sql("SELECT 3L AS o_orderkey, 8L AS o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
     found = {r["candidate"]: r["facts"] for r in document_queries.calendar_facts(spark, str(tmp_path)).collect()}
     assert found == {k * 3600: 20_001 for k in range(20_000)}
+
+
+def test_fuzzy_names_moves_no_pairs(spark, monkeypatch):
+    """The plan neither groups nor deals pairs after the joins that make them, and every pair stands once, hot words in shares."""
+    monkeypatch.setattr(resolution, "SHARE_ROWS", 3)
+    words = ["grand hall", "the grand hall", "hall", "a", "city art museum", "art", "ha", "grand old hall of arts"]
+    left = spark.createDataFrame([(i, f"{words[i % 8]} {i // 16}".strip()) for i in range(80)] + [(1000, "hall"), (1001, "hall"), (1001, "hall")], "a long, n string")
+    right = spark.createDataFrame([(i, f"{words[i % 7]} {i // 14}") for i in range(60)] + [(1000, "hall"), (1002, "grand")], "b long, n string")
+    found = resolution.fuzzy_pairs(left, right, "a", "b", "n", "n")
+    got = [tuple(r) for r in found.collect()]
+    expected = set()
+    for a, n in left.collect():
+        for b, m in right.collect():
+            x, y = set(n.split()), set(m.split())
+            if n in m or m in n or len(x & y) >= 2 and 2 * len(x & y) >= max(len(x), len(y)):
+                expected.add((a, b, len(x & y), len(x & y) / max(len(x), len(y))))
+    assert len(got) == len(set(got)) and set(got) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Union" in plan[0]

@@ -25,37 +25,57 @@ def _grams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3))))
 
 
+#: Rows of a key that one share takes, and the most shares of a key.
+SHARE_ROWS, MOST_SHARES = 10_000, 64
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str, least: int = 2, share: float = 0.5) -> DataFrame:
     """(left id, right id, overlap, score) of rows whose canonical names share at least `least` tokens and `share` of the larger
     name's, or one of whose names contains the other as a string.
 
     Two blockings, each by what is rare: names that share a part of their tokens share one of the rarest of either, and a
     name within another has its rarest three letters there (one of under three letters its own). So very common words and
-    letters seldom open pairs, but a name that consists of them meets all that hold it, as each is a result.
+    letters seldom open pairs, but a name that consists of them meets all that hold it, as each is a result. A pair is judged
+    where the join makes it, and kept in one place only: under the rarest token that the sides share, or, where tokens do not
+    make it a result, under the letters of the shorter name. So pairs are not moved or stored; a frequent key is dealt to
+    several tasks by shares of the left rows.
     """
     sides = []
     for d, i, n in ((left, left_id, left_name), (right, right_id, right_name)):
-        one = d.select(F.col(i).alias("id"), canonical_name(F.col(n)).alias("name")).filter("name <> ''")
+        one = d.select(F.col(i).alias("id"), canonical_name(F.col(n)).alias("name")).filter("name <> ''").distinct()
         sides.append(one.withColumn("t", F.array_distinct(F.split("name", " "))))
     l, r = sides
+
+    def met(of_left: DataFrame, of_right: DataFrame, counts: DataFrame) -> DataFrame:
+        """Left and right rows of one key, the left ones of a frequent key in shares."""
+        shares = F.least(F.lit(MOST_SHARES), F.ceil(F.coalesce("n", F.lit(1)) / SHARE_ROWS)).cast("int")
+        kept = counts.filter(F.col("n") > SHARE_ROWS)
+        lefts = of_left.join(kept, "key", "left").withColumn("share", F.pmod(F.xxhash64("lid"), shares).cast("int")).drop("n")
+        rights = of_right.join(kept, "key", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("n")
+        return lefts.join(rights, ["key", "share"])
+
+    name = lambda d, side, key, *more: d.select(F.col(key).alias("key"), F.col("id").alias(f"{side}id"), F.col("name").alias(f"{side}n"), F.col("t").alias(f"{side}t"), *more)
+    overlap = F.size(F.array_intersect("lt", "rt"))
+    score = overlap / F.greatest(F.size("lt"), F.size("rt"))
+    by_tokens = (overlap >= least) & (score >= share)
     lt, rt = (d.select("id", "name", "t", F.explode("t").alias("token")) for d in sides)
     frequent = lt.select("token").unionByName(rt.select("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = lt.join(frequent, "token").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n", "token")))
-    prefix = ranked.filter(F.col("k") <= F.size("t") - F.ceil(F.size("t") * share) + 1)
-    name = lambda d, side, key: d.select(F.col(key).alias("key"), F.col("id").alias(f"{side}id"), F.col("name").alias(f"{side}n"), F.col("t").alias(f"{side}t"))
-    pairs = name(prefix, "l", "token").join(name(rt, "r", "token"), "key")
+    rarest_first = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
+    needed = F.greatest(F.lit(least), F.ceil(F.size("t") * share - 1e-9))
+    ranked = lt.join(frequent, "token").groupBy("id", "name", "t").agg(rarest_first.alias("ranked")).filter(F.size("t") >= needed)
+    prefix = ranked.withColumn("prefix", F.slice("ranked", F.lit(1), (F.size("t") - needed + 1).cast("int"))).withColumn("token", F.explode("prefix"))
+    pairs = met(name(prefix, "l", "token", "prefix"), name(rt, "r", "token"), frequent.withColumnRenamed("token", "key"))
+    pairs = pairs.filter((F.get(F.array_intersect("prefix", "rt"), F.lit(0)) == F.col("key")) & by_tokens)
     # the strings of one to three letters that a name has, for those that it contains
     parts = lambda d: d.select("id", "name", "t", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - w + 1, F.lit(1))), lambda i: F.substr("name", i, w)))))).alias("gram"))
     lg, rg = (d.select("id", "name", "t", F.explode(_grams(F.col("name"))).alias("gram")) for d in sides)
     counted = lg.select("gram").unionByName(rg.select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     rarest = lambda d: d.join(counted, "gram").groupBy("id", "name", "t").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    columns = ["lid", "rid", "ln", "rn", "lt", "rt"]
-    within = name(rarest(lg), "l", "gram").join(name(parts(r), "r", "gram"), "key").filter(F.contains("rn", "ln")).select(*columns)
-    within = within.unionByName(name(parts(l), "l", "gram").join(name(rarest(rg), "r", "gram"), "key").filter(F.contains("ln", "rn")).select(*columns))
-    scored = pairs.select(*columns).unionByName(within).distinct().withColumn("overlap", F.size(F.array_intersect("lt", "rt")))
-    scored = scored.withColumn("score", F.col("overlap") / F.greatest(F.size("lt"), F.size("rt")))
-    scored = scored.filter(F.contains("rn", "ln") | F.contains("ln", "rn") | ((F.col("overlap") >= least) & (F.col("score") >= share)))
-    return scored.select(F.col("lid").alias(f"left_{left_id}"), F.col("rid").alias(f"right_{right_id}"), "overlap", "score")
+    grams = counted.withColumnRenamed("gram", "key")
+    within = met(name(rarest(lg), "l", "gram"), name(parts(r), "r", "gram"), grams).filter(F.contains("rn", "ln") & ~by_tokens)
+    around = met(name(parts(l), "l", "gram"), name(rarest(rg), "r", "gram"), grams).filter(F.contains("ln", "rn") & (F.col("ln") != F.col("rn")) & ~by_tokens)
+    out = (F.col("lid").alias(f"left_{left_id}"), F.col("rid").alias(f"right_{right_id}"), overlap.alias("overlap"), score.alias("score"))
+    return pairs.select(*out).unionByName(within.select(*out)).unionByName(around.select(*out))
 
 
 def agreed_site(claims: DataFrame, key: str) -> DataFrame:
