@@ -6,7 +6,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from venuelake.operators import resolution
+from venuelake.functions import contacts
+from venuelake.operators import harvest, resolution
 from venuelake.plans import document_queries
 
 DAY = datetime.datetime(2024, 1, 1, 5)
@@ -39,3 +40,28 @@ def test_fuzzy_names_moves_no_pairs(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == expected
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "Union" in plan[0]
+
+
+def test_mails_in_long_runs_are_found_in_one_pass(spark):
+    """A run of 400,000 characters that a mailbox may have takes one pass; mailboxes right after one another are all seen."""
+    run = "a" * 400_000
+    texts = [(1, f"{run} Jo@hall.org"), (2, "a@b.com_c@d.org and Jo@hall.org"), (3, "a@b.com_c@d.org, so Jo@hall.org"), (4, "x@y.zz" + "z" * 9 + "%q@w.io! Jo@hall.org")]
+    found = spark.createDataFrame(texts, "i int, t string").select("i", contacts.before_mail(F.col("t"), F.lit("jo@hall.org"), 30).alias("c"))
+    assert {r.i: r.c for r in found.collect()} == {1: "a" * 29 + " Jo@hall.org", 2: " and Jo@hall.org", 3: ", so Jo@hall.org", 4: "! Jo@hall.org"}
+
+
+def test_hidden_mails_of_all_bytes(spark):
+    def hidden(text, key):
+        return bytes([key, *(ord(c) ^ key for c in text)]).hex()
+
+    codes = [hidden("jo@hall.org", 200), hidden("jo@hall.org", ord("j")), hidden("joathall", 7), hidden("ab@", 0), "zz00", "00", None, hidden("jo@hall.org", 9)[:-1]]
+    found = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string").select("i", contacts.decoded_mail(F.col("c")).alias("m"))
+    assert {r.i: r.m for r in found.collect()} == {0: "jo@hall.org", 1: "jo@hall.org", 2: None, 3: "ab@", 4: None, 5: None, 6: None, 7: None}
+
+
+def test_site_signals_read_a_page_once(spark):
+    """The page's text is made once, not once for each of the words sought in it: its scripts are cut by a pattern that the plan names once a text."""
+    page = spark.createDataFrame([("<title>Fest</title><script type='application/ld+json'>{\"@type\":\"Place\"}</script><p>Tickets &amp; seating",)], "h string")
+    found = page.select(harvest.site_signals(F.col("h")).alias("s"))
+    assert found.first().s == ["SCHEMA_PLACE_OR_VENUE", "FESTIVAL_OR_SERIES_LANGUAGE", "TICKETING_OR_MEDIA_LANGUAGE", "FACILITY_LANGUAGE", "FESTIVAL_PLACE_CONFLICT"]
+    assert found._jdf.queryExecution().analyzed().toString().count("<style") <= 6  # the title's, and once the text's

@@ -32,7 +32,9 @@ PURPOSES = (
 PURPOSE_ORDER = ("SALES_HIRE", "BOOKINGS", "ENQUIRIES", "CORPORATE_SUPPORT", "GENERAL", "SWITCHBOARD", "BOX_OFFICE", "FORM", "MESSAGING")
 #: Labels that run into an address.
 GLUED_LABELS = r"^(?:email|e-mail|enquiries|bookings?)$"
-MAIL_IN_TEXT = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
+#: A mailbox in a text. One begins where no character of its kind is before it, or where the last one ended, so a long run of
+#: such characters is read once, not once from each of them.
+MAIL_IN_TEXT = r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}"
 
 
 def plain_mail(value: Column) -> Column:
@@ -92,8 +94,9 @@ def before_mail(text: Column, mail: Column, span: int = 400) -> Column:
 
 
 def decoded_mail(code: Column) -> Column:
-    """An address hidden as hex: each byte after the first is XORed with it; null unless the result has an @."""
-    byte = lambda i: F.conv(F.substr(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    count = F.floor(F.length(code) / 2).cast("int")
-    text = F.array_join(F.transform(F.sequence(F.lit(1), count - 1), lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(0))))), "")
-    return F.when(code.rlike("^(?:[0-9a-f]{2}){4,}$") & F.contains(text, F.lit("@")), text)
+    """An address hidden as hex: each byte after the first is XORed with it; null unless the result has an @. The bytes are
+    read at once, as the characters of those codes, and the text is made once."""
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    plain = F.decode(F.unhex(F.left(code, F.length(code) - F.length(code) % 2)), "ISO-8859-1")
+    shown = lambda c: F.array_join(F.transform(F.slice(c, 2, F.size(c)), lambda x: F.char(F.ascii(x).bitwiseXOR(F.ascii(F.get(c, F.lit(0)))))), "")
+    return F.when(code.rlike("^(?:[0-9a-f]{2}){4,}$"), once(once(F.split(plain, ""), shown), lambda t: F.when(F.contains(t, F.lit("@")), t)))
