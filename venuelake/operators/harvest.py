@@ -94,8 +94,11 @@ def site_signals(html: Column) -> Column:
     scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), 1), " ")
     told = F.array_join(F.regexp_extract_all(scripts, F.lit(r'"@type"\s*:\s*("[^"]*"|\[[^\]]*\])'), 1), ",")
     types = F.transform(F.regexp_extract_all(told, F.lit('"([^"]*)"'), 1), lambda t: F.lower(F.trim(F.regexp_replace(t, r"^.*[/#]", ""))))
-    by_type = [F.when(F.arrays_overlap(types, F.array(*map(F.lit, known))), name) for name, known in SIGNAL_TYPES]
-    plain = F.array_compact(F.array(*by_type, *[F.when(text.rlike(p), n) for n, p in SIGNAL_WORDS]))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    # the page's text and types are made once, however many signals are sought in them
+    by_type = once(types, lambda t: F.array(*[F.when(F.arrays_overlap(t, F.array(*map(F.lit, known))), name) for name, known in SIGNAL_TYPES]))
+    by_word = once(text, lambda t: F.array(*[F.when(t.rlike(p), n) for n, p in SIGNAL_WORDS]))
+    plain = F.array_compact(F.concat(by_type, by_word))
 
     def with_conflicts(found: Column) -> Column:
         has = lambda name: F.array_contains(found, name)
@@ -103,7 +106,7 @@ def site_signals(html: Column) -> Column:
         conflicts = F.array(F.when(has("SCHEMA_ORGANISATION") & place, "ORGANISATION_VENUE_CONFLICT"), F.when(has("FESTIVAL_OR_SERIES_LANGUAGE") & place, "FESTIVAL_PLACE_CONFLICT"))
         return F.concat(found, F.array_compact(conflicts))
 
-    return F.get(F.transform(F.array(plain), with_conflicts), F.lit(0))
+    return once(plain, with_conflicts)
 
 
 def space_class(name: Column, capacity: Column, structured: Column, listed: Column) -> Column:
