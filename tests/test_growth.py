@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from venuelake.functions import contacts
-from venuelake.operators import harvest, resolution
+from venuelake.operators import harvest, resolution, reviews
 from venuelake.plans import document_queries
 
 DAY = datetime.datetime(2024, 1, 1, 5)
@@ -65,3 +65,14 @@ def test_site_signals_read_a_page_once(spark):
     found = page.select(harvest.site_signals(F.col("h")).alias("s"))
     assert found.first().s == ["SCHEMA_PLACE_OR_VENUE", "FESTIVAL_OR_SERIES_LANGUAGE", "TICKETING_OR_MEDIA_LANGUAGE", "FACILITY_LANGUAGE", "FESTIVAL_PLACE_CONFLICT"]
     assert found._jdf.queryExecution().analyzed().toString().count("<style") <= 6  # the title's, and once the text's
+
+
+def test_inventory_actions_move_no_notes(spark):
+    """Notes decide before the join, which moves their verdict only."""
+    candidates = spark.createDataFrame([(1, "RESEARCHED", "call", True)], "k long, status string, next_action string, approved boolean")
+    asked = spark.createDataFrame([(1, 1, "BLOCK", "n" * 1001, None), (2, 1, "BLOCK", "n" * 1000, None), (3, 1, "SET_NEXT_ACTION", None, "  go "), (4, 2, "RESTORE", None, None), (5, 1, "SET_NEXT_ACTION", None, " ")], "i long, k long, action string, note string, wanted string")
+    found = reviews.decided(candidates, asked, "k").select("i", "error", "new_action", "revoked")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "PROSPECT_BLOCK_NOTE_TOO_LONG", "call", False), (2, None, "call", True), (3, None, "go", False), (4, "PROSPECT_NOT_FOUND", None, False), (5, "PROSPECT_NEXT_ACTION_INVALID", "call", False)]
+    joined = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0].splitlines()]
+    assert not any("note#" in line for line in joined)  # nothing above the join reads a note
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -21,15 +21,17 @@ def decided(candidates: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """Candidates (key, status, next_action, approved) joined with the action asked of each (key, action, note, wanted): `error`, or
     the decision on record with the new status and next action. An action may be taken from any status. Blocking an
     approved candidate revokes the approval: `revoked`. A blank note is none; `wanted` is the next action that
-    SET_NEXT_ACTION sets, trimmed, and must not be blank or too long."""
-    joined = asked.join(candidates, key, "left")
+    SET_NEXT_ACTION sets, trimmed, and must not be blank or too long. What a request's texts decide is decided before the
+    join, so that these texts are not moved unless they are asked for afterwards."""
     next_action = F.trim("wanted")
     sets = F.col("action") == "SET_NEXT_ACTION"
-    error = (
+    refused = (
         F.when(~F.coalesce(F.col("action").isin(*INVENTORY_ACTIONS), F.lit(False)), "PROSPECT_REVIEW_ACTION_INVALID").when(F.char_length("note") > NOTE_MOST, "PROSPECT_BLOCK_NOTE_TOO_LONG")
         .when(sets & (F.coalesce(next_action, F.lit("")) == ""), "PROSPECT_NEXT_ACTION_INVALID").when(sets & (F.char_length(next_action) > NEXT_ACTION_MOST), "PROSPECT_NEXT_ACTION_INVALID")
-        .when(F.col("status").isNull(), "PROSPECT_NOT_FOUND")
     )
+    judged = asked.withColumn("__refused", refused).withColumn("__set", F.when(sets & F.col("__refused").isNull(), next_action))
+    joined = judged.join(candidates.hint("merge"), key, "left")  # files of candidates are far smaller than their rows in memory
+    error = F.coalesce("__refused", F.when(F.col("status").isNull(), "PROSPECT_NOT_FOUND"))
     target = decision = F.lit(None).cast("string")
     for action, (to, record) in INVENTORY_ACTIONS.items():
         mine = F.col("action") == action
@@ -38,7 +40,7 @@ def decided(candidates: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     done = F.col("error").isNull()
     return (
         joined.withColumn("error", error).withColumn("decision", F.when(done, decision)).withColumn("new_status", F.when(done, F.coalesce(target, "status")).otherwise(F.col("status")))
-        .withColumn("new_action", F.when(done & sets, next_action).otherwise(F.col("next_action"))).withColumn("revoked", F.coalesce(done & (F.col("action") == "BLOCK") & F.col("approved"), F.lit(False)))
+        .withColumn("new_action", F.when(done & sets, F.col("__set")).otherwise(F.col("next_action"))).withColumn("revoked", F.coalesce(done & (F.col("action") == "BLOCK") & F.col("approved"), F.lit(False))).drop("__refused", "__set")
     )
 
 
