@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from venuelake.functions import contacts
-from venuelake.operators import harvest, resolution, reviews
+from venuelake.operators import harvest, page_reading, resolution, reviews
 from venuelake.plans import document_queries
+from venuelake.sources import markup
 
 DAY = datetime.datetime(2024, 1, 1, 5)
 
@@ -76,3 +79,31 @@ def test_inventory_actions_move_no_notes(spark):
     joined = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0].splitlines()]
     assert not any("note#" in line for line in joined)  # nothing above the join reads a note
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _pages(count):
+    rng = random.Random(5)
+    tags = ["div", "p", "b", "td", "tr", "table", "li", "ul", "br", "img", "dd", "dl", "h2", "section", "option"]
+    one = lambda t: rng.choice([f"<{t}>", f"</{t}>", f"<{t.upper()} hidden a=1 A='2' class=\"x y\">", f"<{t} id=k >", " t ", "&amp; x", "&copy", "\n", f"</{t} >"])
+    return ["".join(one(t) for t in rng.choices(tags, k=60)) + rng.choice(["", "end &am", "<p", "<br/>", "<!-- c -->", "<script>a<b</script>", "a < b"]) for _ in range(count)]
+
+
+def test_pages_cut_by_a_pattern_equal_pages_fed_to_the_parser(monkeypatch):
+    pages = _pages(300)
+    asked = frozenset(["div", "td", "img", "h2"])
+    cut = [(markup.tree(p), markup.tree(p, asked)) for p in pages]
+    monkeypatch.setattr(markup, "_OPAQUE", re.compile(""))  # leaves every page to the parser
+    assert cut == [(markup.tree(p), markup.tree(p, asked)) for p in pages]
+
+
+def test_elements_have_the_texts_that_joins_find(spark):
+    """Readers of elements deal a page's once and join nothing, as a table of nodes with its texts must."""
+    pages, tags = spark.createDataFrame(list(enumerate(_pages(60))), "id long, html string"), ("div", "p", "td", "img", "h2")
+    whole = markup.with_text(markup.nodes(pages, "id", "html"), F.lit(True), tags)
+    found = markup.elements(pages, "id", "html", tags)
+    columns = ["id", "node", "last", "tag", "content", "attributes", "hidden", "path"]
+    rows = lambda d: sorted((tuple(r) for r in d.select(columns).collect()), key=lambda r: r[:2])
+    assert rows(found) == rows(whole)
+    for reader, asked in ((page_reading.card_events, page_reading.CARD_TAGS), (page_reading.table_capacities, page_reading.TABLE_TAGS), (page_reading.definition_capacities, page_reading.LIST_TAGS)):
+        plan = reader(markup.elements(pages, "id", "html", asked))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 1 and "Join" not in plan
