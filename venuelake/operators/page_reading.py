@@ -124,7 +124,9 @@ def images(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> Dat
     lazy = F.coalesce(*[F.when(~attribute(k).rlike("(?i)^data:|^$"), attribute(k)) for k in LAZY])
     plain = F.when(~attribute("src").rlike(PLACEHOLDER) & (attribute("src") != ""), attribute("src"))
     pixels = lambda k: F.regexp_extract(F.coalesce(attribute(k), F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
-    found = own.select("id", "node", within(LOGO_PLACE, "body", "html").alias("logo"), within(HERO_PLACE).alias("hero"), within(GALLERY_PLACE).alias("gallery"), F.coalesce(widest["url"], lazy, plain).alias("url"), F.coalesce(attribute("alt"), F.lit("")).alias("alt"), marks.alias("marks"), F.coalesce(widest["width"], pixels("width")).alias("width"), F.when(widest["width"].isNull(), pixels("height")).alias("height"))
+    # the widest is sought once a picture: what it tells is a row of the generator, which filters do not repeat below it
+    picked = lambda w: F.struct(F.coalesce(w["url"], lazy, plain).alias("url"), F.coalesce(w["width"], pixels("width")).alias("width"), F.when(w["width"].isNull(), pixels("height")).alias("height"))
+    found = own.select("id", "node", within(LOGO_PLACE, "body", "html").alias("logo"), within(HERO_PLACE).alias("hero"), within(GALLERY_PLACE).alias("gallery"), F.coalesce(attribute("alt"), F.lit("")).alias("alt"), marks.alias("marks"), F.inline_outer(F.transform(F.array(widest), picked)))
     sound = F.col("url").isNotNull() & ~F.col("url").rlike(TRACKER) & (F.coalesce("width", F.lit(LEAST_PIXELS)) >= LEAST_PIXELS) & (F.coalesce("height", F.lit(LEAST_PIXELS)) >= LEAST_PIXELS)
     paths = pages.select(F.col(id_col).alias("id"), F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^https?://[^/?#]+([^?#]*)", 1).alias("page_path"))
     placed = found.filter(sound).join(paths, "id", "left")
