@@ -12,6 +12,7 @@ from venuelake.functions import contacts
 from venuelake.operators import harvest, page_reading, resolution, reviews
 from venuelake.plans import document_queries
 from venuelake.sources import markup
+from venuelake.streaming import ingest, state
 
 DAY = datetime.datetime(2024, 1, 1, 5)
 
@@ -107,3 +108,21 @@ def test_elements_have_the_texts_that_joins_find(spark):
     for reader, asked in ((page_reading.card_events, page_reading.CARD_TAGS), (page_reading.table_capacities, page_reading.TABLE_TAGS), (page_reading.definition_capacities, page_reading.LIST_TAGS)):
         plan = reader(markup.elements(pages, "id", "html", asked))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 1 and "Join" not in plan
+
+
+def test_first_arrivals_ask_no_state_of_python(spark, tmp_path):
+    """Only the fold by canonical key talks to the state store from Python, not each submission; of rows of a batch the least stays, null keys are one."""
+    at = lambda n: DAY + datetime.timedelta(seconds=n)
+    rows = [("s", str(n // 5 if n % 2 else 7), n, f"k{n}", None, None if n == 11 else at(n * 7919 % 60_000), at(0)) for n in range(40_000)] + [("s", None, n, "k", None, at(n), at(0)) for n in (50_002, 50_001)]
+    schema = "source_system string, source_record_id string, id long, canonical_key string, category string, received_at timestamp, occurred_at timestamp"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/in")
+    given = ingest.first_arrivals(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    assert "TransformWithState" not in given._jdf.queryExecution().analyzed().toString()
+    with state.rocksdb(spark):
+        query = given.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination(300)
+    best = {}
+    for r in rows:
+        order = (r[5] or datetime.datetime.min, r[2])
+        best[r[:2]] = min(best.get(r[:2], order), order)
+    assert query.exception() is None and sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(i for _, i in best.values())

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -26,30 +27,37 @@ def append_ledger(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWr
 
 
 SOURCE = ("source_system", "source_record_id")
+#: Parts of a batch that are searched for its first arrivals one by one, so that a task holds a small share of the keys.
+_PARTS = 1024
 
 
-class _First(StatefulProcessor):
-    """Lets the first arrival of a key pass: of those that come together, the least by time of receipt and id."""
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows with one key the least by time of receipt and id. No more is held than twice the keys and a batch."""
+    held, fresh = [], 0
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "at bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        if self.seen.exists():
-            return iter(())
-        first = min(rows, key=lambda r: (r["__received"], r["id"]))
-        self.seen.update((first["__received"],))
-        return iter([first])
+    def reduced() -> pa.Table:
+        rows = pa.Table.from_batches(held).sort_by([("__received", "ascending"), ("id", "ascending")])
+        placed = pa.table([*(rows[c] for c in SOURCE), pa.array(range(len(rows)), pa.int64())], names=[*SOURCE, "place"])
+        return rows.take(placed.group_by(list(SOURCE), use_threads=False).aggregate([("place", "min")])["place_min"])
 
-    def close(self) -> None:
-        pass
+    kept = 0
+    for batch in batches:
+        held.append(batch)
+        fresh += len(batch)
+        if fresh > max(kept, 10_000):
+            held = reduced().combine_chunks().to_batches()
+            kept, fresh = sum(map(len, held)), 0
+    if held:
+        yield from reduced().to_batches()
 
 
 def first_arrivals(stream: DataFrame) -> DataFrame:
-    """Of the submissions with one (source_system, source_record_id) only the first, in whichever batches they come. A key's
-    state is one number, looked up by key: no batch reads what earlier ones have brought."""
+    """Of the submissions with one (source_system, source_record_id) only the first, in whichever batches they come; of those
+    that come together, the least by time of receipt and id. A batch's own rows are reduced without state, in parts by a hash of
+    the key; then the state of a key is that it was seen, looked up by key: no batch reads what earlier ones have brought."""
     marked = stream.withColumn("__received", F.coalesce(F.unix_micros("received_at"), F.lit(-(1 << 62))))
-    return marked.groupBy(*SOURCE).transformWithState(_First(), marked.schema, "Append", "None").drop("__received")
+    parts = marked.groupBy(F.pmod(F.xxhash64(*SOURCE), F.lit(_PARTS)))
+    return parts.applyInArrow(_least, marked.schema).drop("__received").dropDuplicates(list(SOURCE))
 
 
 #: The fold of a key: what `leads.partials` keeps, times as microseconds.
