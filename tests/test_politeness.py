@@ -41,3 +41,18 @@ def test_schedule_equals_a_walk(spark, n, span, hot):
 def test_no_requests(spark):
     empty = spark.createDataFrame([], "origin string, at long, id long, key string")
     assert politeness.schedule(empty, "origin", "key", "at", "id", F.lit(1), F.lit(1)).collect() == []
+
+
+@pytest.mark.parametrize("most_sent", [0, 1000])
+def test_requests_of_one_arrival_share_without_rounds(spark, monkeypatch, most_sent):
+    """Of 3,000 requests of four keys at five instants, those behind the first that lasts enter no round; those without a duration may."""
+    rng = random.Random(3)
+    rows = [(o, rng.choice([0, 50, 51, 300, 301]), i, f"{o}/{rng.randint(0, 1)}", rng.choice([None, 0, 30, 70]), None) for i, o in enumerate(rng.choices("ab", k=3000))]
+    rows += [("b", 9000 + i % 2, 4000 + i, "b/z", 0, 5) for i in range(6)]
+    sizes, started = [], politeness._started
+    monkeypatch.setattr(politeness, "MOST_SENT", most_sent)
+    monkeypatch.setattr(politeness, "_started", lambda d: sizes.append(d.count()) or started(d))
+    frame = spark.createDataFrame(rows, "origin string, at long, id long, key string, d long, r long").repartition(3)
+    got = politeness.schedule(frame, "origin", "key", "at", "id", F.col("d"), F.lit(10), F.col("r"))
+    assert sorted(map(tuple, got.collect())) == walked(rows, 10)
+    assert max(sizes) < 200

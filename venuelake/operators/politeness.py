@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from venuelake.sources.shared import checkpointed
 
+#: Pairs of key and arrival that are sent to every task; where there are more, the requests are dealt by them.
+MOST_SENT = 100_000
+
 
 def _split(rows: DataFrame, group: str, part: str) -> DataFrame:
     """`rows` with the number of the range of (group, at, id) that each lies in. Ranges follow the order, so a scan over a
@@ -59,11 +62,18 @@ def schedule(requests: DataFrame, origin: str, key: str, at: str, request_id: st
     Who shares depends on ends, and ends on who shares; both only on earlier requests. So rounds from "all are asked" to
     the point where none changes settle more of the earliest each time, which ends; a backlog over days takes some tens of
     rounds, requests that are answered within theirs a few. Neither an origin's nor a key's rows meet in one task.
+
+    Of the requests of one key and arrival, those behind the first that lasts are SHARED whatever the rounds find: if that one is
+    asked, it ends after this arrival; if not, the one it shares does. So only the others go through the rounds, and at the end
+    those behind take what the first that lasts was given.
     """
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     busy = zero(duration) + zero(F.lit(None).cast("long") if retry_after is None else retry_after)
-    rows = requests.select(F.col(request_id).alias("id"), F.col(origin).alias("origin"), F.col(key).alias("key"), F.col(at).cast("long").alias("at"), zero(duration).alias("duration"), F.greatest(zero(spacing), busy).alias("weight"))
-    rows = _split(rows.dropna(subset=["id", "origin", "key", "at"]), "key", "key_part")
+    every = requests.select(F.col(request_id).alias("id"), F.col(origin).alias("origin"), F.col(key).alias("key"), F.col(at).cast("long").alias("at"), zero(duration).alias("duration"), F.greatest(zero(spacing), busy).alias("weight"))
+    every = every.dropna(subset=["id", "origin", "key", "at"])
+    heads = checkpointed(every.filter("duration > 0").groupBy("key", "at").agg(F.min("id").alias("head")))
+    sent = F.broadcast if heads.count() <= MOST_SENT else lambda d: d
+    rows = _split(every.join(sent(heads), ["key", "at"], "left").filter("head is null or id <= head").drop("head"), "key", "key_part")
     rows = _split(rows, "origin", "origin_part").withColumn("asked", F.lit(True))
     while True:
         judged = checkpointed(_in_flight(_started(rows)).withColumn("now", F.coalesce(F.col("at") >= F.col("first.end"), F.lit(True))))
@@ -71,5 +81,8 @@ def schedule(requests: DataFrame, origin: str, key: str, at: str, request_id: st
             break
         rows = judged.select("id", "origin", "key", "at", "duration", "weight", "key_part", "origin_part", F.col("now").alias("asked"))
     own = F.struct("id", "start", (F.col("start") + F.col("duration")).alias("end"))
-    by = F.when(F.col("asked"), own).otherwise(F.col("first"))
-    return judged.select("id", "origin", F.when(F.col("asked"), "ASKED").otherwise("SHARED").alias("outcome"), by.alias("by")).select("id", "origin", "outcome", F.col("by.id").alias("asked_by"), "by.start", "by.end")
+    settled = judged.withColumn("by", F.when(F.col("asked"), own).otherwise(F.col("first"))).withColumn("outcome", F.when(F.col("asked"), "ASKED").otherwise("SHARED"))
+    given = settled.filter("duration > 0").select("key", "at", F.col("id").alias("head"), "by").dropDuplicates(["key", "at"])
+    behind = every.select("id", "origin", "key", "at").join(sent(given), ["key", "at"]).filter("id > head").withColumn("outcome", F.lit("SHARED"))
+    columns = ["id", "origin", "outcome", F.col("by.id").alias("asked_by"), "by.start", "by.end"]
+    return settled.select(*columns).unionByName(behind.select(*columns))
