@@ -6,10 +6,11 @@ import datetime
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from venuelake.functions import contacts
-from venuelake.operators import harvest, page_reading, resolution, reviews
+from venuelake.operators import harvest, page_reading, planning, resolution, reviews
 from venuelake.plans import document_queries
 from venuelake.sources import markup
 from venuelake.streaming import ingest, state
@@ -126,3 +127,19 @@ def test_first_arrivals_ask_no_state_of_python(spark, tmp_path):
         order = (r[5] or datetime.datetime.min, r[2])
         best[r[:2]] = min(best.get(r[:2], order), order)
     assert query.exception() is None and sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(i for _, i in best.values())
+
+
+def test_crawl_rounds_answer_a_batch_at_once(spark, monkeypatch):
+    """A batch of many sites is one answer, not one a site; null dimensions, null sites and sites across batches count."""
+    plan = spark.createDataFrame([(1, "a", ["R"], 1)], "site long, page string, dims array<string>, position long")
+    taken = []
+    monkeypatch.setattr(type(plan), "mapInArrow", lambda d, walk, schema: taken.append(walk) or d)
+    planning.rounds(plan, "site", "page", ["R", "O"], budget=3, attempts=2)
+    sites = [None, None, *[str(i // 3) for i in range(3000)]]
+    dims = [["O"], None, *[[["R", "O"], ["O", "R"], ["R"]][i % 3] for i in range(3000)]]
+    whole = pa.record_batch([pa.array(sites, pa.string()), pa.array([f"p{i}" for i in range(3002)]), pa.array(dims, pa.list_(pa.string()))], names=["site", "page", "dims"])
+    answer = taken[0](iter([whole]))
+    one, last = answer
+    rows = [tuple(r.values()) for b in (one, last) for r in b.to_pylist()]
+    assert rows[0] == (None, "p0", "O", 1) and rows[1:3] == [("0", "p2", "R", 1), ("0", "p3", "O", 2)] and len(rows) == 2001
+    assert [tuple(r.values()) for b in taken[0](iter([whole.slice(0, 5), whole.slice(5)])) for r in b.to_pylist()] == rows
