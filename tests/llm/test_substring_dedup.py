@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def test_chunks_and_empty_tables(spark, monkeypatch):
     anchor = lambda found: {s: (at, a) for first, last, at, a in found for s in range(first, last + 1)}
     assert anchor(split) == anchor(whole) and len(anchor(whole)) == 3000 - 400 + 1
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_covered_at_once_as_one_by_one():
+    """`covers` handles the runs of a whole batch together; `cover` one text's."""
+    rng = random.Random(8)
+    for n_texts in (0, 1, 40):
+        sizes = [rng.choice([0, 5, 30, 200]) for _ in range(n_texts)]
+        starts = [(rng.randrange(n_texts), *sorted(rng.choices(range(210), k=2))) for _ in range(4 * n_texts)]
+        starts = [(k, a, b) for k, a, b in starts if a < max(sizes[k], 1)]
+        column = lambda c: np.array([s[c] for s in starts], np.int64)  # noqa: B023, E731
+        places, low, high = substring_dedup.covers(np.array(sizes, np.int64), column(0), column(1), column(2), 7)
+        got = [list(zip(low[i:j].tolist(), high[i:j].tolist(), strict=True)) for i, j in zip(places[:-1], places[1:], strict=True)]
+        assert got == [substring_dedup.cover(size, [(a, b) for k, a, b in starts if k == i], 7) for i, size in enumerate(sizes)]

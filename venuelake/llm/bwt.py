@@ -34,7 +34,7 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     reach = _PACKED
     while len(left):
         key = rank[left] * n + rank[left + reach]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)  # ties stay ties in any order
         left, key = left[by], key[by]
         same = key[1:] == key[:-1]
         head = np.ones(len(left), bool)

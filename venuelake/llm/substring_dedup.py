@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -72,9 +74,10 @@ def _all_spans(rows: DataFrame, least: int, screen: int) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for first, last, at, anchor in spans(data, screen):
-                    for column, value in zip(out, (key, doc, first, last, at, anchor, xxhash.xxh3_64_intdigest(data[first : last + least]) - (1 << 63)), strict=True):
-                        column.append(value)
+                if found := spans(data, screen):
+                    hashes = [xxhash.xxh3_64_intdigest(data[first : last + least]) - (1 << 63) for first, last, _, _ in found]
+                    for column, values in zip(out, ([key] * len(found), [doc] * len(found), *zip(*found, strict=True), hashes), strict=True):
+                        column.extend(values)
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "first", "last", "at", "anchor", "span"])
 
@@ -91,21 +94,32 @@ def _packed(data: Column) -> Column:
     return pack(data)
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    """How many elements each list has; null has none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _fields(lists: pa.Array) -> dict[str, pa.Array]:
+    """The columns of the structs in all lists, one list after another."""
+    structs = lists.flatten()
+    return dict(zip((f.name for f in structs.type), structs.flatten(), strict=True))
+
+
 def _cut_out(held: DataFrame, least: int) -> DataFrame:
     """(anchor, span, at, room, data) for the rows (packed, wanted), wanted being an array of (first, last, at, anchor, span);
     `at` now counts from the span's start, `room` counts the places from which its strings start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = zstandard.decompress(packed)
-                for w in wanted:
-                    first, last = w["first"], w["last"]
-                    for column, value in zip(out, (w["anchor"], w["span"], w["at"] - first, last - first + 1, data[first : last + least]), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "span", "at", "room", "data"])
+            packed, wanted = batch.columns
+            each = _fields(wanted)
+            places = zip(each["first"].to_pylist(), each["last"].to_pylist(), strict=True)
+            pieces = []
+            for text, n in zip(packed.to_pylist(), _lengths(wanted).tolist(), strict=True):
+                data = zstandard.decompress(text)
+                pieces += [data[first : last + least] for first, last in islice(places, n)]
+            room = pc.add(pc.subtract(each["last"], each["first"]), pa.scalar(1, pa.int32()))
+            yield pa.record_batch([each["anchor"], each["span"], pc.subtract(each["at"], each["first"]), room, pa.array(pieces, pa.binary())], names=["anchor", "span", "at", "room", "data"])
 
     return held.mapInArrow(cut, "anchor long, span long, at int, room int, data binary")
 
@@ -131,9 +145,16 @@ def _promising(members: dict[int, tuple[int, int, bytes]], screen: int) -> dict[
     return {span: (room, data) for span, (_, room, data) in members.items() if span in kept}
 
 
-def _runs(flags: np.ndarray, long: bool) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"a": int(a), "b": int(b) - 1, "long": long} for a, b in edge.reshape(-1, 2)]
+def _runs(flags: list[np.ndarray], long: bool) -> Iterator[tuple[int, dict]]:
+    """(which of the flags, run) for the runs of places that are set."""
+    ends = np.cumsum([len(f) + 1 for f in flags])
+    gap = np.zeros(1, bool)
+    joined = np.concatenate([gap, *(part for f in flags for part in (f, gap))]).astype(np.int8)
+    first, last = np.flatnonzero(np.diff(joined)).reshape(-1, 2).T
+    owner = np.searchsorted(ends, first, side="right")
+    shift = np.concatenate([[0], ends])[owner]
+    for k, a, b in zip(owner.tolist(), (first - shift).tolist(), (last - shift).tolist(), strict=True):
+        yield k, {"a": a, "b": b - 1, "long": long}
 
 
 _RUN = "array<struct<a:long,b:long,long:boolean>>"
@@ -173,9 +194,10 @@ def _expanded(cut: DataFrame, least: int, screen: int) -> DataFrame:
         def settle() -> pa.RecordBatch:
             for long, rows in held.items():
                 (flags,) = repeated_starts([d for *_, d in rows], least if long else screen, rooms=[r for *_, r, _ in rows]) if rows else ([],)
-                for (anchor, spans, *_), f in zip(rows, flags, strict=True):
-                    if len(spans) == 1 and (found := _runs(f, long)):
-                        runs.setdefault((anchor, spans[0]), []).extend(found)
+                for k, run in _runs(flags, long):
+                    anchor, spans = rows[k][:2]
+                    if len(spans) == 1:
+                        runs.setdefault((anchor, spans[0]), []).append(run)
                 rows.clear()
             out = pa.record_batch(
                 [pa.array([a for a, _ in runs], pa.int64()), pa.array([s for _, s in runs], pa.int64()), pa.array(list(runs.values()), _RUN_KIND)],
@@ -283,6 +305,24 @@ def cover(size: int, starts: Iterable[tuple[int, int]], least: int = LEAST) -> l
     return out
 
 
+def covers(sizes: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, from, to): what `cover` gives for many texts at once. Starts have the number of their text; the ranges of text i
+    are those from places[i] up to places[i + 1]."""
+    base = np.cumsum(sizes + 1) - sizes - 1  # a byte between texts, so that no range meets the next text's
+    low, high = first + base[text], np.minimum(last + least, sizes[text]) + base[text]
+    fits = high - low >= least
+    low, high, text = low[fits], high[fits], text[fits]
+    by = np.argsort(low)
+    low, high, text = low[by], np.maximum.accumulate(high[by]), text[by]
+    head = np.ones(len(low), bool)
+    head[1:] = low[1:] > high[:-1]
+    tail = np.ones(len(low), bool)
+    tail[:-1] = head[1:]
+    owner = text[head]
+    places = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+    return places, low[head] - base[owner], high[tail] - base[owner]
+
+
 def _rest(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     ends = [0, *(b for _, b in removed)]
     starts = [*(a for a, _ in removed), len(data)]
@@ -312,18 +352,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if screen > least:
         raise ValueError("passages are found by strings of at most the removed length")
     runs = repeated_windows(docs, id_col, text_col, least, screen, max_spans)
-    kind = pa.struct([("removed", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("kept", pa.binary()), ("n_passages", pa.int64())])
-
     @F.arrow_udf("removed array<struct<a:long,b:long>>, kept binary, n_passages long")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = []
-        for packed, ranges in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            data = zstandard.decompress(packed)
-            starts = [(r["a"] + f["first"], r["b"] + f["first"], r["long"]) for f in ranges or () for r in f["runs"]]
-            removed = cover(len(data), ((a, b) for a, b, long in starts if long), least)
-            repeated = passages(data, cover(len(data), ((a, b) for a, b, long in starts if not long), screen))
-            rows.append({"removed": [{"a": a, "b": b} for a, b in removed], "kept": _rest(data, removed), "n_passages": repeated})
-        return pa.array(rows, kind)
+        datas = [zstandard.decompress(t) for t in texts.to_pylist()]
+        sizes = np.array([len(d) for d in datas], np.int64)
+        each = _fields(found)
+        runs, n_runs = _fields(each["runs"]), _lengths(each["runs"])
+        doc = np.repeat(np.repeat(np.arange(len(datas)), _lengths(found)), n_runs)
+        at = np.repeat(each["first"].to_numpy().astype(np.int64), n_runs)
+        first, last, long = runs["a"].to_numpy() + at, runs["b"].to_numpy() + at, runs["long"].to_numpy(zero_copy_only=False).astype(bool)
+        places, a, b = covers(sizes, doc[long], first[long], last[long], least)
+        removed = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]))
+        a, b = a.tolist(), b.tolist()
+        kept = [d if i == j else _rest(d, list(zip(a[i:j], b[i:j], strict=True))) for d, i, j in zip(datas, places.tolist(), places[1:].tolist(), strict=False)]
+        places, a, b = covers(sizes, doc[~long], first[~long], last[~long], screen)
+        a, b = a.tolist(), b.tolist()
+        repeated = [0 if i == j else passages(d, list(zip(a[i:j], b[i:j], strict=True))) for d, i, j in zip(datas, places.tolist(), places[1:].tolist(), strict=False)]
+        return pa.StructArray.from_arrays([removed, pa.array(kept, pa.binary()), pa.array(repeated, pa.int64())], ["removed", "kept", "n_passages"])
 
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("id"), data.alias("data")).withColumn("key", F.unhex(F.md5("data")))
