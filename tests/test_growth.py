@@ -9,7 +9,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from venuelake.functions import contacts
+from venuelake.functions import capacities, contacts
 from venuelake.operators import harvest, page_reading, planning, resolution, reviews
 from venuelake.plans import document_queries
 from venuelake.sources import markup
@@ -143,3 +143,13 @@ def test_crawl_rounds_answer_a_batch_at_once(spark, monkeypatch):
     rows = [tuple(r.values()) for b in (one, last) for r in b.to_pylist()]
     assert rows[0] == (None, "p0", "O", 1) and rows[1:3] == [("0", "p2", "R", 1), ("0", "p3", "O", 2)] and len(rows) == 2001
     assert [tuple(r.values()) for b in taken[0](iter([whole.slice(0, 5), whole.slice(5)])) for r in b.to_pylist()] == rows
+
+
+def test_cells_of_digits_are_not_read_for_words(spark):
+    """A cell without a letter names neither layout nor space, and one without a digit has no count; one test tells each."""
+    cells = ["1,200", " (250) ", "-", "", None, "Max capacity:", "up to 99 pax", "Loft 2", "Ⅻ", "K", "CocKtail", "٣٤"]
+    text = F.col("c")
+    found = spark.createDataFrame([(c,) for c in cells], "c string").select(capacities.layout_of(text).alias("l"), capacities.count_of(text).alias("n"), capacities.space_name(text).alias("s"))
+    assert [tuple(r) for r in found.collect()] == [(None, 1200, None), (None, None, None), (None, None, None), (None, None, None), (None, None, None), ("unspecified", None, None), (None, 99, "up to 99 pax"), (None, None, "Loft 2"), *[(None, None, None)] * 2, ("cocktail", None, None), (None, None, None)]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN RLIKE(c#") == 2 and plan.count("CASE WHEN (RLIKE(c#") == 1

@@ -71,7 +71,8 @@ def layout_of(text: Column) -> Column:
             out = F.when(test, name) if out is None else out.when(test, name)
         return F.when(value.rlike(f"^(?:{'|'.join(p for p, _ in LAYOUTS)})$"), out)  # most texts are none, and one test tells
 
-    return _once(F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[():*]", " "), r"\s+", " "))), named)
+    read = _once(F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[():*]", " "), r"\s+", " "))), named)
+    return F.when(text.rlike("[A-Za-z]"), read)  # no layout is without a letter
 
 
 def count_of(text: Column) -> Column:
@@ -79,7 +80,7 @@ def count_of(text: Column) -> Column:
     value = F.trim(F.regexp_replace(text, r"\s+", " "))
     digits = F.regexp_extract(value, r"(?i)^(?:up to |max\.? )?(\d{1,3}(?:,\d{3})+|\d{1,6})(?: (?:guests|people|pax))?$", 1)
     number = F.regexp_replace(digits, ",", "").try_cast("int")
-    return F.when(number.between(1, 100_000), number)
+    return F.when(text.rlike("[0-9]") & number.between(1, 100_000), number)
 
 
 def space_name(text: Column, layout: Column | None = None) -> Column:
@@ -91,7 +92,8 @@ def space_name(text: Column, layout: Column | None = None) -> Column:
         bad = (F.length(value) > 60) | ~value.rlike("^[A-Za-z0-9].*[A-Za-z]|^[A-Za-z]") | value.rlike(rf"(?i)^(?:{NO_SPACE})$") | (F.size(F.split(value, " ")) > 6) | value.rlike(r"[.!?]$") | known.isNotNull()
         return F.when((value != "") & ~bad, value)
 
-    return _once(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[*:]+$", "")), named)
+    read = _once(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[*:]+$", "")), named)
+    return F.when(text.rlike("[A-Za-z]"), read)  # no space is without a letter
 
 
 def facilities(text: Column) -> Column:
