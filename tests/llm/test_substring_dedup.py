@@ -1,4 +1,5 @@
 import random
+from time import process_time
 
 import numpy as np
 import pytest
@@ -28,6 +29,29 @@ def test_strings_that_start_beyond_their_room_are_no_partners():
     assert bwt.repeated_starts([b"abcdef", b"xxcdef"], 4, rooms=[3, 3])[0][0].tolist() == [False, False, True]
 
 
+def test_keys_too_wide_for_their_place_sort_alike():
+    """Past 2 ** 21 suffixes a key of two ranks leaves no room for the place below it."""
+    keys = np.random.default_rng(5).integers(0, 50, 300).astype(np.uint64)
+    assert [a.tolist() for a in bwt._by(keys, 6)] == [a.tolist() for a in bwt._by(keys, 64)] == [sorted(range(300), key=lambda i: keys[i]), (np.diff(np.sort(keys)) == 0).tolist()]
+
+
+def test_texts_that_repeat_much_cost_little_more_than_random_ones():
+    """An interval that most rows are in is extended by its runs; row by row, each of 400 levels read them all."""
+
+    def seconds(texts):
+        took = []
+        for _ in range(3):
+            since = process_time()
+            flags = bwt.repeated_starts(texts, 400)[0]
+            took.append(process_time() - since)
+        return min(took), flags
+
+    plain, flags = seconds([random.Random(1).randbytes(100_000)])
+    assert not flags[0].any()
+    repeated, flags = seconds([b"a" * 99_999 + b"b"])
+    assert flags[0].sum() == len(flags[0]) - 1 and repeated < 5 * plain
+
+
 def _texts():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
