@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from venuelake.functions import addresses, contacts, text
-from venuelake.operators import catalogue, inventory, leads, ledgers, resolution, reviews, scoring
+from venuelake.operators import catalogue, harvest, inventory, leads, ledgers, resolution, reviews, scoring
 from venuelake.sources import documents
 
 
@@ -178,3 +178,10 @@ def test_refused_requests_use_up_no_cap(spark):
             totals[day] = now
         want.append((n, decision))
     assert sorted((r.n, r.decision) for r in got.collect()) == want and want[4] == (4, "ADMITTED")
+
+
+def test_site_signals_read_whole_texts(spark):
+    """Words count wherever they stand in a page, and may straddle what would be the end of a part."""
+    for before in (10, 3_997, 100_000):
+        page = f"<title>t</title><p>{'x' * before} The festival presents: tickets, seating"
+        assert one(spark, harvest.site_signals(F.col("h")), h=page) == ["FESTIVAL_OR_SERIES_LANGUAGE", "PROMOTER_LANGUAGE", "TICKETING_OR_MEDIA_LANGUAGE", "FACILITY_LANGUAGE", "FESTIVAL_PLACE_CONFLICT"]

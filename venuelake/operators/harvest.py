@@ -21,8 +21,6 @@ SIGNAL_WORDS = (
     ("FESTIVAL_OR_SERIES_LANGUAGE", r"(?i)\b(?:festival|fest)\b"), ("PROMOTER_LANGUAGE", r"(?i)\b(?:promot(?:er|ing|es)|presents)\b"),
     ("TICKETING_OR_MEDIA_LANGUAGE", r"(?i)\b(?:tickets?|box office|ticketmaster|dice\.fm)\b"), ("FACILITY_LANGUAGE", r"(?i)\b(?:capacity|seating|function rooms?|venue hire|banquet|auditorium)\b"),
 )
-#: Characters of a page's text that are read for them.
-SIGNAL_TEXT = 4000
 #: Names of spaces that name none, and words of categories, of articles and of kinds of space.
 GENERIC_SPACE = r"(?i)^(?:the |our |your )?(?:newsletter|contact|what'?s on|whats on|latest news|conference venue|wedding venue|corporate venue|home|gallery|events|hall|room|rooms|venue|space|spaces|guest accommodation|accommodation|facilities|amenities|our venue|outdoor space|private events|meeting rooms|chapel|weddings|conferences|functions|hire|venue hire|private hire|corporate hire)$"
 ARTICLES = ("the", "our", "your", "a", "an")
@@ -90,7 +88,7 @@ def site_signals(html: Column) -> Column:
     meta = lambda name: F.regexp_extract(html, rf"""(?i)<meta\b[^>]*\b(?:name|property)=["']{name}["'][^>]*\bcontent="([^"]*)\"""", 1)
     filled = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))
     title = filled(visible_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), meta("og:title"))
-    text = F.concat_ws(" ", title, filled(meta("description"), meta("og:description")), F.substring(visible_text(html), 1, SIGNAL_TEXT))
+    text = F.concat_ws(" ", title, filled(meta("description"), meta("og:description")), visible_text(html))
     scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), 1), " ")
     told = F.array_join(F.regexp_extract_all(scripts, F.lit(r'"@type"\s*:\s*("[^"]*"|\[[^\]]*\])'), 1), ",")
     types = F.transform(F.regexp_extract_all(told, F.lit('"([^"]*)"'), 1), lambda t: F.lower(F.trim(F.regexp_replace(t, r"^.*[/#]", ""))))
