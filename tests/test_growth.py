@@ -153,3 +153,21 @@ def test_cells_of_digits_are_not_read_for_words(spark):
     assert [tuple(r) for r in found.collect()] == [(None, 1200, None), (None, None, None), (None, None, None), (None, None, None), (None, None, None), ("unspecified", None, None), (None, 99, "up to 99 pax"), (None, None, "Loft 2"), *[(None, None, None)] * 2, ("cocktail", None, None), (None, None, None)]
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("CASE WHEN RLIKE(c#") == 2 and plan.count("CASE WHEN (RLIKE(c#") == 1
+
+
+def test_pictures_are_read_without_casts_of_empty_texts(spark):
+    """A cast of an empty text costs an exception each; numbers are cast only where there are digits."""
+    pages = spark.createDataFrame([(1, "https://a.org/", "<img srcset='a.jpg 9w, b.jpg 60w, c.jpg 1.5x, d.jpg' src=e.jpg><img src=f.jpg width=60px height=''><img src=g.jpg width=' 49'>")], "page long, url string, html string")
+    found = page_reading.images(markup.elements(pages, "page", "html", ["img"]), pages, "page", "url")
+    assert [r.url for r in found.orderBy("node").collect()] == ["c.jpg", "f.jpg"]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_cast(") == plan.count("THEN try_cast(") > 0
+
+
+def test_pages_of_one_template_share_their_form():
+    """Texts and attributes differ, tags and what hides do not: the tree is built once, and each page has its own texts."""
+    pages = [f"<div id=k{i} class='c{i % 3}'><p>t{i}  x<b>{i}</b><img src={i}.png><p hidden>no" for i in range(50)]
+    before = markup._form.cache_info().misses
+    trees = [markup.tree(p, frozenset(("p", "img"))) for p in pages]
+    assert markup._form.cache_info().misses == before + 1
+    assert [[(r[3], r[4], r[7][0][2:]) for r in t] for t in trees] == [[([], f"t{i} x{i}", (f"c{i % 3}", f"k{i}")), ([("src", f"{i}.png")], "", (f"c{i % 3}", f"k{i}")), ([("hidden", "")], "", (f"c{i % 3}", f"k{i}"))] for i in range(50)]

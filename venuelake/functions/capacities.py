@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuelake.functions.text import told_number
+
 #: Names of seating layouts.
 LAYOUTS = (
     (r"(?:theatre|theater)(?:[- ]style)?", "theatre"), (r"cabaret(?:[- ]style)?", "cabaret"), (r"banquet(?:ing)?", "banquet"), (r"(?:seated )?dinner(?: dance)?|dining", "dinner"), (r"(?:drinks )?reception", "reception"),
@@ -79,8 +81,8 @@ def count_of(text: Column) -> Column:
     """A count of people from 1 to 100,000, with commas between thousands or without; null if the text is none."""
     value = F.trim(F.regexp_replace(text, r"\s+", " "))
     digits = F.regexp_extract(value, r"(?i)^(?:up to |max\.? )?(\d{1,3}(?:,\d{3})+|\d{1,6})(?: (?:guests|people|pax))?$", 1)
-    number = F.regexp_replace(digits, ",", "").try_cast("int")
-    return F.when(text.rlike("[0-9]") & number.between(1, 100_000), number)
+    counted = _once(told_number(F.regexp_replace(digits, ",", "")), lambda n: F.when(n.between(1, 100_000), n))
+    return F.when(text.rlike("[0-9]") & counted.isNotNull(), counted)
 
 
 def space_name(text: Column, layout: Column | None = None) -> Column:

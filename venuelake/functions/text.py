@@ -16,6 +16,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
 
+def told_number(digits: Column, kind: str = "int") -> Column:
+    """The number that digits tell, null for none: a cast of an empty text costs an exception, by far more than a match."""
+    return F.when(digits != "", digits.try_cast(kind))
+
+
 def escaped_ilike(c: Column, text: str) -> Column:
     """Case-insensitive containment with wildcards of the text taken literally."""
     literal = text.lower().replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelake.functions import capacities
+from venuelake.functions.text import told_number
 from venuelake.sources import markup
 
 HEADINGS = ("h1", "h2", "h3", "h4")
@@ -101,12 +102,12 @@ LEAST_PIXELS = 50
 
 
 def _sources(value: Column) -> Column:
-    """array<(width, score, url)> of a srcset: its width, or its density as a thousand each."""
-    parts = F.transform(F.split(F.coalesce(value, F.lit("")), r",\s+(?=\S)"), lambda p: F.split(F.trim(p), r"\s+"))
-    width = lambda p: F.regexp_extract(F.coalesce(F.get(p, F.lit(1)), F.lit("")), r"^(\d+)w$", 1).try_cast("int")
-    density = lambda p: F.regexp_extract(F.coalesce(F.get(p, F.lit(1)), F.lit("")), r"^(\d+(?:\.\d+)?)x$", 1).try_cast("double")
+    """array<(width, score, url)> of a srcset: its width, or its density as a thousand each; null without one."""
+    parts = F.transform(F.split(value, r",\s+(?=\S)"), lambda p: F.split(F.trim(p), r"\s+"))
+    width = lambda p: told_number(F.regexp_extract(F.coalesce(F.get(p, F.lit(1)), F.lit("")), r"^(\d+)w$", 1))
+    density = lambda p: told_number(F.regexp_extract(F.coalesce(F.get(p, F.lit(1)), F.lit("")), r"^(\d+(?:\.\d+)?)x$", 1), "double")
     each = F.transform(parts, lambda p: F.struct(width(p).alias("width"), F.coalesce(width(p).cast("double"), density(p) * 1000, F.lit(1.0)).alias("score"), F.get(p, F.lit(0)).alias("url")))
-    return F.filter(each, lambda s: (s["url"] != "") & ~s["url"].rlike("(?i)^data:"))
+    return F.when(value.isNotNull(), F.filter(each, lambda s: (s["url"] != "") & ~s["url"].rlike("(?i)^data:")))
 
 
 def images(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
@@ -123,7 +124,7 @@ def images(nodes: DataFrame, pages: DataFrame, id_col: str, url_col: str) -> Dat
     widest = F.try_element_at(F.array_sort(bests, lambda a, b: F.coalesce(b["width"], F.lit(0)) - F.coalesce(a["width"], F.lit(0))), F.lit(1))
     lazy = F.coalesce(*[F.when(~attribute(k).rlike("(?i)^data:|^$"), attribute(k)) for k in LAZY])
     plain = F.when(~attribute("src").rlike(PLACEHOLDER) & (attribute("src") != ""), attribute("src"))
-    pixels = lambda k: F.regexp_extract(F.coalesce(attribute(k), F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
+    pixels = lambda k: told_number(F.regexp_extract(F.coalesce(attribute(k), F.lit("")), r"^\s*(\d+)", 1))
     # the widest is sought once a picture: what it tells is a row of the generator, which filters do not repeat below it
     picked = lambda w: F.struct(F.coalesce(w["url"], lazy, plain).alias("url"), F.coalesce(w["width"], pixels("width")).alias("width"), F.when(w["width"].isNull(), pixels("height")).alias("height"))
     found = own.select("id", "node", within(LOGO_PLACE, "body", "html").alias("logo"), within(HERO_PLACE).alias("hero"), within(GALLERY_PLACE).alias("gallery"), F.coalesce(attribute("alt"), F.lit("")).alias("alt"), marks.alias("marks"), F.inline_outer(F.transform(F.array(widest), picked)))
@@ -191,7 +192,7 @@ def card_events(nodes: DataFrame) -> DataFrame:
         of((tag == "p") & has("location"), F.col("content")).alias("venue"), of((tag == "a") & has("event_link"), attribute("href")).alias("ticket_url"), of(tag == "img", attribute("src")).alias("image_url"),
     ).filter(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("title") != ""))
     pattern = r"(?i)^(\d{1,2}):(\d{2})(AM|PM)\b"
-    hour, half = F.regexp_extract("told", pattern, 1).try_cast("int"), F.upper(F.regexp_extract("told", pattern, 3))
+    hour, half = told_number(F.regexp_extract("told", pattern, 1)), F.upper(F.regexp_extract("told", pattern, 3))
     clock = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
     time = F.coalesce(F.concat(F.lpad(clock.cast("string"), 2, "0"), F.lit(":"), F.regexp_extract("told", pattern, 2)), F.lit("19:00"))
     start = F.convert_timezone(F.lit("Europe/London"), F.lit("UTC"), F.try_to_timestamp(F.concat_ws(" ", "day", time), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz"))

@@ -135,7 +135,7 @@ _FILES = ("", "a.jpg 300w, ", "a.jpg 1x, ", "data:x 900w, ")
 )
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(e, "event_type", "user_id", (20 + F.floor("value")).cast("string").alias("w"), F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("name"))
+    rows = table(spark, sf_dir, "events").select(e, "event_type", "user_id", (20 + F.floor("value")).cast("string").alias("w"), F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("name")).repartition("event_id")
     files = pick(_FILES, F.floor(e / 30))
     best = F.when(F.floor(e / 30) % 4 == 2, F.concat("name", F.lit(".jpg 2x"))).otherwise(F.concat("name", F.lit("-wide.jpg 800w")))
     html = F.concat(
