@@ -47,6 +47,23 @@ def test_fuzzy_names_moves_no_pairs(spark, monkeypatch):
     assert "Union" in plan[0]
 
 
+def test_fuzzy_names_broadcast_no_side(spark):
+    """Names by their words or letters are more rows than an estimate tells, so even small sides are merged, not sent to the driver; words
+    beyond the common ones, which have no bit of their own, are found through their sketches."""
+    many = [(i, f"n{i} n{i + 1} n{i // 2 * 7}") for i in range(200)] + [(1000, "n5 n6")]
+    left, right = spark.createDataFrame(many, "a long, n string"), spark.createDataFrame(many[::3] + many[-1:], "b long, n string")
+    found = resolution.fuzzy_pairs(left, right, "a", "b", "n", "n")
+    expected = set()
+    for a, n in many:
+        for b, m in many[::3] + many[-1:]:
+            x, y = set(n.split()), set(m.split())
+            if n in m or m in n or len(x & y) >= 2 and 2 * len(x & y) >= max(len(x), len(y)):
+                expected.add((a, b, len(x & y), len(x & y) / max(len(x), len(y))))
+    assert {tuple(r) for r in found.collect()} == expected
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [key" in line and "share" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_mails_in_long_runs_are_found_in_one_pass(spark):
     """A run of 400,000 characters that a mailbox may have takes one pass; mailboxes right after one another are all seen."""
     run = "a" * 400_000
