@@ -188,3 +188,13 @@ def test_pages_of_one_template_share_their_form():
     trees = [markup.tree(p, frozenset(("p", "img"))) for p in pages]
     assert markup._form.cache_info().misses == before + 1
     assert [[(r[3], r[4], r[7][0][2:]) for r in t] for t in trees] == [[([], f"t{i} x{i}", (f"c{i % 3}", f"k{i}")), ([("src", f"{i}.png")], "", (f"c{i % 3}", f"k{i}")), ([("hidden", "")], "", (f"c{i % 3}", f"k{i}"))] for i in range(50)]
+
+
+def test_cards_find_what_an_element_says_once(spark):
+    """Classes are sought as words of a list, whatever white space is between, and not cut into lists; the aggregates read columns."""
+    html = "<div class='x\tevent\ngrid_item' data-date=2024-01-05><h2>A</h2><h2>B</h2><p class='date soon'>9:00am<p class='dates'>1:00pm<p class='a location'>Hall</p><a class=event_links href=/n>n</a><a class='y event_link' href=/t>t</a><img src=i></div><div class='grid_items event' data-date=2024-01-06><h2>C</h2></div>"
+    pages = spark.createDataFrame([(1, html)], "id long, html string")
+    found = page_reading.card_events(markup.elements(pages, "id", "html", page_reading.CARD_TAGS))
+    assert [(r.title, str(r.start_at), r.venue, r.ticket_url, r.image_url) for r in found.collect()] == [("A", "2024-01-05 09:00:00", "Hall", "/t", "i")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and not any("attributes" in line for line in plan.splitlines() if "Aggregate" in line)

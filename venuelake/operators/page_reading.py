@@ -178,18 +178,21 @@ def card_events(nodes: DataFrame) -> DataFrame:
     """(id, node, title, start_at, venue, ticket_url, image_url) of the cards of an events page: div elements of the classes
     grid_item and event, with a date and a title. A card without a time of its own starts at 19:00; times are London's, given
     in UTC. A part belongs to the nearest card around it; the first of its kind counts. Nodes, or elements of CARD_TAGS."""
-    classes = lambda text: F.split(F.coalesce(text, F.lit("")), r"\s+")
-    has = lambda *names: F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(classes(attribute("class")), n))
-    of_card = lambda tag, text: (tag == "div") & F.coalesce(text, F.lit("")).contains("grid_item") & F.array_contains(classes(text), "grid_item") & F.array_contains(classes(text), "event")
-    tag = F.col("tag")
+    tag, css = F.col("tag"), attribute("class")
+    has = lambda text, name: text.rlike(rf"(?:^|\s){name}(?:\s|$)")
+    of_card = lambda tag, text: (tag == "div") & text.contains("grid_item") & has(text, "grid_item") & has(text, "event")
     # of nested cards the innermost, which is the last on the path
     around = F.try_element_at(F.filter("path", lambda a: of_card(a["tag"], a["class"])), F.lit(-1))["node"]
-    told = (tag.isin("h2", "img")) | attribute("data-date").isNotNull() | ((tag == "p") & (has("date") | has("location"))) | ((tag == "a") & has("event_link"))
-    texts = markup.with_text(nodes, told, CARD_TAGS).withColumn("card", F.when(of_card(tag, attribute("class")), F.col("node")).otherwise(around)).filter("card is not null")
-    of = lambda test, value: F.min_by(F.when(test, value), F.when(test & value.isNotNull(), F.col("node")))
-    found = texts.groupBy("id", "card").agg(
-        of(tag == "h2", F.col("content")).alias("title"), of(F.lit(True), attribute("data-date")).alias("day"), of((tag == "p") & has("date"), F.col("content")).alias("told"),
-        of((tag == "p") & has("location"), F.col("content")).alias("venue"), of((tag == "a") & has("event_link"), attribute("href")).alias("ticket_url"), of(tag == "img", attribute("src")).alias("image_url"),
+    told = (tag.isin("h2", "img")) | attribute("data-date").isNotNull() | ((tag == "p") & (has(css, "date") | has(css, "location"))) | ((tag == "a") & has(css, "event_link"))
+    texts = markup.with_text(nodes, told, CARD_TAGS).withColumn("card", F.when(of_card(tag, css), F.col("node")).otherwise(around)).filter("card is not null")
+    said = {
+        "title": F.when(tag == "h2", F.col("content")), "day": attribute("data-date"), "told": F.when((tag == "p") & has(css, "date"), F.col("content")), "venue": F.when((tag == "p") & has(css, "location"), F.col("content")),
+        "ticket_url": F.when((tag == "a") & has(css, "event_link"), attribute("href")), "image_url": F.when(tag == "img", attribute("src")),
+    }
+    # what an element says is found once, then the first of each kind is taken
+    parts = texts.select("id", "card", "node", *(value.alias(name) for name, value in said.items()))
+    found = parts.groupBy("id", "card").agg(
+        *(F.min_by(name, F.when(F.col(name).isNotNull(), F.col("node"))).alias(name) for name in said)
     ).filter(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("title") != ""))
     pattern = r"(?i)^(\d{1,2}):(\d{2})(AM|PM)\b"
     hour, half = told_number(F.regexp_extract("told", pattern, 1)), F.upper(F.regexp_extract("told", pattern, 3))
