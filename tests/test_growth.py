@@ -198,3 +198,18 @@ def test_cards_find_what_an_element_says_once(spark):
     assert [(r.title, str(r.start_at), r.venue, r.ticket_url, r.image_url) for r in found.collect()] == [("A", "2024-01-05 09:00:00", "Hall", "/t", "i")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and not any("attributes" in line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_cells_are_read_as_columns_before_they_meet(spark):
+    """Steps that are columns tell of a cell what the functions tell; the facts of a table are found without a pattern."""
+    cells = ["Theatre", " Theatre\n(style):", "Max  capacity", "up to\t99 pax", "1,200", "Wing O 3", "a\u00a0b", "", " ", None, "Loft*:", "Room", "One two three four five six seven", "Stop!", "seated dinner\r\ndance", "9" * 9, "0", "K", "120 guests"]
+    given = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    want = given.select("i", F.struct(capacities.layout_of(F.col("c")).alias("layout"), capacities.count_of(F.col("c")).alias("count"), capacities.space_name(F.col("c")).alias("space")).alias("c"))
+    got = {r.i: tuple(r.c) for r in capacities.read_cells(given, "c").collect()}
+    assert got == {r.i: tuple(r.c) for r in want.collect()}
+    assert (got[1], got[3], got[10], got[14]) == (("theatre", None, None), (None, 99, "up to 99 pax"), (None, None, "Loft"), ("dinner", None, None))
+    pages = spark.createDataFrame([(1, "<table><tr><th>Room<th>Theatre<th>Standing<tr><td>Loft A<td>10<td>20</table>")], "id long, html string")
+    found = page_reading.table_capacities(markup.elements(pages, "id", "html", page_reading.TABLE_TAGS))
+    assert sorted((r.space, r.layout, r["count"]) for r in found.collect()) == [("Loft A", "standing", 20), ("Loft A", "theatre", 10)]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    assert "cabaret" not in above

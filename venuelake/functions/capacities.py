@@ -65,37 +65,67 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _spaced(text: Column) -> Column:
+    """White space as single spaces; a text that has no other is only looked through."""
+    return F.regexp_replace(text, r"\s{2,}|[^\S ]", " ")
+
+
+def _layout_text(text: Column) -> Column:
+    return F.lower(F.trim(_spaced(F.translate(text, "():*", "    "))))
+
+
+def _layout_named(value: Column) -> Column:
+    out = None
+    for pattern, name in LAYOUTS:
+        test = value.rlike(f"^(?:{pattern})$")
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return F.when(value.rlike(f"^(?:{'|'.join(p for p, _ in LAYOUTS)})$"), out)  # most texts are none, and one test tells
+
+
 def layout_of(text: Column) -> Column:
-    def named(value: Column) -> Column:
-        out = None
-        for pattern, name in LAYOUTS:
-            test = value.rlike(f"^(?:{pattern})$")
-            out = F.when(test, name) if out is None else out.when(test, name)
-        return F.when(value.rlike(f"^(?:{'|'.join(p for p, _ in LAYOUTS)})$"), out)  # most texts are none, and one test tells
+    return F.when(text.rlike("[A-Za-z]"), _once(_layout_text(text), _layout_named))  # no layout is without a letter
+
+
+def _count_told(text: Column) -> Column:
+    digits = F.regexp_extract(F.trim(_spaced(text)), r"(?i)^(?:up to |max\.? )?(\d{1,3}(?:,\d{3})+|\d{1,6})(?: (?:guests|people|pax))?$", 1)
+    return F.regexp_replace(digits, ",", "")
+
 
-    read = _once(F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[():*]", " "), r"\s+", " "))), named)
-    return F.when(text.rlike("[A-Za-z]"), read)  # no layout is without a letter
+def _of_people(number: Column) -> Column:
+    return F.when(number.between(1, 100_000), number)
 
 
 def count_of(text: Column) -> Column:
     """A count of people from 1 to 100,000, with commas between thousands or without; null if the text is none."""
-    value = F.trim(F.regexp_replace(text, r"\s+", " "))
-    digits = F.regexp_extract(value, r"(?i)^(?:up to |max\.? )?(\d{1,3}(?:,\d{3})+|\d{1,6})(?: (?:guests|people|pax))?$", 1)
-    counted = _once(told_number(F.regexp_replace(digits, ",", "")), lambda n: F.when(n.between(1, 100_000), n))
+    counted = _once(_count_told(text), lambda digits: _of_people(told_number(digits)))
     return F.when(text.rlike("[0-9]") & counted.isNotNull(), counted)
 
 
+def _space_text(text: Column) -> Column:
+    return F.trim(F.regexp_replace(_spaced(text), r"[*:]+$", ""))
+
+
+def _space_named(value: Column, layout: Column | None) -> Column:
+    known = layout_of(value) if layout is None else layout
+    bad = (F.length(value) > 60) | ~value.rlike("^[A-Za-z0-9].*[A-Za-z]|^[A-Za-z]") | value.rlike(rf"(?i)^(?:{NO_SPACE})$") | (F.size(F.split(value, " ")) > 6) | value.rlike(r"[.!?]$") | known.isNotNull()
+    return F.when((value != "") & ~bad, value)
+
+
 def space_name(text: Column, layout: Column | None = None) -> Column:
     """The name of a space in a table's cell; null for a heading, a layout, a sentence, or over six words. `layout` is that of
     the text where it is known already."""
+    return F.when(text.rlike("[A-Za-z]"), _once(_space_text(text), lambda value: _space_named(value, layout)))  # no space is without a letter
 
-    def named(value: Column) -> Column:
-        known = layout_of(value) if layout is None else layout
-        bad = (F.length(value) > 60) | ~value.rlike("^[A-Za-z0-9].*[A-Za-z]|^[A-Za-z]") | value.rlike(rf"(?i)^(?:{NO_SPACE})$") | (F.size(F.split(value, " ")) > 6) | value.rlike(r"[.!?]$") | known.isNotNull()
-        return F.when((value != "") & ~bad, value)
 
-    read = _once(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[*:]+$", "")), named)
-    return F.when(text.rlike("[A-Za-z]"), read)  # no space is without a letter
+def read_cells(cells: DataFrame, text: str) -> DataFrame:
+    """`cells` with each text replaced by what it names and counts, a struct (layout, count, space), as `layout_of`, `count_of` and
+    `space_name` tell it. Steps are columns, which Spark compiles, where those of a list are interpreted."""
+    letters = F.col(text).rlike("[A-Za-z]")
+    made = cells.withColumns({"__layout": F.when(letters, _layout_text(F.col(text))), "__space": F.when(letters, _space_text(F.col(text))), "__digits": F.when(F.col(text).rlike("[0-9]"), _count_told(F.col(text)))})
+    told = made.withColumns({"__layout": _layout_named(F.col("__layout")), "__number": told_number(F.col("__digits"))})
+    named = told.withColumn("__space", _space_named(F.col("__space"), F.col("__layout")))
+    whole = F.struct(F.col("__layout").alias("layout"), _of_people(F.col("__number")).alias("count"), F.col("__space").alias("space"))
+    return named.withColumn(text, whole).drop("__layout", "__space", "__digits", "__number")
 
 
 def facilities(text: Column) -> Column:
@@ -144,11 +174,16 @@ def table_capacities(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
     and spaces the rows, or the other way round; a table of two columns without a head gives layouts and counts of one space
     without a name. Each stage is a column of its own, so every cell is read once: what it names or counts, then the head,
     then the facts. The outer generator keeps the optimizer from testing for facts below these stages, by doing them again."""
-    others = [c for c in tables.columns if c != rows_col]
     read = F.transform(F.col(rows_col), lambda r: F.transform(r, lambda c: _once(F.struct(c.alias("text"), layout_of(c).alias("layout"), count_of(c).alias("count")), lambda v: F.struct(v["layout"].alias("layout"), v["count"].alias("count"), space_name(v["text"], v["layout"]).alias("space")))))
+    return table_facts(tables.withColumn(rows_col, read), rows_col)
+
+
+def table_facts(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
+    """The same of rows of cells that are read already, see `read_cells`."""
+    others = [c for c in tables.columns if c != rows_col]
     no_count = lambda r: F.forall(r, lambda c: c["count"].isNull())
     is_head = lambda r: F.exists(r, lambda c: c["layout"].isNotNull()) & F.exists(r, lambda c: c["count"].isNull()) & (no_count(r) | (F.size(r) > 2))
-    cells = tables.select(*others, read.alias("__cells"))
+    cells = tables.select(*others, F.col(rows_col).alias("__cells"))
     headed = cells.withColumn("__at", F.array_position(F.transform("__cells", is_head), True).cast("int"))
     split = headed.withColumn("__head", F.try_element_at("__cells", F.nullif("__at", F.lit(0)))).withColumn("__body", F.slice("__cells", F.col("__at") + 1, F.greatest(F.size("__cells"), F.lit(0))))
     first = lambda r: F.get(r, F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +50,20 @@ def tables(nodes: DataFrame) -> DataFrame:
     """(id, node, heading, rows): each table's rows of cells' texts, rows and cells in order. A cell belongs to the nearest row
     and table around it, so a table within a cell is a table of its own; its text is part of that cell's too. Nodes, or elements
     of TABLE_TAGS; a page's are dealt to a task once, for the heading and the rows."""
+    return _tables(nodes, lambda placed: placed)
+
+
+def _tables(nodes: DataFrame, with_cell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The tables with what `with_cell` makes of the column `cell`, a cell's text and else null, before cells meet."""
     is_cell = markup.closest("tr").isNotNull() & markup.closest("table").isNotNull() & (F.element_at("path", -1)["tag"] == "tr")
     read = markup.with_text(nodes, ~F.col("tag").isin("td", "th") | is_cell, TABLE_TAGS)
     placed = read.select("id", "node", "tag", "content", F.when(F.col("tag") == "table", F.col("node")).otherwise(markup.closest("table")).alias("table"), F.when(F.col("tag") != "table", markup.closest("tr")).alias("row"))
-    headed = _under_headings(placed.repartition("id")).filter(~F.col("tag").isin(*HEADINGS))
+    texts = placed.withColumns({"cell": F.when(F.col("tag").isin("td", "th"), F.col("content")), "content": F.when(F.col("tag").isin(*HEADINGS), F.col("content"))})
+    dealt = with_cell(texts).repartition("id")
+    headed = _under_headings(dealt).filter(~F.col("tag").isin(*HEADINGS))
     ordered = lambda column: F.transform(F.array_sort(F.collect_list(column)), lambda c: c["value"])
     told = F.max(F.when(F.col("tag") == "table", F.col("heading"))).alias("heading")
-    rows = headed.groupBy("id", "table", "row").agg(ordered(F.when(F.col("tag") != "table", F.struct("node", F.col("content").alias("value")))).alias("cells"), told)
+    rows = headed.groupBy("id", "table", "row").agg(ordered(F.when(F.col("tag") != "table", F.struct("node", F.col("cell").alias("value")))).alias("cells"), told)
     whole = rows.groupBy("id", F.col("table").alias("node")).agg(F.max("heading").alias("heading"), ordered(F.when(F.size("cells") > 0, F.struct("row", F.col("cells").alias("value")))).alias("rows"))
     return whole.filter(F.size("rows") > 0)
 
@@ -62,8 +71,8 @@ def tables(nodes: DataFrame) -> DataFrame:
 def table_capacities(nodes: DataFrame) -> DataFrame:
     """(id, node, space, layout, count) of the capacities that tables state. A table of layouts and counts without a head is about
     the space that the heading before it names."""
-    read = tables(nodes).withColumn("named", heading_space(F.col("heading"))).select("id", "node", "named", "rows")
-    found = capacities.table_capacities(read)
+    read = _tables(nodes, lambda placed: capacities.read_cells(placed, "cell")).withColumn("named", heading_space(F.col("heading"))).select("id", "node", "named", "rows")
+    found = capacities.table_facts(read)
     return found.select("id", "node", F.coalesce("space", "named").alias("space"), "layout", "count")
 
 
